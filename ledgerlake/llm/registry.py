@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from ledgerlake.llm.bpe import op4_bpe_round_trip
 from ledgerlake.llm.language_id import op8_language_id
+from ledgerlake.llm.quality_net import op1_quality_net
+from ledgerlake.llm.quality_rules import op2_quality_rules
 from ledgerlake.llm.simhash_dedup import op3_simhash_dedup
 from ledgerlake.llm.token_counts import op7_token_counts
 
-QUERIES = {f.__name__: f for f in (op3_simhash_dedup, op4_bpe_round_trip, op7_token_counts, op8_language_id)}
+QUERIES = {f.__name__: f for f in (op1_quality_net, op2_quality_rules, op3_simhash_dedup, op4_bpe_round_trip, op7_token_counts, op8_language_id)}
 ORACLE: dict[str, str] = {}
