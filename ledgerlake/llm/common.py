@@ -28,14 +28,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         app = spark.sparkContext.applicationId
-        base = _own_folder.setdefault(app, "") or _own_folder.__setitem__(app, tempfile.mkdtemp(prefix="ledgerlake-")) or _own_folder[app]
+        if app not in _own_folder:
+            _own_folder[app] = tempfile.mkdtemp(prefix="ledgerlake-")
+        base = _own_folder[app]
     return f"{base.rstrip('/')}/ledgerlake/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows written to the shared folder and read back: cuts the lineage, and outlives lost executors."""
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

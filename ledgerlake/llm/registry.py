@@ -8,8 +8,9 @@ from ledgerlake.llm.language_id import op8_language_id
 from ledgerlake.llm.quality_net import op1_quality_net
 from ledgerlake.llm.quality_rules import op2_quality_rules
 from ledgerlake.llm.simhash_dedup import op3_simhash_dedup
+from ledgerlake.llm.suffix_dedup import op5_suffix_dedup
 from ledgerlake.llm.token_counts import op7_token_counts
 from ledgerlake.llm.warc import OP10_SQL, op10_warc
 
-QUERIES = {f.__name__: f for f in (op1_quality_net, op2_quality_rules, op3_simhash_dedup, op4_bpe_round_trip, op7_token_counts, op8_language_id, op9_chat_windows, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_net, op2_quality_rules, op3_simhash_dedup, op4_bpe_round_trip, op5_suffix_dedup, op7_token_counts, op8_language_id, op9_chat_windows, op10_warc)}
 ORACLE: dict[str, str] = {"op9_chat_windows": OP9_SQL, "op10_warc": OP10_SQL}
