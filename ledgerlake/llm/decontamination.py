@@ -86,7 +86,12 @@ def benchmark_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known, stored(index.select("block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "item_id", "n", "fp").distinct(), "benchmark-index")
 
 
-def _lined_up(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
+def _small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _lined_up(docs: DataFrame, known: DataFrame, most: int) -> DataFrame | None:
     """(doc_id, words, windows) of the documents that share a shingle with an item: windows are (start, n)."""
     rows = docs.select("doc_id", text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
     widths = sorted(r[0] for r in known.select(F.least("n", F.lit(WIDTH))).distinct().collect())  # five numbers at most
@@ -96,20 +101,18 @@ def _lined_up(docs: DataFrame, known: DataFrame, most: int) -> DataFrame:
         marks = mine.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).select("n", F.posexplode(_grams(F.col("hashes"), width))).select(F.col("col").alias("mark"), F.col("pos").alias("at"), "n").distinct()
         marks = stored(marks, "benchmark-shingles")
         hashed = rows.withColumn("words", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
-        small = marks.count() <= most
-        held = ["doc_id", "h", "text"] if small else ["doc_id", "h"]
-        grams = hashed.select(*held, F.posexplode(_grams(F.col("words"), width)))
-        hits = grams.join(F.broadcast(marks) if small else marks, F.col("col") == F.col("mark"))
-        window = F.struct((F.col("pos") - F.col("at")).alias("start"), "n")
-        group = hits.groupBy("doc_id", "h")
-        if small:
-            got = group.agg(F.first("text").alias("text"), F.collect_set(window).alias("windows"))
-        else:
-            got = group.agg(F.collect_set(window).alias("windows")).select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "windows")
-            got = got.join(rows, (F.col("h") == F.col("kh")) & F.col("doc_id").eqNullSafe(F.col("k"))).select("doc_id", "h", "text", "windows")
-        got = got.select("doc_id", words_of(F.col("text")).alias("words"), "windows")
+        grams = hashed.select("doc_id", "h", F.posexplode(_grams(F.col("words"), width)))
+        hits = grams.join(_small(marks, most), F.col("col") == F.col("mark"))
+        got = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("start"), "n")).alias("windows"))
         found = got if found is None else found.unionByName(got)
-    return found
+    if found is None:
+        return None
+    found = stored(found.select(F.col("doc_id").alias("k"), F.col("h").alias("kh"), "windows"), "benchmark-hits")
+    same = lambda k, kh: (F.col("h") == F.col(kh)) & F.col("doc_id").eqNullSafe(F.col(k))
+    keys = _small(found.select(F.col("k").alias("s"), F.col("kh").alias("sh")).distinct(), most)
+    texts = rows.join(keys, same("s", "sh"), "left_semi").distinct()  # the rest of the texts isn't moved
+    texts = texts.join(found, same("k", "kh"))
+    return texts.select("doc_id", words_of(F.col("text")).alias("words"), "windows")
 
 
 def contamination(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -133,9 +136,8 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     windows = windows.select("doc_id", "start", "w_words", shingles_of(F.col("words")).alias("w_shingles"))
     windows = stored(with_fingerprint(windows, "w_shingles", "w_fp"), "benchmark-windows")
     looked = windows.select("doc_id", "start", "w_words", "w_fp", F.explode(_blocks(F.col("w_fp"))).alias("b"))
-    small = index.count() <= most
     near = looked.join(
-        F.broadcast(index) if small else index,
+        _small(index, most),
         (F.col("b.block") == index["block"]) & (F.col("b.value") == index["value"]) & (F.bit_count(F.col("w_fp").bitwiseXOR(F.col("fp"))) <= RADIUS),
     )
     pairs = near.select(F.col("doc_id").alias("p_doc"), F.col("start").alias("p_start"), F.col("w_words").alias("p_words"), F.col("w_fp").alias("p_fp"), F.col("item_id").alias("p_item"), F.col("n").alias("p_n"), F.col("fp").alias("p_item_fp")).distinct()
