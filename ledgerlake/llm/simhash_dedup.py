@@ -28,30 +28,57 @@ SEED = 42
 SAMPLE = 1 << 14  # fingerprints that lay out the upper tree
 SHARD = 1 << 15  # fingerprints a shard should hold
 LEAF = 128
+VIEW_SHINGLES = 3
+VIEWS = 8
 DENSE = 2048
 
 
-def fingerprint(text: str, width: int) -> int:
-    """Unsigned 64-bit SimHash. A-Z become lower case; words are runs without ASCII white space; fewer
-    words than `width` make one shingle; no word gives 0. A bit is 1 if set in over half the hashes."""
+def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of each word shingle of the whole text, in blocks. A-Z become lower case; words are runs
+    without ASCII white space; fewer words than `width` make one shingle; no word makes none."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return
     whole = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(whole, SEED)
+        yield np.array([digest(whole, SEED)], np.uint64)
+        return
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
     starts = np.concatenate(([0], ends[:-1]))
     n = len(words) - width + 1
-    digest = xxhash.xxh64_intdigest
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 15):
         s, e = starts[at : min(n, at + (1 << 15))].tolist(), (ends[at + width - 1 : min(n, at + (1 << 15)) + width - 1] - 1).tolist()
-        h = np.fromiter((digest(whole[i:j], SEED) for i, j in zip(s, e)), np.uint64, len(s))
+        yield np.fromiter((digest(whole[i:j], SEED) for i, j in zip(s, e)), np.uint64, len(s))
+
+
+def majority(blocks: Iterator[np.ndarray] | list[np.ndarray]) -> int:
+    """Unsigned 64-bit SimHash: a bit is 1 if set in over half the hashes; without hashes 0."""
+    ones, n = np.zeros(64, np.int64), 0
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str, width: int) -> int:
+    return majority(shingle_hashes(text, width))
+
+
+def view_fingerprints(blocks: list[np.ndarray], views: int) -> list[int]:
+    """SimHash of the VIEW_SHINGLES shingles that come first in each of several orders of all shingles."""
+    orders = np.random.default_rng(SEED).integers(1, 1 << 63, views, dtype=np.uint64) | np.uint64(1)
+    out = []
+    for factor in orders:
+        some = np.zeros(0, np.uint64)
+        for h in blocks:
+            h = h * factor
+            h = np.partition(h, VIEW_SHINGLES)[:VIEW_SHINGLES] if len(h) > VIEW_SHINGLES else h
+            some = np.unique(np.concatenate((some, h)))[:VIEW_SHINGLES]
+        out.append(majority([some]))
+    return out
+
+
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long. A null text counts as empty."""
 
@@ -156,6 +183,19 @@ class _Groups:
         return self.label
 
 
+def spread_links(points: np.ndarray, at: np.ndarray, radius: int, groups: _Groups) -> None:
+    """Links each reached point to what it newly reaches: a dense ball is done after a few points."""
+    rest = np.arange(len(points))
+    while len(rest):
+        edge, rest = rest[:1], rest[1:]
+        while len(edge) and len(rest):
+            some, edge = edge[:64], edge[64:]
+            near = np.bitwise_count(points[some][:, None] ^ points[rest][None, :]) <= radius
+            hit = near.any(axis=0)
+            groups.add(at[some[near[:, hit].argmax(axis=0)]], at[rest[hit]])
+            edge, rest = np.concatenate((edge, rest[hit])), rest[~hit]
+
+
 def link_groups(fps: np.ndarray, radius: int) -> np.ndarray:
     """For distinct fingerprints, the index of the first member of each one's linked group."""
     groups = _Groups(len(fps))
@@ -176,7 +216,9 @@ def link_groups(fps: np.ndarray, radius: int) -> np.ndarray:
             _, mu, d = best
             todo.append(at[d <= mu])
             todo.append(at[d > mu - radius])
-        elif len(at) <= DENSE or radius > 2:
+        elif radius > 2 and len(at) > DENSE:
+            spread_links(points, at, radius, groups)
+        elif len(at) <= DENSE:
             for k in range(0, len(at), 256):
                 i, j = np.nonzero(np.bitwise_count(points[k : k + 256, None] ^ points[None, :]) <= radius)
                 keep = i + k < j
@@ -193,6 +235,36 @@ def link_groups(fps: np.ndarray, radius: int) -> np.ndarray:
     return groups.fold()
 
 
+def _shard_links(dealt: DataFrame, radius: int) -> DataFrame:
+    """(a, b): a star for each linked group of a shard, from (shard, fp, rep) partitioned by shard."""
+    kind = dealt.schema["rep"].dataType.simpleString()
+    names = ["shard", "fp", "rep"]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = [pa.RecordBatch.from_arrays(b.columns, names) for b in batches]
+        if not have:
+            return
+        whole = pa.Table.from_batches(have)
+        shards, fps = whole["shard"].to_numpy(), whole["fp"].to_numpy().view(np.uint64)
+        order = np.lexsort((fps, shards))
+        fresh = np.concatenate(([True], shards[order][1:] != shards[order][:-1]))
+        first = np.flatnonzero(fresh)
+        sizes = np.diff(np.concatenate((first, [len(order)])))
+        two = first[sizes == 2]
+        near = np.bitwise_count(fps[order[two]] ^ fps[order[two + 1]]) <= radius
+        pairs = [(order[two[near] + 1], order[two[near]])]
+        for k, n in zip(first[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
+            at = order[k : k + n]
+            head = link_groups(fps[at], radius)
+            linked = np.flatnonzero(head != np.arange(n))
+            pairs.append((at[linked], at[head[linked]]))
+        a, b = (np.concatenate(x) for x in zip(*pairs))
+        for k in range(0, len(a), 1 << 16):
+            yield pa.RecordBatch.from_arrays([whole["rep"].take(pa.array(x[k : k + (1 << 16)])).combine_chunks() for x in (a, b)], ["a", "b"])
+
+    return dealt.mapInArrow(link, f"a {kind}, b {kind}")
+
+
 def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) for each distinct fp of (doc_id, fp): the smallest doc_id among all fingerprints that links reach."""
     spark = prints.sparkSession
@@ -207,20 +279,10 @@ def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(take), batch.column(1).take(take)], ["shard", "fp", "rep"])
 
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, ["shard", "fp", "rep"]) for b in batches] or [pa.RecordBatch.from_pydict({"shard": pa.array([], pa.int32()), "fp": pa.array([], pa.int64()), "rep": pa.array([], pa.int64())})])
-        shards, fps = whole["shard"].to_numpy(), whole["fp"].to_numpy().view(np.uint64)
-        order = np.lexsort((fps, shards))
-        for at in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1):
-            first = link_groups(fps[at], radius)
-            linked = np.flatnonzero(first != np.arange(len(at)))
-            if len(linked):
-                yield pa.RecordBatch.from_arrays([whole["rep"].take(pa.array(at[linked])).combine_chunks(), whole["rep"].take(pa.array(at[first[linked]])).combine_chunks()], ["a", "b"])
-
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     dealt = distinct.where("rep is not null").mapInArrow(deal, f"shard int, fp long, rep {kind}")
     parts = max(1, sum(c < 0 for n in nodes for c in n[2:]))
-    links = dealt.repartition(parts, "shard").mapInArrow(link, f"a {kind}, b {kind}")
+    links = _shard_links(dealt.repartition(parts, "shard"), radius)
     roots = components(links)
     return distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
 
@@ -237,9 +299,40 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return prints.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 6) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; all columns kept. Rows without doc_id stay."""
-    found = near_duplicates(docs, width, radius)
+def similar_documents(docs: DataFrame, width: int = 5, radius: int = 12, views: int = VIEWS) -> DataFrame:
+    """(doc_id, component_id) as near_duplicates has it, for a radius at which triangle bounds prune nothing.
+
+    Shingles in common at a rate s put two texts' fingerprints about 64 * acos(2s / (1 + s)) / pi bits
+    apart: for 0.8 some nine, twelve at most for nearly all. Shards then come from views: a view's
+    fingerprint is that of three shingles, the first in an order of all shingles, so texts share it with
+    probability s ** 3 and at least one of eight views with 0.997 for 0.8. Within a shard the full
+    fingerprints are linked as everywhere; copies are gathered before.
+    """
+
+    def make(batch: pa.RecordBatch) -> dict:
+        fps, seen = [], []
+        for text in batch.column(1).to_pylist():
+            blocks = list(shingle_hashes(text, width))
+            fps.append(majority(blocks))
+            seen.append(np.array(view_fingerprints(blocks, views), np.uint64).view(np.int64))
+        return {"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "views": pa.array(seen, pa.list_(pa.int64()))}
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    prints = stored(over_batches(docs.select("doc_id", text_of(docs).alias("text")), make, f"doc_id {kind}, fp long, views array<long>"), "view-prints")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
+    shards = prints.select("fp", F.posexplode("views").alias("view", "v")).select("fp", F.xxhash64("view", "v").alias("shard")).distinct()
+    often = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
+    dealt = shards.join(often, "shard").join(distinct, "fp").select("shard", "fp", "rep")
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    roots = components(_shard_links(dealt.repartition("shard"), radius))
+    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return prints.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 12) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its group; all columns kept. Rows without doc_id
+    stay; of repeated rows all stay or go."""
+    found = similar_documents(docs, width, radius)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
