@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ledgerlake.plans import catalog_plans, change_plans, gate_plans, query_plans, recipe_plans, register_plans  # noqa: F401
+from ledgerlake.plans.registry import ORACLE, QUERIES
+
 ENTRY = "query_orders"
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ENTRY", "ORACLE", "QUERIES"]
