@@ -74,10 +74,17 @@ def fit(texts: list[str], langs: list[str], per: int = CENTROIDS, slack: float =
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Centroids:
-    """Centroids from at most `per_language` texts of each language, chosen by a hash of doc_id among the learnable rows."""
-    rows = docs.select("doc_id", text_of(docs).alias("text"), F.col("lang").cast("string").alias("lang")).where(learnable & F.col("lang").isNotNull())
+    """Centroids from at most `per_language` texts of each language, chosen by a hash of doc_id among the learnable rows.
+
+    A language's rows are thinned by the hash to a little more than that before they are ranked, so no
+    task gets the texts of a frequent language. The counts broadcast for it are as many as the model's languages.
+    """
+    rows = docs.where(learnable & F.col("lang").isNotNull()).select("doc_id", text_of(docs).alias("text"), F.col("lang").cast("string").alias("lang"))
+    sizes = rows.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n"))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    rows = rows.join(F.broadcast(sizes), F.col("lang") == F.col("__lang")).where(place * F.col("__n") < 3 * per_language * (1 << 30))
     rows = rows.where((F.length("text") <= TRAIN_CHARS) & F.col("text").rlike(r"\p{L}"))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
     some = rows.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     got = some.orderBy("lang", "n").collect()
     return fit([r["text"] for r in got], [r["lang"] for r in got])
