@@ -72,3 +72,26 @@ def bounded_sample(df: DataFrame, key: Column, rows: int) -> DataFrame:
     place = F.pmod(F.xxhash64(key), F.lit(1 << 30))
     thin = df if n <= 3 * rows else df.where(place < -(-3 * rows * (1 << 30) // n))
     return thin.orderBy(place, key).limit(rows)
+
+
+def spread_join(rows: DataFrame, known: DataFrame, keys: list[str], by: Column, how: str = "inner", sizes: DataFrame | None = None, share: int = 1000) -> DataFrame:
+    """rows joined with known by keys, of which known has each at most once; keys are never null.
+
+    A key that more than one in `share` rows has, of which there are fewer than `share`, is dealt over
+    as many salts as it has such shares, by a hash of `by` (columns of rows), and its row of known is repeated for each. So no task gets
+    all rows of a hot key, and what is broadcast, the hot keys, is bounded. sizes (keys, n) may be given
+    if the rows of each key have been counted already.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n")) if sizes is None else sizes.select(*keys, "n")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    hot = sizes.where(F.col("n") * share > total).where("n > 100").select(*(F.col(k).alias(f"__{k}") for k in keys), F.ceil(F.col("n") * share / max(total, 1)).cast("int").alias("__salts"))
+    hot = F.broadcast(stored(hot, "hot-keys"))
+
+    def salted(df: DataFrame, salt: Column) -> DataFrame:
+        met = df.join(hot, [F.col(k) == F.col(f"__{k}") for k in keys], "left")
+        return met.withColumn("__salt", salt).drop("__salts", *(f"__{k}" for k in keys))
+
+    salts = F.coalesce("__salts", F.lit(1))
+    left = salted(rows, F.pmod(F.xxhash64(by), salts).cast("int"))
+    right = salted(known, F.explode(F.sequence(F.lit(0), salts - 1)))
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded_sample, shared_folder, stored, table
+from ledgerlake.llm.common import bounded_sample, shared_folder, spread_join, stored, table
 
 DICT_MAGIC = bytes.fromhex("5d2a4d18")  # skippable frame 0x184D2A5D, little-endian
 GAP_MAGIC = bytes.fromhex("502a4d18")  # skippable frame 0x184D2A50
@@ -112,8 +112,8 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     Payloads are equal if their SHA-1 digests and lengths are. Repeated rows of that page_id are responses too."""
     html = F.coalesce(pages["html"].cast("string"), F.lit("")).cast("binary")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("sha1"), F.octet_length(html).alias("size"))
-    first = rows.groupBy("sha1", "size").agg(F.min("page_id").alias("first"))
-    joined = rows.join(first, ["sha1", "size"])
+    first = stored(rows.groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")), "payloads")
+    joined = spread_join(rows, first.drop("n"), ["sha1", "size"], F.col("page_id"), sizes=first)
     return joined.select("page_id", "url", "payload", "sha1", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 

@@ -423,3 +423,16 @@ def test_pipeline(spark, sf):
         assert name == "bpe" or df.columns == columns
         assert df.join(before, "doc_id", "left_anti").isEmpty() and df.count() > 0.7 * before.count()
     assert rows(df) == rows(pipeline.run(spark, sf))
+
+
+# -- joins on hot keys
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_spread_join_is_the_plain_join(spark, how):
+    made = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 700).cast("int").alias("k"), F.lit("a").alias("m"))
+    known = spark.range(600).select(F.col("id").cast("int").alias("k"), F.lit("a").alias("m"), (F.col("id") * 2).alias("v"))
+    got = common.spread_join(made, known, ["k", "m"], F.col("id"), how)
+    expected = made.join(known, ["k", "m"], how)
+    assert got.columns == expected.columns and rows(got) == rows(expected)
+    assert common.spread_join(made.where("false"), known, ["k", "m"], F.col("id"), how).count() == 0
