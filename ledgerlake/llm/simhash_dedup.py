@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded_sample, over_batches, stored, table, text_of
+from ledgerlake.llm.common import bounded_sample, over_batches, spread_join, stored, table, text_of
 from ledgerlake.llm.graph import components
 
 SEED = 42
@@ -296,7 +296,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     """
     prints = stored(with_fingerprints(docs, width), "prints")
     roots = fingerprint_components(prints, radius)
-    return prints.join(roots, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return spread_join(prints, roots, ["fp"], F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def similar_documents(docs: DataFrame, width: int = 5, radius: int = 12, views: int = VIEWS) -> DataFrame:
