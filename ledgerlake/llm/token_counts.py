@@ -16,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import over_batches, shared_folder, table, text_of
+from ledgerlake.llm.common import over_batches, shared_folder, spread_join, stored, table, text_of
 
 MODEL = "byte_bpe_50k.json"
 LIMIT = 512
@@ -97,8 +97,9 @@ def token_counts(docs: DataFrame, path: str, cache: str, limit: int = LIMIT) ->
     add_missing(docs, path, cache)
     text = text_of(docs)
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("digest"))
+    rows = stored(rows, "digests")
     known = read_cache(docs.sparkSession, cache).where(F.col("tokenizer") == version(path)).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    return rows.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return spread_join(rows, known, ["digest"], F.col("doc_id")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
