@@ -74,12 +74,15 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 
 
 def add_missing(docs: DataFrame, path: str, cache: str) -> None:
-    """Encodes the distinct contents of docs (text) that the cache lacks, and appends their counts."""
+    """Encodes the distinct contents of docs (text) that the cache lacks, and appends their counts.
+
+    Copies are gathered within each task before anything moves, so a content that very many rows have
+    reaches its task once from each of the others. The join with the cache keeps that partitioning."""
     spark, key = docs.sparkSession, version(path)
     text = text_of(docs)
     keyed = docs.select(F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text"))
     known = read_cache(spark, cache).where(F.col("tokenizer") == key).select("digest").distinct()
-    missing = keyed.join(known, "digest", "left_anti").dropDuplicates(["digest"])
+    missing = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left_anti")
 
     def make(batch: pa.RecordBatch) -> dict:
         return {"tokenizer": [key] * batch.num_rows, "digest": batch.column(0), "n_tokens": pa.array(count_texts(path, batch.column(1).to_pylist()), pa.int64())}
