@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import over_batches, stored, table, text_of
+from ledgerlake.llm.common import over_batches, spread_join, stored, table, text_of
 from ledgerlake.llm.suffix_array import repeated_starts
 
 LENGTH = 400
@@ -30,6 +30,7 @@ SLICE = 1 << 18  # starts of a long text that are looked at together
 GROUP = 1 << 15  # bytes of short texts that are looked at together
 BLOCK = 1 << 20  # bytes of contexts that a suffix array holds, unless one gram has more
 HOT = 1 << 23  # bytes of contexts from which on a gram is dealt out to several blocks
+BROADCAST_ROWS = 1_000_000  # grams that are dealt out are broadcast up to so many (of 12 bytes each)
 PLACE = 10  # low bits of a gram's key that hold its place
 FACTORS = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -242,16 +243,19 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[Data
     prints = stored(_prints(rows, length), "suffix-prints")
     copies = prints.groupBy("d").agg(F.count("*").alias("weight"), F.min("doc_id").alias("rep"))
     marks = prints.select("d", F.explode("marks").alias("mark"))
-    often = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    by_text = marks.distinct().join(often, "mark", "left_semi").groupBy("d").agg(F.collect_list("mark").alias("marks"))
+    often = stored(marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1"), "suffix-marks")
+    shared = spread_join(marks.distinct(), often.select("mark"), ["mark"], F.col("d"), "left_semi", sizes=often)
+    by_text = shared.groupBy("d").agg(F.collect_list("mark").alias("marks"))
     wanted = by_text.join(copies, "d").withColumnRenamed("d", "wd")
     digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
     texts = rows.withColumn("d", digest)
     candidates = stored(texts.join(wanted, (texts["d"] == wanted["wd"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("d", "weight", "text", "marks"), "suffix-texts")
     runs = stored(_runs(candidates, length), "suffix-runs")
     contexts = stored(runs.groupBy("context_id").agg(F.first("gram").alias("gram"), F.sum("weight").alias("weight"), F.first("context").alias("context")), "suffix-contexts")
-    grams = contexts.groupBy("gram").agg(F.count("*").alias("n"), F.sum(F.octet_length("context")).alias("bytes"))
-    sized = contexts.join(grams, "gram").withColumn("blocks", F.when(F.col("bytes") > hot, F.ceil(F.col("bytes") / hot)).otherwise(F.lit(1)).cast("int"))
+    grams = contexts.groupBy("gram").agg(F.sum(F.octet_length("context")).alias("bytes")).where(F.col("bytes") > hot)
+    large = stored(grams.select("gram", F.ceil(F.col("bytes") / hot).cast("int").alias("blocks")), "suffix-grams")
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    sized = contexts.join(large, "gram", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     sized = sized.withColumn("salt", F.pmod(F.xxhash64("context_id"), F.col("blocks")).cast("int"))
     dealt = sized.repartition("gram", "salt").sortWithinPartitions("gram", "salt").select("gram", "salt", "blocks", "context_id", "weight", "context")
     judged = stored(_judged(dealt, length), "suffix-judged")
@@ -260,7 +264,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[Data
     again = pieces.groupBy("digest").agg(F.sum("weight").alias("n")).where("n > 1").select("digest")
     starts = pieces.join(again, "digest").groupBy("context_id").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + 1))).alias("spans"))
     found = one_block.unionByName(starts)
-    placed = runs.select("d", "start", "context_id").join(found, "context_id").groupBy("d").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
+    placed = spread_join(runs.select("d", "start", "context_id"), found, ["context_id"], F.col("d")).groupBy("d").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
     each = candidates.select("d", "text").dropDuplicates(["d"])  # a repeated row has come twice
     cuts = _cut(each.join(placed, "d"), length)
     return prints.drop("marks"), cuts
@@ -292,13 +296,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, spans, kept_sha256), one row per row of docs; see repeats() for each case."""
     prints, cuts = repeats(docs, length)
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
-    return prints.join(cuts.drop("kept"), "d", "left").select("doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
+    return spread_join(prints, cuts.drop("kept"), ["d"], F.col("doc_id"), "left").select("doc_id", "n_bytes", F.coalesce("spans", none).alias("spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with repeated strings cut out of text; all rows and columns stay. A character that a cut goes
     through is dropped. A long n_chars is brought up to date where text has changed."""
-    _, cuts = repeats(docs, length)
+    prints, cuts = repeats(docs, length)
+    copies = prints.groupBy(F.col("d").alias("__own")).agg(F.count("*").alias("n"))
     cuts = stored(cuts.select(F.col("d").alias("__d"), F.col("kept").alias("__kept")), "suffix-cuts")
 
     def whole(batch: pa.RecordBatch) -> dict:
@@ -306,8 +311,9 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     cuts = over_batches(cuts, whole, "__d binary, __kept string")
     digest = F.unhex(F.substring(F.sha2(text_of(docs).cast("binary"), 256), 1, 32))
-    joined = docs.withColumn("__own", digest).join(cuts, F.col("__own") == F.col("__d"), "left")
-    changed = F.col("__d").isNotNull()
+    cuts = cuts.withColumnRenamed("__d", "__own")
+    joined = spread_join(docs.withColumn("__own", digest), cuts, ["__own"], docs["doc_id"], "left", sizes=copies)
+    changed = F.col("__kept").isNotNull()
     new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
