@@ -31,6 +31,9 @@ LEAF = 128
 VIEW_SHINGLES = 3
 VIEWS = 8
 DENSE = 2048
+SIMILAR = 0.8  # Jaccard similarity of shingles from which documents are near copies
+#: Row numbers of texts to be compared are broadcast up to so many.
+BROADCAST_ROWS = 400_000
 
 
 def shingle_hashes(text: str, width: int) -> Iterator[np.ndarray]:
@@ -299,37 +302,125 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return spread_join(prints, roots, ["fp"], F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, radius: int = 12, views: int = VIEWS) -> DataFrame:
-    """(doc_id, component_id) as near_duplicates has it, for a radius at which triangle bounds prune nothing.
+def candidate_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j within the radius, of different roots, whose numbers of shingles allow SIMILAR. Without
+    all_pairs each j has two at most: the first such i and the one with the nearest fingerprint."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    step = max(1, (1 << 21) // max(1, len(fps)))
+    for k in range(0, len(fps), step):
+        j = np.arange(k, min(len(fps), k + step))
+        upto = j[-1]
+        d = np.bitwise_count(fps[j, None] ^ fps[None, :upto])
+        few, many = np.minimum(sizes[j, None], sizes[None, :upto]), np.maximum(sizes[j, None], sizes[None, :upto])
+        near = (d <= radius) & (np.arange(upto)[None, :] < j[:, None]) & (few >= SIMILAR * many) & (roots[j, None] != roots[None, :upto])
+        if all_pairs:
+            at, i = np.nonzero(near)
+            out.append((i, j[at]))
+        elif upto:
+            at = np.flatnonzero(near.any(axis=1))
+            hub, nearest = near[at].argmax(axis=1), np.where(near[at], d[at], 65).argmin(axis=1)
+            out += [(hub, j[at]), (nearest[nearest != hub], j[at[nearest != hub]])]
+    i, j = (np.concatenate(x) for x in zip(*out))
+    return i, j
+
+
+def _candidates(dealt: DataFrame, radius: int, all_pairs: bool) -> DataFrame:
+    """(a, b): different pairs of candidate_pairs in each shard, from (shard, fp, n, rep, root)."""
+    names = ["shard", "fp", "n", "rep", "root"]
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have = [pa.RecordBatch.from_arrays(b.columns, names) for b in batches]
+        if not have:
+            return
+        whole = pa.Table.from_batches(have)
+        shards, fps, sizes, reps, roots = (whole[c].to_numpy() for c in names)
+        order = np.lexsort((reps, shards))
+        first = np.flatnonzero(np.concatenate(([True], shards[order][1:] != shards[order][:-1])))
+        for k, n in zip(first.tolist(), np.diff(np.concatenate((first, [len(order)]))).tolist()):
+            at = order[k : k + n]
+            i, j = candidate_pairs(fps[at].view(np.uint64), sizes[at], roots[at], radius, all_pairs) if n > 1 else ((), ())
+            for c in range(0, len(i), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(reps[at[x[c : c + (1 << 16)]]]) for x in (i, j)], ["a", "b"])
+
+    dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    return dealt.select(*names).repartition("shard").mapInArrow(pair, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of row numbers whose texts have SIMILAR of their different shingles in common; texts are (row, text)."""
+
+    def make(batch: pa.RecordBatch) -> dict:
+        sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)])).view(np.int64) for t in batch.column(1).to_pylist()]
+        return {"row": batch.column(0), "shingles": pa.array(sets, pa.list_(pa.int64()))}
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
+    sets = stored(over_batches(texts.join(ends, "row", "left_semi").select("row", "text"), make, "row long, shingles array<long>"), "shingle-sets")
+    left = spread_join(pairs, sets.withColumnsRenamed({"row": "b", "shingles": "sb"}), ["b"], F.col("a"))
+    both = spread_join(left, sets.withColumnsRenamed({"row": "a", "shingles": "sa"}), ["a"], F.col("b"), sizes=pairs.groupBy("a").agg(F.count("*").alias("n")))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.select("a", "b", shared.alias("s"), (F.size("sa") + F.size("sb")).alias("n")).where(F.col("s") >= SIMILAR * (F.col("n") - F.col("s"))).select("a", "b")
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a row number, written so that the number stays with its row."""
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
 
-    Shingles in common at a rate s put two texts' fingerprints about 64 * acos(2s / (1 + s)) / pi bits
-    apart: for 0.8 some nine, twelve at most for nearly all. Shards then come from views: a view's
-    fingerprint is that of three shingles, the first in an order of all shingles, so texts share it with
-    probability s ** 3 and at least one of eight views with 0.997 for 0.8. Within a shard the full
-    fingerprints are linked as everywhere; copies are gathered before.
-    """
+
+def _similar_rows(numbered: DataFrame, width: int, radius: int, views: int) -> DataFrame:
+    """(row, doc_id, component): one row per row; component is the smallest row number of its group."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        fps, seen = [], []
-        for text in batch.column(1).to_pylist():
+        fps, seen, sizes, keys = [], [], [], []
+        for text in batch.column(2).to_pylist():
             blocks = list(shingle_hashes(text, width))
             fps.append(majority(blocks))
             seen.append(np.array(view_fingerprints(blocks, views), np.uint64).view(np.int64))
-        return {"doc_id": batch.column(0), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "views": pa.array(seen, pa.list_(pa.int64()))}
+            sizes.append(len(np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))))
+            keys.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())))
+        return {"row": batch.column(0), "doc_id": batch.column(1), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "views": pa.array(seen, pa.list_(pa.int64())), "n": pa.array(sizes, pa.int32()), "key": pa.array(keys, pa.binary())}
+
+    kind = numbered.schema["doc_id"].dataType.simpleString()
+    texts = numbered.select(F.col("__row").alias("row"), "doc_id", text_of(numbered).alias("text"))
+    prints = stored(over_batches(texts, make, f"row long, doc_id {kind}, fp long, views array<long>, n int, key binary"), "view-prints")
+    classes = stored(prints.groupBy("key").agg(F.min("row").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("views").alias("views")), "text-classes")
+    shards = classes.where("n > 0").select("rep", "fp", "n", F.posexplode("views").alias("view", "v")).select("rep", "fp", "n", F.xxhash64("view", "v").alias("shard")).distinct()
+    counts = stored(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "view-shards")
+    dealt = stored(spread_join(shards, counts.select("shard"), ["shard"], F.col("rep"), sizes=counts), "dealt")
+    links, roots = None, None
+    for all_pairs in (False, False, True):
+        named = dealt.withColumn("root", F.col("rep"))
+        if roots is not None:
+            named = dealt.join(roots, dealt["rep"] == roots["node"], "left").select(*dealt.columns, F.coalesce("root", "rep").alias("root"))
+        pairs = stored(_candidates(named, radius, all_pairs), "candidates")
+        if pairs.isEmpty():
+            break
+        found = stored(_verified(pairs, texts, width), "similar")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+    named = classes.select("key", F.col("rep").alias("component"))
+    if roots is not None:
+        named = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("component"))
+    return spread_join(prints.select("row", "doc_id", "key"), named, ["key"], F.col("row")).select("row", "doc_id", "component")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, views: int = VIEWS) -> DataFrame:
+    """(doc_id, component_id), one row per row of docs: groups of texts linked by a Jaccard similarity of at
+    least SIMILAR of their different word shingles; component_id is the smallest doc_id of the group.
+
+    Shingles in common at a similarity of s put two fingerprints about 64 * acos(2s / (1 + s)) / pi bits
+    apart: for 0.8 some ten, and within 20 for all but some 0.02 %. Triangle bounds prune nothing there, so
+    candidates are looked for in shards of views: a view's fingerprint is that of three shingles, the first
+    in an order of all shingles, so texts share it with probability s ** 3 and at least one of eight views
+    with 0.997 for 0.8. Every link is then compared exactly. Equal texts are gathered before. Two rounds of
+    few candidates a text link most of a group; the last compares every candidate pair that is still apart.
+    """
+    found = _similar_rows(_numbered(docs), width, radius, views)
+    least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return spread_join(found, least, ["component"], F.col("row")).select("doc_id", "component_id")
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    prints = stored(over_batches(docs.select("doc_id", text_of(docs).alias("text")), make, f"doc_id {kind}, fp long, views array<long>"), "view-prints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
-    shards = prints.select("fp", F.posexplode("views").alias("view", "v")).select("fp", F.xxhash64("view", "v").alias("shard")).distinct()
-    often = shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1").select("shard")
-    dealt = shards.join(often, "shard").join(distinct, "fp").select("shard", "fp", "rep")
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    roots = components(_shard_links(dealt.repartition("shard"), radius))
-    named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return prints.select("doc_id", "fp").join(named, "fp", "left").select("doc_id", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 12) -> DataFrame:
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 20) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its group; all columns kept. Rows without doc_id
     stay; of repeated rows all stay or go."""
     found = similar_documents(docs, width, radius)

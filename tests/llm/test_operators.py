@@ -191,6 +191,43 @@ def test_near_copies_are_dropped_and_others_kept(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_are_those_of_four_fifths(spark):
+    """Planted pairs at similarities around 0.8: links are those of 0.8 and more, and no pair below is linked."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(9))
+    texts, expected = [], {}
+    for k in range(240):
+        aim = (0.65, 0.75, 0.8, 0.85)[k % 4]
+        w = [word() for _ in range(300)]
+        other = [*w]
+        at = len(w)
+        while jaccard(" ".join(w), " ".join([*w[:at], *other[at:]])) > aim + 0.01:
+            at -= 1
+            other[at] = word()
+        pair = " ".join(w), " ".join([*w[:at], *other[at:]])
+        texts += [(2 * k, pair[0]), (2 * k + 1, pair[1])]
+        expected[k] = jaccard(*pair)
+    got = {r["doc_id"]: r["component_id"] for r in simhash_dedup.similar_documents(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    linked = {k for k in expected if got[2 * k + 1] == got[2 * k]}
+    due = {k for k, s in expected.items() if s >= 0.8}
+    assert 100 < len(due) < 140 and linked <= due and len(due - linked) <= 2
+
+
+def test_candidates_of_the_last_round_are_all(spark):
+    fps = near_prints(300, 9, 7)
+    sizes, roots = np.arange(len(fps)) % 5 + 20, np.arange(len(fps)) % 7
+    fit = lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= 20 and roots[i] != roots[j] and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])
+    due = {(i, j) for j in range(len(fps)) for i in range(j) if fit(i, j)}
+    assert set(zip(*(x.tolist() for x in simhash_dedup.candidate_pairs(fps, sizes, roots, 20, True)))) == due
+    few = set(zip(*(x.tolist() for x in simhash_dedup.candidate_pairs(fps, sizes, roots, 20, False))))
+    assert few <= due and {j for _, j in few} == {j for _, j in due}
+
+
 def test_near_duplicates_edges(spark, docs):
     found = {(r["doc_id"], r["fingerprint"], r["component_id"]) for r in simhash_dedup.near_duplicates(edge(spark)).collect()}
     by = {d: (f, c) for d, f, c in found}
