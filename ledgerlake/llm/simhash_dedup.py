@@ -421,11 +421,14 @@ def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, views:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 20) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its group; all columns kept. Rows without doc_id
-    stay; of repeated rows all stay or go."""
-    found = similar_documents(docs, width, radius)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """One row of each group of near copies, with all columns: that of the smallest doc_id, nulls last, and
+    of those that share it the first by row number. Repeated rows and rows without doc_id are grouped like any other."""
+    numbered = _numbered(docs)
+    found = stored(_similar_rows(numbered, width, radius, VIEWS), "similar-rows")
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select("best.row")
+    gone = stored(found.join(kept, "row", "left_anti").select(F.col("row").alias("__gone")), "near-copies")
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    return numbered.join(gone, numbered["__row"] == gone["__gone"], "left_anti").select(*(f"`{c}`" for c in docs.columns))
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,6 +218,15 @@ def test_near_copies_are_those_of_four_fifths(spark):
     assert 100 < len(due) < 140 and linked <= due and len(due - linked) <= 2
 
 
+def test_one_full_text_of_repeated_and_unnumbered_rows_stays(spark):
+    rnd = random.Random(13)
+    a, b, c, d = (" ".join("".join(rnd.choice("abcdefghij") for _ in range(8)) for _ in range(60)) for _ in range(4))
+    given = spark.createDataFrame([(7, a), (7, a), (None, b), (None, b), (9, c), (None, c), (None, c), (3, d)], "doc_id long, text string").repartition(3)
+    once = simhash_dedup.drop_near_duplicates(given)
+    assert rows(once) == sorted([(7, a), (None, b), (9, c), (3, d)], key=str)
+    assert rows(suffix_dedup.without_repeats(once, 200)) == rows(once)
+
+
 def test_candidates_of_the_last_round_are_all(spark):
     fps = near_prints(300, 9, 7)
     sizes, roots = np.arange(len(fps)) % 5 + 20, np.arange(len(fps)) % 7
