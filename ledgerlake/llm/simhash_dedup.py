@@ -31,6 +31,7 @@ LEAF = 128
 VIEW_SHINGLES = 3
 VIEWS = 8
 DENSE = 2048
+BLOCK = 1024  # rows of a view's shard that are one part
 SIMILAR = 0.8  # Jaccard similarity of shingles from which documents are near copies
 #: Row numbers of texts to be compared are broadcast up to so many.
 BROADCAST_ROWS = 400_000
@@ -302,10 +303,12 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return spread_join(prints, roots, ["fp"], F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def candidate_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+def candidate_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, all_pairs: bool, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j within the radius, of different roots, whose numbers of shingles allow SIMILAR. Without
-    all_pairs each j has two at most: the first such i and the one with the nearest fingerprint."""
+    all_pairs each j has two at most: the first such i and the one with the nearest fingerprint. Of two parts, only
+    pairs across are met."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    across = parts is not None and len(parts) > 0 and parts.min() != parts.max()
     step = max(1, (1 << 21) // max(1, len(fps)))
     for k in range(0, len(fps), step):
         j = np.arange(k, min(len(fps), k + step))
@@ -313,6 +316,8 @@ def candidate_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radiu
         d = np.bitwise_count(fps[j, None] ^ fps[None, :upto])
         few, many = np.minimum(sizes[j, None], sizes[None, :upto]), np.maximum(sizes[j, None], sizes[None, :upto])
         near = (d <= radius) & (np.arange(upto)[None, :] < j[:, None]) & (few >= SIMILAR * many) & (roots[j, None] != roots[None, :upto])
+        if across:
+            near &= parts[j, None] != parts[None, :upto]
         if all_pairs:
             at, i = np.nonzero(near)
             out.append((i, j[at]))
@@ -324,21 +329,30 @@ def candidate_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radiu
     return i, j
 
 
+def in_blocks(sized: DataFrame) -> DataFrame:
+    """Rows of (shard, rep, parts, ...) in blocks: a shard of several parts has a block for each two of them and
+    for each alone, so every pair of rows meets and a block has about 2 * BLOCK rows at most. part is the row's own."""
+    own = sized.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = own.withColumn("__q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    block = F.when(F.col("parts") > 1, F.xxhash64("shard", F.least("part", "__q"), F.greatest("part", "__q"))).otherwise(F.col("shard"))
+    return met.withColumn("shard", block).drop("__q", "parts")
+
+
 def _candidates(dealt: DataFrame, radius: int, all_pairs: bool) -> DataFrame:
-    """(a, b): different pairs of candidate_pairs in each shard, from (shard, fp, n, rep, root)."""
-    names = ["shard", "fp", "n", "rep", "root"]
+    """(a, b): different pairs of candidate_pairs in each block, from (shard, part, fp, n, rep, root); a block is a shard here."""
+    names = ["shard", "part", "fp", "n", "rep", "root"]
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = [pa.RecordBatch.from_arrays(b.columns, names) for b in batches]
         if not have:
             return
         whole = pa.Table.from_batches(have)
-        shards, fps, sizes, reps, roots = (whole[c].to_numpy() for c in names)
+        shards, parts, fps, sizes, reps, roots = (whole[c].to_numpy() for c in names)
         order = np.lexsort((reps, shards))
         first = np.flatnonzero(np.concatenate(([True], shards[order][1:] != shards[order][:-1])))
         for k, n in zip(first.tolist(), np.diff(np.concatenate((first, [len(order)]))).tolist()):
             at = order[k : k + n]
-            i, j = candidate_pairs(fps[at].view(np.uint64), sizes[at], roots[at], radius, all_pairs) if n > 1 else ((), ())
+            i, j = candidate_pairs(fps[at].view(np.uint64), sizes[at], roots[at], radius, all_pairs, parts[at]) if n > 1 else ((), ())
             for c in range(0, len(i), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(reps[at[x[c : c + (1 << 16)]]]) for x in (i, j)], ["a", "b"])
 
@@ -386,7 +400,8 @@ def _similar_rows(numbered: DataFrame, width: int, radius: int, views: int) -> D
     classes = stored(prints.groupBy("key").agg(F.min("row").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("views").alias("views")), "text-classes")
     shards = classes.where("n > 0").select("rep", "fp", "n", F.posexplode("views").alias("view", "v")).select("rep", "fp", "n", F.xxhash64("view", "v").alias("shard")).distinct()
     counts = stored(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "view-shards")
-    dealt = stored(spread_join(shards, counts.select("shard"), ["shard"], F.col("rep"), sizes=counts), "dealt")
+    sized = spread_join(shards, counts.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), ["shard"], F.col("rep"), sizes=counts)
+    dealt = stored(in_blocks(sized), "dealt")
     links, roots = None, None
     for all_pairs in (False, False, True):
         named = dealt.withColumn("root", F.col("rep"))

@@ -227,6 +227,17 @@ def test_one_full_text_of_repeated_and_unnumbered_rows_stays(spark):
     assert rows(suffix_dedup.without_repeats(once, 200)) == rows(once)
 
 
+def test_a_shard_in_blocks_is_bounded_and_keeps_every_pair(spark):
+    fps = near_prints(240, 21, 7).view(np.int64).tolist()
+    rows_of = [(1, 20, k, k, x, 8) for k, x in enumerate(fps)] + [(2, 20, 1000 + k, 1000 + k, x, 1) for k, x in enumerate(fps[:20])]
+    sized = spark.createDataFrame(rows_of, "shard long, n int, rep long, root long, fp long, parts int")
+    whole = sized.withColumn("part", F.lit(0)).drop("parts")
+    blocks = simhash_dedup.in_blocks(sized)
+    assert max(r["count"] for r in blocks.groupBy("shard").count().collect()) < 110
+    due = rows(simhash_dedup._candidates(whole, 20, True))
+    assert len(due) > 200 and rows(simhash_dedup._candidates(blocks, 20, True)) == due
+
+
 def test_candidates_of_the_last_round_are_all(spark):
     fps = near_prints(300, 9, 7)
     sizes, roots = np.arange(len(fps)) % 5 + 20, np.arange(len(fps)) % 7
