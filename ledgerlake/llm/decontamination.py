@@ -1,9 +1,10 @@
 """Benchmark decontamination by SimHash fingerprints of item-sized windows, with DataFrame functions alone.
 
 Words are runs of letters and digits in lower case; shingles are five words, repeats included (a text
-of fewer words is one shingle). A window has as many words as a benchmark item and stands where a
-shingle of the item lines up with the same shingle of the document: a window without a shingle in
-common with an item has a similarity of zero, so none that could count is passed over.
+of fewer words is one shingle). A window has as many words as a benchmark item and may start at any
+word: of all starts those are taken whose window has enough shingles that some item of that length has
+too. With fewer than `similarity` times the item's shingles in common the similarity is smaller, so none
+that could count is passed over, whatever the order of the passage.
 
 A window's fingerprint is looked up among the items' by Hamming blocks: BLOCKS blocks share 64 bits, so
 fingerprints within RADIUS differ by at most RADIUS // BLOCKS bits in one block, and the index holds
@@ -91,19 +92,32 @@ def _small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _lined_up(docs: DataFrame, known: DataFrame, most: int) -> DataFrame | None:
-    """(doc_id, words, windows) of the documents that share a shingle with an item: windows are (start, n)."""
+def _window_starts(at: Column, n: Column, width: int, similarity: float) -> Column:
+    """Starts of windows of n words with enough of the sorted places `at` where shingles of items are: so many
+    places follow each other within a window that starts from the last one's reach to the first one."""
+    need = F.ceil(F.lit(similarity) * (n - width + 1) - 1e-9).cast("int")
+    last = F.size(at) - need
+    reach = lambda i: F.get(at, i + need - 1) - n + width
+    ranges = F.filter(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(reach(i).alias("low"), F.get(at, i).alias("high"))), lambda x: x["low"] <= x["high"])
+    starts = F.array_distinct(F.flatten(F.transform(ranges, lambda x: F.sequence(x["low"], x["high"]))))
+    return F.when(last >= 0, starts).otherwise(F.expr("cast(array() as array<int>)"))
+
+
+def _lined_up(docs: DataFrame, known: DataFrame, most: int, similarity: float) -> DataFrame | None:
+    """(doc_id, words, windows) of the documents that may hold an item: windows are (start, n)."""
     rows = docs.select("doc_id", text_of(docs).alias("text")).withColumn("h", F.xxhash64("text"))
     widths = sorted(r[0] for r in known.select(F.least("n", F.lit(WIDTH))).distinct().collect())  # five numbers at most
     found = None
     for width in widths:
         mine = known.where(F.least("n", F.lit(WIDTH)) == width)
-        marks = mine.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).select("n", F.posexplode(_grams(F.col("hashes"), width))).select(F.col("col").alias("mark"), F.col("pos").alias("at"), "n").distinct()
+        marks = mine.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w))).select("n", F.explode(_grams(F.col("hashes"), width)).alias("mark")).distinct()
         marks = stored(marks, "benchmark-shingles")
         hashed = rows.withColumn("words", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
         grams = hashed.select("doc_id", "h", F.posexplode(_grams(F.col("words"), width)))
         hits = grams.join(_small(marks, most), F.col("col") == F.col("mark"))
-        got = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct((F.col("pos") - F.col("at")).alias("start"), "n")).alias("windows"))
+        placed = hits.groupBy("doc_id", "h", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+        placed = placed.select("doc_id", "h", "n", _window_starts(F.col("at"), F.col("n"), width, similarity).alias("starts")).where(F.size("starts") > 0)
+        got = placed.select("doc_id", "h", F.expr("transform(starts, s -> struct(s as start, n as n))").alias("windows"))
         found = got if found is None else found.unionByName(got)
     if found is None:
         return None
@@ -125,7 +139,7 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     result. Columns other than doc_id, item_id and text are ignored.
     """
     known, index = benchmark_index(items)
-    lined = _lined_up(docs, known, most)
+    lined = _lined_up(docs, known, most, similarity)
     kind = docs.schema["doc_id"].dataType.simpleString()
     if lined is None:
         lined = docs.sparkSession.createDataFrame([], f"doc_id {kind}, words array<string>, windows array<struct<start:int,n:int>>")

@@ -290,6 +290,17 @@ def test_contamination_against_all_windows(spark, docs, sf, most):
     assert got == pytest.approx(expected) and {(-1, 0), (-2, 0), (-3, 1), (-5, -10)} <= set(got) and (-4, 0) not in got
 
 
+def test_contamination_of_reordered_passages(spark):
+    rnd = random.Random(14)
+    words = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(n)]
+    item, twin = words(50), words(50)
+    moved = [("swapped", item[25:] + item[:25]), ("last ten first", item[40:] + item[:40]), ("sentence", item[:10] + item[18:30] + item[10:18] + item[30:]), ("half", item[:25] + words(25)), ("other", twin[20:] + item[:20])]
+    texts = [(k, " ".join(words(30) + w + words(30))) for k, (_, w) in enumerate(moved)]
+    items = [(1, " ".join(item)), (2, " ".join(twin))]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == pytest.approx(plain_contamination(texts, items)) and {(0, 1), (1, 1)} <= set(got) and got[0, 1] == pytest.approx(42 / 50)
+
+
 def test_contamination_edges(spark, docs, sf):
     items = common.table(spark, sf, "benchmark")
     assert decontamination.contamination(edge(spark), items).count() == 0
