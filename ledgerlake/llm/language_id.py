@@ -1,7 +1,8 @@
 """Language identification by the nearest of several centroids per language.
 
 A text becomes a normalised TF-IDF vector of hashed byte trigrams; the language of the centroid with
-the largest cosine is predicted, and a cosine below the language's own limit rejects the text.
+the largest cosine is predicted, and a cosine below the language's own limit for texts of that length
+rejects the text.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ DIMS = 1 << 12
 PER_LANGUAGE = 800  # training rows of a language, at most
 TRAIN_CHARS = 20_000  # longer texts aren't used for training; every text is predicted whole
 CENTROIDS = 3
+CUTS = tuple(1 << b for b in range(4, 13))  # characters to which training texts are cut for limits by length
+QUANTILE = 0.005
 #: Bytes that stand for letters keep their value, A-Z in lower case; the rest is one blank.
 LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)).lower()
 
@@ -28,7 +31,12 @@ class Centroids:
     idf: np.ndarray
     matrix: np.ndarray  # (centroids, DIMS)
     langs: list[str]  # of each centroid
-    limits: np.ndarray  # of each centroid: a smaller cosine is rejected
+    limits: np.ndarray  # (centroids, CUTS): a smaller cosine is rejected
+
+    def limit(self, best: np.ndarray, texts: list[str]) -> np.ndarray:
+        """The limit of each text's centroid, from training texts cut to no more than the text's length."""
+        cut = np.searchsorted(CUTS, [len(t) for t in texts], side="right") - 1
+        return self.limits[best, np.maximum(cut, 0)]
 
 
 def counts(text: str) -> np.ndarray:
@@ -51,8 +59,10 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def fit(texts: list[str], langs: list[str], per: int = CENTROIDS, slack: float = 0.5) -> Centroids:
-    """Spherical k-means in each language, from a fixed seed. A limit is `slack` times the smallest cosine of the language's own texts."""
+def fit(texts: list[str], langs: list[str], per: int = CENTROIDS, slack: float = 0.75) -> Centroids:
+    """Spherical k-means in each language, from a fixed seed. A limit is `slack` times the
+    QUANTILE of the cosines of the language's own texts cut to a length, or of few texts the third smallest, so
+    single odd rows don't set it; a length that under ten texts have takes the limit of the length before."""
     seen = np.zeros(DIMS, np.float64)
     for t in texts:
         seen += counts(t) > 0
@@ -66,11 +76,18 @@ def fit(texts: list[str], langs: list[str], per: int = CENTROIDS, slack: float =
             near = np.argmax(x @ c.T, axis=1)
             c = np.stack([x[near == k].sum(axis=0) if (near == k).any() else c[k] for k in range(len(c))])
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-        best = (x @ c.T).max(axis=1)
+        own, at = [t for t, k in zip(texts, langs) if k == lang], []
+        for cut in CUTS:
+            some = [t[:cut] for t in own if len(t) >= cut]
+            if len(some) >= 10 or not at:
+                best = (vectors(some or own, idf) @ c.T).max(axis=1)
+                at.append(slack * float(np.quantile(best, min(1, max(QUANTILE, 2 / len(best))))))
+            else:
+                at.append(at[-1])
         matrix.append(c)
         names += [lang] * len(c)
-        limits += [slack * float(best.min())] * len(c)
-    return Centroids(idf, np.concatenate(matrix) if matrix else np.zeros((0, DIMS), np.float32), names, np.array(limits))
+        limits += [at] * len(c)
+    return Centroids(idf, np.concatenate(matrix) if matrix else np.zeros((0, DIMS), np.float32), names, np.array(limits).reshape(-1, len(CUTS)))
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Centroids:
@@ -108,7 +125,7 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
                 cos = vectors(texts[at : at + 64], model.idf) @ model.matrix.T
                 best[at : at + 64] = cos.argmax(axis=1)
                 score[at : at + 64] = cos.max(axis=1)
-        limit = model.limits[best] if len(names) else np.ones(n)
+        limit = model.limit(best, texts) if len(names) else np.ones(n)
         return {"doc_id": batch.column(0), "lang_pred": pa.array(names[best] if len(names) else ["und"] * n, pa.string()), "score": np.clip(score, 0, 1), "rejected": score < limit, "letter": batch.column(2)}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -135,8 +152,9 @@ def keep_identified(docs: DataFrame) -> DataFrame:
             letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
             texts = batch.column(spot).to_pylist()
             for at in range(0, batch.num_rows if len(names) else 0, 64):
-                cos = vectors([t or "" for t in texts[at : at + 64]], model.idf) @ model.matrix.T
-                keep[at : at + 64] = cos.max(axis=1) >= model.limits[cos.argmax(axis=1)]
+                some = [t or "" for t in texts[at : at + 64]]
+                cos = vectors(some, model.idf) @ model.matrix.T
+                keep[at : at + 64] = cos.max(axis=1) >= model.limit(cos.argmax(axis=1), some)
             yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep & letter))
 
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")

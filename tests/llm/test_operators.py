@@ -1,5 +1,6 @@
 """The text operators against brute force, other libraries, round trips and held-out labels, and their edge cases."""
 
+import base64
 import hashlib
 import random
 from collections import Counter
@@ -426,6 +427,24 @@ def test_language_held_out(spark, larger):
     assert (marked["lang"] == marked["lang_pred"]).mean() > 0.9 and got.where("score < 0 or score > 1").isEmpty()
 
 
+def test_text_of_no_language_is_rejected_and_short_text_is_kept():
+    sql = "select doc_id, text, lang from '/root/testdata/sf0.01/documents.parquet' where lang is not null and length(text) between 40 and 20000 and regexp_matches(text, '[a-z]{3}') order by doc_id"
+    given = duckdb.sql(sql).fetchall()
+    model = language_id.fit([t for d, t, _ in given if d % 4], [k for d, _, k in given if d % 4])
+
+    def kept(texts):
+        cos = language_id.vectors(texts, model.idf) @ model.matrix.T
+        return cos.max(axis=1) >= model.limit(cos.argmax(axis=1), texts)
+
+    rnd = random.Random(15)
+    letters = lambda n: " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+    assert not kept([letters(n) for n in (20, 200, 1000) for _ in range(20)]).any()
+    assert not kept([base64.b64encode(rnd.randbytes(n)).decode() for n in (300, 3000) for _ in range(20)]).any()
+    for lang in sorted(set(model.langs)):
+        for n in (40, 80, 160):
+            assert kept([t[:n] for d, t, k in given if d % 4 == 0 and k == lang]).mean() >= 0.95
+
+
 def test_language_edges(spark, docs):
     model = language_id.learn(docs, F.lit(True))
     by = {r["doc_id"]: r for r in language_id.identify(edge(spark), model).collect()}
