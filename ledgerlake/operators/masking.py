@@ -166,16 +166,18 @@ def check_filter(field_classes: dict[str, str], field: str, operation: str, lite
         raise EngineError("filter_syntax", f"{field} is compared with tokens only")
 
 
-def find_phrases(texts: DataFrame, key: str, text: str, phrases: DataFrame, most_words: int = 4) -> DataFrame:
+def find_phrases(texts: DataFrame, key: str, text: str, phrases: DataFrame) -> DataFrame:
     """(key, phrase, hits): how often each phrase occurs in each text as whole words, in any case.
 
-    Runs of one to most_words words are counted in each row and joined with the phrases by equality:
+    Runs of as many words as some phrase has are counted in each row and joined with the phrases by equality:
     the dictionary may have any size, and a longer one costs a shuffle, not memory."""
     words = F.filter(F.split(F.lower(F.translate(F.col(text), tokens.QUOTES, tokens.FOLDED)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     known = phrases.select("phrase", F.array_join(F.filter(F.split(F.lower(F.translate("phrase", tokens.QUOTES, tokens.FOLDED)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("__p")).where("__p <> ''")
     rows = texts.select(key, words.alias("__w"))
     run = lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, F.lit(n)), " ")))
-    runs = F.flatten(F.filter(F.array(*(run(n) for n in range(1, most_words + 1))), lambda a: a.isNotNull()))
+    lengths = sorted(r[0] for r in known.select(F.size(F.split("__p", " "))).distinct().collect())
+    none = F.expr("cast(array() as array<string>)")
+    runs = F.flatten(F.array(none, *(F.coalesce(run(n), none) for n in lengths)))
     counted = rows.select(key, F.explode(runs).alias("__run")).groupBy(key, "__run").agg(F.count("*").alias("hits"))
     return counted.join(known, F.col("__run") == F.col("__p")).select(key, "phrase", "hits")
 

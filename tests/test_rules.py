@@ -179,3 +179,11 @@ def test_fuzzy_order(spark):
     got = [(r["name"], r["score"]) for r in catalog.find(names, "n", "Invoice").collect()]
     assert [n for n, _ in got] == ["Invoice", "InvoiceLine", "Reinvoiced", "Invoke"]
     assert got[0][1] == 100.0 and got[1][1] == 51.0 and 30 < got[2][1] < 31 and 0 < got[3][1] < 20
+
+
+def test_phrases_of_any_number_of_words_are_found(spark):
+    texts = spark.createDataFrame([(1, "The Bank for Trade and Industry pays; the bank FOR trade, and industry pays"), (2, "bank"), (3, None)], "k int, text string")
+    phrases = ["bank for trade and industry pays", "the bank", "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"]
+    found = masking.find_phrases(texts, "k", "text", spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+    assert sorted(map(tuple, found.collect())) == [(1, phrases[0], 2), (1, phrases[1], 2)]
+    assert masking.find_phrases(texts, "k", "text", spark.createDataFrame([], "phrase string")).count() == 0
