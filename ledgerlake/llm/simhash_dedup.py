@@ -424,7 +424,7 @@ def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, views:
     least SIMILAR of their different word shingles; component_id is the smallest doc_id of the group.
 
     Shingles in common at a similarity of s put two fingerprints about 64 * acos(2s / (1 + s)) / pi bits
-    apart: for 0.8 some ten, and within 20 for all but some 0.02 %. Triangle bounds prune nothing there, so
+    apart: for 0.8 some ten, and within 20 for all but some 0.03 %. Triangle bounds prune nothing there, so
     candidates are looked for in shards of views: a view's fingerprint is that of three shingles, the first
     in an order of all shingles, so texts share it with probability s ** 3 and at least one of eight views
     with 0.997 for 0.8. Every link is then compared exactly. Equal texts are gathered before. Two rounds of
