@@ -18,10 +18,12 @@ from ledgerlake.llm.common import over_batches, table, text_of
 RANKS = "byte_bpe_50k.tiktoken"
 PIECE = 1 << 15  # characters after which a long text is cut at the next safe boundary
 RUN = 1 << 10  # white space of this length is taken out of the pattern's hands
-#: A cut between a printing ASCII character and a space: no match of the pattern holds both, no match
-#: looks behind, and what ends in a printing character leaves no white space open.
-SAFE = re.compile(r"(?<=[!-~])(?= )")
-BLANKS = re.compile(r"\s{%d,}" % RUN)
+#: White space as the library's patterns have it; Python's own class has U+001C to U+001F too.
+SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Cuts that no match of the pattern crosses: before a space after what isn't white space, and between a
+#: kana or Han character and punctuation of its script. No match looks behind, and neither side leaves white space open.
+SAFE = re.compile(rf"(?<=[^{SPACE}])(?= )|(?<=[\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff])(?=[\u3001\u3002\uff01\uff0c\uff1f])")
+BLANKS = re.compile(rf"[{SPACE}]{{{RUN},}}")
 
 
 @lru_cache(maxsize=4)
