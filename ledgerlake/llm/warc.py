@@ -1,9 +1,11 @@
 """WARC archives compressed record by record with a dictionary built from the archived records.
 
 An archive file starts with a skippable frame that holds the dictionary; then comes one Zstandard
-frame for each record. Spark's text writer lays the frames down, so that any file system it knows and
-its commit protocol serve, and a task that is run again leaves nothing behind. The separator that this
-writer needs between rows is an empty skippable frame, which readers of the format pass over.
+frame for each record, the first of them a warcinfo record. An archive is closed once it has
+ARCHIVE_BYTES, so none grows with a partition. Spark's text writer lays each down as a file of one row,
+so that any file system it knows and its commit protocol serve, and a task that is run again leaves
+nothing behind; its names end in .txt. The separator that this writer puts after a row is an empty
+skippable frame, which readers of the format pass over.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ GAP = (GAP_MAGIC + bytes(4)).decode("ascii")
 FRAME_MAGIC = bytes.fromhex("28b52ffd")
 DICT_BYTES = 1 << 16
 SAMPLE_ROWS = 400  # records that the dictionary is built from, at most
-SAMPLE_BYTES = 1 << 15  # larger records aren't used for the dictionary
+ARCHIVE_BYTES = 1 << 24  # compressed bytes after which an archive is closed
 LEVEL = 3
 DATE = "2024-01-01T00:00:00Z"  # of every record, so that equal pages give equal archives
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,6 +44,14 @@ def _line(value: str | None) -> str:
     return " ".join((value or "").split())
 
 
+def warcinfo(number: int, part: int) -> bytes:
+    """The record that describes an archive, named by its partition and place in it."""
+    block = b"software: ledgerlake\r\nformat: WARC File Format 1.1\r\n"
+    name = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'archive:{part}:{number}')}>"
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: {name}", f"WARC-Date: {DATE}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """A response record, or with refers_to a revisit record that has the HTTP head only."""
     revisit = refers_to is not None
@@ -56,12 +67,14 @@ def warc_record(page_id: int | None, url: str | None, payload: bytes, digest: st
 
 
 def parse_record(raw: bytes) -> tuple[dict[str, str], int, bytes | None]:
-    """(WARC headers, length of the full payload, payload or None for a revisit). Payload digests are verified."""
+    """(WARC headers, length of the full payload, payload or None for a revisit or a warcinfo). Payload digests are verified."""
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])
     block = rest[: int(fields["Content-Length"])]
     if rest[len(block) :] != b"\r\n\r\n":
         raise ValueError("a record does not end where its length says")
+    if fields["WARC-Type"] == "warcinfo":
+        return fields, 0, None
     http, _, payload = block.partition(b"\r\n\r\n")
     size = int(http.rsplit(b"Content-Length: ", 1)[1])
     if fields["WARC-Type"] == "revisit":
@@ -117,33 +130,36 @@ def with_revisits(pages: DataFrame) -> DataFrame:
     return joined.select("page_id", "url", "payload", "sha1", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str) -> None:
-    """Writes one archive for each partition of pages (page_id, url, html) under folder.
+def write_archives(pages: DataFrame, folder: str, size: int = ARCHIVE_BYTES) -> None:
+    """Writes the archives of each partition of pages (page_id, url, html) under folder; size is that in ARCHIVE_BYTES.
 
     A null html is an empty payload, a null url an empty target; a row without page_id is a response.
-    The dictionary comes from at most SAMPLE_ROWS records of at most SAMPLE_BYTES, chosen by a hash.
+    The dictionary comes from at most SAMPLE_ROWS records, chosen by a hash, whole whatever their length.
     An empty table writes no record. Columns other than these three are ignored.
     """
-    small = pages.where(F.coalesce(F.octet_length("html"), F.lit(0)) <= SAMPLE_BYTES)
-    sample = bounded_sample(small.select("page_id", "url", "html"), F.col("page_id"), SAMPLE_ROWS).collect()
+    sample = bounded_sample(pages.select("page_id", "url", "html"), F.col("page_id"), SAMPLE_ROWS).collect()
     digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     trained = build_dictionary([warc_record(r[0], r[1], b, digest(b), None) for r in sample for b in [(r[2] or "").encode("utf-8", "surrogatepass")]])
+    lead = DICT_MAGIC + len(trained).to_bytes(4, "little") + trained
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, lead = None, []
+        part = TaskContext.get().partitionId()
+        pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+        archive, held, number = [], 0, 0
         for batch in batches:
-            if pack is None:
-                words = zstandard.ZstdCompressionDict(trained) if trained else None
-                pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=words)
-                lead = [DICT_MAGIC + len(trained).to_bytes(4, "little") + trained]
-            ids, urls, payloads, sha, refers = (c.to_pylist() for c in batch.columns)
-            out = [pack.compress(warc_record(i, u, p, base64.b32encode(bytes.fromhex(s)).decode(), r)) for i, u, p, s, r in zip(ids, urls, payloads, sha, refers)]
-            yield pa.RecordBatch.from_pydict({"value": pa.array(lead + out, pa.binary())})
-            lead = []
-
-    pages.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+            for page_id, url, payload, sha, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
+                if not archive:
+                    archive, held, number = [lead, pack.compress(warcinfo(number, part))], 0, number + 1
+                archive.append(pack.compress(warc_record(page_id, url, payload, base64.b32encode(bytes.fromhex(sha)).decode(), refers_to)))
+                held += len(archive[-1])
+                if held >= size:
+                    yield pa.RecordBatch.from_pydict({"value": pa.array([b"".join(archive)], pa.binary())})
+                    archive = []
+        if archive:
+            yield pa.RecordBatch.from_pydict({"value": pa.array([b"".join(archive)], pa.binary())})
+
     packed = with_revisits(pages).mapInArrow(run, "value binary")
-    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", GAP).option("compression", "none").text(folder)
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", GAP).option("compression", "none").option("maxRecordsPerFile", 1).text(folder)
 
 
 def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -> DataFrame:
@@ -158,6 +174,8 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
                 rows: list = []
                 for raw in frames(content.as_py()):
                     head, size, payload = parse_record(raw)
+                    if head["WARC-Type"] == "warcinfo":
+                        continue
                     number = lambda k: int(head[k]) if k in head else None  # noqa: B023, E731
                     rows.append((number("X-Page-Id"), head["WARC-Target-URI"], size, head["WARC-Payload-Digest"].removeprefix("sha1:"), head["WARC-Type"], number("X-Refers-To-Page-Id"), payload)[: len(names)])
                     if len(rows) == 256:
@@ -170,7 +188,6 @@ def read_archives(spark: SparkSession, folder: str, with_payload: bool = True) -
         kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").load(folder).where("length > 0").select("content")
     return files.mapInArrow(run, fields)
 
