@@ -16,7 +16,6 @@ from ledgerlake.llm.common import bounded_sample, crc_mod, over_batches, table,
 
 WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 16, 8, 8, 24, 12
 TRAIN_ROWS = 1500  # labelled rows that the network learns from, at most
-TRAIN_BYTES = 16_384  # longer texts aren't learned from; every text is scored whole
 CUT = 0.3
 BLOCK = 1 << 17  # bytes whose chunks are in memory at a time; a multiple of STRIDE
 
@@ -98,11 +97,16 @@ class ByteNet:
 
 
 def learn(docs: DataFrame, labels: DataFrame, learnable: Column, rows: int = TRAIN_ROWS) -> ByteNet:
-    """A network from at most `rows` labelled texts, chosen by a hash of doc_id among the learnable ones.
-    Rows without label or text are left out; a document labelled twice counts by its larger label."""
+    """A network from the whole texts of at most `rows` labelled documents, chosen by a hash of doc_id among
+    the learnable ones; learnable is a condition on doc_id. Documents without label or text teach nothing; one
+    labelled twice counts by its larger label, and one that is repeated is learned from once.
+
+    The documents are chosen by id and label alone; only then are the chosen texts fetched."""
     marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
-    short = docs.where(learnable & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES)).select("doc_id", "text")
-    got = bounded_sample(short.join(marks, "doc_id"), F.col("doc_id"), rows).collect()
+    known = docs.where(learnable).select("doc_id").distinct().join(marks, "doc_id")
+    chosen = bounded_sample(known, F.col("doc_id"), rows).select(F.col("doc_id").alias("__chosen"), "y")
+    texts = docs.where("text is not null").join(F.broadcast(chosen), F.col("doc_id") == F.col("__chosen"))
+    got = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     return ByteNet().fit([r["text"].encode("utf-8", "surrogatepass") for r in got], np.array([r["y"] for r in got], np.float32))
 
 
