@@ -14,11 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import crc_mod, over_batches, table, text_of
+from ledgerlake.llm.common import BATCH_ROWS, crc_mod, over_batches, table, text_of
 
 DIMS = 1 << 12
 PER_LANGUAGE = 800  # training rows of a language, at most
-TRAIN_CHARS = 20_000  # longer texts aren't used for training; every text is predicted whole
 CENTROIDS = 3
 CUTS = tuple(1 << b for b in range(4, 13))  # characters to which training texts are cut for limits by length
 QUANTILE = 0.005
@@ -59,6 +58,16 @@ def vectors(texts: list[str], idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def nearest(texts: list[str], model: Centroids, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(number, cosine) of each text's nearest centroid, `rows` texts at a time."""
+    best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    for at in range(0, len(texts), rows):
+        cos = vectors(texts[at : at + rows], model.idf) @ model.matrix.T
+        best[at : at + rows] = cos.argmax(axis=1)
+        score[at : at + rows] = cos.max(axis=1)
+    return best, score
+
+
 def fit(texts: list[str], langs: list[str], per: int = CENTROIDS, slack: float = 0.75) -> Centroids:
     """Spherical k-means in each language, from a fixed seed. A limit is `slack` times the
     QUANTILE of the cosines of the language's own texts cut to a length, or of few texts the third smallest, so
@@ -91,7 +100,7 @@ def fit(texts: list[str], langs: list[str], per: int = CENTROIDS, slack: float =
 
 
 def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE) -> Centroids:
-    """Centroids from at most `per_language` texts of each language, chosen by a hash of doc_id among the learnable rows.
+    """Centroids from at most `per_language` whole texts of each language, chosen by a hash of doc_id among the learnable rows.
 
     A language's rows are thinned by the hash to a little more than that before they are ranked, so no
     task gets the texts of a frequent language. The counts broadcast for it are as many as the model's languages.
@@ -100,7 +109,7 @@ def learn(docs: DataFrame, learnable: Column, per_language: int = PER_LANGUAGE)
     sizes = rows.groupBy(F.col("lang").alias("__lang")).agg(F.count("*").alias("__n"))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     rows = rows.join(F.broadcast(sizes), F.col("lang") == F.col("__lang")).where(place * F.col("__n") < 3 * per_language * (1 << 30))
-    rows = rows.where((F.length("text") <= TRAIN_CHARS) & F.col("text").rlike(r"\p{L}"))
+    rows = rows.where(F.col("text").rlike(r"\p{L}"))
     order = Window.partitionBy("lang").orderBy(place, "doc_id")
     some = rows.select("lang", "doc_id", "text").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language)
     got = some.orderBy("lang", "n").collect()
@@ -117,14 +126,8 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
     names = np.array(model.langs, dtype=object)
 
     def make(batch: pa.RecordBatch) -> dict:
-        n = batch.num_rows
-        best, score = np.zeros(n, np.int64), np.zeros(n)
-        texts = batch.column(1).to_pylist()
-        if len(names):
-            for at in range(0, n, 64):
-                cos = vectors(texts[at : at + 64], model.idf) @ model.matrix.T
-                best[at : at + 64] = cos.argmax(axis=1)
-                score[at : at + 64] = cos.max(axis=1)
+        texts, n = batch.column(1).to_pylist(), batch.num_rows
+        best, score = nearest(texts, model) if len(names) else (np.zeros(n, np.int64), np.zeros(n))
         limit = model.limit(best, texts) if len(names) else np.ones(n)
         return {"doc_id": batch.column(0), "lang_pred": pa.array(names[best] if len(names) else ["und"] * n, pa.string()), "score": np.clip(score, 0, 1), "rejected": score < limit, "letter": batch.column(2)}
 
@@ -140,24 +143,28 @@ def identify(docs: DataFrame, model: Centroids) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs that are not rejected, all columns, by centroids learned from the same rows."""
+    """The rows of docs that are not rejected, with all columns, by centroids learned from the same rows.
+
+    Null and empty texts and those without a letter go. Texts are judged whole, however long. Rows that are
+    repeated or share a doc_id are judged each by its text, so equal texts stay or go together; a row
+    without doc_id or lang is judged like any other. An empty table, and one without a lang to learn from,
+    gives an empty result. Other columns, whatever their names, are carried along.
+    """
     model = learn(docs, crc_mod(F.col("doc_id"), 4) != 2)
-    names = np.array(model.langs, dtype=object)
-    columns = docs.columns
-    spot = columns.index("text")
+    spot = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
-            texts = batch.column(spot).to_pylist()
-            for at in range(0, batch.num_rows if len(names) else 0, 64):
-                some = [t or "" for t in texts[at : at + 64]]
-                cos = vectors(some, model.idf) @ model.matrix.T
-                keep[at : at + 64] = cos.max(axis=1) >= model.limit(cos.argmax(axis=1), some)
-            yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep & letter))
-
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(at, BATCH_ROWS)
+                keep = np.zeros(batch.num_rows, bool)
+                letter = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
+                texts = [t or "" for t in batch.column(spot).to_pylist()]
+                if model.langs:
+                    best, cos = nearest(texts, model)
+                    keep = cos >= model.limit(best, texts)
+                yield batch.select(list(range(batch.num_columns - 1))).filter(pa.array(keep & letter))
+
     marked = docs.withColumn("__letter", F.coalesce(docs["text"].rlike(r"\p{L}"), F.lit(False)))
     return marked.mapInArrow(run, docs.schema)
 
