@@ -5,15 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch that goes to Python; texts are long, so batches are short.
+#: Rows that are worked on together in Python. Spark bounds the bytes of an Arrow batch; this bounds what is made of it.
 BATCH_ROWS = 256
 
 _own_folder: dict[str, str] = {}
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,15 +26,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder path under spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is unset, as in tests on one machine, a temporary folder stands in.
+    Where that setting is unset and the master is local, as in tests on one machine, a temporary folder
+    stands in; on a cluster that is an error, since executors couldn't read each other's folders.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        app = spark.conf.get("spark.app.id")
         if app not in _own_folder:
             _own_folder[app] = tempfile.mkdtemp(prefix="ledgerlake-")
         base = _own_folder[app]
-    return f"{base.rstrip('/')}/ledgerlake/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/ledgerlake/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +50,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes folders. Over Spark Connect, which gives no file system, they stay until the shared folder is cleared."""
+    jvm = getattr(spark, "_jvm", None)
+    for path in paths if jvm is not None else ():
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block are deleted at its end; what is made of them has to be written before, outside of it."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get()
+        _made.reset(token)
+        discard(spark, made or [])
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     return F.coalesce(df[column].cast("string"), F.lit(""))
 
@@ -51,14 +80,12 @@ def crc_mod(key: Column, n: int) -> Column:
 
 
 def over_batches(df: DataFrame, make: Callable[[pa.RecordBatch], dict], schema: str) -> DataFrame:
-    """mapInArrow of a function from a batch to named columns."""
-    spark = df.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """mapInArrow of a function from a batch of at most BATCH_ROWS rows to named columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pydict(make(batch))
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                yield pa.RecordBatch.from_pydict(make(batch.slice(at, BATCH_ROWS)))
 
     return df.mapInArrow(run, schema)
 

@@ -271,7 +271,6 @@ def _shard_links(dealt: DataFrame, radius: int) -> DataFrame:
 
 def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) for each distinct fp of (doc_id, fp): the smallest doc_id among all fingerprints that links reach."""
-    spark = prints.sparkSession
     kind = prints.schema["doc_id"].dataType.simpleString()
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
     sample = bounded_sample(distinct.select("fp"), F.col("fp"), SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
@@ -283,7 +282,6 @@ def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(take), batch.column(1).take(take)], ["shard", "fp", "rep"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     dealt = distinct.where("rep is not null").mapInArrow(deal, f"shard int, fp long, rep {kind}")
     parts = max(1, sum(c < 0 for n in nodes for c in n[2:]))
     links = _shard_links(dealt.repartition(parts, "shard"), radius)
@@ -356,7 +354,6 @@ def _candidates(dealt: DataFrame, radius: int, all_pairs: bool) -> DataFrame:
             for c in range(0, len(i), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(reps[at[x[c : c + (1 << 16)]]]) for x in (i, j)], ["a", "b"])
 
-    dealt.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     return dealt.select(*names).repartition("shard").mapInArrow(pair, "a long, b long").distinct()
 
 
