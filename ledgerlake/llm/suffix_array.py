@@ -1,5 +1,8 @@
 """Suffix arrays of byte blocks by induced sorting, and their permuted common prefixes, over numpy arrays.
 
+Leftmost-smaller substrings are sorted by inducing; where some are equal, the string of their names is
+sorted by the same function, down to a string whose names all differ.
+
 A block is several strings, each ended by a separator: symbol 0, while byte b is symbol b + 1. All
 separators count as different symbols, the earlier the smaller, so no common prefix crosses one.
 """
@@ -8,8 +11,11 @@ from __future__ import annotations
 
 import numpy as np
 
-#: With more different symbols than this, the leftmost-smaller names are ranked by doubling.
-MOST_BUCKETS = 1024
+#: Positions whose symbols are scanned together. A symbol that has more, or stands in runs, is scanned alone.
+RANGE = 1 << 14
+#: Rounds after which a range of symbols is scanned in narrower ones.
+ROUNDS = 8
+NONE = np.zeros(0, np.int32)
 
 
 def smaller_types(s: np.ndarray) -> np.ndarray:
@@ -28,86 +34,95 @@ def leftmost_smaller(smaller: np.ndarray) -> np.ndarray:
     return np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
 
 
-def _deal(lists: list[list[np.ndarray]], at: np.ndarray, symbols: np.ndarray) -> None:
-    """Appends positions to the lists of their symbols, in order."""
-    order = np.argsort(symbols, kind="stable")
-    at, symbols = at[order], symbols[order]
-    cuts = np.concatenate(([0], np.flatnonzero(symbols[1:] != symbols[:-1]) + 1, [len(at)])).tolist()
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        lists[symbols[a]].append(at[a:b])
+def _cat(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(arrays) if arrays else NONE
 
 
-def induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """All suffixes in order, from the leftmost-smaller ones in order: one scan of the buckets upwards
-    places the larger suffixes, one downwards the smaller ones. A bucket is moved as whole arrays, and
-    again for what it adds to itself, so the work is linear."""
-    symbols = int(s.max()) + 1
-    none = np.zeros(0, np.int32)
-    first: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    _deal(first, seeds, s[seeds])
-    larger: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    for c in range(symbols):
-        batch, done = np.concatenate(larger[c]) if larger[c] else none, []
-        out = []
-        while len(batch):
-            done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[~smaller[before]]
-            same = s[before] == c
-            out.append(before[~same])
-            batch = before[same]
-        larger[c] = done
-        out += [x - 1 for x in first[c]]  # what stands before a leftmost-smaller suffix is larger
-        if out and len(before := np.concatenate(out)):
-            _deal(larger, before, s[before])
-    downward: list[list[np.ndarray]] = [[] for _ in range(symbols)]
-    parts: list[np.ndarray] = []
-    for c in range(symbols - 1, -1, -1):
-        # separators are met in seed order: no bucket below adds to theirs
-        batch, done = np.concatenate(downward[c]) if downward[c] else none, []
-        if c == 0:
-            batch = np.concatenate(first[0])[::-1] if first[0] else none
-            parts.append(batch[::-1])
-            break
-        out = []
+def _deal(pending: list[list[np.ndarray]], at: np.ndarray, ranges: np.ndarray) -> None:
+    """Appends positions to the lists of their ranges, in order."""
+    if len(at):
+        order = np.argsort(ranges, kind="stable")
+        at, ranges = at[order], ranges[order]
+        cuts = np.concatenate(([0], np.flatnonzero(ranges[1:] != ranges[:-1]) + 1, [len(at)])).tolist()
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            pending[ranges[a]].append(at[a:b])
+
+
+def _scan_range(key: np.ndarray, wanted: np.ndarray, base: np.ndarray, given: np.ndarray, low: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(placed, all, outside) of the symbols low to stop - 1: base are the positions that earlier ranges have
+    placed, in order; outside are those to be placed in later ranges."""
+
+    def before(at: np.ndarray) -> np.ndarray:
+        at = at[at > 0] - 1
+        return at[wanted[at]]
+
+    if stop - low == 1:  # what a symbol adds to itself is moved as whole arrays
+        batch, done, out = base, [], []
         while len(batch):
             done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[smaller[before]]
-            same = s[before] == c
-            out.append(before[~same])
-            batch = before[same]
-        top = np.concatenate(larger[c]) if larger[c] else none
-        before = top[::-1]
-        before = before[before > 0] - 1
-        out.append(before[smaller[before]])
-        if len(before := np.concatenate(out)):
-            _deal(downward, before, s[before])
-        parts.append(np.concatenate([top, *(x[::-1] for x in done[::-1])]))
-    return np.concatenate(parts[::-1])
-
-
-def _rank_by_doubling(names: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names, by prefix doubling of what is still tied."""
-    n = len(names)
-    order = np.argsort(names, kind="stable")
-    new = np.concatenate(([True], names[order][1:] != names[order][:-1]))
-    rank = np.empty(n + 1, np.int64)
-    rank[n] = -1
-    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    size = 1
-    tied = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))  # places in order
-    while len(tied):
-        at = order[tied]
-        key = rank[at] * (n + 1) + rank[np.minimum(at + size, n)] + 1
-        by = np.argsort(key)
-        at, key = at[by], key[by]
-        order[tied] = at
-        new = np.concatenate(([True], key[1:] != key[:-1]))
-        rank[at] = tied[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
-        tied = tied[~(new & np.concatenate((new[1:], [True])))]
-        size *= 2
-    return order
+            found = before(batch)
+            same = key[found] == low
+            out.append(found[~same])
+            batch = found[same]
+        placed = _cat(done)
+        return placed, np.concatenate((placed, given)), np.concatenate((*out, before(given)))
+    inside = NONE
+    for _ in range(ROUNDS):
+        # what each round adds is ordered by what the round before has placed
+        placed = np.concatenate((base, inside))
+        placed = placed[np.argsort(key[placed], kind="stable")]
+        whole = np.concatenate((placed, given))
+        whole = whole[np.argsort(key[whole], kind="stable")]
+        found = before(whole)
+        mine = key[found] < stop
+        if np.count_nonzero(mine) == len(inside):
+            return placed, whole, found[~mine]
+        inside = found[mine]
+    cuts = np.unique(np.linspace(low, stop, 17).astype(np.int64))
+    pending: list[list[np.ndarray]] = [[] for _ in cuts[1:]]
+    within = lambda at: np.searchsorted(cuts, key[at], side="right") - 1
+    _deal(pending, base, within(base))
+    share = np.searchsorted(within(given), np.arange(len(cuts)))
+    parts = []
+    for k in range(len(cuts) - 1):
+        placed, whole, out = _scan_range(key, wanted, _cat(pending[k]), given[share[k] : share[k + 1]], int(cuts[k]), int(cuts[k + 1]))
+        mine = key[out] < stop
+        _deal(pending, out[mine], within(out[mine]))
+        parts.append((placed, whole, out[~mine]))
+    return tuple(_cat(list(x)) for x in zip(*parts))
+
+
+def scan(key: np.ndarray, wanted: np.ndarray, given: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(placed, all) in order of key: one scan upwards meets the given and the placed positions, the placed before
+    the given of the same symbol, and places what stands before each if it is wanted. first are placed from the start."""
+    sizes = np.bincount(key)
+    start = np.cumsum(sizes) - sizes
+    large = sizes > RANGE
+    large[key[3:][(key[3:] == key[2:-1]) & (key[2:-1] == key[1:-2]) & (key[1:-2] == key[:-3])]] = True  # runs go with their symbol
+    fresh = np.concatenate(([True], (start[1:] // RANGE != start[:-1] // RANGE) | large[1:] | large[:-1]))
+    lows = np.flatnonzero(fresh)
+    number = np.cumsum(fresh) - 1
+    pending: list[list[np.ndarray]] = [[] for _ in lows]
+    _deal(pending, first, number[key[first]])
+    share = np.searchsorted(number[key[given]], np.arange(len(lows) + 1))
+    parts = []
+    for k, (low, stop) in enumerate(zip(lows.tolist(), [*lows[1:].tolist(), len(sizes)])):
+        placed, whole, out = _scan_range(key, wanted, _cat(pending[k]), given[share[k] : share[k + 1]], low, stop)
+        pending[k] = []
+        _deal(pending, out, number[key[out]])
+        parts.append((placed, whole))
+    return tuple(_cat(list(x)) for x in zip(*parts))
+
+
+def induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """All suffixes in order, from the leftmost-smaller ones, which are in order as far as they are known to
+    be: a scan upwards places the larger suffixes, one downwards the smaller ones. No suffix is compared with
+    another; the symbols may be any numbers, since a scan goes by ranges of them."""
+    seeds = seeds[np.argsort(s[seeds], kind="stable")]
+    larger, _ = scan(s, ~smaller, seeds, NONE)
+    zeros = seeds[: np.count_nonzero(s[seeds] == 0)]  # separators, in the order of the seeds
+    _, down = scan(int(s.max()) - s.astype(np.int32), smaller & (s > 0), larger[::-1], zeros[::-1])
+    return down[::-1]
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
@@ -134,16 +149,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
         k += 1
         todo = todo[same]
         todo = todo[la[todo] > k]
-    names = np.empty(len(lms), np.int64)
+    names = np.empty(len(lms), np.int32)
     names[number[some]] = np.concatenate(([0], np.cumsum(~equal)))
-    kinds = int(names.max()) + 1
-    if kinds == len(lms):
+    if int(names.max()) + 1 == len(lms):
         order = np.argsort(names)
-    elif kinds <= MOST_BUCKETS and not (s == 0).sum() > 1:
-        # the end of the reduced string is its own smallest symbol
-        order = suffix_array(np.concatenate((names + 1, [0])).astype(np.uint16))[1:]
-    else:
-        order = _rank_by_doubling(names)
+    else:  # separators have names of their own, so the reduced string has one end, its smallest symbol
+        order = suffix_array(np.concatenate((names + 1, np.zeros(1, np.int32))))[1:]
     return induce(s, smaller, lms[order])
 
 
