@@ -25,11 +25,13 @@ from ledgerlake.llm.common import bounded_sample, over_batches, spread_join, sto
 from ledgerlake.llm.graph import components
 
 SEED = 42
-SAMPLE = 1 << 14  # fingerprints that lay out the upper tree
+SAMPLE = 1 << 14  # fingerprints that lay out the upper tree, more for many shards
+MOST_SAMPLE = 1 << 20  # at most
 SHARD = 1 << 15  # fingerprints a shard should hold
 LEAF = 128
 VIEW_SHINGLES = 3
 VIEWS = 8
+VIEW_RADIUS = 2
 DENSE = 2048
 BLOCK = 1024  # rows of a view's shard that are one part
 SIMILAR = 0.8  # Jaccard similarity of shingles from which documents are near copies
@@ -273,8 +275,9 @@ def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) for each distinct fp of (doc_id, fp): the smallest doc_id among all fingerprints that links reach."""
     kind = prints.schema["doc_id"].dataType.simpleString()
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    sample = bounded_sample(distinct.select("fp"), F.col("fp"), SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    nodes = upper_tree(sample, distinct.count(), radius)
+    total = distinct.count()
+    sample = bounded_sample(distinct.select("fp"), F.col("fp"), min(MOST_SAMPLE, max(SAMPLE, 256 * (total // SHARD)))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    nodes = upper_tree(sample, total, radius)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -395,12 +398,15 @@ def _similar_rows(numbered: DataFrame, width: int, radius: int, views: int) -> D
     texts = numbered.select(F.col("__row").alias("row"), "doc_id", text_of(numbered).alias("text"))
     prints = stored(over_batches(texts, make, f"row long, doc_id {kind}, fp long, views array<long>, n int, key binary"), "view-prints")
     classes = stored(prints.groupBy("key").agg(F.min("row").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("views").alias("views")), "text-classes")
-    shards = classes.where("n > 0").select("rep", "fp", "n", F.posexplode("views").alias("view", "v")).select("rep", "fp", "n", F.xxhash64("view", "v").alias("shard")).distinct()
+    views = classes.where("n > 0").select("rep", "fp", "n", F.explode(F.array_distinct("views")).alias("v"))
+    near = stored(fingerprint_components(views.select(F.col("rep").alias("doc_id"), F.col("v").alias("fp")), VIEW_RADIUS), "view-groups")
+    groups = near.select(F.col("fp").alias("v"), F.col("component_id").alias("shard"))
+    shards = stored(spread_join(views, groups, ["v"], F.col("rep")).select("rep", "fp", "n", "shard").distinct(), "view-members")
     counts = stored(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "view-shards")
     sized = spread_join(shards, counts.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), ["shard"], F.col("rep"), sizes=counts)
     dealt = stored(in_blocks(sized), "dealt")
     links, roots = None, None
-    for all_pairs in (False, False, True):
+    for all_pairs in (False, True):
         named = dealt.withColumn("root", F.col("rep"))
         if roots is not None:
             named = dealt.join(roots, dealt["rep"] == roots["node"], "left").select(*dealt.columns, F.coalesce("root", "rep").alias("root"))
@@ -421,11 +427,16 @@ def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, views:
     least SIMILAR of their different word shingles; component_id is the smallest doc_id of the group.
 
     Shingles in common at a similarity of s put two fingerprints about 64 * acos(2s / (1 + s)) / pi bits
-    apart: for 0.8 some ten, and within 20 for all but some 0.03 %. Triangle bounds prune nothing there, so
-    candidates are looked for in shards of views: a view's fingerprint is that of three shingles, the first
-    in an order of all shingles, so texts share it with probability s ** 3 and at least one of eight views
-    with 0.997 for 0.8. Every link is then compared exactly. Equal texts are gathered before. Two rounds of
-    few candidates a text link most of a group; the last compares every candidate pair that is still apart.
+    apart: for 0.8 some ten, and within 20 for all but some 0.03 %. Triangle bounds prune nothing at such a
+    distance, so each text has several view fingerprints as well, each of the VIEW_SHINGLES shingles that come first in
+    an order of all shingles. The vantage-point tree links view fingerprints within VIEW_RADIUS bits, over shards with
+    their boundaries, as it does whole fingerprints in near_duplicates: similar texts have a view in common with probability s ** 3
+    each, and one of eight with 0.997 for 0.8. Texts of a linked group whose whole fingerprints are within the radius are
+    candidates, and every link is then an exact comparison. Equal texts are gathered before. One round of
+    few candidates a text links most of a group; the last compares every candidate pair that is still apart.
+
+    Texts without a word are equal to each other, null ones too. Repeated rows are members of their own. An
+    empty table gives an empty result; columns other than doc_id and text are ignored.
     """
     found = _similar_rows(_numbered(docs), width, radius, views)
     least = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -433,8 +444,10 @@ def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, views:
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 20) -> DataFrame:
-    """One row of each group of near copies, with all columns: that of the smallest doc_id, nulls last, and
-    of those that share it the first by row number. Repeated rows and rows without doc_id are grouped like any other."""
+    """One row of each group of similar_documents, with all columns whatever their names: that of the smallest
+    doc_id, nulls last, and of those that share it the first by row number. So of repeated rows one stays; rows
+    without doc_id are grouped like any other; null, empty and blank texts are one group. Texts are compared
+    whole, however long. An empty table gives an empty result."""
     numbered = _numbered(docs)
     found = stored(_similar_rows(numbered, width, radius, VIEWS), "similar-rows")
     kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best")).select("best.row")
