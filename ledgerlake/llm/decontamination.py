@@ -6,25 +6,24 @@ word: of all starts those are taken whose window has enough shingles that some i
 too. With fewer than `similarity` times the item's shingles in common the similarity is smaller, so none
 that could count is passed over, whatever the order of the passage.
 
-A window's fingerprint is looked up among the items' by Hamming blocks: BLOCKS blocks share 64 bits, so
-fingerprints within RADIUS differ by at most RADIUS // BLOCKS bits in one block, and the index holds
-every value that near. What lies within RADIUS is then compared exactly: the weighted Jaccard
-similarity of the shingles (sum of smaller counts over sum of larger counts).
+A window's fingerprint is looked up among those of the items with as many words, by Hamming blocks:
+BLOCKS blocks share 64 bits, so fingerprints within RADIUS differ by at most RADIUS // BLOCKS = 2 bits in one
+block. Each side has the values one bit from its own, so that values two bits apart meet in the middle
+and the index has 10 or 11 rows a block instead of 46 or 56. What lies within RADIUS is then compared exactly: the weighted
+Jaccard similarity of the shingles (sum of smaller counts over sum of larger counts).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import stored, table, text_of
+from ledgerlake.llm.common import spread_join, stored, table, text_of
 
 WIDTH = 5
 SIMILARITY = 0.8
-RADIUS = 17
-BLOCKS = 6
+RADIUS = 20
+BLOCKS = 7
 #: A table of items' shingles or fingerprints is broadcast up to so many rows (of under 100 bytes each).
 BROADCAST_ROWS = 400_000
 
@@ -65,26 +64,25 @@ def block_bounds(blocks: int = BLOCKS) -> list[tuple[int, int]]:
     return [(sum(sizes[:k]), sizes[k]) for k in range(blocks)]
 
 
-def _blocks(fp: Column) -> Column:
-    return F.array(*(F.struct(F.lit(k).alias("block"), F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1)).alias("value")) for k, (shift, bits) in enumerate(block_bounds())))
+def near_masks(bits: int) -> list[int]:
+    """Every number of `bits` bits of which one is set or none."""
+    return [0, *(1 << b for b in range(bits))]
 
 
-def near_masks(bits: int, most: int) -> list[int]:
-    """Every number of `bits` bits of which at most `most` are set."""
-    return [sum(1 << b for b in some) for n in range(most + 1) for some in combinations(range(bits), n)]
+def _blocks(fp: Column) -> Column:
+    """(block, value) for every value of a block of fp within one bit of its own."""
+    own = lambda shift, bits: F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << bits) - 1))
+    near = lambda k, shift, bits: F.transform(F.array(*(F.lit(m).cast("long") for m in near_masks(bits))), lambda m: F.struct(F.lit(k).alias("block"), own(shift, bits).bitwiseXOR(m).alias("value")))
+    return F.flatten(F.array(*(near(k, shift, bits) for k, (shift, bits) in enumerate(block_bounds()))))
 
 
 def benchmark_index(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(items, index): item_id, n, words, shingles, fp of each different item; and (block, value, item_id, n, fp)
-    for every block value within RADIUS // BLOCKS bits of an item's."""
+    for every block value within a bit of an item's."""
     words = items.select("item_id", words_of(text_of(items)).alias("words")).distinct().where(F.size("words") > 0)
     known = words.select("item_id", "words", F.size("words").alias("n"), shingles_of(F.col("words")).alias("shingles"))
     known = stored(with_fingerprint(known, "shingles", "fp"), "benchmark-items")
-    masks = F.array(*(F.array(*(F.lit(m).cast("long") for m in near_masks(bits, RADIUS // BLOCKS))) for _, bits in block_bounds()))
-    entries = known.select("item_id", "n", "fp", F.explode(_blocks(F.col("fp"))).alias("b"))
-    entries = entries.select("item_id", "n", "fp", F.col("b.block").alias("block"), F.col("b.value").alias("value"))
-    index = entries.withColumn("mask", F.explode(F.get(masks, F.col("block"))))
-    return known, stored(index.select("block", F.col("value").bitwiseXOR(F.col("mask")).alias("value"), "item_id", "n", "fp").distinct(), "benchmark-index")
+    return known, stored(known.select("item_id", "n", "fp", F.inline(_blocks(F.col("fp")))), "benchmark-index")
 
 
 def _small(df: DataFrame, most: int) -> DataFrame:
@@ -114,7 +112,12 @@ def _lined_up(docs: DataFrame, known: DataFrame, most: int, similarity: float) -
         marks = stored(marks, "benchmark-shingles")
         hashed = rows.withColumn("words", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)))
         grams = hashed.select("doc_id", "h", F.posexplode(_grams(F.col("words"), width)))
-        hits = grams.join(_small(marks, most), F.col("col") == F.col("mark"))
+        by_mark = marks.groupBy("mark").agg(F.collect_set("n").alias("ns"))  # no more than the items have lengths
+        if by_mark.count() <= most:
+            met = grams.join(F.broadcast(by_mark), F.col("col") == F.col("mark"))
+        else:  # a frequent shingle is dealt out over salts
+            met = spread_join(grams.withColumnRenamed("col", "mark"), by_mark, ["mark"], F.xxhash64("h", "pos"))
+        hits = met.withColumn("n", F.explode("ns"))
         placed = hits.groupBy("doc_id", "h", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
         placed = placed.select("doc_id", "h", "n", _window_starts(F.col("at"), F.col("n"), width, similarity).alias("starts")).where(F.size("starts") > 0)
         got = placed.select("doc_id", "h", F.expr("transform(starts, s -> struct(s as start, n as n))").alias("windows"))
@@ -146,16 +149,18 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
     windows = lined.select("doc_id", "words", F.explode("windows").alias("w"))
     first = F.greatest(F.col("w.start"), F.lit(0))
     stop = F.least(F.col("w.start") + F.col("w.n"), F.size("words"))
-    windows = windows.select("doc_id", first.alias("start"), (stop - first).alias("w_words"), F.slice("words", first + 1, stop - first).alias("words")).distinct()
-    windows = windows.select("doc_id", "start", "w_words", shingles_of(F.col("words")).alias("w_shingles"))
+    windows = windows.select("doc_id", first.alias("start"), (stop - first).alias("w_words"), F.col("w.n").alias("w_item"), F.slice("words", first + 1, stop - first).alias("words")).distinct()
+    windows = windows.select("doc_id", "start", "w_words", "w_item", shingles_of(F.col("words")).alias("w_shingles"))
     windows = stored(with_fingerprint(windows, "w_shingles", "w_fp"), "benchmark-windows")
-    looked = windows.select("doc_id", "start", "w_words", "w_fp", F.explode(_blocks(F.col("w_fp"))).alias("b"))
+    size = F.col("w_words")
+    looked = windows.select("doc_id", "start", "w_words", "w_item", "w_fp", F.inline(_blocks(F.col("w_fp"))))
+    looked = looked.withColumnsRenamed({"block": "w_block", "value": "w_value"})
     near = looked.join(
         _small(index, most),
-        (F.col("b.block") == index["block"]) & (F.col("b.value") == index["value"]) & (F.bit_count(F.col("w_fp").bitwiseXOR(F.col("fp"))) <= RADIUS),
+        (F.col("w_block") == F.col("block")) & (F.col("w_value") == F.col("value")) & (F.col("w_item") == F.col("n")) & (F.bit_count(F.col("w_fp").bitwiseXOR(F.col("fp"))) <= RADIUS),
     )
-    pairs = near.select(F.col("doc_id").alias("p_doc"), F.col("start").alias("p_start"), F.col("w_words").alias("p_words"), F.col("w_fp").alias("p_fp"), F.col("item_id").alias("p_item"), F.col("n").alias("p_n"), F.col("fp").alias("p_item_fp")).distinct()
-    pairs = pairs.join(windows, F.expr("p_doc <=> doc_id and p_start = start and p_words = w_words and p_fp = w_fp"))
+    pairs = near.select(F.col("doc_id").alias("p_doc"), F.col("start").alias("p_start"), size.alias("p_words"), F.col("w_fp").alias("p_fp"), F.col("item_id").alias("p_item"), F.col("n").alias("p_n"), F.col("fp").alias("p_item_fp")).distinct()
+    pairs = pairs.join(windows, F.expr("p_doc <=> doc_id and p_start = start and p_words = w_words and p_n = w_item and p_fp = w_fp"))
     pairs = pairs.join(known, F.expr("p_item <=> item_id and p_n = n and p_item_fp = fp"))
     count = lambda a, k: F.size(F.filter(a, lambda x: x == k))
     shared = F.aggregate(F.array_intersect("w_shingles", "shingles"), F.lit(0), lambda s, k: s + F.least(count(F.col("w_shingles"), k), count(F.col("shingles"), k)))
@@ -166,7 +171,10 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs without a window that is like a benchmark item; all columns stay. A row without doc_id stays."""
+    """The rows of docs without a window that is like a benchmark item; all columns stay, whatever their names.
+
+    A row without doc_id stays. Rows that share a doc_id go together if one of them has such a window. Null and
+    empty texts stay; texts are searched whole, however long. Without items every row stays, and an empty table stays empty."""
     gone = contamination(docs, items).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
 
