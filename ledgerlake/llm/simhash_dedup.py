@@ -32,8 +32,11 @@ LEAF = 128
 VIEW_SHINGLES = 3
 VIEWS = 8
 VIEW_RADIUS = 2
+MINIMA = 256  # orders of all shingles whose first one, as a byte, is kept of each text
+#: Shares of equal bytes from which on a pair is compared: four deviations of 0.025 below SIMILAR.
+LIKELY = 0.7
 DENSE = 2048
-BLOCK = 1024  # rows of a view's shard that are one part
+BLOCK = 512  # rows of a view's shard that are one part
 SIMILAR = 0.8  # Jaccard similarity of shingles from which documents are near copies
 #: Row numbers of texts to be compared are broadcast up to so many.
 BROADCAST_ROWS = 400_000
@@ -85,6 +88,16 @@ def view_fingerprints(blocks: list[np.ndarray], views: int) -> list[int]:
     return out
 
 
+def first_shingles(hashes: np.ndarray) -> bytes:
+    """A byte of the shingle that comes first in each of MINIMA orders: two texts have as large a share of
+    equal bytes as their different shingles have in common, but for chance."""
+    orders = np.random.default_rng(SEED + 1).integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
+    least = np.full(MINIMA, np.uint64(0xFFFFFFFFFFFFFFFF))
+    for at in range(0, len(hashes), 2048):
+        np.minimum(least, (hashes[None, at : at + 2048] * orders[:, None]).min(axis=1), out=least)
+    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, fp): fp holds the 64 bits as a signed long. A null text counts as empty."""
 
@@ -304,10 +317,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFra
     return spread_join(prints, roots, ["fp"], F.col("doc_id")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def candidate_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radius: int, all_pairs: bool, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j within the radius, of different roots, whose numbers of shingles allow SIMILAR. Without
-    all_pairs each j has two at most: the first such i and the one with the nearest fingerprint. Of two parts, only
-    pairs across are met."""
+def candidate_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, firsts: np.ndarray, radius: int, all_pairs: bool, parts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j within the radius, of different roots, whose numbers of shingles allow SIMILAR and whose first
+    shingles (rows of MINIMA bytes) make it LIKELY. Without all_pairs each j has two at most: the first such i and the
+    most alike. Of two parts, only pairs across are met."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     across = parts is not None and len(parts) > 0 and parts.min() != parts.max()
     step = max(1, (1 << 21) // max(1, len(fps)))
@@ -319,13 +332,16 @@ def candidate_pairs(fps: np.ndarray, sizes: np.ndarray, roots: np.ndarray, radiu
         near = (d <= radius) & (np.arange(upto)[None, :] < j[:, None]) & (few >= SIMILAR * many) & (roots[j, None] != roots[None, :upto])
         if across:
             near &= parts[j, None] != parts[None, :upto]
-        if all_pairs:
-            at, i = np.nonzero(near)
-            out.append((i, j[at]))
-        elif upto:
-            at = np.flatnonzero(near.any(axis=1))
-            hub, nearest = near[at].argmax(axis=1), np.where(near[at], d[at], 65).argmin(axis=1)
-            out += [(hub, j[at]), (nearest[nearest != hub], j[at[nearest != hub]])]
+        at, i = np.nonzero(near)
+        alike = np.concatenate([np.zeros(0, np.int64), *((firsts[j[at[c : c + 4096]]] == firsts[i[c : c + 4096]]).sum(axis=1) for c in range(0, len(at), 4096))])
+        keep = alike >= LIKELY * firsts.shape[1]
+        at, i, alike = at[keep], i[keep], alike[keep]
+        if not all_pairs and len(at):
+            hub = np.concatenate(([True], at[1:] != at[:-1]))
+            best = np.lexsort((i, -alike, at))
+            hub[best[np.concatenate(([True], at[best][1:] != at[best][:-1]))]] = True
+            at, i = at[hub], i[hub]
+        out.append((i, j[at]))
     i, j = (np.concatenate(x) for x in zip(*out))
     return i, j
 
@@ -339,37 +355,102 @@ def in_blocks(sized: DataFrame) -> DataFrame:
     return met.withColumn("shard", block).drop("__q", "parts")
 
 
-def _candidates(dealt: DataFrame, radius: int, all_pairs: bool) -> DataFrame:
-    """(a, b): different pairs of candidate_pairs in each block, from (shard, part, fp, n, rep, root); a block is a shard here."""
-    names = ["shard", "part", "fp", "n", "rep", "root"]
+MEMBER = ("shard", "part", "fp", "n", "rep", "root", "firsts")
+
+
+def _by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each block, by rep, from rows sorted by their block (the first column); one block is held at a time."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        block = batch.column(0).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            if held and held[-1].column(0)[0].as_py() != block[a]:
+                yield pa.Table.from_batches(held).sort_by("rep")
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held and held[0].num_rows:
+        yield pa.Table.from_batches(held).sort_by("rep")
+
+
+def _pairs_of(block: pa.Table, radius: int, all_pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+    _, parts, fps, sizes, _, roots = (block[c].to_numpy() for c in MEMBER[:-1])
+    firsts = np.frombuffer(b"".join(block["firsts"].to_pylist()), np.uint8).reshape(len(fps), -1)
+    return candidate_pairs(fps.view(np.uint64), sizes, roots, firsts, radius, all_pairs, parts)
+
+
+def _together(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("shard").sortWithinPartitions("shard")
+
+
+def _candidates(dealt: DataFrame, radius: int) -> DataFrame:
+    """(a, b): two pairs of candidate_pairs at most for each row of each block, from MEMBER rows; a block is a shard here."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have = [pa.RecordBatch.from_arrays(b.columns, names) for b in batches]
-        if not have:
-            return
-        whole = pa.Table.from_batches(have)
-        shards, parts, fps, sizes, reps, roots = (whole[c].to_numpy() for c in names)
-        order = np.lexsort((reps, shards))
-        first = np.flatnonzero(np.concatenate(([True], shards[order][1:] != shards[order][:-1])))
-        for k, n in zip(first.tolist(), np.diff(np.concatenate((first, [len(order)]))).tolist()):
-            at = order[k : k + n]
-            i, j = candidate_pairs(fps[at].view(np.uint64), sizes[at], roots[at], radius, all_pairs, parts[at]) if n > 1 else ((), ())
-            for c in range(0, len(i), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(reps[at[x[c : c + (1 << 16)]]]) for x in (i, j)], ["a", "b"])
+        for block in _by_block(batches):
+            if block.num_rows > 1:
+                reps = block["rep"].to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(reps[x]) for x in _pairs_of(block, radius, False)], ["a", "b"])
 
-    return dealt.select(*names).repartition("shard").mapInArrow(pair, "a long, b long").distinct()
+    return _together(dealt.select(*MEMBER)).mapInArrow(pair, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) of row numbers whose texts have SIMILAR of their different shingles in common; texts are (row, text)."""
+def _apart(dealt: DataFrame, radius: int) -> DataFrame:
+    """The MEMBER rows that have a pair of candidate_pairs in their block: rows of different roots that may still be similar."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _by_block(batches):
+            if block.num_rows > 1:
+                yield from block.take(pa.array(np.unique(np.concatenate(_pairs_of(block, radius, True))))).to_batches()
+
+    chosen = dealt.select(*MEMBER)
+    return _together(chosen).mapInArrow(rows, chosen.schema)
+
+
+def _links_within(apart: DataFrame, radius: int) -> DataFrame:
+    """(a, b): links between rows of different roots, from MEMBER rows with their shingles. Every candidate pair of a
+    block is compared exactly, the most alike first, unless links before it have joined the two roots."""
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _by_block(batches):
+            i, j = _pairs_of(block, radius, True)
+            sets = [x.values.to_numpy(zero_copy_only=False) for x in block["shingles"].combine_chunks()]
+            reps, roots = block["rep"].to_pylist(), block["root"].to_pylist()
+            up = {r: r for r in roots}
+
+            def top(r: int) -> int:
+                while up[r] != r:  # noqa: B023
+                    r = up[r] = up[up[r]]  # noqa: B023
+                return r
+
+            found = []
+            for x, y in zip(i.tolist(), j.tolist()):
+                p, q = top(roots[x]), top(roots[y])
+                if p != q:
+                    shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if shared >= SIMILAR * (len(sets[x]) + len(sets[y]) - shared):
+                        up[p] = q
+                        found.append((reps[x], reps[y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found)], ["a", "b"])
+
+    return _together(apart).mapInArrow(link, "a long, b long")
+
+
+def _shingle_sets(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(row, shingles): the different shingles of the texts (row, text) whose row is among rows."""
 
     def make(batch: pa.RecordBatch) -> dict:
         sets = [np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(t, width)])).view(np.int64) for t in batch.column(1).to_pylist()]
         return {"row": batch.column(0), "shingles": pa.array(sets, pa.list_(pa.int64()))}
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    ends = F.broadcast(ends) if ends.count() <= BROADCAST_ROWS else ends
-    sets = stored(over_batches(texts.join(ends, "row", "left_semi").select("row", "text"), make, "row long, shingles array<long>"), "shingle-sets")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+    return stored(over_batches(texts.join(rows, "row", "left_semi").select("row", "text"), make, "row long, shingles array<long>"), "shingle-sets")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of row numbers whose texts have SIMILAR of their different shingles in common; texts are (row, text)."""
+    sets = _shingle_sets(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), texts, width)
     left = spread_join(pairs, sets.withColumnsRenamed({"row": "b", "shingles": "sb"}), ["b"], F.col("a"))
     both = spread_join(left, sets.withColumnsRenamed({"row": "a", "shingles": "sa"}), ["a"], F.col("b"), sizes=pairs.groupBy("a").agg(F.count("*").alias("n")))
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -385,40 +466,37 @@ def _similar_rows(numbered: DataFrame, width: int, radius: int, views: int) -> D
     """(row, doc_id, component): one row per row; component is the smallest row number of its group."""
 
     def make(batch: pa.RecordBatch) -> dict:
-        fps, seen, sizes, keys = [], [], [], []
+        fps, seen, sizes, keys, firsts = [], [], [], [], []
         for text in batch.column(2).to_pylist():
             blocks = list(shingle_hashes(text, width))
             fps.append(majority(blocks))
             seen.append(np.array(view_fingerprints(blocks, views), np.uint64).view(np.int64))
-            sizes.append(len(np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))))
+            different = np.unique(np.concatenate([np.zeros(0, np.uint64), *blocks]))
+            sizes.append(len(different))
+            firsts.append(first_shingles(different))
             keys.append(xxhash.xxh3_128_digest(b" ".join(text.encode("utf-8", "surrogatepass").lower().split())))
-        return {"row": batch.column(0), "doc_id": batch.column(1), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "views": pa.array(seen, pa.list_(pa.int64())), "n": pa.array(sizes, pa.int32()), "key": pa.array(keys, pa.binary())}
+        return {"row": batch.column(0), "doc_id": batch.column(1), "fp": pa.array(np.array(fps, np.uint64).view(np.int64)), "views": pa.array(seen, pa.list_(pa.int64())), "n": pa.array(sizes, pa.int32()), "key": pa.array(keys, pa.binary()), "firsts": pa.array(firsts, pa.binary())}
 
     kind = numbered.schema["doc_id"].dataType.simpleString()
     texts = numbered.select(F.col("__row").alias("row"), "doc_id", text_of(numbered).alias("text"))
-    prints = stored(over_batches(texts, make, f"row long, doc_id {kind}, fp long, views array<long>, n int, key binary"), "view-prints")
-    classes = stored(prints.groupBy("key").agg(F.min("row").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("views").alias("views")), "text-classes")
+    prints = stored(over_batches(texts, make, f"row long, doc_id {kind}, fp long, views array<long>, n int, key binary, firsts binary"), "view-prints")
+    classes = stored(prints.groupBy("key").agg(F.min("row").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("views").alias("views"), F.first("firsts").alias("firsts")), "text-classes")
     views = classes.where("n > 0").select("rep", "fp", "n", F.explode(F.array_distinct("views")).alias("v"))
     near = stored(fingerprint_components(views.select(F.col("rep").alias("doc_id"), F.col("v").alias("fp")), VIEW_RADIUS), "view-groups")
     groups = near.select(F.col("fp").alias("v"), F.col("component_id").alias("shard"))
     shards = stored(spread_join(views, groups, ["v"], F.col("rep")).select("rep", "fp", "n", "shard").distinct(), "view-members")
     counts = stored(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "view-shards")
     sized = spread_join(shards, counts.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), ["shard"], F.col("rep"), sizes=counts)
-    dealt = stored(in_blocks(sized), "dealt")
-    links, roots = None, None
-    for all_pairs in (False, True):
-        named = dealt.withColumn("root", F.col("rep"))
-        if roots is not None:
-            named = dealt.join(roots, dealt["rep"] == roots["node"], "left").select(*dealt.columns, F.coalesce("root", "rep").alias("root"))
-        pairs = stored(_candidates(named, radius, all_pairs), "candidates")
-        if pairs.isEmpty():
-            break
-        found = stored(_verified(pairs, texts, width), "similar")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-    named = classes.select("key", F.col("rep").alias("component"))
-    if roots is not None:
-        named = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("component"))
+    firsts = classes.select(F.col("rep").alias("__of"), "firsts")
+    dealt = stored(in_blocks(sized.join(firsts, sized["rep"] == firsts["__of"]).drop("__of")), "dealt")
+    links = stored(_verified(stored(_candidates(dealt.withColumn("root", F.col("rep")), radius), "candidates"), texts, width), "similar")
+    roots = components(links)
+    rooted = dealt.join(roots, dealt["rep"] == roots["node"], "left").select(*dealt.columns, F.coalesce("root", "rep").alias("root"))
+    apart = stored(_apart(rooted, radius), "apart")
+    sets = _shingle_sets(apart.select(F.col("rep").alias("row")).distinct(), texts, width)
+    last = _links_within(apart.join(sets.withColumnRenamed("row", "__row"), F.col("rep") == F.col("__row")).drop("__row"), radius)
+    roots = components(links.unionByName(stored(last, "similar")))
+    named = classes.join(roots, classes["rep"] == roots["node"], "left").select("key", F.coalesce("root", "rep").alias("component"))
     return spread_join(prints.select("row", "doc_id", "key"), named, ["key"], F.col("row")).select("row", "doc_id", "component")
 
 
@@ -431,9 +509,11 @@ def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, views:
     distance, so each text has several view fingerprints as well, each of the VIEW_SHINGLES shingles that come first in
     an order of all shingles. The vantage-point tree links view fingerprints within VIEW_RADIUS bits, over shards with
     their boundaries, as it does whole fingerprints in near_duplicates: similar texts have a view in common with probability s ** 3
-    each, and one of eight with 0.997 for 0.8. Texts of a linked group whose whole fingerprints are within the radius are
+    each, and one of eight with 0.997 for 0.8. Texts of a linked group whose whole fingerprints are within the radius, and
+    whose first shingles in MINIMA orders are LIKELY equal (all but some 0.003 % at 0.8), are
     candidates, and every link is then an exact comparison. Equal texts are gathered before. One round of
-    few candidates a text links most of a group; the last compares every candidate pair that is still apart.
+    two candidates a text links most of a group; then every candidate pair that is still apart is compared inside its block,
+    which gives links that join groups and no others, so rows never grow with the square of a group.
 
     Texts without a word are equal to each other, null ones too. Repeated rows are members of their own. An
     empty table gives an empty result; columns other than doc_id and text are ignored.

@@ -231,22 +231,41 @@ def test_one_full_text_of_repeated_and_unnumbered_rows_stays(spark):
 def test_a_shard_in_blocks_is_bounded_and_keeps_every_pair(spark):
     fps = near_prints(240, 21, 7).view(np.int64).tolist()
     rows_of = [(1, 20, k, k, x, 8) for k, x in enumerate(fps)] + [(2, 20, 1000 + k, 1000 + k, x, 1) for k, x in enumerate(fps[:20])]
-    sized = spark.createDataFrame(rows_of, "shard long, n int, rep long, root long, fp long, parts int")
+    sized = spark.createDataFrame(rows_of, "shard long, n int, rep long, root long, fp long, parts int").withColumn("firsts", F.lit(b"same"))
     whole = sized.withColumn("part", F.lit(0)).drop("parts")
     blocks = simhash_dedup.in_blocks(sized)
     assert max(r["count"] for r in blocks.groupBy("shard").count().collect()) < 110
-    due = rows(simhash_dedup._candidates(whole, 20, True))
-    assert len(due) > 200 and rows(simhash_dedup._candidates(blocks, 20, True)) == due
+    reps = lambda df: {r["rep"] for r in df.collect()}
+    due = reps(simhash_dedup._apart(whole, 20))
+    assert len(due) > 200 and reps(simhash_dedup._apart(blocks, 20)) == due
+    same = lambda df: df.withColumn("shingles", F.array(F.lit(1).cast("long"), F.lit(2).cast("long")))
+    links = [graph.components(simhash_dedup._links_within(same(df), 20)) for df in (whole, blocks)]
+    assert rows(links[0]) == rows(links[1]) and links[0].count() > 200
+    few = simhash_dedup._candidates(blocks, 20)
+    assert few.count() <= 2 * blocks.count() and few.where("a >= b").isEmpty()
 
 
 def test_candidates_of_the_last_round_are_all(spark):
     fps = near_prints(300, 9, 7)
     sizes, roots = np.arange(len(fps)) % 5 + 20, np.arange(len(fps)) % 7
     fit = lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= 20 and roots[i] != roots[j] and min(sizes[i], sizes[j]) >= 0.8 * max(sizes[i], sizes[j])
-    due = {(i, j) for j in range(len(fps)) for i in range(j) if fit(i, j)}
-    assert set(zip(*(x.tolist() for x in simhash_dedup.candidate_pairs(fps, sizes, roots, 20, True)))) == due
-    few = set(zip(*(x.tolist() for x in simhash_dedup.candidate_pairs(fps, sizes, roots, 20, False))))
-    assert few <= due and {j for _, j in few} == {j for _, j in due}
+    firsts = np.random.default_rng(3).integers(0, 2, (len(fps), 10), dtype=np.uint8)
+    firsts[::3] = 0
+    alike = lambda i, j: int((firsts[i] == firsts[j]).sum()) >= 7
+    due = {(i, j) for j in range(len(fps)) for i in range(j) if fit(i, j) and alike(i, j)}
+    assert set(zip(*(x.tolist() for x in simhash_dedup.candidate_pairs(fps, sizes, roots, firsts, 20, True)))) == due
+    few = set(zip(*(x.tolist() for x in simhash_dedup.candidate_pairs(fps, sizes, roots, firsts, 20, False))))
+    assert few <= due and {j for _, j in few} == {j for _, j in due} and max(Counter(j for _, j in few).values()) <= 2
+
+
+def test_first_shingles_estimate_the_similarity():
+    r = np.random.default_rng(4)
+    for n, shared in ((300, 0.8), (5000, 0.8), (300, 0.5), (40, 1.0)):
+        a = r.integers(0, 1 << 63, n, dtype=np.uint64)
+        k = round(n * 2 * shared / (1 + shared))
+        b = np.concatenate((a[:k], r.integers(0, 1 << 63, n - k, dtype=np.uint64)))
+        x, y = (np.frombuffer(simhash_dedup.first_shingles(v), np.uint8) for v in (a, b))
+        assert abs((x == y).mean() - shared) < 0.11
 
 
 def test_near_duplicates_edges(spark, docs):
