@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+# The codes.
 CODES = frozenset(
-    "params_invalid filter_syntax token_unknown token_partial token_ambiguous token_type_mismatch entity_unknown entity_hidden object_not_found "
-    "permission_denied field_write_denied recipe_unknown recipe_param pending_expired pending_stale commit_limit record_exists undo_unsupported".split()
+    {
+        "params_invalid",
+        "filter_syntax",
+        "token_unknown",
+        "token_partial",
+        "token_ambiguous",
+        "token_type_mismatch",
+        "entity_unknown",
+        "entity_hidden",
+        "object_not_found",
+        "permission_denied",
+        "field_write_denied",
+        "recipe_unknown",
+        "recipe_param",
+        "pending_expired",
+        "pending_stale",
+        "commit_limit",
+        "record_exists",
+        "undo_unsupported",
+    }
 )
 
 

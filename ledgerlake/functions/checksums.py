@@ -11,7 +11,7 @@ INN_10 = (2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN_12_A = (7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 INN_12_B = (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8)
 SNILS = (9, 8, 7, 6, 5, 4, 3, 2, 1)
-ACCOUNT_PREFIXES = tuple(str(p) for p in (*range(401, 409), *range(420, 427)))
+ACCOUNT_PREFIXES = ("401", "402", "403", "404", "405", "406", "407", "408", "420", "421", "422", "423", "424", "425", "426")
 ACCOUNT_PREFIXES_5 = ("40102", "03100", "03212", "03214", "03222", "03224", "03231", "03241")
 CARD_RANGES = ((1, 4, 4), (2, 51, 55), (4, 2221, 2720), (4, 2200, 2204), (2, 50, 50), (2, 56, 58), (2, 62, 62), (2, 34, 34), (2, 37, 37))
 

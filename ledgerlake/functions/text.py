@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Legal forms that a name may start with.
-LEGAL_FORMS = "ооо оао зао пао ао ип нко ано фгуп гуп муп тсж снт".split()
+LEGAL_FORMS = ("ооо", "оао", "зао", "пао", "ао", "ип", "нко", "ано", "фгуп", "гуп", "муп", "тсж", "снт")
 
 
 def words_of_name(x: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # The signs of a token's tail, classes whose values are digits alone, quotes that fold.
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
-DIGIT_CLASSES = frozenset("inn kpp ogrn acc corr bic snils sfr card phone doc".split())
+DIGIT_CLASSES = frozenset({"inn", "kpp", "ogrn", "acc", "corr", "bic", "snils", "sfr", "card", "phone", "doc"})
 QUOTES, FOLDED = "«»“”„ёЁ", '"""""еЕ'
 TOKEN = r"\[\[([a-z][a-z0-9_:]{0,31}):([0-9A-Z]{1,16})\]\]"
 
@@ -59,6 +59,21 @@ def token(kind: str, x: Column, secret: bytes, signs: int = 10) -> Column:
     return F.concat(F.lit(f"[[{kind}:"), tail(keyed_digest(message, secret), signs), F.lit("]]"))
 
 
+def token_of(kind: Column, x: Column, secret: bytes, signs: int = 10) -> Column:
+    """The token of a value whose class is a column."""
+    flat = F.trim(F.regexp_replace(x, r"\s+", " "))
+    normal = (
+        F.when(kind.isin(*sorted(DIGIT_CLASSES)), F.regexp_replace(x, "[^0-9]", ""))
+        .when(kind == "email", F.lower(F.trim(x)))
+        .when(kind == "iban", F.upper(F.regexp_replace(x, r"\s", "")))
+        .when(kind == "dob", F.substring(F.trim(x), 1, 10))
+        .when(kind == "addr", flat)
+        .otherwise(F.lower(F.translate(flat, QUOTES, FOLDED)))
+    )
+    message = F.concat(kind.cast("binary"), F.lit(b"\0"), normal.cast("binary"))
+    return F.concat(F.lit("[["), kind, F.lit(":"), tail(keyed_digest(message, secret), signs), F.lit("]]"))
+
+
 def is_token(x: Column) -> Column:
     return F.coalesce(x.rlike(f"^{TOKEN}$"), F.lit(False))
 

@@ -45,11 +45,25 @@ def fingerprint(fields: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
 
 
+def same_value(a: Column, b: Column) -> Column:
+    """Whether two values mean the same: numbers by value whatever their types, GUIDs in any case, the rest as text;
+    nulls are the same as nulls only."""
+    x, y = a.cast("string"), b.cast("string")
+    number = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+    plain = r"^\s*[+-]?\d{1,20}(\.\d{0,16})?\s*$"
+    exact = lambda c: F.trim(c).cast("decimal(38,16)")
+    numbers = F.when(x.rlike(plain) & y.rlike(plain), exact(x) == exact(y)).when(x.rlike(number) & y.rlike(number), x.cast("double") == y.cast("double"))
+    guid = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    return F.coalesce(numbers, F.when(x.rlike(guid) & y.rlike(guid), F.lower(x) == F.lower(y)), x.eqNullSafe(y))
+
+
 def mismatches(sent: DataFrame, stored: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
-    """(key, field) of each field that reads back differently, numbers by value; a row that is missing counts with all its fields."""
-    diff = row_diff(sent, stored, key, fields)
-    missing = diff.where("change = 'removed'").select(*key, F.explode(F.array(*map(F.lit, fields))).alias("field"))
-    return diff.where("change = 'changed'").select(*key, "field").unionByName(missing)
+    """(key, field) of each field that reads back differently, see same_value(); a row that is missing counts with all its fields."""
+    left = sent.select(*key, F.struct(*fields).alias("__sent"))
+    right = stored.select(*key, F.struct(*fields).alias("__stored"))
+    both = left.join(right, key, "left")
+    bad = F.array(*(F.when(F.col("__stored").isNull() | ~same_value(F.col(f"__sent.{f}"), F.col(f"__stored.{f}")), F.lit(f)) for f in fields))
+    return both.select(*key, F.explode(F.filter(bad, lambda f: f.isNotNull())).alias("field"))
 
 
 def journal_state(log: DataFrame, commit: str = "commit_id", seq: str = "seq") -> DataFrame:

@@ -8,15 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.errors import EngineError
-from ledgerlake.functions import checksums, tokens
-
-# Patterns of identifiers in text, the order in which classes win, marks of field names.
-PATTERNS = {
-    "email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]{2,}",
-    "phone": r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{2,4}(?:-[0-9]{2})?",
-    "iban": r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}",
-    "card": r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,7}",
-}
+from ledgerlake.functions import tokens
+from ledgerlake.operators.detection import SCAN_ORDER, mask_text, places, replace_spans
+
+# Marks of field names.
 NAME_RULES = (
     ("email", ("email", "mail")),
     ("phone", ("phone", "tel", "fax")),
@@ -34,50 +29,6 @@ NAME_RULES = (
 )
 GUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 MOST_SPELLINGS = 8
-LEAST_LENGTH = {"inn": 10, "kpp": 9, "ogrn": 13, "acc": 20, "corr": 20, "bic": 9, "snils": 11, "sfr": 10, "card": 13, "iban": 15, "phone": 7, "doc": 6}
-
-
-def found_in(text: Column, kind: str) -> Column:
-    """All matches of a class in a text, in order; those with check digits only if they hold."""
-    hits = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    if kind == "card":
-        return F.filter(hits, lambda h: checksums.luhn_valid(F.regexp_replace(h, "[ -]", "")))
-    if kind == "iban":
-        return F.filter(hits, checksums.iban_valid)
-    return hits
-
-
-def spans(df: DataFrame, key: str, text: str, kinds: list[str]) -> DataFrame:
-    """(key, kind, value, start): each match of each class and where it starts, in characters from 0. Where
-    matches overlap, the class that comes first in `kinds` wins."""
-    rows = df.select(key, F.col(text).alias("__t")).where(F.col("__t").isNotNull())
-    each = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("rank"), F.regexp_extract_all("__t", F.lit(PATTERNS[k]), F.lit(0)).alias("hits"), F.split("__t", PATTERNS[k]).alias("gaps")) for n, k in enumerate(kinds)))
-    hits = rows.select(key, F.inline(each)).where(F.size("hits") > 0)
-    one = hits.select(key, "kind", "rank", "hits", "gaps", F.posexplode("hits").alias("n", "value"))
-    lengths = lambda a, n: F.aggregate(F.transform(F.slice(a, F.lit(1), n), F.length), F.lit(0), lambda s, x: s + x)
-    placed = one.select(key, "kind", "rank", "value", (lengths(F.col("gaps"), F.col("n") + 1) + lengths(F.col("hits"), F.col("n"))).alias("start"))
-    digits = F.regexp_replace("value", "[ -]", "")
-    placed = placed.where(F.when(F.col("kind") == "card", checksums.luhn_valid(digits)).when(F.col("kind") == "iban", checksums.iban_valid(F.col("value"))).otherwise(F.lit(True)))
-    other = placed.select(F.col(key).alias("__k"), F.col("rank").alias("__r"), F.col("start").alias("__s"), F.length("value").alias("__l"))
-    over = (F.col(key) == F.col("__k")) & (F.col("__r") < F.col("rank")) & (F.col("__s") < F.col("start") + F.length("value")) & (F.col("start") < F.col("__s") + F.col("__l"))
-    return placed.join(other, over, "left_anti").select(key, "kind", "value", "start")
-
-
-def mask_text(text: Column, kinds: list[str], secret: bytes) -> Column:
-    """text with every match of the classes replaced by its token, class after class; tokens already there stay."""
-    for kind in kinds:
-        if kind == "card":
-            one = lambda h: F.when(checksums.luhn_valid(F.regexp_replace(h, "[ -]", "")), tokens.token("card", h, secret)).otherwise(h)
-        elif kind == "iban":
-            one = lambda h: F.when(checksums.iban_valid(h), tokens.token("iban", h, secret)).otherwise(h)
-        else:
-            one = _token_of(kind, secret)
-        text = tokens.replace_matches(text, PATTERNS[kind], one)
-    return text
-
-
-def _token_of(kind: str, secret: bytes):  # noqa: ANN202
-    return lambda h: tokens.token(kind, h, secret)
 
 
 def class_of_field(name: str, dtype: str, manual: dict[str, str] | None = None) -> str | None:
@@ -116,15 +67,23 @@ def issue(values: DataFrame, kind: str, column: str, secret: bytes, known: DataF
     return fresh.select(F.lit(kind).alias("kind"), "normalized", tokens.token(kind, F.col("spelling"), secret).alias("token"), "spelling")
 
 
-def numbered(values: DataFrame, column: str, kind: str, signs: int = 2) -> DataFrame:
-    """(normalized, token): values numbered from 1 in the order of their digest. Numbers are dealt within the
-    16 ** signs buckets of a digest's first signs and shifted by the buckets' counts, so no task sees all."""
+def numbered(values: DataFrame, column: str, kind: str, known: DataFrame | None = None, signs: int = 2) -> DataFrame:
+    """(normalized, number, token): known rows (normalized, number) as they are, and values that they lack with the numbers
+    after the largest known one, in the order of their digest. So a number never comes to mean another value.
+
+    Numbers are dealt within the 16 ** signs buckets of a digest's first signs and shifted by the buckets' counts,
+    so no task sees all values."""
     distinct = values.select(tokens.normalize(kind, F.col(column)).alias("normalized")).where("normalized is not null").distinct()
+    if known is not None:
+        distinct = distinct.join(known.select("normalized"), "normalized", "left_anti")
+    most = 0 if known is None else known.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
     hashed = distinct.withColumn("__h", F.md5("normalized")).withColumn("__b", F.substring("__h", 1, signs))
     counts = hashed.groupBy("__b").agg(F.count("*").alias("__n"))
     before = counts.select(F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     own = F.row_number().over(Window.partitionBy("__b").orderBy("__h", "normalized"))
-    return hashed.withColumn("__own", own).join(F.broadcast(before), F.col("__b") == F.col("__c")).select("normalized", F.concat(F.lit(f"[[{kind}:"), (F.col("__before") + F.col("__own")).cast("string"), F.lit("]]")).alias("token"))
+    fresh = hashed.withColumn("__own", own).join(F.broadcast(before), F.col("__b") == F.col("__c")).select("normalized", (F.col("__before") + F.col("__own") + most).cast("long").alias("number"))
+    both = fresh if known is None else known.select("normalized", F.col("number").cast("long").alias("number")).unionByName(fresh)
+    return both.withColumn("token", F.concat(F.lit(f"[[{kind}:"), F.col("number").cast("string"), F.lit("]]")))
 
 
 def resolve_variants(variants: DataFrame) -> DataFrame:
@@ -166,20 +125,71 @@ def check_filter(field_classes: dict[str, str], field: str, operation: str, lite
         raise EngineError("filter_syntax", f"{field} is compared with tokens only")
 
 
-def find_phrases(texts: DataFrame, key: str, text: str, phrases: DataFrame) -> DataFrame:
-    """(key, phrase, hits): how often each phrase occurs in each text as whole words, in any case.
-
-    Runs of as many words as some phrase has are counted in each row and joined with the phrases by equality:
-    the dictionary may have any size, and a longer one costs a shuffle, not memory."""
-    words = F.filter(F.split(F.lower(F.translate(F.col(text), tokens.QUOTES, tokens.FOLDED)), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    known = phrases.select("phrase", F.array_join(F.filter(F.split(F.lower(F.translate("phrase", tokens.QUOTES, tokens.FOLDED)), r"[^\p{L}\p{N}]+"), lambda w: w != ""), " ").alias("__p")).where("__p <> ''")
-    rows = texts.select(key, words.alias("__w"))
-    run = lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, F.lit(n)), " ")))
-    lengths = sorted(r[0] for r in known.select(F.size(F.split("__p", " "))).distinct().collect())
-    none = F.expr("cast(array() as array<string>)")
+#: Phrases up to which a run is looked up inside its row, in a set of hashes that is part of the expression.
+PHRASES_IN_ROW = 10_000
+#: Phrases up to which they are broadcast.
+PHRASES_BROADCAST = 200_000
+PHRASE_WORD = r"[\p{L}\p{N}]+"
+
+
+def phrase_places(texts: DataFrame, key: str, text: str, phrases: DataFrame, most: int = PHRASES_IN_ROW) -> DataFrame:
+    """(key, phrase, start, stop): each place of each phrase in each text, as whole words, in any case and with quotes and ё
+    folded; characters count from 0 and a place goes from a phrase's first word to its last. phrases holds each phrase once.
+
+    Runs of as many words as some phrase has are hashed in the row. With up to `most` phrases only runs with a
+    phrase's hash leave the row; a longer dictionary is broadcast, and beyond PHRASES_BROADCAST costs a shuffle, not memory."""
+    folded = lambda c: F.lower(F.translate(c, tokens.QUOTES, tokens.FOLDED))
+    split = lambda c: F.filter(F.split(folded(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    known = phrases.select("phrase", split(F.col("phrase")).alias("__ws")).where(F.size("__ws") > 0)
+    known = known.select("phrase", F.array_join("__ws", " ").alias("__p"), F.size("__ws").alias("__n"), F.xxhash64(F.array_join("__ws", " ")).alias("__h"))
+    lengths = sorted(r[0] for r in known.select("__n").distinct().collect())  # as many as phrases have lengths
+    if not lengths:
+        return texts.select(key).where("false").selectExpr(f"`{key}`", "cast(null as string) phrase", "0 start", "0 stop")
+    placed = places(folded(F.col(text)), PHRASE_WORD)
+    rows = texts.select(key, placed.alias("__w")).where(F.size("__w") > 0)
+    run = lambda n: F.when(
+        F.size("__w") >= n,
+        F.transform(
+            F.sequence(F.lit(0), F.size("__w") - n),
+            lambda i: F.struct(
+                F.get("__w", i)["start"].alias("start"),
+                F.get("__w", i + n - 1)["stop"].alias("stop"),
+                F.array_join(F.transform(F.slice("__w", i + 1, F.lit(n)), lambda w: w["value"]), " ").alias("run"),
+            ),
+        ),
+    )
+    none = F.expr("cast(array() as array<struct<start:int,stop:int,run:string>>)")
     runs = F.flatten(F.array(none, *(F.coalesce(run(n), none) for n in lengths)))
-    counted = rows.select(key, F.explode(runs).alias("__run")).groupBy(key, "__run").agg(F.count("*").alias("hits"))
-    return counted.join(known, F.col("__run") == F.col("__p")).select(key, "phrase", "hits")
+    n = known.count()
+    if n <= most:
+        hashes = [r[0] for r in known.select("__h").distinct().collect()]
+        runs = F.filter(runs, lambda x: F.xxhash64(x["run"]).isin(*hashes))
+    found = rows.select(key, F.explode(runs).alias("__x"))
+    known = F.broadcast(known) if n <= PHRASES_BROADCAST else known
+    return found.join(known, F.col("__x.run") == F.col("__p")).select(key, "phrase", F.col("__x.start").alias("start"), F.col("__x.stop").alias("stop"))
+
+
+def find_phrases(texts: DataFrame, key: str, text: str, phrases: DataFrame, most: int = PHRASES_IN_ROW) -> DataFrame:
+    """(key, phrase, hits): how often each phrase occurs in each text; see phrase_places()."""
+    return phrase_places(texts, key, text, phrases, most).groupBy(key, "phrase").agg(F.count("*").alias("hits"))
+
+
+def mask_known_names(texts: DataFrame, key: str, text: str, dictionary: DataFrame, most: int = PHRASES_IN_ROW) -> DataFrame:
+    """texts with every known spelling of dictionary (spelling, token) in `text` replaced by its token. Where spellings
+    overlap, the one that starts first, and of those the longest, is replaced, then the next that starts after it.
+    A spelling of two tokens is left as it is. key tells rows apart. Null texts stay null."""
+    spelled = dictionary.groupBy("spelling").agg(F.min("token").alias("token"), F.count_distinct("token").alias("__n")).where("__n = 1")
+    hits = phrase_places(texts.select(key, text), key, text, spelled.select(F.col("spelling").alias("phrase")), most)
+    named = hits.join(spelled.select(F.col("spelling").alias("phrase"), "token"), "phrase").select(F.col(key).alias("__key"), F.struct("start", (-F.col("stop")).alias("far"), "stop", "token").alias("x"))
+    placed = named.groupBy("__key").agg(F.sort_array(F.collect_list("x")).alias("__all"))
+    kept = F.aggregate(
+        "__all",
+        F.expr("cast(array() as array<struct<start:int,far:int,stop:int,token:string>>)"),
+        lambda s, x: F.when((F.size(s) == 0) | (F.element_at(s, -1)["stop"] <= x["start"]), F.concat(s, F.array(x))).otherwise(s),
+    )
+    joined = texts.join(placed.select("__key", kept.alias("__kept")), F.col(key) == F.col("__key"), "left")
+    masked = F.when(F.col("__kept").isNull(), F.col(text)).otherwise(replace_spans(F.col(text), F.col("__kept"), lambda x: x["token"]))
+    return joined.select(*((masked.alias(c) if c == text else F.col(f"`{c}`")) for c in texts.columns))
 
 
 def merge_spans(hits: DataFrame, key: str) -> DataFrame:
@@ -192,7 +202,7 @@ def merge_spans(hits: DataFrame, key: str) -> DataFrame:
     return placed.groupBy(key, "__c").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), parts.alias("parts")).drop("__c")
 
 
-def guard(df: DataFrame, secret: bytes, kinds: tuple[str, ...] = ("email", "card")) -> DataFrame:
+def guard(df: DataFrame, secret: bytes, kinds: tuple[str, ...] = SCAN_ORDER) -> DataFrame:
     """The last step before rows leave: every string field is searched once more. guard_replaced counts the fields that changed."""
     names = [n for n, t in df.dtypes if t == "string"]
     out = df.withColumns({f"__g_{n}": mask_text(F.col(f"`{n}`"), list(kinds), secret) for n in names})

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlake.errors import EngineError
 
 DEFAULT_TOP, MOST_TOP = 50, 1000
-#: A dimension of at most so many rows is broadcast.
-BROADCAST_ROWS = 100_000
+MIN_ROW = 2  # characters of the shortest row's JSON
 
 
 def substringof(pattern: str, field: Column) -> Column:
@@ -56,10 +55,17 @@ def checked_number(name: str, value: object) -> int:
     return value
 
 
-def page(df: DataFrame, order: list[Column], top: int | None = None, skip: int = 0) -> DataFrame:
-    """At most `top` rows (50 unless given, 1000 at most) after `skip` rows in the order, which has to be total."""
-    top = min(DEFAULT_TOP if top is None else checked_number("top", top), MOST_TOP)
-    return df.orderBy(*order).offset(checked_number("skip", skip)).limit(top)
+def clamped_top(top: int | None, warnings: list[str] | None = None) -> int:
+    """top, 50 unless given; over 1000 it is cut to that, which is told in warnings."""
+    asked = DEFAULT_TOP if top is None else checked_number("top", top)
+    if asked > MOST_TOP and warnings is not None:
+        warnings.append(f"top was cut to {MOST_TOP}")
+    return min(asked, MOST_TOP)
+
+
+def page(df: DataFrame, order: list[Column], top: int | None = None, skip: int = 0, warnings: list[str] | None = None) -> DataFrame:
+    """At most `top` rows (see clamped_top) after `skip` rows in the order, which has to be total."""
+    return df.orderBy(*order).offset(checked_number("skip", skip)).limit(clamped_top(top, warnings))
 
 
 def page_info(total: int | None, skip: int, count: int, top: int) -> dict:
@@ -68,19 +74,18 @@ def page_info(total: int | None, skip: int, count: int, top: int) -> dict:
 
 
 def fits(df: DataFrame, order: list[str], budget: int) -> DataFrame:
-    """The longest run of leading rows whose JSON fits the budget, with their running size in `size`.
+    """The longest run of rows in a total order whose JSON fits the budget, with their running size in `size`. Leading
+    rows that are over the budget by themselves are skipped, so that one large row doesn't hide all others.
 
-    Sums are taken within each value of the first sort field and over these values' totals.
-    """
+    A row has at least MIN_ROW characters, so no more than budget / MIN_ROW rows can fit: a top-k of that many by the
+    order, taken in every task before any shuffle, is all that sizes are summed over."""
     sized = df.withColumn("__n", F.length(F.to_json(F.struct(*df.columns))))
-    first = order[0]
-    blocks = sized.groupBy(first).agg(F.sum("__n").alias("__total"))
-    before = blocks.withColumn("__before", F.coalesce(F.sum("__total").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # a key that begins beyond the budget can't add a row
-    held = before.where(F.col("__before") <= budget).select(F.col(first).alias("__first"), "__before")
-    rows = sized.join(held, F.col(first) == F.col("__first"))
-    running = Window.partitionBy(first).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("size", F.col("__before") + F.sum("__n").over(running)).where(F.col("size") <= budget).drop("__n", "__first", "__before")
+    large = F.col("__n") > budget
+    start = sized.where(~large).orderBy(*order).limit(1).select(*(F.col(c).alias(f"__{c}") for c in order))
+    after = F.struct(*order) >= F.struct(*(F.col(f"__{c}") for c in order))
+    few = sized.join(F.broadcast(start), after).select(*sized.columns).orderBy(*order).limit(budget // MIN_ROW + 1)
+    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return few.withColumn("size", F.sum("__n").over(running)).where(F.col("size") <= budget).drop("__n")
 
 
 def check_order(order: list[str], protected: set[str]) -> None:

@@ -101,14 +101,28 @@ def balance_and_turnovers(reg: Register, start: datetime, end: datetime, dimensi
     return reg.rows(where).where(F.col(reg.period) < F.lit(end)).groupBy(*reg.dims(dimensions)).agg(*sums)
 
 
-def running_balance(reg: Register, order: list[str], dimensions: tuple[str, ...] | None = None, where: Column | None = None) -> DataFrame:
-    """Movements with `<resource>_opening` and `_closing` of their dimensions, in order of period and `order`."""
+def running_balance(reg: Register, order: list[str], dimensions: tuple[str, ...] | None = None, where: Column | None = None, block: str = "month") -> DataFrame:
+    """Movements with `<resource>_opening` and `_closing` of their dimensions, in order of period and `order`.
+
+    Sums are taken within blocks of time (day, month, year) and over the blocks' totals, so the movements of one item
+    with very many are dealt out to as many tasks as it has blocks."""
     dims = reg.dims(dimensions)
-    upto = Window.partitionBy(*dims).orderBy(reg.period, *order).rowsBetween(Window.unboundedPreceding, 0)
-    out = reg.rows(where)
+    rows = reg.rows(where).withColumn("__block", F.date_trunc(block, F.col(reg.period)))
+    totals = rows.groupBy(*dims, "__block").agg(*(F.sum(reg.signed(r)).alias(f"__t_{r}") for r in reg.resources))
+    earlier = Window.partitionBy(*dims).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(
+        *(F.col(c).alias(f"__d_{c}") for c in dims),
+        F.col("__block").alias("__b"),
+        *(F.coalesce(F.sum(f"__t_{r}").over(earlier), F.lit(0)).alias(f"__before_{r}") for r in reg.resources),
+    )
+    same = F.col("__block").eqNullSafe(F.col("__b"))
+    for c in dims:
+        same = same & F.col(c).eqNullSafe(F.col(f"__d_{c}"))
+    upto = Window.partitionBy(*dims, "__block").orderBy(reg.period, *order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(before, same)
     for r in reg.resources:
-        out = out.withColumn(f"{r}_closing", F.sum(reg.signed(r)).over(upto)).withColumn(f"{r}_opening", F.col(f"{r}_closing") - reg.signed(r))
-    return out
+        out = out.withColumn(f"{r}_closing", F.col(f"__before_{r}") + F.sum(reg.signed(r)).over(upto)).withColumn(f"{r}_opening", F.col(f"{r}_closing") - reg.signed(r))
+    return out.drop("__block", "__b", *(f"__d_{c}" for c in dims), *(f"__before_{r}" for r in reg.resources))
 
 
 def slice_last(df: DataFrame, period: str, dimensions: list[str], values: list[str], tie: str, at: datetime | None = None) -> DataFrame:

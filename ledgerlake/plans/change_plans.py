@@ -36,6 +36,14 @@ def write_check(spark: SparkSession, sf: str) -> DataFrame:
     return ch.mismatches(before, after, ["s_suppkey"], ["s_name", "s_acctbal"])
 
 
+@query("write_check_types", "SELECT s_suppkey, 's_acctbal' AS field FROM supplier WHERE s_suppkey % 5 = 0")
+def write_check_types(spark: SparkSession, sf: str) -> DataFrame:
+    """Doubles against decimals and text with zeros after them: what differs is the value alone."""
+    before, after = before_after(spark, sf)
+    stored = before.select("s_suppkey", "s_name", F.when(F.col("s_suppkey") % 5 == 0, F.col("s_acctbal") + 1).otherwise(F.col("s_acctbal")).cast("decimal(20,4)").cast("string").alias("s_acctbal"))
+    return ch.mismatches(before, stored, ["s_suppkey"], ["s_name", "s_acctbal"])
+
+
 @query("line_numbering", "SELECT l_orderkey, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate)::INT AS line FROM lineitem")
 def line_numbering(spark: SparkSession, sf: str) -> DataFrame:
     return ch.number_lines(entity(spark, sf, "lineitem"), "l_orderkey", LINES).select("l_orderkey", "l_partkey", "l_suppkey", "line")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgerlake.functions import checksums as c
 from ledgerlake.functions import text as tx
 from ledgerlake.functions import tokens as t
+from ledgerlake.operators import detection as d
+from ledgerlake.operators import governed as g
 from ledgerlake.operators import masking as m
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import entity
@@ -99,12 +101,24 @@ def token_known_value(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "numbered_token",
-    "SELECT lower(p_name) AS normalized, '[[org:' || row_number() OVER (ORDER BY md5(lower(p_name)), lower(p_name)) || ']]' AS token FROM (SELECT DISTINCT p_name FROM part)",
+    "SELECT lower(p_name) AS normalized, row_number() OVER (ORDER BY md5(lower(p_name)), lower(p_name)) AS number, '[[org:' || number || ']]' AS token FROM (SELECT DISTINCT p_name FROM part)",
 )
 def numbered_token(spark: SparkSession, sf: str) -> DataFrame:
     return m.numbered(entity(spark, sf, "part"), "p_name", "org")
 
 
+@query(
+    "numbered_token_second_issue",
+    """WITH o AS (SELECT DISTINCT lower(p_name) AS v FROM part WHERE p_partkey % 3 = 0), n AS (SELECT DISTINCT lower(p_name) AS v FROM part WHERE lower(p_name) NOT IN (SELECT v FROM o)),
+    a AS (SELECT v AS normalized, row_number() OVER (ORDER BY md5(v), v) AS number FROM o UNION ALL SELECT v, (SELECT count(*) FROM o) + row_number() OVER (ORDER BY md5(v), v) FROM n)
+    SELECT normalized, number, '[[org:' || number || ']]' AS token FROM a""",
+)
+def numbered_token_second_issue(spark: SparkSession, sf: str) -> DataFrame:
+    """All parts after a third of them had numbers: those keep them."""
+    parts = entity(spark, sf, "part")
+    return m.numbered(parts, "p_name", "org", m.numbered(parts.where("p_partkey % 3 = 0"), "p_name", "org"))
+
+
 PARSED = {"[[inn:GTDASDMS8Y]]": ("inn", False, 1), "see [[org:12]] and [[inn:AB]]": ("", False, 2), "[[inn:": ("", True, 0), "x]] [[org:7]]": ("", True, 1), "plain": ("", False, 0)}
 
 
@@ -113,48 +127,57 @@ def token_parse(spark: SparkSession, sf: str) -> DataFrame:
     return given(spark, list(PARSED)).select("x", t.token_class(F.col("x")).alias("kind"), t.has_partial_token(F.col("x")).alias("damaged"), F.size(t.tokens_in(F.col("x"))).alias("n_tokens"))
 
 
+#: Patterns for the SQL twins, which know no look-around: the shapes that the tables have.
+SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]*[A-Za-z0-9_]",
+    "phone": r"\+[0-9]{1,3} ?\([0-9]{3}\) ?[0-9]{3}-[0-9]{2,4}(?:-[0-9]{2})?",
+}
+
+
 def _detect(kind: str) -> None:
-    @query(f"detect_{kind}", f"SELECT doc_id, unnest(regexp_extract_all(text, '{m.PATTERNS[kind]}')) AS value FROM documents")
+    @query(f"detect_{kind}", f"SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_PATTERNS[kind]}')) AS value FROM documents")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return entity(spark, sf, "documents").select("doc_id", F.explode(m.found_in(F.col("text"), kind)).alias("value"))
+        return entity(spark, sf, "documents").select("doc_id", F.explode(d.found_in(F.col("text"), kind)).alias("value"))
 
 
 for _kind in ("email", "phone"):
     _detect(_kind)
 
-_D = "regexp_replace(value, '[ -]', '', 'g')"
-_LUHN = f"list_sum(list_transform(range(length({_D})), lambda i: CASE WHEN i % 2 = 1 THEN substr({_D}, length({_D})::INT - i::INT, 1)::INT * 2 - CASE WHEN substr({_D}, length({_D})::INT - i::INT, 1)::INT > 4 THEN 9 ELSE 0 END ELSE substr({_D}, length({_D})::INT - i::INT, 1)::INT END)) % 10 = 0"
+def _detect_one(kind: str) -> None:
+    @query(f"detect_{kind}")
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """Identifiers of one class in all documents; the tests hold it against a scan."""
+        return entity(spark, sf, "documents").select("doc_id", F.explode(d.found_in(F.col("text"), kind)).alias("value"))
 
 
-@query("detect_card", f"SELECT doc_id, value FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{m.PATTERNS['card']}')) AS value FROM documents) WHERE {_LUHN}")
-def detect_card(spark: SparkSession, sf: str) -> DataFrame:
-    return entity(spark, sf, "documents").select("doc_id", F.explode(m.found_in(F.col("text"), "card")).alias("value"))
+for _kind in d.SCAN_ORDER[2:]:
+    _detect_one(_kind)
 
 
 @query(
     "detect_spans",
-    f"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '{m.PATTERNS['email']}')) AS value, generate_subscripts(regexp_extract_all(text, '{m.PATTERNS['email']}'), 1) AS n, text FROM documents)
-    SELECT doc_id, 'email' AS kind, value, (list_sum(list_transform(regexp_split_to_array(text, '{m.PATTERNS['email']}')[:n], lambda s: length(s))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{m.PATTERNS['email']}')[:n - 1], lambda s: length(s))), 0))::INT AS start FROM h""",
+    f"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_PATTERNS['email']}')) AS value, generate_subscripts(regexp_extract_all(text, '{SQL_PATTERNS['email']}'), 1) AS n, text FROM documents)
+    SELECT doc_id, 'email' AS kind, value, (list_sum(list_transform(regexp_split_to_array(text, '{SQL_PATTERNS['email']}')[:n], lambda s: length(s))) + coalesce(list_sum(list_transform(regexp_extract_all(text, '{SQL_PATTERNS['email']}')[:n - 1], lambda s: length(s))), 0))::INT AS start FROM h""",
 )
 def detect_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return m.spans(entity(spark, sf, "documents"), "doc_id", "text", ["email"])
+    return d.spans(entity(spark, sf, "documents"), "doc_id", "text", ["email"])
 
 
 @query("detect_all_spans")
 def detect_all_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Spans of all classes without overlaps; the tests hold it against a brute-force scan."""
-    return m.spans(entity(spark, sf, "documents"), "doc_id", "text", ["email", "phone", "card"])
+    return d.spans(entity(spark, sf, "documents"), "doc_id", "text", d.SCAN_ORDER)
 
 
 def masked_sql(text: str, kind: str) -> str:
-    p, normal = m.PATTERNS[kind], "lower(trim(h))" if kind == "email" else "regexp_replace(h, '[^0-9]', '', 'g')"
+    p, normal = SQL_PATTERNS[kind], "lower(trim(h))" if kind == "email" else "regexp_replace(h, '[^0-9]', '', 'g')"
     between, hits = f"regexp_split_to_array({text}, '{p}')", f"regexp_extract_all({text}, '{p}')"
     return f"array_to_string(list_transform(range(len({between})), lambda k: {between}[k + 1] || coalesce(list_transform({hits}, lambda h: {token_sql(kind, normal)})[k + 1], '')), '')"
 
 
 @query("mask_by_scan", f"SELECT doc_id, {masked_sql('text', 'email')} AS text FROM documents")
 def mask_by_scan(spark: SparkSession, sf: str) -> DataFrame:
-    return entity(spark, sf, "documents").select("doc_id", m.mask_text(F.col("text"), ["email"], SECRET).alias("text"))
+    return entity(spark, sf, "documents").select("doc_id", d.mask_text(F.col("text"), ["email"], SECRET).alias("text"))
 
 
 @query("mask_by_class", f"SELECT s_suppkey, {token_sql('org', 'lower(s_name)')} AS s_name, s_nationkey, s_acctbal FROM supplier")
@@ -194,19 +217,27 @@ def filter_by_token(spark: SparkSession, sf: str) -> DataFrame:
     return m.filter_by_token(customer, "c_name", token, dictionary).select("c_custkey", "c_acctbal")
 
 
-PHRASES = ["of the", "the", "de la", "Ciónado", "no such phrase"]
+PHRASES = ["of the", "the", "de la", "Ciónado", "no such phrase", "the market of the state and the people"]
 _WORDS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: w <> '')"
 
 
 @query(
     "find_phrases",
-    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), r AS (SELECT doc_id, unnest(flatten(list_transform([1, 2, 3, 4], lambda n: list_transform(range(greatest(len(w) - n + 1, 0)), lambda i: array_to_string(w[i + 1:i + n], ' '))))) AS run FROM w)
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents), r AS (SELECT doc_id, unnest(flatten(list_transform([1, 2, 3, 8], lambda n: list_transform(range(greatest(len(w) - n + 1, 0)), lambda i: array_to_string(w[i + 1:i + n], ' '))))) AS run FROM w)
     SELECT doc_id, phrase, count(*) AS hits FROM r JOIN {values(PHRASES, 'phrase')} ON run = lower(phrase) GROUP BY doc_id, phrase""",
 )
 def find_phrases(spark: SparkSession, sf: str) -> DataFrame:
     return m.find_phrases(entity(spark, sf, "documents"), "doc_id", "text", given(spark, PHRASES, "phrase"))
 
 
+@query("mask_known_names", f"SELECT o_orderkey, regexp_replace(o_comment, '\\b(furiously|carefully)\\b', '[[org:X]]', 'g') AS o_comment FROM (SELECT o_orderkey, o_orderkey || ' furiously, carefully-' || o_orderstatus || ' furiouslyx' AS o_comment FROM orders)")
+def mask_known_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Known names in a text by their tokens; a name inside a longer word stays."""
+    notes = entity(spark, sf, "orders").select("o_orderkey", F.concat(F.col("o_orderkey").cast("string"), F.lit(" furiously, carefully-"), "o_orderstatus", F.lit(" furiouslyx")).alias("o_comment"))
+    names = spark.createDataFrame([("furiously", "[[org:X]]"), ("Carefully", "[[org:X]]"), ("two tokens", "[[org:A]]"), ("two tokens", "[[org:B]]")], "spelling string, token string")
+    return m.mask_known_names(notes, "o_orderkey", "o_comment", names)
+
+
 @query(
     "overlap_groups",
     """WITH h AS (SELECT l_orderkey AS k, l_partkey % 97 AS a, l_partkey % 97 + l_quantity::INT AS z, 't' || l_suppkey AS x FROM lineitem),
@@ -219,10 +250,10 @@ def overlap_groups(spark: SparkSession, sf: str) -> DataFrame:
     return m.merge_spans(hits, "l_orderkey")
 
 
-@query("guard", f"SELECT conv_id, turn, role, {masked_sql('text', 'email')} AS text, ({masked_sql('text', 'email')} <> text)::INT AS guard_replaced FROM conversations WHERE text IS NOT NULL")
+@query("guard", f"SELECT conv_id, turn, role, {masked_sql('text', 'email')} AS text, coalesce(({masked_sql('text', 'email')} <> text)::INT, 0) AS guard_replaced FROM conversations")
 def guard(spark: SparkSession, sf: str) -> DataFrame:
-    rows = entity(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", "role", "text")
-    return m.guard(rows, SECRET, ("email",))
+    rows = entity(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return m.guard(rows, SECRET)
 
 
 @query("name_spellings", "SELECT * FROM (VALUES ('ООО \"Ромашка\"', 'ооо \"ромашка\"|ромашка'), ('АО Вега-Плюс', 'ао вега-плюс|вега-плюс'), ('12 34', '')) AS v(name, spellings)")
@@ -235,3 +266,81 @@ def contact_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A row's type decides the class of its values; an unknown type is searched."""
     kinds = F.create_map(*(F.lit(x) for kv in {"click": "phone", "view": "email", "purchase": "addr"}.items() for x in kv))
     return entity(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("scan")).alias("class"))
+
+
+@query(
+    "governed_query",
+    f"""SELECT c_custkey, {token_sql('org', 'lower(c_name)')} AS c_name, 'paid by ' || {token_sql('org', 'lower(c_name)')} || ' on account' AS note, 0 AS guard_replaced
+    FROM customer WHERE c_acctbal > 100 ORDER BY c_custkey LIMIT 40 OFFSET 10""",
+)
+def governed_query(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of a protected field are closed in the free text of the same rows too."""
+    rows = entity(spark, sf, "customer").withColumn("note", F.concat(F.lit("paid by "), "c_name", F.lit(" on account")))
+    found, _ = g.governed_query(spark, sf, "customer", g.Policy(SECRET), ["c_custkey", "c_name", "note"], [g.Condition("c_acctbal", "gt", 100)], ["c_custkey"], 40, 10, rows=rows)
+    return found
+
+
+@query("governed_by_token", f"SELECT c_custkey, {token_sql('org', 'lower(c_name)')} AS c_name, 0 AS guard_replaced FROM customer WHERE c_name = 'Customer#000000007'")
+def governed_by_token(spark: SparkSession, sf: str) -> DataFrame:
+    """A token that is part of something is an equality."""
+    customer = entity(spark, sf, "customer")
+    token = given(spark, ["Customer#000000007"]).select(t.token("org", F.col("x"), SECRET)).first()[0]
+    policy = g.Policy(SECRET, dictionary=m.issue(customer, "org", "c_name", SECRET))
+    return g.governed_query(spark, sf, "customer", policy, ["c_custkey", "c_name"], [g.Condition("c_name", "substringof", token)], ["c_custkey"])[0]
+
+
+@query("mask_two_passes", f"SELECT s_suppkey, {token_sql('org', 'lower(s_name)')} AS s_name, 'from ' || {token_sql('org', 'lower(s_name)')} AS note, 0 AS guard_replaced FROM supplier")
+def mask_two_passes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = entity(spark, sf, "supplier").select("s_suppkey", "s_name", F.concat(F.lit("from "), "s_name").alias("note"))
+    return g.mask_rows(rows, g.Policy(SECRET))
+
+
+@query("auto_representation", "SELECT o_orderkey, o_custkey, c_name AS o_custkey_text FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def auto_representation(spark: SparkSession, sf: str) -> DataFrame:
+    return g.with_representation(entity(spark, sf, "orders").select("o_orderkey", "o_custkey"), {"o_custkey": (entity(spark, sf, "customer"), "c_custkey", "c_name")})
+
+
+@query("service_columns", "SELECT r_regionkey, r_name FROM region")
+def service_columns(spark: SparkSession, sf: str) -> DataFrame:
+    rows = entity(spark, sf, "region").select("r_regionkey", "r_name").withColumn("odata.type", F.lit("x")).withColumn("DataVersion", F.lit("AAA="))
+    return g.without_service_columns(rows)
+
+
+TWELVE, TEN9 = "lpad(o_orderkey::VARCHAR, 12, '1')", "lpad(c_custkey::VARCHAR, 9, '1')"
+
+
+@query("ogrn_keys", f"SELECT o_orderkey, {TWELVE}::BIGINT % 11 % 10 = o_orderkey % 10 AS valid FROM orders")
+def ogrn_keys(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.concat(F.lpad(F.col("o_orderkey").cast("string"), 12, "1"), (F.col("o_orderkey") % 10).cast("string"))
+    return entity(spark, sf, "orders").select("o_orderkey", c.ogrn_valid(number).alias("valid"))
+
+
+@query("snils_keys", f"SELECT c_custkey, CASE WHEN s < 100 THEN s WHEN s IN (100, 101) THEN 0 ELSE s % 101 % 100 END = c_custkey % 100 AS valid FROM (SELECT c_custkey, {digits_sql(TEN9, (9, 8, 7, 6, 5, 4, 3, 2, 1))} AS s FROM customer)")
+def snils_keys(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    number = F.concat(F.lpad(key.cast("string"), 9, "1"), F.lpad((key % 100).cast("string"), 2, "0"))
+    return entity(spark, sf, "customer").select("c_custkey", c.snils_valid(number).alias("valid"))
+
+
+@query("account_keys", f"SELECT o_orderkey, substr(lpad((o_orderkey * 41 % 1000)::VARCHAR, 3, '0'), 1, 3) IN {c.ACCOUNT_PREFIXES} AS known FROM orders")
+def account_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Accounts whose last digits are nines, so that no five-digit prefix is met."""
+    number = F.concat(F.lpad((F.col("o_orderkey") * 41 % 1000).cast("string"), 3, "0"), F.lit("9" * 17))
+    return entity(spark, sf, "orders").select("o_orderkey", c.account_known(number).alias("known"))
+
+
+@query(
+    "card_network_keys",
+    """SELECT o_orderkey, b // 1000 = 4 OR b // 100 BETWEEN 51 AND 55 OR b BETWEEN 2221 AND 2720 OR b BETWEEN 2200 AND 2204 OR b // 100 = 50 OR b // 100 BETWEEN 56 AND 58 OR b // 100 IN (62, 34, 37) AS known
+    FROM (SELECT o_orderkey, o_orderkey * 7919 % 10000 AS b FROM orders)""",
+)
+def card_network_keys(spark: SparkSession, sf: str) -> DataFrame:
+    number = F.concat(F.lpad((F.col("o_orderkey") * 7919 % 10000).cast("string"), 4, "0"), F.lit("0" * 12))
+    return entity(spark, sf, "orders").select("o_orderkey", c.card_network_known(number).alias("known"))
+
+
+@query("iban_keys", "SELECT c_custkey, ('32142829' || lpad(c_custkey::VARCHAR, 14, '0') || '1611' || lpad((c_custkey % 98)::VARCHAR, 2, '0'))::HUGEINT % 97 = 1 AS valid FROM customer")
+def iban_keys(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("c_custkey")
+    number = F.concat(F.lit("GB"), F.lpad((key % 98).cast("string"), 2, "0"), F.lit("WEST"), F.lpad(key.cast("string"), 14, "0"))
+    return entity(spark, sf, "customer").select("c_custkey", c.iban_valid(number).alias("valid"))

@@ -141,6 +141,19 @@ def result_budget(spark: SparkSession, sf: str) -> DataFrame:
     return q.fits(entity(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), ["o_orderkey"], 120_000).select("o_orderkey", "size")
 
 
+@query(
+    "result_budget_large_row",
+    """WITH r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 AND o_orderkey < 20 THEN repeat('x', 6000) ELSE '' END AS t FROM orders),
+    s AS (SELECT o_orderkey, length('{"o_orderkey":' || o_orderkey || ',"t":"' || t || '"}') AS n FROM r)
+    SELECT o_orderkey, size::BIGINT AS size FROM (SELECT o_orderkey, sum(n) OVER (ORDER BY o_orderkey) AS size FROM s WHERE o_orderkey >= (SELECT min(o_orderkey) FROM s WHERE n <= 5000)) WHERE size <= 5000""",
+)
+def result_budget_large_row(spark: SparkSession, sf: str) -> DataFrame:
+    """A first row over the budget is skipped; a later one ends the run."""
+    key = F.col("o_orderkey")
+    large = F.when((key % 2 == 1) & (key < 20), F.repeat(F.lit("x"), 6000)).otherwise(F.lit(""))
+    return q.fits(entity(spark, sf, "orders").select("o_orderkey", large.alias("t")), ["o_orderkey"], 5000).select("o_orderkey", "size")
+
+
 @query("truncate_strings", "SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '…[' || (length(text) - 200) || ']' ELSE text END AS shown FROM documents")
 def truncate_strings(spark: SparkSession, sf: str) -> DataFrame:
     return entity(spark, sf, "documents").select("doc_id", truncated(F.col("text"), 200).alias("shown"))
