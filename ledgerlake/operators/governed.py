@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.errors import EngineError
-from ledgerlake.functions import tokens
+from ledgerlake.functions import checksums, tokens
+from ledgerlake.operators import known as lookup
 from ledgerlake.operators import masking, query
 from ledgerlake.sources.tables import entity
 
 #: Classes whose values are names that free text may repeat.
 NAME_CLASSES = ("org", "person")
+#: Check digits that an open value of a class has to pass before it is compared.
+CHECKED = {"inn": checksums.inn_valid, "ogrn": checksums.ogrn_valid, "snils": checksums.snils_valid}
 COMPARE = {
     "eq": lambda c, v: c == v,
     "ne": lambda c, v: c != v,
@@ -55,9 +58,17 @@ class Condition:
     value: object
 
 
+def check_open(spark: SparkSession, kind: str | None, name: str, value: object) -> None:
+    """Refuses an open value whose check digits are wrong for the field's class; the message doesn't name it."""
+    digits = re.sub(r"[^0-9]", "", value) if kind in CHECKED and isinstance(value, str) else ""
+    if digits and not spark.range(1).select(CHECKED[kind](F.lit(digits))).first()[0]:
+        raise EngineError("filter_syntax", f"the value for {name} doesn't pass the check digits of {kind}", "check the value, or give a token")
+
+
 def condition(df: DataFrame, policy: Policy, c: Condition) -> Column:
     """The condition as a column. A token stands for its spellings, so a token that is part of something is an equality;
-    a damaged token, one of another class and an open value against a field that takes tokens only are refused."""
+    a damaged token, one of another class, an open value against a field that takes tokens only and one with wrong
+    check digits are refused."""
     known = policy.classes(df)
     if c.field not in known:
         raise EngineError("filter_syntax", f"{c.field} is not a field")
@@ -69,6 +80,8 @@ def condition(df: DataFrame, policy: Policy, c: Condition) -> Column:
     if whole is None:
         if isinstance(c.value, str) and re.search(r"\[\[|\]\]", c.value):
             raise EngineError("token_partial", "the token is damaged")
+        if c.operation in ("eq", "ne"):
+            check_open(df.sparkSession, kind, c.field, c.value)
         return COMPARE[c.operation](F.col(c.field), c.value)
     if c.operation not in ("eq", "ne", "substringof"):
         raise EngineError("filter_syntax", f"a token can't be used with {c.operation}")
@@ -82,7 +95,8 @@ def condition(df: DataFrame, policy: Policy, c: Condition) -> Column:
 
 def mask_rows(df: DataFrame, policy: Policy, names: DataFrame | None = None) -> DataFrame:
     """df masked in two passes: first every field of a class, by which the names in it become known; then, in all other text,
-    those names and the dictionary's, and what detection finds. guard_replaced counts the fields that the last step changed.
+    those names and the dictionary's, its known numbers across separators, and what detection finds. guard_replaced counts the
+    fields that the last step changed.
 
     names (spelling, token) may add to what is known. Rows need no key."""
     known = policy.classes(df)
@@ -93,14 +107,17 @@ def mask_rows(df: DataFrame, policy: Policy, names: DataFrame | None = None) ->
         own.append(names.select("spelling", "token"))
     out = masking.mask_fields(df, policy.secret, {**policy.base, **policy.manual})
     free = [name for name, dtype in df.dtypes if dtype == "string" and known[name][0] is None and policy.manual.get(name, policy.base.get(name)) != "keep"]
-    if own and free:
-        all_names = own[0]
+    numbers = None if policy.dictionary is None else lookup.numbers_of(policy.dictionary)
+    if (own or numbers is not None) and free:
+        all_names = own[0] if own else None
         for more in own[1:]:
             all_names = all_names.unionByName(more)
         keyed = out.withColumn("__row", F.sha2(F.to_json(F.struct(*out.columns)), 256))  # equal rows are masked alike
         for name in free:
             texts = keyed.select("__row", name).distinct()
-            masked = masking.mask_known_names(texts, "__row", name, all_names).select(F.col("__row").alias("__k"), F.col(name).alias("__masked"))
+            texts = texts if numbers is None else lookup.mask_known_numbers(texts, "__row", name, numbers)
+            texts = texts if all_names is None else masking.mask_known_names(texts, "__row", name, all_names)
+            masked = texts.select(F.col("__row").alias("__k"), F.col(name).alias("__masked"))
             keyed = keyed.join(masked, F.col("__row") == F.col("__k"), "left").withColumn(name, F.col("__masked")).drop("__k", "__masked")
         out = keyed.select(*df.columns)
     return masking.guard(out, policy.secret)
@@ -120,7 +137,7 @@ def governed_query(
     rows: DataFrame | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """(rows, warnings). All checks run before any row is read: a hidden entity, unknown fields, conditions and an order on
-    protected fields are refused. order has to be total. rows stands in for the entity's own, as after an expansion."""
+    protected fields are refused. What the query's tokens stand for is closed in its rows' texts too. order has to be total. rows stands in for the entity's own, as after an expansion."""
     source = entity(spark, folder, name, policy.hidden)
     df = source if rows is None else rows
     known = policy.classes(df)
@@ -129,12 +146,16 @@ def governed_query(
         raise EngineError("params_invalid", f"no fields: {', '.join(unknown)}")
     query.check_order(order or [], {f for f, (kind, _) in known.items() if kind})
     warnings: list[str] = []
+    revealed: list[tuple[str, str]] = []  # what this query's tokens stand for, a few spellings each
     for c in where or []:
         df = df.where(condition(df, policy, c))
+        if isinstance(c.value, str) and re.fullmatch(tokens.TOKEN, c.value):
+            revealed += [(s, c.value) for s in masking.spellings(policy.dictionary, c.value)]
     keys = order or df.columns
     needed = [*chosen, *(k for k in keys if k not in chosen)]
     paged = query.page(df.select(*needed), [F.col(k) for k in keys], top, skip, warnings)
-    out = mask_rows(paged, policy)
+    scrubbed = spark.createDataFrame(revealed, "spelling string, token string") if revealed else None
+    out = mask_rows(paged, policy, scrubbed)
     if budget is not None:
         out = query.fits(out, keys, budget).drop("size")
     return out.select(*chosen, "guard_replaced"), warnings

@@ -29,6 +29,7 @@ NAME_RULES = (
 )
 GUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 MOST_SPELLINGS = 8
+LONG_TAIL = 16  # signs of a token whose short tail another value has
 
 
 def class_of_field(name: str, dtype: str, manual: dict[str, str] | None = None) -> str | None:
@@ -58,13 +59,20 @@ def masked_share(df: DataFrame) -> DataFrame:
     return sums.select(F.inline(F.array(*(F.struct(F.lit(n).alias("field"), F.col(f"m_{k}").alias("n_masked"), F.col("__n").alias("n_rows")) for k, n in enumerate(names)))))
 
 
-def issue(values: DataFrame, kind: str, column: str, secret: bytes, known: DataFrame | None = None) -> DataFrame:
-    """Dictionary rows (kind, normalized, token, spelling) of values that the dictionary lacks; the spelling is the smallest."""
+def issue(values: DataFrame, kind: str, column: str, secret: bytes, known: DataFrame | None = None, signs: int = 10) -> DataFrame:
+    """Dictionary rows (kind, normalized, token, spelling) of values that the dictionary lacks; the spelling is the smallest.
+    A tail of `signs` that another value has, known before or the smaller of the new ones, makes a tail of LONG_TAIL."""
     rows = values.select(F.col(column).alias("spelling")).where("spelling is not null").withColumn("normalized", tokens.normalize(kind, F.col("spelling")))
     fresh = rows.groupBy("normalized").agg(F.min("spelling").alias("spelling"))
+    fresh = fresh.withColumn("token", tokens.token(kind, F.col("spelling"), secret, signs))
+    place = F.row_number().over(Window.partitionBy("token").orderBy("normalized"))  # a digest's tail: few rows each
+    fresh = fresh.withColumn("__second", place > 1)
     if known is not None:
-        fresh = fresh.join(known.where(F.col("kind") == kind).select("normalized"), "normalized", "left_anti")
-    return fresh.select(F.lit(kind).alias("kind"), "normalized", tokens.token(kind, F.col("spelling"), secret).alias("token"), "spelling")
+        before = known.where(F.col("kind") == kind)
+        fresh = fresh.join(before.select("normalized"), "normalized", "left_anti")
+        fresh = fresh.join(before.select("token", F.lit(True).alias("__taken")).distinct(), "token", "left").withColumn("__second", F.col("__second") | F.coalesce("__taken", F.lit(False)))
+    long = tokens.token(kind, F.col("spelling"), secret, LONG_TAIL)
+    return fresh.select(F.lit(kind).alias("kind"), "normalized", F.when(F.col("__second"), long).otherwise(F.col("token")).alias("token"), "spelling")
 
 
 def numbered(values: DataFrame, column: str, kind: str, known: DataFrame | None = None, signs: int = 2) -> DataFrame:

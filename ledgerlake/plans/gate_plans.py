@@ -10,7 +10,9 @@ from ledgerlake.functions import text as tx
 from ledgerlake.functions import tokens as t
 from ledgerlake.operators import detection as d
 from ledgerlake.operators import governed as g
+from ledgerlake.operators import known as k
 from ledgerlake.operators import masking as m
+from ledgerlake.operators.catalog import fields_of
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import entity
 
@@ -344,3 +346,93 @@ def iban_keys(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
     number = F.concat(F.lit("GB"), F.lpad((key % 98).cast("string"), 2, "0"), F.lit("WEST"), F.lpad(key.cast("string"), 14, "0"))
     return entity(spark, sf, "customer").select("c_custkey", c.iban_valid(number).alias("valid"))
+
+
+CUST9 = "lpad(o_custkey::VARCHAR, 9, '0')"
+CUST_INN = f"({CUST9} || ({digits_sql(CUST9, c.INN_10)} % 11 % 10))"
+
+
+@query(
+    "guard_known_numbers",
+    f"""SELECT o_orderkey, CASE WHEN o_custkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN 'to ' || {token_sql('inn', 'number')} || ' of [[inn:12]]'
+    ELSE 'to ' || substr(number, 1, 4) || '-' || substr(number, 5, 3) || ' ' || substr(number, 8) || ' of [[inn:12]]' END AS note FROM (SELECT o_orderkey, o_custkey, {CUST_INN} AS number FROM orders)""",
+)
+def guard_known_numbers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers of a third of the customers, written with separators, in notes of all orders."""
+    inn = lambda key: F.concat(F.lpad(F.col(key).cast("string"), 9, "0"), c.inn_control(F.lpad(F.col(key).cast("string"), 9, "0")).cast("string"))
+    customers = entity(spark, sf, "customer").where("c_custkey % 3 = 0").select(inn("c_custkey").alias("inn"))
+    notes = entity(spark, sf, "orders").withColumn("i", inn("o_custkey"))
+    notes = notes.select("o_orderkey", F.concat(F.lit("to "), F.substring("i", 1, 4), F.lit("-"), F.substring("i", 5, 3), F.lit(" "), F.substring("i", 8, 3), F.lit(" of [[inn:12]]")).alias("note"))
+    return k.mask_known_numbers(notes, "o_orderkey", "note", k.numbers_of(m.issue(customers, "inn", "inn", SECRET)))
+
+
+_LEAST = " ".join(f"WHEN '{name}' THEN {n}" for name, n in k.LEAST_LENGTH.items())
+_KINDS = "['inn', 'phone', 'card', 'org', 'doc'][(o_orderkey % 5 + 1)::INT]"
+
+
+@query("searchable_values", f"SELECT o_orderkey, length(repeat('7', (o_orderkey % 22)::INT)) >= CASE {_KINDS} {_LEAST} ELSE {k.LEAST_LENGTH_OTHERS} END AS searched FROM orders")
+def searchable_values(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.get(F.array(*(F.lit(x) for x in ("inn", "phone", "card", "org", "doc"))), (F.col("o_orderkey") % 5).cast("int"))
+    return entity(spark, sf, "orders").select("o_orderkey", k.searchable(kind, F.repeat(F.lit("7"), (F.col("o_orderkey") % 22).cast("int"))).alias("searched"))
+
+
+@query(
+    "garbage_tokens",
+    """WITH s AS (SELECT 't' || p_partkey % 300 AS token, p_partkey % 300 < 100 OR p_partkey % 2 = 0 AS mark, p_partkey % 300 BETWEEN 150 AND 180 AS gender, p_partkey % 300 BETWEEN 250 AND 270 OR p_partkey % 7 = 0 AS echo FROM part)
+    SELECT token FROM s GROUP BY token HAVING count(*) FILTER (NOT echo) = 0 OR bool_and(mark) FILTER (NOT echo) OR bool_and(gender) FILTER (NOT echo)""",
+)
+def garbage_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens with no value behind them: marks of tokens, a field that holds no names, and echoes alone."""
+    n, key = F.col("p_partkey") % 300, F.col("p_partkey")
+    rows = entity(spark, sf, "part").select(
+        F.lit("person").alias("kind"),
+        F.concat(F.lit("t"), n.cast("string")).alias("token"),
+        F.when((n < 100) | (key % 2 == 0), F.concat(F.lit("to [[inn:"), key.cast("string"), F.lit("]]"))).otherwise(F.col("p_name")).alias("spelling"),
+        F.when(n.between(150, 180), "gender").otherwise("name").alias("field"),
+        (~(n.between(250, 270) | (key % 7 == 0))).alias("from_data"),
+    )
+    return k.garbage_tokens(rows, ("gender",))
+
+
+@query(
+    "reveal_ladder",
+    """WITH s AS (SELECT 't' || user_id % 200 AS token, event_type AS base, 'f' || user_id % 3 AS field, 'v' || event_id AS spelling, lower('N' || user_id % 200) AS normalized, ts AS seen_at FROM events WHERE event_type <> 'view'),
+    w AS (SELECT DISTINCT 't' || user_id % 200 AS token, event_type AS base, 'f' || user_id % 4 AS field FROM events)
+    SELECT w.token, w.base, w.field, coalesce(max(own.spelling) FILTER (r = 1), max(n.normalized)) AS value FROM w
+    LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY token, base, field ORDER BY seen_at DESC, spelling DESC) AS r FROM s) own USING (token, base, field)
+    LEFT JOIN (SELECT token, min(normalized) AS normalized FROM s GROUP BY token) n ON n.token = w.token GROUP BY ALL""",
+)
+def reveal_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """What tokens stand for in a base and field: the spelling seen last there, else the normal form."""
+    events, user = entity(spark, sf, "events"), F.col("user_id")
+    token = F.concat(F.lit("t"), (user % 200).cast("string")).alias("token")
+    field = lambda n: F.concat(F.lit("f"), (user % n).cast("string")).alias("field")
+    spelled = events.where("event_type <> 'view'").select(token, F.col("event_type").alias("base"), field(3), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("spelling"), F.concat(F.lit("n"), (user % 200).cast("string")).alias("normalized"), F.col("ts").alias("seen_at"))
+    return k.reveal(events.select(token, F.col("event_type").alias("base"), field(4)).distinct(), spelled)
+
+
+POLICY = [("library", "c_name", "org", 0), ("library", "c_phone", "phone", 0), ("manual", "c_name", "keep", 1), ("manual", "s_name", "organisation", 1), ("manual", "p_name", "org", 1), ("manual", "p_name", "person", 1)]
+
+
+@query(
+    "policy_check",
+    """SELECT * FROM (VALUES ('library', 'c_name', 'org', 'overridden'), ('library', 'c_phone', 'phone', 'unknown_field'), ('manual', 's_name', 'organisation', 'unknown_class'),
+    ('manual', 'p_name', 'org', 'conflict'), ('manual', 'p_name', 'person', 'conflict')) AS v(layer, field, kind, problem)""",
+)
+def policy_check(spark: SparkSession, sf: str) -> DataFrame:
+    layers = spark.createDataFrame(POLICY, "layer string, field string, kind string, rank int")
+    fields = fields_of(spark, {t: entity(spark, sf, t) for t in ("customer", "supplier", "part")})
+    return k.policy_check(layers, fields, ("keep", "person", *(kind for kind, _ in m.NAME_RULES)))
+
+
+@query(
+    "token_collisions",
+    f"""WITH t AS (SELECT lower(p_name) AS normalized, p_name AS spelling, right(replace({token_sql('org', 'lower(p_name)')}, ']]', ''), 1) AS last FROM (SELECT DISTINCT p_name FROM part)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY last ORDER BY normalized) AS n FROM t)
+    SELECT normalized, length(CASE WHEN n = 1 THEN '[[org:' || last || ']]' ELSE '[[org:' || repeat('x', 16) || ']]' END)::INT AS long, CASE WHEN n = 1 THEN last END AS short FROM r""",
+)
+def token_collisions(spark: SparkSession, sf: str) -> DataFrame:
+    """With tails of one sign most values need a long one; the first of each sign keeps it."""
+    issued = m.issue(entity(spark, sf, "part"), "org", "p_name", SECRET, signs=1)
+    length = F.length("token")
+    return issued.select("normalized", length.alias("long"), F.when(length < 10, F.substring("token", 7, 1)).alias("short"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.errors import EngineError
 from ledgerlake.functions import tokens as t
-from ledgerlake.operators import catalog, changes, detection, governed, masking, query, recipes, registers
+from ledgerlake.operators import catalog, changes, detection, governed, known, masking, query, recipes, registers
 from ledgerlake.plans import QUERIES
 from ledgerlake.plans.recipe_plans import BOOK
 from ledgerlake.sources import tables
@@ -273,3 +273,74 @@ def test_values_are_compared_by_meaning(spark):
     sent = spark.createDataFrame([(1, 10.5, guid, "007"), (2, 1e20, guid, "a"), (3, None, None, " x"), (4, 0.1, "a", "b")], "k int, n double, g string, s string")
     stored = spark.createDataFrame([(1, "10.50", guid.lower(), "7.0"), (2, "100000000000000000000", "x", "a"), (3, None, None, "x")], "k int, n string, g string, s string")
     assert sorted(map(tuple, changes.mismatches(sent, stored, ["k"], ["n", "g", "s"]).collect())) == [(2, "g"), (3, "s"), (4, "g"), (4, "n"), (4, "s")]
+
+
+def test_known_numbers_in_texts(spark):
+    numbers = spark.createDataFrame([("inn", "[[inn:A]]", "7707083893"), ("doc", "[[doc:D]]", "123456"), ("phone", "[[phone:P]]", "7707083"), ("acc", "[[acc:X]]", ""), ("kpp", "[[kpp:K]]", "770708389")], "kind string, token string, digits string")
+    texts = {
+        "77 07-08/38.93": "[[inn:A]]",  # across separators; of those that start there the longest
+        "0077070838930": "00[[inn:A]]0",  # inside a longer run
+        "7707083893 7707083893": "[[inn:A]] [[inn:A]]",
+        "77\\n07083893": "[[inn:A]]",  # a written line break
+        "770708": "770708",
+        "[[inn:7707083893]] 7707083893": "[[inn:7707083893]] [[inn:A]]",
+        "00000000-0000-0000-0000-007707083893": "00000000-0000-0000-0000-007707083893",
+        "N 123456": "N [[doc:D]]",  # the whole run
+        "0000-123456": "0000-123456",  # part of a document's number
+        "45 08 123456": "45 08 [[doc:D]]",  # a passport's shape
+        "4508-123456": "4508-123456",
+        "паспорт 4508-123456": "паспорт 4508-[[doc:D]]",
+        "1 2 3 4 5 6": "[[doc:D]]",
+        "7    ": "7    ",
+        "no digits": "no digits",
+        "": "",
+    }
+    rows = spark.createDataFrame([*enumerate(texts), (99, None)], "id int, text string")
+    for most in (100, 0):
+        got = {r["id"]: r["text"] for r in known.mask_known_numbers(rows, "id", "text", numbers, most).collect()}
+        assert [got[i] for i in range(len(texts))] == list(texts.values()) and got[99] is None
+    assert known.mask_known_numbers(rows, "id", "text", numbers.where("false")).count() == len(texts) + 1
+    assert known.mask_known_numbers(rows.where("false"), "id", "text", numbers).count() == 0
+
+
+def test_known_numbers_against_a_scan(spark, sf):
+    """All digit windows of all documents, by a loop that shares nothing with the operator."""
+    docs = tables.entity(spark, sf, "documents").select("doc_id", "text")
+    values = ["2024", "19", "100", "55"]
+    numbers = spark.createDataFrame([("x", f"[[x:{v}]]", v) for v in values], "kind string, token string, digits string")
+    got = {r["doc_id"]: r["text"] for r in known.mask_known_numbers(docs, "doc_id", "text", numbers).collect()}
+    for doc_id, text in docs.collect():
+        if text is None:
+            assert got[doc_id] is None
+            continue
+        out, at = "", 0
+        blank = re.sub(r"\[\[[a-z][a-z0-9_:]{0,31}:[0-9A-Z]{1,16}\]\]|" + masking.GUID[1:-1], lambda m: "\0" * len(m[0]), text)
+        while at < len(text):
+            stop, token = None, None
+            for v in values:
+                k, seen = at, ""
+                while k < len(blank) and len(seen) < len(v) and (blank[k] in "0123456789" or (seen and (blank[k].isspace() or blank[k] in "-./()\\" or blank[k - 1 : k + 1] == "\\n"))):
+                    seen += blank[k] if blank[k] in "0123456789" else ""
+                    k += 1
+                if seen == v and (stop is None or k > stop):
+                    stop, token = k, f"[[x:{v}]]"
+            out, at = (out + token, stop) if stop else (out + text[at], at + 1)
+        assert got[doc_id] == out
+
+
+def test_open_values_pass_check_digits(spark):
+    rows = spark.createDataFrame([("7707083893", "a")], "inn string, note string")
+    policy = governed.Policy(SECRET)
+    assert rows.where(governed.condition(rows, policy, governed.Condition("inn", "eq", "7707083893"))).count() == 1
+    with pytest.raises(EngineError) as e:
+        governed.condition(rows, policy, governed.Condition("inn", "eq", "7707083894"))
+    assert e.value.code == "filter_syntax" and "7707083894" not in e.value.message
+    governed.condition(rows, policy, governed.Condition("inn", "eq", ""))
+
+
+def test_dictionary_numbers_and_revealed_values_are_closed(spark):
+    rows = spark.createDataFrame([(1, "7707083893", "paid to 77-07-083893 and 7707083893")], "id int, inn string, note string")
+    dictionary = masking.issue(rows, "inn", "inn", SECRET)
+    token = own_token("inn", "7707083893")
+    out = governed.mask_rows(rows, governed.Policy(SECRET, dictionary=dictionary)).first()
+    assert out["note"] == f"paid to {token} and {token}" and out["inn"] == token
