@@ -19,8 +19,6 @@ PASSPORT_JOINED = r"(?<![0-9\-./])[0-9]{4}-?[0-9]{6}(?![0-9\-./]?[0-9])"
 PASSPORT_WORD, PASSPORT_NEAR = r"(?iU)пасп|удостовер", 40
 GUID_IN_TEXT = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 
-#: Known numbers up to which a window is looked up inside its row, in a set that is part of the expression.
-NUMBERS_IN_ROW = 10_000
 #: Known numbers up to which they are broadcast.
 NUMBERS_BROADCAST = 200_000
 
@@ -76,35 +74,33 @@ def _windows(run: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(F.array(digits), of))  # digits are worked out once for all lengths
 
 
-def number_places(texts: DataFrame, key: str, text: str, numbers: DataFrame, most: int = NUMBERS_IN_ROW) -> DataFrame:
+def number_places(texts: DataFrame, key: str, text: str, numbers: DataFrame, most: int = NUMBERS_BROADCAST) -> DataFrame:
     """(key, start, stop, token): where known numbers stand in texts, across separators and inside longer runs of digits, but
     not in tokens and GUIDs. numbers has (kind, token, digits). Of numbers with the same digits the smallest token counts. A
     document's number shorter than WHOLE_DOC has to be a whole run or to stand in a passport's shape. Places may overlap.
 
-    Windows are made in the row; with up to `most` numbers only known ones leave it, beyond that they meet the numbers in a join."""
+    Windows of the known lengths are made in the row and meet the numbers in a join, a broadcast one up to `most` of them."""
     known = numbers.groupBy("digits").agg(F.min(F.struct("token", "kind")).alias("__t")).select("digits", "__t.token", "__t.kind").where("digits <> ''")
-    lengths = sorted(r[0] for r in known.select(F.length("digits")).distinct().collect())  # as many as numbers have lengths
-    rows = texts.select(F.col(key).alias("__key"), blank_tokens(F.col(text)).alias("__b"))
+    sizes = dict(known.groupBy(F.length("digits")).count().collect())  # as many as numbers have lengths
+    lengths = sorted(sizes)
+    # exploding keeps the expressions apart: filters that go down through a projection would repeat them many times
+    rows = texts.where(F.col(text).rlike("[0-9]")).select(F.col(key).alias("__key"), F.explode(F.array(blank_tokens(F.col(text)))).alias("__b"))
     if not lengths:
         return rows.where("false").selectExpr(f"__key as `{key}`", "0 start", "0 stop", "cast(null as string) token")
-    rows = rows.where(F.col("__b").rlike("[0-9]"))
-    found = F.flatten(F.transform(places(F.col("__b"), DIGIT_RUN), lambda run: _windows(run, lengths)))
-    n = known.count()
-    if n <= most:
-        values = [r[0] for r in known.select("digits").collect()]
-        found = F.filter(found, lambda x: x["digits"].isin(*values))
+    runs = rows.select("__key", "__b", F.explode(places(F.col("__b"), DIGIT_RUN)).alias("run"))
     shaped = lambda x: F.exists(places(F.col("__b"), PASSPORT_SPACED), lambda p: p["stop"] == x["stop"]) | F.exists(
         places(F.col("__b"), PASSPORT_JOINED),
         lambda p: (p["stop"] == x["stop"]) & F.substring(F.col("__b"), F.greatest(p["start"] - PASSPORT_NEAR, F.lit(0)) + 1, F.least(p["start"], F.lit(PASSPORT_NEAR))).rlike(PASSPORT_WORD),
     )
-    known = F.broadcast(known) if n <= NUMBERS_BROADCAST else known
-    hits = rows.select("__key", "__b", F.explode(found).alias("x")).join(known, F.col("x.digits") == F.col("digits"))
+    known = F.broadcast(known) if sum(sizes.values()) <= most else known
+    windows = runs.select("__key", "__b", F.explode(_windows(F.col("run"), lengths)).alias("x"))
+    hits = windows.join(known, F.col("x.digits") == F.col("digits"))
     short = (F.col("kind") == "doc") & (F.length("digits") < WHOLE_DOC)
     sure = ~short | F.col("x.whole") | ((F.length("digits") == 6) & shaped(F.col("x")))
     return hits.where(sure).select(F.col("__key").alias(key), F.col("x.start").alias("start"), F.col("x.stop").alias("stop"), "token")
 
 
-def mask_known_numbers(texts: DataFrame, key: str, text: str, numbers: DataFrame, most: int = NUMBERS_IN_ROW) -> DataFrame:
+def mask_known_numbers(texts: DataFrame, key: str, text: str, numbers: DataFrame, most: int = NUMBERS_BROADCAST) -> DataFrame:
     """texts with the known numbers of number_places() replaced by their tokens: from the left, of those that start at a place the
     longest, then the next after its end. key tells rows apart. Null texts stay null."""
     hits = number_places(texts, key, text, numbers, most).select(F.col(key).alias("__key"), F.struct("start", (-F.col("stop")).alias("far"), "stop", "token").alias("x"))
