@@ -84,7 +84,8 @@ def number_places(texts: DataFrame, key: str, text: str, numbers: DataFrame, mos
     sizes = dict(known.groupBy(F.length("digits")).count().collect())  # as many as numbers have lengths
     lengths = sorted(sizes)
     # exploding keeps the expressions apart: filters that go down through a projection would repeat them many times
-    rows = texts.where(F.col(text).rlike("[0-9]")).select(F.col(key).alias("__key"), F.explode(F.array(blank_tokens(F.col(text)))).alias("__b"))
+    given = texts.select(F.col(key).alias("__key"), F.explode(F.array(F.col(text))).alias("__text")).where(F.col("__text").rlike("[0-9]"))
+    rows = given.select("__key", F.explode(F.array(blank_tokens(F.col("__text")))).alias("__b"))
     if not lengths:
         return rows.where("false").selectExpr(f"__key as `{key}`", "0 start", "0 stop", "cast(null as string) token")
     runs = rows.select("__key", "__b", F.explode(places(F.col("__b"), DIGIT_RUN)).alias("run"))
