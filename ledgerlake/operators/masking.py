@@ -150,7 +150,8 @@ def phrase_places(texts: DataFrame, key: str, text: str, phrases: DataFrame, mos
     split = lambda c: F.filter(F.split(folded(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     known = phrases.select("phrase", split(F.col("phrase")).alias("__ws")).where(F.size("__ws") > 0)
     known = known.select("phrase", F.array_join("__ws", " ").alias("__p"), F.size("__ws").alias("__n"), F.xxhash64(F.array_join("__ws", " ")).alias("__h"))
-    lengths = sorted(r[0] for r in known.select("__n").distinct().collect())  # as many as phrases have lengths
+    sizes = dict(known.groupBy("__n").count().collect())  # as many as phrases have lengths
+    lengths, n = sorted(sizes), sum(sizes.values())
     if not lengths:
         return texts.select(key).where("false").selectExpr(f"`{key}`", "cast(null as string) phrase", "0 start", "0 stop")
     placed = places(folded(F.col(text)), PHRASE_WORD)
@@ -167,8 +168,7 @@ def phrase_places(texts: DataFrame, key: str, text: str, phrases: DataFrame, mos
         ),
     )
     none = F.expr("cast(array() as array<struct<start:int,stop:int,run:string>>)")
-    runs = F.flatten(F.array(none, *(F.coalesce(run(n), none) for n in lengths)))
-    n = known.count()
+    runs = F.flatten(F.array(none, *(F.coalesce(run(k), none) for k in lengths)))
     if n <= most:
         hashes = [r[0] for r in known.select("__h").distinct().collect()]
         runs = F.filter(runs, lambda x: F.xxhash64(x["run"]).isin(*hashes))
@@ -183,10 +183,10 @@ def find_phrases(texts: DataFrame, key: str, text: str, phrases: DataFrame, most
     known = phrases.select("phrase", F.array_join(split(F.col("phrase")), " ").alias("__p")).where("__p <> ''")
     rows = texts.select(key, split(F.col(text)).alias("__w"))
     run = lambda n: F.when(F.size("__w") >= n, F.transform(F.sequence(F.lit(1), F.size("__w") - n + 1), lambda i: F.array_join(F.slice("__w", i, F.lit(n)), " ")))
-    lengths = sorted(r[0] for r in known.select(F.size(F.split("__p", " "))).distinct().collect())  # as many as phrases have lengths
+    sizes = dict(known.groupBy(F.size(F.split("__p", " "))).count().collect())  # as many as phrases have lengths
+    lengths, n = sorted(sizes), sum(sizes.values())
     none = F.expr("cast(array() as array<string>)")
-    runs = F.flatten(F.array(none, *(F.coalesce(run(n), none) for n in lengths)))
-    n = known.count()
+    runs = F.flatten(F.array(none, *(F.coalesce(run(k), none) for k in lengths)))
     if 0 < n <= most:
         spelled = [r[0] for r in known.select("__p").distinct().collect()]
         runs = F.filter(runs, lambda x: x.isin(*spelled))
@@ -224,11 +224,15 @@ def merge_spans(hits: DataFrame, key: str) -> DataFrame:
 
 
 def guard(df: DataFrame, secret: bytes, kinds: tuple[str, ...] = SCAN_ORDER) -> DataFrame:
-    """The last step before rows leave: every string field is searched once more. guard_replaced counts the fields that changed."""
+    """The last step before rows leave: every string field is searched once more. guard_replaced counts the fields that changed.
+    All fields go through one expression, whose building takes longer than a small table's rows do."""
     names = [n for n, t in df.dtypes if t == "string"]
-    out = df.withColumns({f"__g_{n}": mask_text(F.col(f"`{n}`"), list(kinds), secret) for n in names})
+    if not names:
+        return df.withColumn("guard_replaced", F.lit(0))
+    out = df.withColumn("__guarded", F.transform(F.array(*(F.col(f"`{n}`") for n in names)), lambda x: mask_text(x, list(kinds), secret)))
+    after = {n: F.get("__guarded", F.lit(k)) for k, n in enumerate(names)}
     changed = F.lit(0)
-    for n in names:
-        changed = changed + F.coalesce((F.col(f"`__g_{n}`") != F.col(f"`{n}`")).cast("int"), F.lit(0))
-    kept = [F.col(f"`__g_{n}`").alias(n) if n in names else F.col(f"`{n}`") for n in df.columns]
+    for n, c in after.items():
+        changed = changed + F.coalesce((c != F.col(f"`{n}`")).cast("int"), F.lit(0))
+    kept = [after[n].alias(n) if n in after else F.col(f"`{n}`") for n in df.columns]
     return out.select(*kept, changed.alias("guard_replaced"))
