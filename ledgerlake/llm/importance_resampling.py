@@ -54,9 +54,10 @@ def moved(n: int) -> np.ndarray:
 
 def word_array(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
     """The words of all texts in order, as a dictionary array of bytes, and the number of words of each text."""
-    _, offsets, data = texts.cast(pa.large_binary()).buffers()
-    ends = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]] if len(texts) else np.zeros(0, np.uint8)
+    whole = texts.cast(pa.large_binary())  # a slice of a batch has an offset, before the cast and after it
+    _, offsets, data = whole.buffers()
+    ends = np.frombuffer(offsets, np.int64)[whole.offset : whole.offset + len(whole) + 1] if len(whole) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]]
     ends = ends - ends[0]
     inside = WORD[raw]
     fresh = inside.copy()
