@@ -108,6 +108,7 @@ class Node:
     noise: bool
     inside: int  # 1 inside a main element, 2 inside an article, else 0
     heading: bool
+    inline: bool = False  # of noise inside a block, which goes on behind it
 
 
 @dataclass(slots=True)
@@ -131,7 +132,7 @@ def _child(parent: Node, tag: str, attributes: str) -> Node:
     elif tag == "main" or marks.get("role") == "main":
         inside = max(inside, 1)
     noise = parent.noise and not (parent.tag == "form" and inside > parent.inside)
-    if tag not in ("html", "body", "main") and not (tag == "article" and not words & {"comment", "comments", "related", "ad", "ads", "sponsored"}):
+    if tag not in ("html", "body", "main") and not (tag == "article" and not {*classes} & {"comment", "comments", "related", "ad", "ads", "sponsored"}):
         noise |= tag in NOISE_TAGS or (tag == "header" and not inside) or marks.get("role") in NOISE_ROLES
         noise |= bool(words & NOISE_CLASSES) and not words & BESIDE
         noise |= "header" in words and not inside and tag not in HEADINGS
@@ -155,12 +156,13 @@ def parse(html: str, root: int) -> tuple[list[Block], dict[Node, list[int]]]:
         nonlocal linked
         text = " ".join("".join(pieces).split()) if pieces else ""
         if text:
-            blocks.append(Block(stack[-1], text, min(linked, len(text))))
+            blocks.append(Block(stack[-2] if stack[-1].inline else stack[-1], text, min(linked, len(text))))
         pieces.clear()
         linked = 0
 
     def close(upto: int) -> None:
-        flush()
+        if not (upto == len(stack) - 1 and stack[-1].inline):
+            flush()
         while len(stack) > upto:
             opened[stack.pop().tag] -= 1
 
@@ -177,6 +179,8 @@ def parse(html: str, root: int) -> tuple[list[Block], dict[Node, list[int]]]:
 
     for kind, name, what in tokens(html):
         if not kind:
+            if stack[-1].inline:
+                continue
             text = unescape(what) if "&" in what else what
             pieces.append(text)
             linked += len(text) if links else 0
@@ -192,7 +196,7 @@ def parse(html: str, root: int) -> tuple[list[Block], dict[Node, list[int]]]:
                 continue
             if name not in BLOCKS:
                 if "=" in what and (child := _child(stack[-1], name, what)).noise and not stack[-1].noise:
-                    flush()
+                    child.inline = True
                     stack.append(child)
                     opened[name] += 1
                 continue
