@@ -285,10 +285,14 @@ def _shard_links(dealt: DataFrame, radius: int) -> DataFrame:
 
 
 def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
-    """(fp, component_id) for each distinct fp of (doc_id, fp): the smallest doc_id among all fingerprints that links reach."""
-    kind = prints.schema["doc_id"].dataType.simpleString()
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fingerprints")
-    total = distinct.count()
+    """(fp, component_id) for each distinct fp of (doc_id, fp): the smallest doc_id among all fingerprints that links reach, null if none has one.
+
+    A fingerprint that only rows without doc_id have links others like any other: it gets a number over all doc_ids as its name."""
+    distinct = prints.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep"))
+    distinct = stored(distinct, "fingerprints")
+    total, most, nameless = distinct.agg(F.count("*"), F.coalesce(F.max("rep"), F.lit(0)), F.count_if(F.col("rep").isNull())).first()
+    if nameless:
+        distinct = stored(distinct.withColumn("rep", F.coalesce("rep", F.lit(most) + 1 + F.monotonically_increasing_id())), "named-fingerprints")
     sample = bounded_sample(distinct.select("fp"), F.col("fp"), min(MOST_SAMPLE, max(SAMPLE, 256 * (total // SHARD)))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     nodes = upper_tree(sample, total, radius)
 
@@ -298,19 +302,20 @@ def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(take), batch.column(1).take(take)], ["shard", "fp", "rep"])
 
-    dealt = distinct.where("rep is not null").mapInArrow(deal, f"shard int, fp long, rep {kind}")
+    dealt = distinct.mapInArrow(deal, "shard int, fp long, rep long")
     parts = max(1, sum(c < 0 for n in nodes for c in n[2:]))
     links = _shard_links(dealt.repartition(parts, "shard"), radius)
     roots = components(links)
-    return distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    joined = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("root"))
+    return joined.select("fp", F.when(F.col("root") <= most, F.col("root")).cast(prints.schema["doc_id"].dataType).alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row of docs.
 
     Texts without words have fingerprint zero and are linked like any other. Null texts count as empty.
-    Repeated rows stay repeated; a null doc_id is carried along and names no component. An empty table
-    gives an empty result; columns other than doc_id and text are ignored.
+    Repeated rows stay repeated; a null doc_id is carried along, links others by its text and names no component: where a
+    component has no other, component_id is null. An empty table gives an empty result; columns other than doc_id and text are ignored.
     """
     prints = stored(with_fingerprints(docs, width), "prints")
     roots = fingerprint_components(prints, radius)

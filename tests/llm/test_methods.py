@@ -300,3 +300,29 @@ def test_pipeline_on_edge_rows(spark, sf, rows):
     assert docs.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     left = {r["doc_id"] for r in docs.collect()}
     assert not left & {3, 4, 6} and (not rows or len(left) > 50) and docs.count() == docs.distinct().count()
+
+
+def test_rows_without_doc_id_link_others(spark):
+    """b and b ^ 15 are linked through b ^ 3, which only rows without doc_id have; so is a component of such rows alone, and one of them in the middle."""
+    base = 0x0F0F_1234_5678_9ABC
+    prints = [(1, base), (None, base ^ 3), (5, base ^ 15), (None, ~base), (None, ~base ^ 1), (7, base ^ 0xFF00), (None, base ^ 3), (9, 0)]
+    rows = [(d, f - (1 << 64) if f >= 1 << 63 else f) for d, f in ((d, f & (2**64 - 1)) for d, f in prints)]
+    got = {r.fp: r.component_id for r in simhash_dedup.fingerprint_components(spark.createDataFrame(rows, "doc_id long, fp long"), 2).collect()}
+    want = {}
+    for _, f in rows:
+        seen, todo = {f}, [f]
+        while todo:
+            x = todo.pop()
+            for _, y in rows:
+                if y not in seen and ((x ^ y) & (2**64 - 1)).bit_count() <= 2:
+                    seen.add(y)
+                    todo.append(y)
+        want[f] = min((d for d, y in rows if y in seen and d is not None), default=None)
+    assert got == want and want[rows[0][1]] == want[rows[2][1]] == 1 and want[rows[3][1]] is None
+
+
+def test_contamination_is_judged_by_each_text(spark):
+    item = " ".join(f"item{k}" for k in range(30))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(None, f"before {item} after"), (3, "a clean text of some words"), (3, f"also {item}"), (None, None), (4, "")], "doc_id long, text string")
+    assert sorted(map(tuple, decontamination.drop_contaminated(docs, items).collect()), key=str) == sorted([(3, "a clean text of some words"), (None, None), (4, "")], key=str)
