@@ -173,10 +173,14 @@ def contamination(docs: DataFrame, items: DataFrame, similarity: float = SIMILAR
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs without a window that is like a benchmark item; all columns stay, whatever their names.
 
-    A row without doc_id stays. Rows that share a doc_id go together if one of them has such a window. Null and
-    empty texts stay; texts are searched whole, however long. Without items every row stays, and an empty table stays empty."""
-    gone = contamination(docs, items).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    Each row is judged by its own text, whatever its doc_id: a row without one goes if it holds an item, and one that shares it with such a
+    row stays if it doesn't. Equal texts go together. Null and empty texts stay; texts are searched whole, however long.
+    Without items every row stays, and an empty table stays empty."""
+    digest = F.unhex(F.md5(text_of(docs).cast("binary")))
+    texts = docs.select(digest.alias("doc_id"), text_of(docs).alias("text"))
+    gone = contamination(texts, items).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = _small(stored(gone, "contaminated"), BROADCAST_ROWS)
+    return docs.join(gone, digest == F.col("__gone"), "left_anti")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
