@@ -78,3 +78,23 @@ def card_network_known(x: Column) -> Column:
     for n, low, high in CARD_RANGES:
         known = known | F.substring(x, 1, n).cast("int").between(low, high)
     return _checked(x, "^[0-9]{13,19}$", known)
+
+
+def _sum(x: str, weights: tuple[int, ...]) -> int:
+    return sum(int(c) * w for c, w in zip(x, weights))
+
+
+def inn_ok(x: str) -> bool:
+    """inn_valid() of one literal, for a condition that is checked before anything runs."""
+    if len(x) == 10:
+        return _sum(x, INN_10) % 11 % 10 == int(x[9])
+    return len(x) == 12 and _sum(x, INN_12_A) % 11 % 10 == int(x[10]) and _sum(x, INN_12_B) % 11 % 10 == int(x[11])
+
+
+def ogrn_ok(x: str) -> bool:
+    return len(x) in (13, 15) and int(x[:-1]) % (11 if len(x) == 13 else 13) % 10 == int(x[-1])
+
+
+def snils_ok(x: str) -> bool:
+    total = _sum(x, SNILS)
+    return len(x) == 11 and (total if total < 100 else total % 101 % 100) == int(x[9:])

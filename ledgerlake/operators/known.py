@@ -6,21 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import tokens
+from ledgerlake.operators import textsearch as search
 from ledgerlake.operators.detection import places, replace_spans
 
-# The characters from which on a value of a class is searched for, what separates the digits of one
-# number, the shapes of a passport's number and the words that confirm the second one.
+# The characters from which on a value of a class is searched for.
 LEAST_LENGTH = {"inn": 10, "kpp": 9, "ogrn": 13, "acc": 20, "corr": 20, "bic": 9, "snils": 11, "sfr": 10, "card": 13, "iban": 15, "phone": 7, "doc": 6}
 LEAST_LENGTH_OTHERS = 4
-WHOLE_DOC = 10  # digits of a passport's series and number; a shorter document number counts alone or in a passport's shape
-DIGIT_RUN = r"[0-9][0-9\s\-./()\\]*(?:(?<=\\)n[0-9\s\-./()\\]*)*[0-9]"
-PASSPORT_SPACED = r"(?<![0-9\-./])[0-9]{2}[\s.\-]?[0-9]{2}(?:\s|\\n)+[0-9]{6}(?![0-9\-./]?[0-9])"
-PASSPORT_JOINED = r"(?<![0-9\-./])[0-9]{4}-?[0-9]{6}(?![0-9\-./]?[0-9])"
-PASSPORT_WORD, PASSPORT_NEAR = r"(?iU)пасп|удостовер", 40
-GUID_IN_TEXT = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
-
-#: Known numbers up to which they are broadcast.
-NUMBERS_BROADCAST = 200_000
 
 
 def searchable(kind: Column, normalized: Column) -> Column:
@@ -56,64 +47,22 @@ def reveal(wanted: DataFrame, spellings: DataFrame) -> DataFrame:
 
 def blank_tokens(text: Column) -> Column:
     """text with each token and GUID as NULs of the same length, so that places stay and nothing is found in them."""
-    return replace_spans(text, places(text, f"{tokens.TOKEN}|{GUID_IN_TEXT}"), lambda x: F.repeat(F.lit("\0"), x["stop"] - x["start"]))
-
-
-def _windows(run: Column, lengths: list[int]) -> Column:
-    """Array of (start, stop, digits, whole): all windows of so many digits of a run, whatever stands between them."""
-    signs = F.transform(F.split(run["value"], ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
-    digits = F.filter(signs, lambda x: x["c"].rlike("^[0-9]$"))
-    window = lambda d, n: lambda o: F.struct(
-        (run["start"] + F.get(d, o)["i"]).alias("start"),
-        (run["start"] + F.get(d, o + n - 1)["i"] + 1).alias("stop"),
-        F.array_join(F.transform(F.slice(d, o + 1, F.lit(n)), lambda x: x["c"]), "").alias("digits"),
-        (F.size(d) == n).alias("whole"),
-    )
-    none = F.expr("cast(array() as array<struct<start:int,stop:int,digits:string,whole:boolean>>)")
-    of = lambda d: F.flatten(F.array(*(F.when(F.size(d) >= n, F.transform(F.sequence(F.lit(0), F.size(d) - n), window(d, n))).otherwise(none) for n in lengths)))
-    return F.flatten(F.transform(F.array(digits), of))  # digits are worked out once for all lengths
+    return replace_spans(text, places(text, f"{tokens.TOKEN}|{search.GUID_IN_TEXT}"), lambda x: F.repeat(F.lit("\0"), x["stop"] - x["start"]))
 
 
-def number_places(texts: DataFrame, key: str, text: str, numbers: DataFrame, most: int = NUMBERS_BROADCAST) -> DataFrame:
+def number_places(texts: DataFrame, key: str, text: str, numbers: DataFrame, most: int = search.PART) -> DataFrame:
     """(key, start, stop, token): where known numbers stand in texts, across separators and inside longer runs of digits, but
     not in tokens and GUIDs. numbers has (kind, token, digits). Of numbers with the same digits the smallest token counts. A
-    document's number shorter than WHOLE_DOC has to be a whole run or to stand in a passport's shape. Places may overlap.
-
-    Windows of the known lengths are made in the row and meet the numbers in a join, a broadcast one up to `most` of them."""
-    known = numbers.groupBy("digits").agg(F.min(F.struct("token", "kind")).alias("__t")).select("digits", "__t.token", "__t.kind").where("digits <> ''")
-    sizes = dict(known.groupBy(F.length("digits")).count().collect())  # as many as numbers have lengths
-    lengths = sorted(sizes)
-    # exploding keeps the expressions apart: filters that go down through a projection would repeat them many times
-    given = texts.select(F.col(key).alias("__key"), F.explode(F.array(F.col(text))).alias("__text")).where(F.col("__text").rlike("[0-9]"))
-    rows = given.select("__key", F.explode(F.array(blank_tokens(F.col("__text")))).alias("__b"))
-    if not lengths:
-        return rows.where("false").selectExpr(f"__key as `{key}`", "0 start", "0 stop", "cast(null as string) token")
-    runs = rows.select("__key", "__b", F.explode(places(F.col("__b"), DIGIT_RUN)).alias("run"))
-    shaped = lambda x: F.exists(places(F.col("__b"), PASSPORT_SPACED), lambda p: p["stop"] == x["stop"]) | F.exists(
-        places(F.col("__b"), PASSPORT_JOINED),
-        lambda p: (p["stop"] == x["stop"]) & F.substring(F.col("__b"), F.greatest(p["start"] - PASSPORT_NEAR, F.lit(0)) + 1, F.least(p["start"], F.lit(PASSPORT_NEAR))).rlike(PASSPORT_WORD),
-    )
-    known = F.broadcast(known) if sum(sizes.values()) <= most else known
-    windows = runs.select("__key", "__b", F.explode(_windows(F.col("run"), lengths)).alias("x"))
-    hits = windows.join(known, F.col("x.digits") == F.col("digits"))
-    short = (F.col("kind") == "doc") & (F.length("digits") < WHOLE_DOC)
-    sure = ~short | F.col("x.whole") | ((F.length("digits") == 6) & shaped(F.col("x")))
-    return hits.where(sure).select(F.col("__key").alias(key), F.col("x.start").alias("start"), F.col("x.stop").alias("stop"), "token")
+    document's number shorter than textsearch.WHOLE_DOC has to be a whole run or to stand in a passport's shape. Places may overlap.
 
+    Up to `most` numbers are searched for in one pass over the texts, more of them in parts."""
+    return search.finds(texts, key, text, search.books(numbers=numbers, most=most))
 
-def mask_known_numbers(texts: DataFrame, key: str, text: str, numbers: DataFrame, most: int = NUMBERS_BROADCAST) -> DataFrame:
+
+def mask_known_numbers(texts: DataFrame, key: str, text: str, numbers: DataFrame, most: int = search.PART) -> DataFrame:
     """texts with the known numbers of number_places() replaced by their tokens: from the left, of those that start at a place the
     longest, then the next after its end. key tells rows apart. Null texts stay null."""
-    hits = number_places(texts, key, text, numbers, most).select(F.col(key).alias("__key"), F.struct("start", (-F.col("stop")).alias("far"), "stop", "token").alias("x"))
-    placed = hits.groupBy("__key").agg(F.sort_array(F.collect_list("x")).alias("__all"))
-    kept = F.aggregate(
-        "__all",
-        F.expr("cast(array() as array<struct<start:int,far:int,stop:int,token:string>>)"),
-        lambda s, x: F.when((F.size(s) == 0) | (F.element_at(s, -1)["stop"] <= x["start"]), F.concat(s, F.array(x))).otherwise(s),
-    )
-    joined = texts.join(placed.select("__key", kept.alias("__kept")), F.col(key) == F.col("__key"), "left")
-    masked = F.when(F.col("__kept").isNull(), F.col(text)).otherwise(replace_spans(F.col(text), F.col("__kept"), lambda x: x["token"]))
-    return joined.select(*((masked.alias(c) if c == text else F.col(f"`{c}`")) for c in texts.columns))
+    return search.replace_known(texts, key, text, search.books(numbers=numbers, most=most), search.leftmost)
 
 
 def numbers_of(dictionary: DataFrame, garbage: DataFrame | None = None) -> DataFrame:
