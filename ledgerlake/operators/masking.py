@@ -297,6 +297,20 @@ def merge_spans(hits: DataFrame, key: str) -> DataFrame:
     return placed.groupBy(key, "__c").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), parts.alias("parts")).drop("__c")
 
 
+def group_spans(hits: DataFrame, key: str) -> DataFrame:
+    """(key, start, stop, tokens): textsearch.groups() over rows (key, start, stop, token), for finds that other engines have made."""
+    order = (F.col("start"), F.col("stop").desc(), F.col("token"))
+    earlier = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reached = hits.withColumn("__reach", F.max("stop").over(earlier))
+    fresh = F.col("__reach").isNull() | (F.col("start") >= F.col("__reach"))
+    placed = reached.withColumn("__group", F.sum(F.when(fresh, 1).otherwise(0)).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    apart = placed.where(fresh | (F.col("stop") > F.col("__reach")))
+    again = F.lag("token").over(Window.partitionBy(key, "__group").orderBy(*order))
+    marked = apart.withColumn("__shown", F.when(F.col("token").eqNullSafe(again), "").otherwise(F.col("token")))
+    rows = F.array_sort(F.collect_list(F.struct("start", (-F.col("stop")).alias("far"), "token", "__shown")))
+    return marked.groupBy(key, "__group").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.array_join(F.transform(rows, lambda x: x["__shown"]), "").alias("tokens")).drop("__group")
+
+
 @lru_cache(maxsize=8)
 def _scanned(context: int, kinds: tuple[str, ...], secret: bytes) -> Column:
     """The array __texts with its texts masked. Building it takes some 17,000 calls and 2 to 3 s, whatever the data, so each Spark context does it once."""

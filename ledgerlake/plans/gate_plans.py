@@ -20,11 +20,12 @@ SECRET = b"0123456789abcdef0123456789abcdef"
 INNER, OUTER = t.pads(SECRET)
 
 
-def token_sql(kind: str, normal: str) -> str:
-    """The token of a normal form in SQL."""
+def token_sql(kind: str, normal: str, signs: int = 10) -> str:
+    """The token of a normal form in SQL, with a tail of 10 or 16 signs."""
     digest = f"sha256(unhex('{OUTER}') || unhex(sha256(unhex('{INNER}') || encode('{kind}') || unhex('00') || encode({normal}))))"
-    signs = f"array_to_string(list_transform(range(10), lambda i: substr('{t.ALPHABET}', ((('0x' || right({digest}, 13))::UBIGINT >> (45 - 5 * i)::UBIGINT) & 31)::INT + 1, 1)), '')"
-    return f"('[[{kind}:' || {signs} || ']]')"
+    part = lambda bits, n: f"array_to_string(list_transform(range({n}), lambda i: substr('{t.ALPHABET}', ((('0x' || {bits})::UBIGINT >> ({5 * (n - 1)} - 5 * i)::UBIGINT) & 31)::INT + 1, 1)), '')"
+    tail = part(f"right({digest}, 13)", 10) if signs == 10 else part(f"substr({digest}, 45, 10)", 8) + " || " + part(f"right({digest}, 10)", 8)
+    return f"('[[{kind}:' || {tail} || ']]')"
 
 
 def values(rows: list[str], column: str = "x") -> str:
