@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from ledgerlake.errors import EngineError
 
@@ -45,16 +46,19 @@ def fingerprint(fields: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
 
 
-def same_value(a: Column, b: Column) -> Column:
-    """Whether two values mean the same: numbers by value whatever their types, GUIDs in any case, the rest as text;
-    nulls are the same as nulls only."""
+def same_value(a: Column, b: Column, numeric: bool) -> Column:
+    """Whether two values mean the same: numbers, where one of the sides is of a numeric type, by value; GUIDs in any case; the rest, codes with digits
+    too, as text. Nulls are the same as nulls only."""
     x, y = a.cast("string"), b.cast("string")
+    guid = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
+    text = F.coalesce(F.when(x.rlike(guid) & y.rlike(guid), F.lower(x) == F.lower(y)), x.eqNullSafe(y))
+    if not numeric:
+        return text
     number = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
     plain = r"^\s*[+-]?\d{1,20}(\.\d{0,16})?\s*$"
     exact = lambda c: F.trim(c).cast("decimal(38,16)")
     numbers = F.when(x.rlike(plain) & y.rlike(plain), exact(x) == exact(y)).when(x.rlike(number) & y.rlike(number), x.cast("double") == y.cast("double"))
-    guid = r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"
-    return F.coalesce(numbers, F.when(x.rlike(guid) & y.rlike(guid), F.lower(x) == F.lower(y)), x.eqNullSafe(y))
+    return F.coalesce(numbers, text)
 
 
 def mismatches(sent: DataFrame, stored: DataFrame, key: list[str], fields: list[str]) -> DataFrame:
@@ -62,7 +66,8 @@ def mismatches(sent: DataFrame, stored: DataFrame, key: list[str], fields: list[
     left = sent.select(*key, F.struct(*fields).alias("__sent"))
     right = stored.select(*key, F.struct(*fields).alias("__stored"))
     both = left.join(right, key, "left")
-    bad = F.array(*(F.when(F.col("__stored").isNull() | ~same_value(F.col(f"__sent.{f}"), F.col(f"__stored.{f}")), F.lit(f)) for f in fields))
+    numeric = lambda f: any(isinstance(d.schema[f].dataType, NumericType) for d in (sent, stored))
+    bad = F.array(*(F.when(F.col("__stored").isNull() | ~same_value(F.col(f"__sent.{f}"), F.col(f"__stored.{f}"), numeric(f)), F.lit(f)) for f in fields))
     return both.select(*key, F.explode(F.filter(bad, lambda f: f.isNotNull())).alias("field"))
 
 

@@ -40,10 +40,21 @@ def catalog_diff(spark: SparkSession, sf: str) -> DataFrame:
     return cat.diff(old, new)
 
 
-@query("classify_fields", "SELECT * FROM (VALUES ('customer', 'c_name', 'org'), ('nation', 'n_name', 'org'), ('part', 'p_name', 'org'), ('region', 'r_name', 'org'), ('supplier', 's_name', 'org')) AS v(entity, field, class)")
+_CLASSED = (("customer", "c_name", "org"), ("nation", "n_name", "org"), ("part", "p_name", "org"), ("region", "r_name", "org"), ("supplier", "s_name", "org"))
+
+
+@query("classify_fields", " UNION ALL ".join(f"SELECT '{e}' AS entity, '{f}' AS field, '{k}' AS class, count({f}) AS n_values, count(DISTINCT {f}) AS n_distinct FROM {e}" for e, f, k in _CLASSED))
 def classify_fields(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(t, f, k) for t in TABLES for f, kind in entity(spark, sf, t).dtypes if (k := class_of_field(f, kind))]
-    return spark.createDataFrame(rows, "entity string, field string, class string")
+    """The fields of a class of all tables, and how many values of it they hold."""
+    found = None
+    for table in TABLES:
+        rows = entity(spark, sf, table)
+        classed = [(f, k) for f, kind in rows.dtypes if (k := class_of_field(f, kind))]
+        if classed:
+            sums = rows.agg(*(x for f, _ in classed for x in (F.count(f).alias(f"n_{f}"), F.count_distinct(f).alias(f"d_{f}"))))
+            cells = F.array(*(F.struct(F.lit(table).alias("entity"), F.lit(f).alias("field"), F.lit(k).alias("class"), F.col(f"n_{f}").alias("n_values"), F.col(f"d_{f}").alias("n_distinct")) for f, k in classed))
+            found = sums.select(F.inline(cells)) if found is None else found.unionByName(sums.select(F.inline(cells)))
+    return found
 
 
 @query(
@@ -85,7 +96,8 @@ def fuzzy_search_exact(spark: SparkSession, sf: str) -> DataFrame:
     return cat.find(fields(spark, sf), "field", "l_orderkey", 12).select("name", "score")
 
 
-@query("name_words", "SELECT * FROM (VALUES ('CustomerOrderLine', 'customer order line'), ('HTTPServer', 'http server'), ('l_orderkey', 'l orderkey'), ('СчётФактура', 'счет фактура')) AS v(name, words)")
+@query("name_words", "SELECT p_partkey, 'http ' || p_name || ' ' || p_partkey || ' счет' AS words FROM part")
 def name_words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([("CustomerOrderLine",), ("HTTPServer",), ("l_orderkey",), ("СчётФактура",)], "name string")
-    return rows.select("name", F.array_join(words_of_name(F.col("name")), " ").alias("words"))
+    """Words of names in camel case with an abbreviation before them and an underscore inside."""
+    name = F.concat(F.lit("HTTP"), F.replace(F.initcap("p_name"), F.lit(" ")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("Счёт"))
+    return entity(spark, sf, "part").select("p_partkey", F.array_join(words_of_name(name), " ").alias("words"))

@@ -106,9 +106,11 @@ def pending_alive(spark: SparkSession, sf: str) -> DataFrame:
 
 
 RIGHTS = ch.Rights(hidden=frozenset({"region"}), virtual=frozenset({"balance"}), denied=frozenset({"nation"}), denied_fields=frozenset({"customer.c_name"}))
-_WRITES = [("region", "r_name"), ("balance", "x"), ("nation", "n_name"), ("customer", "c_name"), ("customer", "c_acctbal")]
+_WRITES = (("region", "r_name", "entity_hidden"), ("balance", "x", "permission_denied"), ("nation", "n_name", "permission_denied"), ("customer", "c_name", "field_write_denied"), ("customer", "c_acctbal", None))
 
 
-@query("permission_ladder", "SELECT * FROM (VALUES ('region', 'r_name', 'entity_hidden'), ('balance', 'x', 'permission_denied'), ('nation', 'n_name', 'permission_denied'), ('customer', 'c_name', 'field_write_denied'), ('customer', 'c_acctbal', NULL)) AS v(entity, field, code)")
+@query("permission_ladder", "SELECT event_id, (['entity_hidden', 'permission_denied', 'permission_denied', 'field_write_denied', NULL])[event_id % 5 + 1] AS code FROM events")
 def permission_ladder(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame(_WRITES, "entity string, field string").select("entity", "field", ch.refusal(F.col("entity"), F.col("field"), RIGHTS).alias("code"))
+    """Each event as an attempt to write a field."""
+    part = lambda k: F.get(F.array(*(F.lit(w[k]) for w in _WRITES)), (F.col("event_id") % len(_WRITES)).cast("int"))
+    return entity(spark, sf, "events").select("event_id", ch.refusal(part(0), part(1), RIGHTS).alias("code"))

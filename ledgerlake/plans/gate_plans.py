@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import checksums as c
@@ -12,7 +12,6 @@ from ledgerlake.operators import detection as d
 from ledgerlake.operators import governed as g
 from ledgerlake.operators import known as k
 from ledgerlake.operators import masking as m
-from ledgerlake.operators.catalog import fields_of
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import entity
 
@@ -51,27 +50,62 @@ def inn_control(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", "inn", c.inn_valid(F.col("inn")).alias("valid"), c.inn_valid(F.concat("nine", F.lit("0"))).alias("zero_valid"))
 
 
-KNOWN = {
-    "inn_valid": (c.inn_valid, {"7707083893": True, "7736050003": True, "500100732259": True, "7707083894": False, "1234567890": False, "500100732258": False, "770708389": False, "77070838a3": False}),
-    "ogrn_valid": (c.ogrn_valid, {"1027700132195": True, "1027700132196": False, "": False}),
-    "snils_valid": (c.snils_valid, {"11223344595": True, "11223344596": False, "1122334459": False}),
-    "luhn_valid": (c.luhn_valid, {"4111111111111111": True, "4111111111111112": False, "411111111111": False}),
-    "iban_valid": (c.iban_valid, {"GB82WEST12345698765432": True, "GB82WEST12345698765433": False, "DE89370400440532013000": True, "de89370400440532013000": False}),
-    "account_known": (c.account_known, {"40702810900000000001": True, "40102810900000000001": True, "99902810900000000001": False, "4070281090000000000": False}),
-    "card_network": (c.card_network_known, {"4111111111111111": True, "5511111111111111": True, "2221000000000000": True, "9111111111111111": False, "2721000000000000": False}),
-}
+#: Of each test the shapes of a number, of which each row of customers has one in turn, made of its key: right, wrong and misshapen ones.
+#: A shape is (SQL, column, whether it is right); `n` is the key with nine digits.
+_N = "lpad(c_custkey::VARCHAR, 9, '0')"
 
 
-def _known(name: str) -> None:
-    test, cases = KNOWN[name]
+def _shapes(name: str, test, shapes: list) -> None:  # noqa: ANN001
+    cases = " ".join(f"WHEN {k} THEN {x}" for k, (x, _, _) in enumerate(shapes))
+    right = " ".join(f"WHEN {k} THEN {ok}" for k, (_, _, ok) in enumerate(shapes))
 
-    @query(name, "SELECT * FROM (VALUES " + ", ".join(f"('{x}', {str(ok).lower()})" for x, ok in cases.items()) + ") AS v(x, valid)")
+    @query(name, f"SELECT c_custkey, x, CASE c_custkey % {len(shapes)} {right} END AS valid FROM (SELECT c_custkey, CASE c_custkey % {len(shapes)} {cases} END AS x FROM (SELECT c_custkey, {_N} AS n FROM customer))")
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return given(spark, list(cases)).select("x", test(F.col("x")).alias("valid"))
-
-
-for _name in KNOWN:
-    _known(_name)
+        n, x = F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(None).cast("string")
+        for k, (_, make, _) in enumerate(shapes):
+            x = F.when(F.col("c_custkey") % len(shapes) == k, make(n)).otherwise(x)
+        return entity(spark, sf, "customer").select("c_custkey", x.alias("x")).withColumn("valid", test(F.col("x")))
+
+
+def _digit(x: Column, add: int = 0) -> Column:
+    return ((x + add) % 10).cast("string")
+
+
+_INN = digits_sql("n", c.INN_10) + " % 11 % 10"
+_inn = c.inn_control
+_OGRN = "('110' || n)::BIGINT % 11 % 10"
+_ogrn = lambda n: F.concat(F.lit("110"), n).cast("bigint") % 11 % 10
+_SUM = digits_sql("n", c.SNILS)
+_SNILS = f"CASE WHEN {_SUM} < 100 THEN {_SUM} ELSE {_SUM} % 101 % 100 END"
+_snils = lambda n: F.when(c.weighted(n, c.SNILS) < 100, c.weighted(n, c.SNILS)).otherwise(c.weighted(n, c.SNILS) % 101 % 100)
+_two = lambda x: F.lpad(x.cast("string"), 2, "0")
+_LUHN = "(10 - list_sum(list_transform(range(15), lambda i: CASE WHEN i % 2 = 0 THEN substr(x15, 15 - i::INT, 1)::INT * 2 - CASE WHEN substr(x15, 15 - i::INT, 1)::INT > 4 THEN 9 ELSE 0 END ELSE substr(x15, 15 - i::INT, 1)::INT END)) % 10) % 10"
+_LUHN = _LUHN.replace("x15", "('411111' || n)")
+
+
+def _luhn(n: Column) -> Column:
+    """The last digit of a card number that begins with 411111 and the key."""
+    total = F.lit(0)
+    for k in range(15):
+        d = c.digit(F.concat(F.lit("411111"), n), 14 - k)
+        total = total + (F.when(d > 4, d * 2 - 9).otherwise(d * 2) if k % 2 == 0 else d)
+    return (10 - total % 10) % 10
+
+
+_IBAN = "98 - ('321428290000000' || n || '161100')::HUGEINT % 97"
+_iban = lambda n: 98 - (F.concat(F.lit("321428290000000"), n, F.lit("161100")).cast("decimal(38,0)") % 97).cast("int")
+CHECKS = {
+    "inn_valid": (c.inn_valid, [(f"n || ({_INN})", lambda n: F.concat(n, _digit(_inn(n))), True), (f"n || (({_INN} + 1) % 10)", lambda n: F.concat(n, _digit(_inn(n), 1)), False), ("n", lambda n: n, False), (f"n || ({_INN}) || 'x'", lambda n: F.concat(n, _digit(_inn(n)), F.lit("x")), False)]),
+    "ogrn_valid": (c.ogrn_valid, [(f"'110' || n || ({_OGRN})", lambda n: F.concat(F.lit("110"), n, _digit(_ogrn(n))), True), (f"'110' || n || (({_OGRN} + 1) % 10)", lambda n: F.concat(F.lit("110"), n, _digit(_ogrn(n), 1)), False), ("n || ''", lambda n: n, False)]),
+    "snils_valid": (c.snils_valid, [(f"n || lpad(({_SNILS})::VARCHAR, 2, '0')", lambda n: F.concat(n, _two(_snils(n))), True), (f"n || lpad((({_SNILS} + 1) % 100)::VARCHAR, 2, '0')", lambda n: F.concat(n, _two((_snils(n) + 1) % 100)), False), ("n || '0'", lambda n: F.concat(n, F.lit("0")), False)]),
+    "luhn_valid": (c.luhn_valid, [(f"'411111' || n || ({_LUHN})", lambda n: F.concat(F.lit("411111"), n, _digit(_luhn(n))), True), (f"'411111' || n || (({_LUHN} + 1) % 10)", lambda n: F.concat(F.lit("411111"), n, _digit(_luhn(n), 1)), False), ("n || '111'", lambda n: F.concat(n, F.lit("111")), False)]),
+    "iban_valid": (c.iban_valid, [(f"'GB' || lpad(({_IBAN})::VARCHAR, 2, '0') || 'WEST0000000' || n", lambda n: F.concat(F.lit("GB"), _two(_iban(n)), F.lit("WEST0000000"), n), None), ("'gb82WEST0000000' || n", lambda n: F.concat(F.lit("gb82WEST0000000"), n), False)]),
+    "account_known": (c.account_known, [("'40702810900' || n", lambda n: F.concat(F.lit("40702810900"), n), True), ("'40102810900' || n", lambda n: F.concat(F.lit("40102810900"), n), True), ("'99902810900' || n", lambda n: F.concat(F.lit("99902810900"), n), False), ("'4070281090' || n", lambda n: F.concat(F.lit("4070281090"), n), False)]),
+    "card_network": (c.card_network_known, [("'4111111' || n", lambda n: F.concat(F.lit("4111111"), n), True), ("'5511111' || n", lambda n: F.concat(F.lit("5511111"), n), True), ("'2221000' || n", lambda n: F.concat(F.lit("2221000"), n), True), ("'9111111' || n", lambda n: F.concat(F.lit("9111111"), n), False), ("'2721000' || n", lambda n: F.concat(F.lit("2721000"), n), False)]),
+}
+CHECKS["iban_valid"][1][0] = (*CHECKS["iban_valid"][1][0][:2], True)
+for _name, (_test, _cases) in CHECKS.items():
+    _shapes(_name, _test, _cases)
 
 
 @query("luhn_keys", "SELECT o_orderkey, list_sum(list_transform(range(16), lambda i: CASE WHEN i % 2 = 1 THEN substr(x, 16 - i::INT, 1)::INT * 2 - CASE WHEN substr(x, 16 - i::INT, 1)::INT > 4 THEN 9 ELSE 0 END ELSE substr(x, 16 - i::INT, 1)::INT END)) % 10 = 0 AS valid FROM (SELECT o_orderkey, lpad(o_orderkey::VARCHAR, 16, '4') AS x FROM orders)")
@@ -79,17 +113,33 @@ def luhn_keys(spark: SparkSession, sf: str) -> DataFrame:
     return entity(spark, sf, "orders").select("o_orderkey", c.luhn_valid(F.lpad(F.col("o_orderkey").cast("string"), 16, "4")).alias("valid"))
 
 
-NORMAL = {"inn": "7707 083893", "acc": "40702810-900000000001", "phone": "+7 (495) 123-45-67", "email": "  Ivan@Mail.RU ", "dob": "1980-05-17T00:00:00", "doc": "45 08 123456", "org": "  ООО   Ромашка ", "iban": "de89 3704 0044", "addr": " a   b "}
-NORMALIZED = {"inn": "7707083893", "acc": "40702810900000000001", "phone": "74951234567", "email": "ivan@mail.ru", "dob": "1980-05-17", "doc": "4508123456", "org": "ооо ромашка", "iban": "DE8937040044", "addr": "a b"}
+#: Ways to write a value of each class around a key with ten digits, and what it is compared by. SQL, column, normal form in SQL.
+_K = "lpad(o_orderkey::VARCHAR, 10, '0')"
+NORMAL = {
+    "inn": (" {k4} {k6} ", "{k4}{k6}"),
+    "acc": ("40702810-90{k4}{k6}", "4070281090{k4}{k6}"),
+    "phone": ("+7 ({k4}) {k6}", "7{k4}{k6}"),
+    "email": ("  Ivan{k4}@Mail.RU ", "ivan{k4}@mail.ru"),
+    "dob": ("1980-05-17T{k4}", "1980-05-17"),
+    "doc": ("{k4} № {k6}", "{k4}{k6}"),
+    "org": ("  ООО   «Ёлка {k6}» ", 'ооо "елка {k6}"'),
+    "iban": ("de{k4} 3704 {k6}", "DE{k4}3704{k6}"),
+    "addr": (" Дом  {k4}   кв {k6} ", "Дом {k4} кв {k6}"),
+}
+
+
+def _filled(pattern: str) -> str:
+    return "'" + pattern.replace("{k4}", f"' || substr({_K}, 1, 4) || '").replace("{k6}", f"' || substr({_K}, 5, 6) || '") + "'"
 
 
-@query("normalize_value", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in NORMALIZED.items()) + ") AS v(kind, normalized)")
+@query("normalize_value", "SELECT o_orderkey, " + f"(['" + "', '".join(NORMAL) + f"'])[o_orderkey % {len(NORMAL)} + 1] AS kind, CASE o_orderkey % {len(NORMAL)} " + " ".join(f"WHEN {i} THEN {_filled(normal)}" for i, (_, normal) in enumerate(NORMAL.values())) + " END AS normalized FROM orders")
 def normalize_value(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame(list(NORMAL.items()), "kind string, x string")
-    out = F.lit(None).cast("string")
-    for kind in NORMAL:
-        out = F.when(F.col("kind") == kind, t.normalize(kind, F.col("x"))).otherwise(out)
-    return rows.select("kind", out.alias("normalized"))
+    key, n = F.lpad(F.col("o_orderkey").cast("string"), 10, "0"), F.col("o_orderkey") % len(NORMAL)
+    kind = out = F.lit(None).cast("string")
+    for i, (name, (written, _)) in enumerate(NORMAL.items()):
+        text = F.replace(F.replace(F.lit(written), F.lit("{k4}"), F.substring(key, 1, 4)), F.lit("{k6}"), F.substring(key, 5, 6))
+        kind, out = F.when(n == i, name).otherwise(kind), F.when(n == i, t.normalize(name, text)).otherwise(out)
+    return entity(spark, sf, "orders").select("o_orderkey", kind.alias("kind"), out.alias("normalized"))
 
 
 @query("make_token", f"SELECT c_custkey, {token_sql('org', 'lower(c_name)')} AS token FROM customer")
@@ -97,9 +147,11 @@ def make_token(spark: SparkSession, sf: str) -> DataFrame:
     return entity(spark, sf, "customer").select("c_custkey", t.token("org", F.col("c_name"), SECRET).alias("token"))
 
 
-@query("token_known_value", "SELECT '[[inn:GTDASDMS8Y]]' AS token")
+@query("token_known_value", "SELECT s_suppkey, '[[inn:GTDASDMS8Y]]' AS token FROM supplier")
 def token_known_value(spark: SparkSession, sf: str) -> DataFrame:
-    return given(spark, ["7707083893"]).select(t.token("inn", F.col("x"), SECRET).alias("token"))
+    """One value written in a different way in each row has one token, which stays the same from release to release."""
+    written = F.concat(F.lit("7707"), F.repeat(F.lit(" "), (F.col("s_suppkey") % 5).cast("int")), F.lit("083893"))
+    return entity(spark, sf, "supplier").select("s_suppkey", t.token("inn", written, SECRET).alias("token"))
 
 
 @query(
@@ -122,12 +174,16 @@ def numbered_token_second_issue(spark: SparkSession, sf: str) -> DataFrame:
     return m.numbered(parts, "p_name", "org", m.numbered(parts.where("p_partkey % 3 = 0"), "p_name", "org"))
 
 
-PARSED = {"[[inn:GTDASDMS8Y]]": ("inn", False, 1), "see [[org:12]] and [[inn:AB]]": ("", False, 2), "[[inn:": ("", True, 0), "x]] [[org:7]]": ("", True, 1), "plain": ("", False, 0)}
+#: Texts around a key, in turn: the class of a whole token, whether one is damaged, and how many whole ones there are.
+PARSED = (("[[inn:GT{k}]]", "inn", False, 1), ("see [[org:{k}]] and [[inn:AB]]", "", False, 2), ("[[inn:{k}", "", True, 0), ("{k}]] [[org:7]]", "", True, 1), ("plain {k}", "", False, 0))
+_PIECES = " ".join(f"WHEN {i} THEN '" + x.replace("{k}", "' || p_partkey || '") + "'" for i, (x, *_) in enumerate(PARSED))
 
 
-@query("token_parse", "SELECT * FROM (VALUES " + ", ".join(f"('{x}', '{k}', {str(p).lower()}, {n})" for x, (k, p, n) in PARSED.items()) + ") AS v(x, kind, damaged, n_tokens)")
+@query("token_parse", f"SELECT p_partkey, CASE p_partkey % 5 {_PIECES} END AS x, (['inn', '', '', '', ''])[p_partkey % 5 + 1] AS kind, p_partkey % 5 IN (2, 3) AS damaged, ([1, 2, 0, 1, 0])[p_partkey % 5 + 1] AS n_tokens FROM part")
 def token_parse(spark: SparkSession, sf: str) -> DataFrame:
-    return given(spark, list(PARSED)).select("x", t.token_class(F.col("x")).alias("kind"), t.has_partial_token(F.col("x")).alias("damaged"), F.size(t.tokens_in(F.col("x"))).alias("n_tokens"))
+    x = F.replace(F.get(F.array(*(F.lit(p[0]) for p in PARSED)), (F.col("p_partkey") % len(PARSED)).cast("int")), F.lit("{k}"), F.col("p_partkey").cast("string"))
+    rows = entity(spark, sf, "part").select("p_partkey", x.alias("x"))
+    return rows.select("p_partkey", "x", t.token_class(F.col("x")).alias("kind"), t.has_partial_token(F.col("x")).alias("damaged"), F.size(t.tokens_in(F.col("x"))).alias("n_tokens"))
 
 
 #: Patterns for the SQL twins, which know no look-around: the shapes that the tables have.
@@ -146,17 +202,49 @@ def _detect(kind: str) -> None:
 for _kind in ("email", "phone"):
     _detect(_kind)
 
+#: Texts around a customer's key, in turn: (SQL of the text before, of the value, of the text after, the same as columns, whether it is a find).
+#: Right and wrong control digits, words near and far, separators, and other digits beside.
+_FAR = "a note that goes on for long enough to stand between them "
+FINDS = {
+    "inn": [("'ИНН '", f"n || ({_INN})", "' от 2024-01-02'", lambda n: F.concat(n, _digit(_inn(n))), True), ("'ИНН '", f"n || (({_INN} + 1) % 10)", "''", lambda n: F.concat(n, _digit(_inn(n), 1)), False), ("'заказ '", f"n || ({_INN})", "''", lambda n: F.concat(n, _digit(_inn(n))), False), (f"'ИНН, {_FAR}'", f"n || ({_INN})", "''", lambda n: F.concat(n, _digit(_inn(n))), False)],
+    "ogrn": [("'ОГРН '", f"'110' || n || ({_OGRN})", "';'", lambda n: F.concat(F.lit("110"), n, _digit(_ogrn(n))), True), ("'ОГРН '", f"'110' || n || (({_OGRN} + 1) % 10)", "''", lambda n: F.concat(F.lit("110"), n, _digit(_ogrn(n), 1)), False), ("'no'", f"'110' || n || ({_OGRN}) || '-1'", "''", lambda n: F.concat(F.lit("110"), n, _digit(_ogrn(n)), F.lit("-1")), False)],
+    "snils": [("'СНИЛС '", f"substr(n, 1, 3) || '-' || substr(n, 4, 3) || '-' || substr(n, 7, 3) || ' ' || lpad(({_SNILS})::VARCHAR, 2, '0')", "'.'", lambda n: F.concat(F.substring(n, 1, 3), F.lit("-"), F.substring(n, 4, 3), F.lit("-"), F.substring(n, 7, 3), F.lit(" "), _two(_snils(n))), True), ("'no '", f"n || lpad(({_SNILS})::VARCHAR, 2, '0')", "''", lambda n: F.concat(n, _two(_snils(n))), True), ("'no '", f"n || lpad((({_SNILS} + 1) % 100)::VARCHAR, 2, '0')", "''", lambda n: F.concat(n, _two((_snils(n) + 1) % 100)), False)],
+    "iban": [("'IBAN '", f"'GB' || lpad(({_IBAN})::VARCHAR, 2, '0') || 'WEST0000000' || n", "''", lambda n: F.concat(F.lit("GB"), _two(_iban(n)), F.lit("WEST0000000"), n), True), ("'IBAN '", f"'GB' || lpad(({_IBAN} + 1)::VARCHAR, 2, '0') || 'WEST0000000' || n", "''", lambda n: F.concat(F.lit("GB"), _two(_iban(n) + 1), F.lit("WEST0000000"), n), False)],
+    "acc": [("'р/с '", "'40702810900' || n", "' в банке'", lambda n: F.concat(F.lit("40702810900"), n), True), ("'р/с '", "'99902810900' || n", "''", lambda n: F.concat(F.lit("99902810900"), n), False), ("'id-'", "'40702810900' || n", "''", lambda n: F.concat(F.lit("40702810900"), n), False)],
+    "corr": [("'к/с '", "'30101810400' || n", "''", lambda n: F.concat(F.lit("30101810400"), n), True), ("'к/с '", "'30201810400' || n", "''", lambda n: F.concat(F.lit("30201810400"), n), False)],
+    "doc": [("'паспорт '", "'45 08 ' || substr(n, 4, 6)", "' выдан'", lambda n: F.concat(F.lit("45 08 "), F.substring(n, 4, 6)), True), ("'серия '", "'4508' || substr(n, 4, 6)", "''", lambda n: F.concat(F.lit("4508"), F.substring(n, 4, 6)), True), ("'номер '", "'4508' || substr(n, 4, 6)", "''", lambda n: F.concat(F.lit("4508"), F.substring(n, 4, 6)), False)],
+    "kpp": [("'КПП '", "n || ''", "' и ИНН'", lambda n: n, True), ("'код '", "n || ''", "''", lambda n: n, False)],
+}
+
+
 def _detect_one(kind: str) -> None:
-    @query(f"detect_{kind}")
+    shapes = FINDS[kind]
+    value = " ".join(f"WHEN {i} THEN {v}" for i, (_, v, _, _, _) in enumerate(shapes))
+    sure = ", ".join(str(i) for i, (*_, ok) in enumerate(shapes) if ok)
+    before = " ".join(f"WHEN {i} THEN {b}" for i, (b, *_) in enumerate(shapes))
+
+    @query(
+        f"detect_{kind}",
+        f"SELECT c_custkey, CASE c_custkey % {len(shapes)} {value} END AS value, length(CASE c_custkey % {len(shapes)} {before} END)::INT AS start FROM (SELECT c_custkey, {_N} AS n FROM customer) WHERE c_custkey % {len(shapes)} IN ({sure})",
+    )
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        """Identifiers of one class in all documents; the tests hold it against a scan."""
-        return entity(spark, sf, "documents").select("doc_id", F.explode(d.found_in(F.col("text"), kind)).alias("value"))
+        """Identifiers of one class in texts that hold each customer's key as such a number, right and wrong ones in turn."""
+        n, text = F.lpad(F.col("c_custkey").cast("string"), 9, "0"), F.lit(None).cast("string")
+        for i, (b, _, a, make, _) in enumerate(shapes):
+            text = F.when(F.col("c_custkey") % len(shapes) == i, F.concat(F.lit(b[1:-1]), make(n), F.lit(a[1:-1]))).otherwise(text)
+        return d.spans(entity(spark, sf, "customer").select("c_custkey", text.alias("text")), "c_custkey", "text", (kind,)).select("c_custkey", "value", "start")
 
 
-for _kind in d.SCAN_ORDER[2:]:
+for _kind in FINDS:
     _detect_one(_kind)
 
 
+@query("detect_card")
+def detect_card(spark: SparkSession, sf: str) -> DataFrame:
+    """Card numbers in all documents; the tests hold it against a scan."""
+    return entity(spark, sf, "documents").select("doc_id", F.explode(d.found_in(F.col("text"), "card")).alias("value"))
+
+
 @query(
     "detect_spans",
     f"""WITH h AS (SELECT doc_id, unnest(regexp_extract_all(text, '{SQL_PATTERNS['email']}')) AS value, generate_subscripts(regexp_extract_all(text, '{SQL_PATTERNS['email']}'), 1) AS n, text FROM documents)
@@ -193,12 +281,18 @@ def masked_share(spark: SparkSession, sf: str) -> DataFrame:
     return m.masked_share(m.mask_fields(entity(spark, sf, "customer"), SECRET))
 
 
-@query("dictionary_issue", f"SELECT 'org' AS kind, lower(p_name) AS normalized, {token_sql('org', 'lower(p_name)')} AS token, p_name AS spelling FROM (SELECT DISTINCT p_name FROM part WHERE p_partkey % 2 = 1) WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_partkey % 2 = 0)")
+_PART_NAME = "p_name || ' ' || p_partkey // 3"
+
+
+@query(
+    "dictionary_issue",
+    f"SELECT 'org' AS kind, lower(n) AS normalized, {token_sql('org', 'lower(n)')} AS token, n AS spelling FROM (SELECT DISTINCT {_PART_NAME} AS n FROM part WHERE p_partkey % 2 = 1) WHERE n NOT IN (SELECT {_PART_NAME} FROM part WHERE p_partkey % 2 = 0)",
+)
 def dictionary_issue(spark: SparkSession, sf: str) -> DataFrame:
-    """What odd parts add to a dictionary of the even ones."""
-    parts = entity(spark, sf, "part")
-    known = m.issue(parts.where("p_partkey % 2 = 0"), "org", "p_name", SECRET)
-    return m.issue(parts.where("p_partkey % 2 = 1"), "org", "p_name", SECRET, known)
+    """What odd parts add to a dictionary of the even ones; their names are made different by a third of the key."""
+    parts = entity(spark, sf, "part").withColumn("n", F.concat("p_name", F.lit(" "), F.expr("p_partkey div 3").cast("string")))
+    known = m.issue(parts.where("p_partkey % 2 = 0"), "org", "n", SECRET)
+    return m.issue(parts.where("p_partkey % 2 = 1"), "org", "n", SECRET, known)
 
 
 @query(
@@ -259,16 +353,35 @@ def guard(spark: SparkSession, sf: str) -> DataFrame:
     return m.guard(rows, SECRET)
 
 
-@query("name_spellings", "SELECT * FROM (VALUES ('ООО \"Ромашка\"', 'ооо \"ромашка\"|ромашка'), ('АО Вега-Плюс', 'ао вега-плюс|вега-плюс'), ('12 34', '')) AS v(name, spellings)")
+@query(
+    "name_spellings",
+    """SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'ооо "поставщик ' || s_suppkey || '"|поставщик ' || s_suppkey WHEN 1 THEN 'ао вега-' || s_suppkey || '|вега-' || s_suppkey ELSE '' END AS spellings FROM supplier""",
+)
 def name_spellings(spark: SparkSession, sf: str) -> DataFrame:
-    return given(spark, ['ООО "Ромашка"', "АО Вега-Плюс", "12 34"], "name").select("name", F.array_join(tx.name_spellings(F.col("name")), "|").alias("spellings"))
+    """Names of suppliers with legal forms, and of numbers alone, in turn."""
+    key = F.col("s_suppkey").cast("string")
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit('ООО  «Поставщик '), key, F.lit("»"))).when(F.col("s_suppkey") % 3 == 1, F.concat(F.lit("АО Вега-"), key)).otherwise(F.concat(F.lit("12 "), key))
+    return entity(spark, sf, "supplier").select("s_suppkey", F.array_join(tx.name_spellings(name), "|").alias("spellings"))
 
 
-@query("contact_rows", "SELECT event_id, CASE event_type WHEN 'click' THEN 'phone' WHEN 'view' THEN 'email' WHEN 'purchase' THEN 'addr' ELSE 'scan' END AS class FROM events")
+_WRITTEN = "user_id || '@example.com'"
+
+
+@query(
+    "contact_rows",
+    f"""SELECT event_id, CASE event_type WHEN 'click' THEN {token_sql('phone', "'7495' || lpad(user_id::VARCHAR, 7, '0')")} WHEN 'view' THEN {token_sql('email', _WRITTEN)} WHEN 'purchase' THEN {token_sql('addr', "'Street ' || user_id")}
+    ELSE {token_sql('email', _WRITTEN)} END AS value FROM events""",
+)
 def contact_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """A row's type decides the class of its values; an unknown type is searched."""
-    kinds = F.create_map(*(F.lit(x) for kv in {"click": "phone", "view": "email", "purchase": "addr"}.items() for x in kv))
-    return entity(spark, sf, "events").select("event_id", F.coalesce(F.try_element_at(kinds, F.col("event_type")), F.lit("scan")).alias("class"))
+    """Contacts as JSON with their type inside: a value is closed by it, whatever field it is in; one of another type by what it looks like."""
+    user = F.col("user_id").cast("string")
+    digits = F.lpad(user, 7, "0")
+    phone = F.concat(F.lit("+7 (495) "), F.substring(digits, 1, 3), F.lit("-"), F.substring(digits, 4, 4))
+    mail = F.concat(user, F.lit("@Example.com"))
+    kind = F.when(F.col("event_type") == "click", "Телефон").when(F.col("event_type") == "view", "АдресЭлектроннойПочты").when(F.col("event_type") == "purchase", "Адрес").otherwise("Другое")
+    value = F.when(F.col("event_type") == "click", phone).when(F.col("event_type") == "purchase", F.concat(F.lit("Street  "), user)).otherwise(mail)
+    rows = entity(spark, sf, "events").select("event_id", F.to_json(F.struct(kind.alias("type"), value.alias("value"), F.lit("7").alias("areaCode"))).alias("value"))
+    return m.mask_fields(rows, SECRET)
 
 
 @query(
@@ -412,17 +525,20 @@ def reveal_ladder(spark: SparkSession, sf: str) -> DataFrame:
     return k.reveal(events.select(token, F.col("event_type").alias("base"), field(4)).distinct(), spelled)
 
 
-POLICY = [("library", "c_name", "org", 0), ("library", "c_phone", "phone", 0), ("manual", "c_name", "keep", 1), ("manual", "s_name", "organisation", 1), ("manual", "p_name", "org", 1), ("manual", "p_name", "person", 1)]
-
-
 @query(
     "policy_check",
-    """SELECT * FROM (VALUES ('library', 'c_name', 'org', 'overridden'), ('library', 'c_phone', 'phone', 'unknown_field'), ('manual', 's_name', 'organisation', 'unknown_class'),
-    ('manual', 'p_name', 'org', 'conflict'), ('manual', 'p_name', 'person', 'conflict')) AS v(layer, field, kind, problem)""",
+    """WITH f AS (SELECT DISTINCT 'f' || p_partkey % 90 AS field FROM part),
+    l AS (SELECT DISTINCT CASE WHEN o_orderkey % 5 = 0 THEN 'manual' ELSE 'library' END AS layer, 'f' || o_orderkey % 100 AS field, (['org', 'phone', 'org', 'inn', 'nothing'])[o_orderkey % 700 // 100 % 5 + 1] AS kind, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS rank FROM orders),
+    p AS (SELECT layer, field, count(DISTINCT kind) AS n FROM l GROUP BY ALL), t AS (SELECT field, max(rank) AS rank FROM l GROUP BY field), k AS (SELECT field, max(kind) AS kind FROM l JOIN t USING (field, rank) GROUP BY field)
+    SELECT layer, field, l.kind AS kind, unnest(list_filter([CASE WHEN field NOT IN (SELECT field FROM f) THEN 'unknown_field' END, CASE WHEN l.kind = 'nothing' THEN 'unknown_class' END, CASE WHEN n > 1 THEN 'conflict' END,
+      CASE WHEN t.rank > l.rank AND k.kind <> l.kind THEN 'overridden' END], lambda x: x IS NOT NULL)) AS problem FROM l JOIN p USING (layer, field) JOIN t USING (field) JOIN (SELECT field, kind AS kind FROM k) k USING (field)""",
 )
 def policy_check(spark: SparkSession, sf: str) -> DataFrame:
-    layers = spark.createDataFrame(POLICY, "layer string, field string, kind string, rank int")
-    fields = fields_of(spark, {t: entity(spark, sf, t) for t in ("customer", "supplier", "part")})
+    """Layers of a policy made of orders' keys, against fields made of parts' keys: more fields and classes than any table has."""
+    key, manual = F.col("o_orderkey"), F.col("o_orderkey") % 5 == 0
+    kinds = F.array(*map(F.lit, ("org", "phone", "org", "inn", "nothing")))
+    layers = entity(spark, sf, "orders").select(F.when(manual, "manual").otherwise("library").alias("layer"), F.concat(F.lit("f"), (key % 100).cast("string")).alias("field"), F.get(kinds, F.expr("cast(o_orderkey % 700 div 100 % 5 as int)")).alias("kind"), manual.cast("int").alias("rank")).distinct()
+    fields = entity(spark, sf, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 90).cast("string")).alias("field")).distinct()
     return k.policy_check(layers, fields, ("keep", "person", *(kind for kind, _ in m.NAME_RULES)))
 
 

@@ -272,7 +272,7 @@ def test_values_are_compared_by_meaning(spark):
     guid = "1234ABCD-0000-1111-2222-333344445555"
     sent = spark.createDataFrame([(1, 10.5, guid, "007"), (2, 1e20, guid, "a"), (3, None, None, " x"), (4, 0.1, "a", "b")], "k int, n double, g string, s string")
     stored = spark.createDataFrame([(1, "10.50", guid.lower(), "7.0"), (2, "100000000000000000000", "x", "a"), (3, None, None, "x")], "k int, n string, g string, s string")
-    assert sorted(map(tuple, changes.mismatches(sent, stored, ["k"], ["n", "g", "s"]).collect())) == [(2, "g"), (3, "s"), (4, "g"), (4, "n"), (4, "s")]
+    assert sorted(map(tuple, changes.mismatches(sent, stored, ["k"], ["n", "g", "s"]).collect())) == [(1, "s"), (2, "g"), (3, "s"), (4, "g"), (4, "n"), (4, "s")]  # "007" and "7.0" are codes
 
 
 def test_known_numbers_in_texts(spark):
