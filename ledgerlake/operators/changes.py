@@ -92,6 +92,31 @@ def undo_plan(state: DataFrame) -> DataFrame:
     return joined.select("commit_id", found.alias("inverse"), (found.isNotNull() & (F.col("status") == "done") & (F.col("seq") == F.col("__newest"))).alias("possible"))
 
 
+def effective(journal: DataFrame) -> DataFrame:
+    """(commit_id, state) from an append-only journal (commit_id, seq, event, undoes): `open` and `done` or `failed` rows, of which the last counts, and for what
+    takes another commit back that one's id in undoes.
+
+    A commit is `pending` until it closes, `failed`, `done`, or `undone` if the commit that takes it back is done and not undone itself; so one that was
+    taken back and restored is done again. Of several that take a commit back the first that is done counts. Chains are followed by doubling, so a chain
+    of k takes some log2(k) joins."""
+    last = journal.groupBy("commit_id").agg(F.max_by("event", "seq").alias("event"), F.max("undoes").alias("undoes"), F.min("seq").alias("seq"))
+    done = last.where("event = 'done' and undoes is not null")
+    links = done.groupBy(F.col("undoes").alias("c")).agg(F.min_by("commit_id", "seq").alias("u"))
+    # from each commit along the commits that take back: how many are behind it decides
+    step = links.select("c", F.col("u").alias("end"), F.lit(1).alias("hops")).persist()
+    while True:
+        ahead = step.select(F.col("c").alias("end"), F.col("end").alias("__end"), F.col("hops").alias("__hops"))
+        joined = step.join(ahead, "end", "left")
+        new = joined.select("c", F.coalesce("__end", "end").alias("end"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), F.col("__end").isNotNull().alias("moved"))
+        new = new.checkpoint() if journal.sparkSession.conf.get("spark.checkpoint.dir", None) else new.persist()
+        moved = not new.where("moved").isEmpty()
+        step = new.drop("moved")
+        if not moved:
+            break
+    state = F.when(F.col("event") == "open", "pending").when(F.col("event") == "failed", "failed").when(F.coalesce("hops", F.lit(0)) % 2 == 1, "undone").otherwise("done")
+    return last.join(step, F.col("commit_id") == F.col("c"), "left").select("commit_id", state.alias("state"))
+
+
 def attempts_in_window(df: DataFrame, session: str, time: str, seconds: int = WINDOW_SECONDS) -> DataFrame:
     """df with `attempts`: those of the session in the window that ends with the row; one that lies a whole window back has left it."""
     window = Window.partitionBy(session).orderBy((F.unix_micros(F.col(time).cast("timestamp"))).asc()).rangeBetween(-seconds * 1_000_000 + 1, 0)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import trigram_similarity, words_of_name
 from ledgerlake.operators import catalog as cat
+from ledgerlake.operators import relations as rel
 from ledgerlake.operators.masking import class_of_field
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import entity
@@ -101,3 +102,44 @@ def name_words(spark: SparkSession, sf: str) -> DataFrame:
     """Words of names in camel case with an abbreviation before them and an underscore inside."""
     name = F.concat(F.lit("HTTP"), F.replace(F.initcap("p_name"), F.lit(" ")), F.lit("_"), F.col("p_partkey").cast("string"), F.lit("Счёт"))
     return entity(spark, sf, "part").select("p_partkey", F.array_join(words_of_name(name), " ").alias("words"))
+
+
+def entities(spark: SparkSession, sf: str) -> dict:
+    return {t: entity(spark, sf, t) for t in TABLES}
+
+
+#: Pairs of fields whose names end alike, whether one refers to the other or not.
+_ALIKE = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey")]
+_ALIKE += [("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+_ALIKE += [("nation", "n_name", "region", "r_name"), ("region", "r_name", "nation", "n_name"), ("customer", "c_name", "supplier", "s_name"), ("supplier", "s_name", "customer", "c_name"), ("part", "p_name", "nation", "n_name"), ("nation", "n_name", "customer", "c_name")]
+_ALIKE += [(k, kf, e, f) for e, f, k, kf in _ALIKE if f.endswith("key")]
+_REFERS = " UNION ALL ".join(f"SELECT '{e}' AS entity, '{f}' AS field, '{k}' AS target, '{kf}' AS key WHERE (SELECT count(*) FROM {e} WHERE {f} NOT IN (SELECT {kf} FROM {k})) = 0 AND (SELECT count({kf}) = count(*) AND count(DISTINCT {kf}) = count(*) FROM {k})" for e, f, k, kf in _ALIKE)
+
+
+@query("relation_catalog", _REFERS)
+def relation_catalog(spark: SparkSession, sf: str) -> DataFrame:
+    """References between the entities, found in their data; names that are alike and values that lie in the range of a key are not enough."""
+    return rel.relation_rows(spark, rel.find_relations(entities(spark, sf)))
+
+
+_KEYS = " UNION ALL ".join(f"SELECT '{e}' AS entity, '{f}' AS field, count(*) AS n_rows, count(*) > 0 AND count({f}) = count(*) AND count(DISTINCT {f}) = count(*) AS \"unique\" FROM {e}" for e, f in (("region", "r_regionkey"), ("region", "r_name"), ("nation", "n_nationkey"), ("nation", "n_name"), ("nation", "n_regionkey"), ("customer", "c_custkey"), ("customer", "c_name"), ("customer", "c_nationkey"), ("customer", "c_mktsegment"), ("orders", "o_orderkey"), ("orders", "o_custkey"), ("orders", "o_orderstatus"), ("orders", "o_orderpriority")))
+
+
+@query("unique_keys", _KEYS)
+def unique_keys(spark: SparkSession, sf: str) -> DataFrame:
+    found = rel.unique_keys({t: entity(spark, sf, t) for t in ("region", "nation", "customer", "orders")})
+    return found.select("entity", "field", "n_rows", "unique")
+
+
+@query(
+    "reference_texts",
+    """SELECT o_orderkey, o_custkey, c_name AS o_custkey_text, CASE WHEN c_custkey IS NOT NULL THEN 'customer' END AS o_custkey_type, l_partkey, p_name AS l_partkey_text, CASE WHEN p_partkey IS NOT NULL THEN 'part' END AS l_partkey_type
+    FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) LEFT JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey""",
+)
+def reference_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and types of references by the relations that the data have, without a hidden entity's: suppliers are hidden, so lines have no reference to one."""
+    every = {t: entity(spark, sf, t) for t in ("customer", "part", "orders", "lineitem", "supplier")}
+    found = rel.find_relations(every)
+    lines = rel.with_references(every["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey"), "lineitem", {k: v for k, v in every.items() if k != "orders"}, [r for r in found if r.target != "orders"], frozenset({"supplier"}), {"part": "p_name"})
+    orders = rel.with_references(every["orders"].select("o_orderkey", "o_custkey"), "orders", every, found, texts={"customer": "c_name"})
+    return lines.distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import changes as ch
 from ledgerlake.plans.query_plans import LINES
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import entity
+from ledgerlake.streaming import pending
 
 
 def before_after(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -114,3 +115,38 @@ def permission_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """Each event as an attempt to write a field."""
     part = lambda k: F.get(F.array(*(F.lit(w[k]) for w in _WRITES)), (F.col("event_id") % len(_WRITES)).cast("int"))
     return entity(spark, sf, "events").select("event_id", ch.refusal(part(0), part(1), RIGHTS).alias("code"))
+
+
+#: Events as the journal of commits: a click opens one that never closes, an error fails, a purchase takes back the event before it.
+_JOURNAL = "SELECT event_id, CASE event_type WHEN 'click' THEN 'open' WHEN 'error' THEN 'failed' ELSE 'done' END AS event, CASE WHEN event_type IN ('purchase', 'view') THEN event_id - 1 END AS undoes FROM events"
+
+
+@query(
+    "journal_effective",
+    f"""WITH RECURSIVE j AS ({_JOURNAL}), l AS (SELECT undoes AS c, event_id AS u FROM j WHERE event = 'done' AND undoes IS NOT NULL),
+    r(c, e, hops) AS (SELECT c, u, 1 FROM l UNION ALL SELECT r.c, l.u, hops + 1 FROM r JOIN l ON l.c = r.e), h AS (SELECT c, max(hops) AS hops FROM r GROUP BY c)
+    SELECT event_id AS commit_id, CASE WHEN event = 'open' THEN 'pending' WHEN event = 'failed' THEN 'failed' WHEN coalesce(hops, 0) % 2 = 1 THEN 'undone' ELSE 'done' END AS state FROM j LEFT JOIN h ON c = event_id""",
+)
+def journal_effective(spark: SparkSession, sf: str) -> DataFrame:
+    """What holds of each commit, where commits take others back in chains."""
+    kind = F.col("event_type")
+    event = F.when(kind == "click", "open").when(kind == "error", "failed").otherwise("done")
+    opened = entity(spark, sf, "events").select(F.col("event_id").alias("commit_id"), (F.col("event_id") * 2).alias("seq"), F.lit("open").alias("event"), F.when(kind.isin("purchase", "view"), F.col("event_id") - 1).alias("undoes"))
+    closed = entity(spark, sf, "events").where(kind != "click").select(F.col("event_id").alias("commit_id"), (F.col("event_id") * 2 + 1).alias("seq"), event.alias("event"), F.lit(None).cast("long").alias("undoes"))
+    return ch.effective(opened.unionByName(closed))
+
+
+@query(
+    "pending_outcomes",
+    """WITH e AS (SELECT event_id // 3 AS p, event_id % 3 AS n, (user_id % 2)::VARCHAR AS s, epoch_us(ts) AS t FROM events),
+    a AS (SELECT p, max(CASE WHEN n = 0 THEN s END) AS s0, max(CASE WHEN n = 0 THEN t END) AS t0, max(CASE WHEN n = 1 THEN s END) AS s1, max(CASE WHEN n = 1 THEN t END) AS t1, max(CASE WHEN n = 2 THEN s END) AS s2, max(CASE WHEN n = 2 THEN t END) AS t2 FROM e GROUP BY p),
+    o AS (SELECT *, CASE WHEN s1 <> s0 THEN 'wrong_session' WHEN t1 >= t0 + 300000000 THEN 'expired' ELSE 'confirmed' END AS o1 FROM a)
+    SELECT p AS pending_id, 0 AS n, 'proposed' AS outcome FROM o UNION ALL SELECT p, 1, o1 FROM o WHERE t1 IS NOT NULL
+    UNION ALL SELECT p, 2, CASE WHEN o1 <> 'wrong_session' THEN 'unknown' WHEN s2 <> s0 THEN 'wrong_session' WHEN t2 >= t0 + 300000000 THEN 'expired' ELSE 'confirmed' END FROM o WHERE t2 IS NOT NULL""",
+)
+def pending_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    """Events in threes as one proposal and two confirmations; a session is checked before the time."""
+    rows = entity(spark, sf, "events").select(F.expr("event_id div 3").alias("pending_id"), (F.col("user_id") % 2).cast("string").alias("session"), F.when(F.col("event_id") % 3 == 0, "propose").otherwise("confirm").alias("action"), F.col("ts").alias("at"))
+    found = pending.pending_outcomes(rows, 300)
+    order = Window.partitionBy("pending_id").orderBy("at", F.desc("action"))
+    return found.select("pending_id", (F.row_number().over(order) - 1).alias("n"), "outcome")
