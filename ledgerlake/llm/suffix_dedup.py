@@ -230,10 +230,10 @@ def _judged(dealt: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, schema)
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(prints, cuts). prints: (doc_id, d, sha256, n_bytes), a row for each row of docs. cuts: (d, spans,
-    kept, kept_sha256) for each different text with a repeated string, d being the first 16 bytes of the
-    text's SHA-256; spans are the maximal removed byte ranges (start, stop), kept the other bytes.
+def placed_runs(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(prints, candidates, placed). prints: (doc_id, d, sha256, n_bytes), a row for each row of docs; candidates: (d, text) of the texts that may have
+    repeats, maybe twice; placed: (d, found), for each different text with a repeated string the runs (start, spans) that hold them: spans are
+    flat pairs of the first start of a repeated string and that after the last, counted from start. d is the first 16 bytes of a text's SHA-256.
 
     A null text counts as empty. Repeated rows are documents of their own and so repeat each other.
     Texts shorter than `length` bytes have no repeats; an empty table gives empty results. Columns other
@@ -265,31 +265,35 @@ def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[Data
     starts = pieces.join(again, "digest").groupBy("context_id").agg(F.flatten(F.collect_list(F.array("start", F.col("start") + 1))).alias("spans"))
     found = one_block.unionByName(starts)
     placed = spread_join(runs.select("d", "start", "context_id"), found, ["context_id"], F.col("d")).groupBy("d").agg(F.collect_list(F.struct("start", "spans")).alias("found"))
-    each = candidates.select("d", "text").dropDuplicates(["d"])  # a repeated row has come twice
-    cuts = _cut(each.join(placed, "d"), length)
-    return prints.drop("marks"), cuts
+    return prints.drop("marks"), candidates.select("d", "text"), placed
+
+
+def cut_out(text: bytes, runs: list[dict], length: int) -> tuple[list[list[int]], bytes]:
+    """The maximal byte ranges of a text that its runs cover, and the bytes outside of them."""
+    ranges = sorted((r["start"] + a, r["start"] + b - 1 + length) for r in runs for a, b in zip(r["spans"][::2], r["spans"][1::2]))
+    merged: list[list[int]] = []
+    for a, b in ranges:
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    edges = [0, *(x for m in merged for x in m), len(text)]
+    return merged, b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def _cut(found: DataFrame, length: int) -> DataFrame:
+def repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
+    """(prints, cuts). prints as in placed_runs(), which says what holds in each case; cuts: (d, spans, kept, kept_sha256) for each different text with a
+    repeated string: spans are the maximal removed byte ranges (start, stop), kept the other bytes."""
+    prints, candidates, placed = placed_runs(docs, length, hot)
+
     def make(batch: pa.RecordBatch) -> dict:
-        spans, kept, sha = [], [], []
-        for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            ranges = sorted((r["start"] + a, r["start"] + b - 1 + length) for r in runs for a, b in zip(r["spans"][::2], r["spans"][1::2]))
-            merged: list[list[int]] = []
-            for a, b in ranges:
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(b, merged[-1][1])
-                else:
-                    merged.append([a, b])
-            edges = [0, *(x for m in merged for x in m), len(text)]
-            rest = b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
-            spans.append([{"start": a, "stop": b} for a, b in merged])
-            kept.append(rest)
-            sha.append(hashlib.sha256(rest).hexdigest())
+        found = [cut_out(text, runs, length) for text, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        return {"d": batch.column(0), "spans": pa.array(spans, kind), "kept": pa.array(kept, pa.binary()), "kept_sha256": pa.array(sha)}
+        spans = [[{"start": a, "stop": b} for a, b in merged] for merged, _ in found]
+        return {"d": batch.column(0), "spans": pa.array(spans, kind), "kept": pa.array([x for _, x in found], pa.binary()), "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for _, x in found])}
 
-    return over_batches(found.select("d", "text", "found"), make, "d binary, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string")
+    each = candidates.dropDuplicates(["d"]).join(placed, "d")  # a repeated row has come twice
+    return prints, over_batches(each.select("d", "text", "found"), make, "d binary, spans array<struct<start:long,stop:long>>, kept binary, kept_sha256 string")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -300,25 +304,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeated strings cut out of text; all rows and columns stay. A character that a cut goes
-    through is dropped. A long n_chars is brought up to date where text has changed."""
-    prints, cuts = repeats(docs, length)
-    copies = prints.groupBy(F.col("d").alias("__own")).agg(F.count("*").alias("n"))
-    cuts = stored(cuts.select(F.col("d").alias("__d"), F.col("kept").alias("__kept")), "suffix-cuts")
+    """docs with repeated strings cut out of text; all rows and columns stay, whatever their names. A character that a cut goes
+    through is dropped. A long n_chars is brought up to date where text has changed.
 
-    def whole(batch: pa.RecordBatch) -> dict:
-        return {"__d": batch.column(0), "__kept": pa.array([x.decode("utf-8", "ignore") for x in batch.column(1).to_pylist()], pa.string())}
-
-    cuts = over_batches(cuts, whole, "__d binary, __kept string")
+    A null text stays null, an empty one and those shorter than `length` bytes stay as they are, long ones are cut whole. Repeated rows are
+    documents of their own, so both lose what they share; there are no ties, since no copy is kept. An empty table stays empty.
+    The places of what goes are joined with the rows, not the texts that stay, so texts are moved once."""
+    prints, _, placed = placed_runs(docs, length)
+    copies = prints.groupBy(F.col("d").alias("__own")).agg(F.count("*").alias("n"))
+    found = stored(placed.select(F.col("d").alias("__own"), F.col("found").alias("__found")), "suffix-cuts")
     digest = F.unhex(F.substring(F.sha2(text_of(docs).cast("binary"), 256), 1, 32))
-    cuts = cuts.withColumnRenamed("__d", "__own")
-    joined = spread_join(docs.withColumn("__own", digest), cuts, ["__own"], docs["doc_id"], "left", sizes=copies)
-    changed = F.col("__kept").isNotNull()
-    new = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        new["n_chars"] = F.when(changed, F.length("__kept").cast(kind)).otherwise(F.col("n_chars"))
-    return joined.select(*(new[c].alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns))
+    joined = spread_join(docs.withColumn("__own", digest), found, ["__own"], docs["doc_id"], "left", sizes=copies)
+    names = docs.columns
+    at = names.index("text")
+    counted = names.index("n_chars") if "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() == "bigint" else None
+
+    def cut(batch: pa.RecordBatch) -> dict:
+        runs = batch.column(len(names)).to_pylist()
+        texts = batch.column(at).to_pylist()
+        new = [x if not r else cut_out((x or "").encode(), r, length)[1].decode("utf-8", "ignore") for x, r in zip(texts, runs)]
+        columns = {n: batch.column(k) for k, n in enumerate(names)}
+        columns["text"] = pa.array(new, pa.string())
+        if counted is not None:
+            columns["n_chars"] = pa.array([n if not r else len(x) for n, x, r in zip(batch.column(counted).to_pylist(), new, runs)], pa.int64())
+        return columns
+
+    return over_batches(joined.select(*(f"`{c}`" for c in names), "__found"), cut, docs.schema)
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
