@@ -101,13 +101,43 @@ def balance_and_turnovers(reg: Register, start: datetime, end: datetime, dimensi
     return reg.rows(where).where(F.col(reg.period) < F.lit(end)).groupBy(*reg.dims(dimensions)).agg(*sums)
 
 
-def running_balance(reg: Register, order: list[str], dimensions: tuple[str, ...] | None = None, where: Column | None = None, block: str = "month") -> DataFrame:
+#: An item with more rows than HOT_ROWS and one in HOT_SHARE of all has its sums dealt out by blocks of time.
+HOT_ROWS, HOT_SHARE = 1_000_000, 200
+
+
+def _same_items(dims: list[str]) -> Column:
+    same = F.lit(True)
+    for c in dims:
+        same = same & F.col(c).eqNullSafe(F.col(f"__d_{c}"))
+    return same
+
+
+def running_balance(reg: Register, order: list[str], dimensions: tuple[str, ...] | None = None, where: Column | None = None, block: str = "month", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Movements with `<resource>_opening` and `_closing` of their dimensions, in order of period and `order`.
 
-    Sums are taken within blocks of time (day, month, year) and over the blocks' totals, so the movements of one item
-    with very many are dealt out to as many tasks as it has blocks."""
+    An item's movements are summed in one task, but for those of hot items, of which there are HOT_SHARE at most: their sums are
+    taken within blocks of time (day, month, year) and over the blocks' totals, so they are dealt out to as many tasks as an item has blocks."""
     dims = reg.dims(dimensions)
-    rows = reg.rows(where).withColumn("__block", F.date_trunc(block, F.col(reg.period)))
+    rows = reg.rows(where)
+    sizes = rows.groupBy(*dims).agg(F.count("*").alias("__n"))
+    most, total = sizes.agg(F.max("__n"), F.sum("__n")).first()
+    limit = max(hot_rows, (total or 0) // HOT_SHARE)
+    if (most or 0) <= limit:
+        return _running(reg, rows, dims, order)
+    hot = F.broadcast(sizes.where(F.col("__n") > limit).select(*(F.col(c).alias(f"__d_{c}") for c in dims)))
+    rest = _running(reg, rows.join(hot, _same_items(dims), "left_anti"), dims, order)
+    return rest.unionByName(_running_in_blocks(reg, rows.join(hot, _same_items(dims), "left_semi"), dims, order, block))
+
+
+def _running(reg: Register, rows: DataFrame, dims: list[str], order: list[str]) -> DataFrame:
+    upto = Window.partitionBy(*dims).orderBy(reg.period, *order).rowsBetween(Window.unboundedPreceding, 0)
+    for r in reg.resources:
+        rows = rows.withColumn(f"{r}_closing", F.sum(reg.signed(r)).over(upto)).withColumn(f"{r}_opening", F.col(f"{r}_closing") - reg.signed(r))
+    return rows
+
+
+def _running_in_blocks(reg: Register, rows: DataFrame, dims: list[str], order: list[str], block: str) -> DataFrame:
+    rows = rows.withColumn("__block", F.date_trunc(block, F.col(reg.period)))
     totals = rows.groupBy(*dims, "__block").agg(*(F.sum(reg.signed(r)).alias(f"__t_{r}") for r in reg.resources))
     earlier = Window.partitionBy(*dims).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
@@ -115,11 +145,8 @@ def running_balance(reg: Register, order: list[str], dimensions: tuple[str, ...]
         F.col("__block").alias("__b"),
         *(F.coalesce(F.sum(f"__t_{r}").over(earlier), F.lit(0)).alias(f"__before_{r}") for r in reg.resources),
     )
-    same = F.col("__block").eqNullSafe(F.col("__b"))
-    for c in dims:
-        same = same & F.col(c).eqNullSafe(F.col(f"__d_{c}"))
     upto = Window.partitionBy(*dims, "__block").orderBy(reg.period, *order).rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(before, same)
+    out = rows.join(before, F.col("__block").eqNullSafe(F.col("__b")) & _same_items(dims))
     for r in reg.resources:
         out = out.withColumn(f"{r}_closing", F.col(f"__before_{r}") + F.sum(reg.signed(r)).over(upto)).withColumn(f"{r}_opening", F.col(f"{r}_closing") - reg.signed(r))
     return out.drop("__block", "__b", *(f"__d_{c}" for c in dims), *(f"__before_{r}" for r in reg.resources))
@@ -161,3 +188,30 @@ def trial_balance(entries: DataFrame, period: str, start: datetime, end: datetim
     )
     side = lambda c, n: [F.greatest(F.col(c), F.lit(0)).alias(f"{n}_dr"), F.greatest(-F.col(c), F.lit(0)).alias(f"{n}_cr")]
     return sums.select("account", *side("o", "opening"), "turnover_dr", "turnover_cr", *side("c", "closing"))
+
+
+def with_dimensions(entries: DataFrame, entry: str, values: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """entries with a column for each kind of extended dimension: kinds are kind -> Spark type. values has (entry, side, kind, value), side being `dr` or
+    `cr`, a row for each dimension that an entry's account has on that side: as many as it likes, and none is as well. The columns are `<side>_<kind>`, null
+    where the account has no such dimension; a value that isn't of its kind's type is null too. Of two values of one kind the smaller counts."""
+    cells = [F.min(F.when((F.col("side") == side) & (F.col("kind") == kind), F.col("value"))).alias(f"{side}_{kind}") for side in ("dr", "cr") for kind in kinds]
+    wide = values.groupBy(F.col(entry).alias("__entry")).agg(*cells)
+    typed = wide.select("__entry", *(F.expr(f"try_cast(`{side}_{kind}` as {dtype})").alias(f"{side}_{kind}") for side in ("dr", "cr") for kind, dtype in kinds.items()))
+    return entries.join(typed, F.col(entry) == F.col("__entry"), "left").drop("__entry")
+
+
+def dimension_turnovers(entries: DataFrame, debit: str, credit: str, amount: str, kinds: list[str], period: str, start: datetime, end: datetime) -> DataFrame:
+    """(account, kind, value, turnover_dr, turnover_cr) from rows of with_dimensions(): what went over each account by each value of each kind that it has. An
+    entry counts once for each kind of its side; those without a dimension of any kind count under a null kind and value."""
+    zero = F.lit(0).cast(MONEY)
+    money = F.col(amount).cast(MONEY)
+
+    def side(name: str, account: str) -> Column:
+        cell = lambda kind, value: F.struct(F.col(account).cast("string").alias("account"), kind.alias("kind"), value.alias("value"), (money if name == "dr" else zero).alias("dr"), (money if name == "cr" else zero).alias("cr"))
+        none = F.lit(None).cast("string")
+        held = F.filter(F.array(*(F.when(F.col(f"{name}_{k}").isNotNull(), cell(F.lit(k), F.col(f"{name}_{k}").cast("string"))) for k in kinds)), lambda x: x.isNotNull())
+        return F.when(F.size(held) > 0, held).otherwise(F.array(cell(none, none)))
+
+    rows = entries.where((F.col(period) >= F.lit(start)) & (F.col(period) < F.lit(end)))
+    cells = rows.select(F.inline(F.concat(side("dr", debit), side("cr", credit))))
+    return cells.groupBy("account", "kind", "value").agg(F.sum("dr").alias("turnover_dr"), F.sum("cr").alias("turnover_cr"))

@@ -137,3 +137,50 @@ def debit_credit_turnovers(spark: SparkSession, sf: str) -> DataFrame:
 )
 def trial_balance(spark: SparkSession, sf: str) -> DataFrame:
     return plain(r.trial_balance(entries(spark, sf), "o_orderdate", START, END))
+
+
+@query(
+    "running_balance_of_hot_items",
+    f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, (c - s)::DOUBLE AS opening, c::DOUBLE AS closing FROM (SELECT *,
+    sum(s) OVER (PARTITION BY l_linestatus ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM {M})""",
+)
+def running_balance_of_hot_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Two items with half of all movements each, whose sums are dealt out by months."""
+    moves = r.Register(entity(spark, sf, "lineitem"), "l_shipdate", ("l_linestatus",), ("l_quantity",), F.col("l_returnflag") != "R")
+    rows = r.running_balance(moves, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], hot_rows=1000)
+    return plain(rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus", "l_quantity_opening", "l_quantity_closing"), l_quantity_opening="opening", l_quantity_closing="closing")
+
+
+#: Orders as entries from a customer's account to one of two others, with dimensions: the customer on both sides of even ones, the priority on the debit side of
+#: every third, a number that is none on every seventh.
+_ENTRIES = "(SELECT *, 'c' || o_custkey % 5 AS dr, CASE WHEN o_orderkey % 2 = 0 THEN '90' ELSE '91' END AS cr FROM orders)"
+
+
+def dimensioned(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    orders = entity(spark, sf, "orders").withColumn("dr", F.concat(F.lit("c"), (F.col("o_custkey") % 5).cast("string"))).withColumn("cr", F.when(key % 2 == 0, "90").otherwise("91"))
+    customer = F.when(key % 7 == 0, "none").otherwise(F.col("o_custkey").cast("string"))
+    cell = lambda side, kind, value: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), value.alias("value"))
+    cells = F.concat(F.when(key % 2 == 0, F.array(cell("dr", "customer", customer), cell("cr", "customer", customer))).otherwise(F.array()), F.when(key % 3 == 0, F.array(cell("dr", "priority", F.col("o_orderpriority")))).otherwise(F.array()))
+    return r.with_dimensions(orders, "o_orderkey", orders.select("o_orderkey", F.inline(cells)), {"customer": "bigint", "priority": "string"})
+
+
+_DR_C, _DR_P = "CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 7 <> 0 THEN o_custkey END", "CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END"
+
+
+@query("entry_dimensions", f"SELECT o_orderkey, dr, cr, {_DR_C} AS dr_customer, {_DR_P} AS dr_priority, {_DR_C} AS cr_customer, NULL::VARCHAR AS cr_priority FROM {_ENTRIES}")
+def entry_dimensions(spark: SparkSession, sf: str) -> DataFrame:
+    """As many dimensions of either side as an entry has, each of its own type."""
+    return dimensioned(spark, sf).select("o_orderkey", "dr", "cr", "dr_customer", "dr_priority", "cr_customer", "cr_priority")
+
+
+@query(
+    "dimension_turnovers",
+    f"""WITH e AS (SELECT dr, cr, o_totalprice::DECIMAL(18,2) AS a, ({_DR_C})::VARCHAR AS c, {_DR_P} AS p FROM {_ENTRIES} WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND o_orderdate < TIMESTAMP '1999-01-01'),
+    s AS (SELECT dr AS account, 'customer' AS kind, c AS value, a AS d, 0 AS k FROM e WHERE c IS NOT NULL UNION ALL SELECT dr, 'priority', p, a, 0 FROM e WHERE p IS NOT NULL UNION ALL SELECT dr, NULL, NULL, a, 0 FROM e WHERE c IS NULL AND p IS NULL
+      UNION ALL SELECT cr, CASE WHEN c IS NOT NULL THEN 'customer' END, c, 0, a FROM e)
+    SELECT account, kind, value, sum(d)::DOUBLE AS turnover_dr, sum(k)::DOUBLE AS turnover_cr FROM s GROUP BY account, kind, value""",
+)
+def dimension_turnovers(spark: SparkSession, sf: str) -> DataFrame:
+    """Two kinds of dimensions on one account, each with turnovers of its own."""
+    return plain(r.dimension_turnovers(dimensioned(spark, sf), "dr", "cr", "o_totalprice", ["customer", "priority"], "o_orderdate", START, END))
