@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,12 +57,12 @@ def longest_prefix_parent(names: DataFrame, column: str, separator: str = "_") -
     return rows.join(tried.groupBy("name").agg(F.max_by("parent", F.length("parent")).alias("parent")), "name", "left").select("name", "parent")
 
 
-def name_score(name: Column, query: str) -> Column:
-    """How well a name answers a query: equal 100, shared words 50 and their number, part of the name 30 and
+def name_score(name: Column, query: str, by: Callable[[Column], Column] = text.words_of_name) -> Column:
+    """How well a name answers a query: equal 100, shared words (by: their stems, or another form of them) 50 and their number, part of the name 30 and
     the share of its length, else 20 times the trigram similarity if that is large enough, else 0."""
     asked = F.array_join(text.words_of_name(F.lit(query)), " ")
     have = F.array_join(text.words_of_name(name), " ")
-    shared = F.size(F.array_intersect(text.words_of_name(name), text.words_of_name(F.lit(query))))
+    shared = F.size(F.array_intersect(by(name), by(F.lit(query))))
     near = text.trigram_similarity(have, asked)
     return (
         F.when(have == asked, F.lit(100.0))
@@ -71,7 +73,7 @@ def name_score(name: Column, query: str) -> Column:
     )
 
 
-def find(names: DataFrame, column: str, query: str, limit: int = 10) -> DataFrame:
-    """The best names with their scores, equal scores by name."""
-    scored = names.select(F.col(column).alias("name"), name_score(F.col(column), query).alias("score"))
+def find(names: DataFrame, column: str, query: str, limit: int = 10, by: Callable[[Column], Column] = text.words_of_name) -> DataFrame:
+    """The best names with their scores, equal scores by name; with by=stems.stems words in other forms are shared too."""
+    scored = names.select(F.col(column).alias("name"), name_score(F.col(column), query, by).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), "name").limit(limit)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlake.functions import stems
 from ledgerlake.functions.text import trigram_similarity, words_of_name
 from ledgerlake.operators import catalog as cat
 from ledgerlake.operators import relations as rel
@@ -143,3 +144,26 @@ def reference_texts(spark: SparkSession, sf: str) -> DataFrame:
     lines = rel.with_references(every["lineitem"].select("l_orderkey", "l_partkey", "l_suppkey"), "lineitem", {k: v for k, v in every.items() if k != "orders"}, [r for r in found if r.target != "orders"], frozenset({"supplier"}), {"part": "p_name"})
     orders = rel.with_references(every["orders"].select("o_orderkey", "o_custkey"), "orders", every, found, texts={"customer": "c_name"})
     return lines.distinct().join(orders, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey")
+
+
+#: Names of parts made of their keys, in forms of the same words, with how many of the words asked for they share.
+_FORMS = (("OrderedLines", 2), ("ShippingOrders", 1), ("Заказы", 1), ("Поставщика", 0), ("Lining", 1))
+
+
+@query("stem_words", "SELECT p_partkey, (['order line', 'ship order', 'заказ', 'поставщик', 'line'])[p_partkey % 5 + 1] || ' ' || p_partkey AS stems FROM part")
+def stem_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Stems of the words of names, English and Russian."""
+    form = F.get(F.array(*(F.lit(f) for f, _ in _FORMS)), (F.col("p_partkey") % len(_FORMS)).cast("int"))
+    return entity(spark, sf, "part").select("p_partkey", F.array_join(stems.stems(F.concat_ws("_", form, F.col("p_partkey").cast("string"))), " ").alias("stems"))
+
+
+@query(
+    "search_by_stems",
+    """SELECT name, CASE WHEN n > 0 THEN 50.0 + n END::DOUBLE AS score FROM (SELECT (['OrderedLines', 'ShippingOrders', 'Заказы', 'Поставщика', 'Lining'])[p_partkey % 5 + 1] || '_' || p_partkey AS name, ([2, 1, 1, 0, 1])[p_partkey % 5 + 1] AS n FROM part)
+    WHERE n > 0 ORDER BY score DESC, name LIMIT 100""",
+)
+def search_by_stems(spark: SparkSession, sf: str) -> DataFrame:
+    """The hundred names that share most words with a query, whatever the words' forms."""
+    form = F.get(F.array(*(F.lit(f) for f, _ in _FORMS)), (F.col("p_partkey") % len(_FORMS)).cast("int"))
+    names = entity(spark, sf, "part").select(F.concat_ws("_", form, F.col("p_partkey").cast("string")).alias("name"))
+    return cat.find(names, "name", "orders lines заказами", 100, by=stems.stems)

@@ -9,6 +9,7 @@ from ledgerlake.functions import text as tx
 from ledgerlake.functions import tokens as t
 from ledgerlake.operators import governed as g
 from ledgerlake.operators import masking as m
+from ledgerlake.operators.recipes import Bound, Param, Recipe
 from ledgerlake.plans.gate_plans import SECRET, token_sql
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import entity
@@ -238,3 +239,29 @@ def strict_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Of a table that nothing is known of, fields that name what they are in are closed."""
     rows = entity(spark, sf, "part").select("p_partkey", F.col("p_name").alias("description"), F.col("p_name").alias("remark"))
     return m.mask_fields(rows, SECRET, g.Policy(SECRET, strict=True).rules(rows, "part"))
+
+
+def of_customer(spark: SparkSession, sf: str) -> Recipe:
+    """Orders of a customer, who is named by a token, over a price."""
+    conditions = (("customer", Bound("customer", "c_name")), ("least", Bound("orders", "o_totalprice", "ge")))
+
+    def build(tables: dict, values: dict, condition) -> DataFrame:  # noqa: ANN001
+        rows = tables["orders"].join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        rows = rows if condition is None else rows.where(condition)
+        return rows.select("o_orderkey", "c_name", F.concat(F.lit("for "), "c_name").alias("memo"))
+
+    return Recipe("orders_of_customer", (Param("customer", "string", True), Param("least", "decimal")), build, conditions, ("orders", "customer"))
+
+
+@query(
+    "governed_recipe",
+    f"""SELECT o_orderkey, {token_sql('org', 'lower(c_name)')} AS c_name, 'for ' || {token_sql('org', 'lower(c_name)')} AS memo, 0 AS guard_replaced FROM orders JOIN customer ON o_custkey = c_custkey
+    WHERE c_custkey = (SELECT min(o_custkey) FROM orders) AND o_totalprice >= 1000""",
+)
+def governed_recipe(spark: SparkSession, sf: str) -> DataFrame:
+    """A recipe asked for by a token: its values are probed by the rules for their fields, its rows masked."""
+    tables = {n: entity(spark, sf, n) for n in ("orders", "customer")}
+    first = tables["orders"].agg(F.min("o_custkey").alias("c_custkey"))
+    token = tables["customer"].join(first, "c_custkey").select(t.token("org", F.col("c_name"), SECRET)).first()[0]
+    policy = g.Policy(SECRET, dictionary=m.issue(tables["customer"], "org", "c_name", SECRET))
+    return of_customer(spark, sf).governed(tables, policy, customer=token, least=1000)

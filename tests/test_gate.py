@@ -336,3 +336,32 @@ def test_pending_stream_ends_operations_by_a_timer(spark, tmp_path):
     rows = [(r["pending_id"], r["action"], r["outcome"]) for r in spark.table("pending_rows").collect()]
     assert sorted((p, o) for p, a, o in rows if a != "timer" and p < 9 and (p, o) != (5, "unknown")) == OUTCOMES
     assert (5, "timer", "expired") in rows and (5, "confirm", "unknown") in rows and (9, "confirm", "confirmed") in rows
+
+
+# -- stems and recipes
+
+STEMS = {
+    "вагонов": "вагон", "важнейшие": "важн", "важничал": "важнича", "важность": "важност", "валандался": "валанда", "вбежав": "вбежа", "вверенный": "вверен", "падающего": "пада", "падение": "паден", "павшего": "павш", "памятником": "памятник", "панталонишки": "панталонишк", "п": "п", "организациями": "организац",
+    "consignment": "consign", "consistency": "consist", "consolatory": "consolatori", "conspirators": "conspir", "constable": "constabl", "knackeries": "knackeri", "knightly": "knight", "knitting": "knit", "generate": "generat", "general": "general", "hopping": "hop", "hoping": "hope", "skies": "sky", "dying": "die",
+    "happy": "happi", "say": "say", "by": "by", "ties": "tie", "cries": "cri", "gas": "gas", "kiwis": "kiwi", "agreed": "agre", "feed": "feed", "luxuriated": "luxuri", "proceed": "proceed", "relational": "relat", "controlling": "control", "adjustment": "adjust", "universe": "univers", "": "",
+}
+
+
+def test_published_stems(spark):
+    from ledgerlake.functions import stems
+
+    got = spark.createDataFrame([(w,) for w in STEMS], "w string").select("w", stems.stem(F.col("w")).alias("s")).collect()
+    assert {r["w"]: r["s"] for r in got} == STEMS
+
+
+def test_recipes_are_probed(spark):
+    from ledgerlake.operators.recipes import Bound, Param, Recipe
+
+    tables_ = {"person": spark.createDataFrame([("Ann Lee", "7707083893", 5.0), ("Bob Ray", "7736050003", 7.0)], "full_name string, inn string, amount double")}
+    recipe = Recipe("people", (Param("name", "string"), Param("inn", "string"), Param("least", "decimal")), lambda t, v, c: t["person"].where(c), (("name", Bound("person", "full_name")), ("inn", Bound("person", "inn")), ("least", Bound("person", "amount", "ge"))))
+    book = spark.createDataFrame([("org", token_of(spark, "org", "Ann Lee"), "Ann Lee")], "kind string, token string, spelling string")
+    policy = governed.Policy(SECRET, dictionary=book)
+    ann = token_of(spark, "org", "Ann Lee")
+    assert [r["full_name"] for r in recipe.governed(tables_, policy, name=ann, least=5).collect()] == [ann]
+    asked = lambda **k: code(recipe.governed, tables_, policy, **k)
+    assert asked(name="[[org:") == "token_partial" and asked(name="[[inn:AB]]") == "token_type_mismatch" and asked(inn="7707083894") == "filter_syntax" and asked(name="[[org:ZZ]]") == "token_unknown" and asked(least="5") == "recipe_param"
