@@ -290,6 +290,13 @@ def governed_query(
     return out.select(*chosen, "guard_replaced"), warnings
 
 
+def raw_rows(df: DataFrame, policy: Policy, known: dict[str, str] | None = None, name: str = "") -> DataFrame:
+    """Rows of whatever shape, as a path that is in no catalog has given them, masked the strict way: what names a thing is closed, everything else is searched, and
+    nothing a protocol adds is left. known are classes that are told of some fields."""
+    strict = replace(policy, strict=True, base={**policy.base, **(known or {})})
+    return mask_rows(without_service_columns(df), strict, name=name)
+
+
 SERVICE = ("odata.metadata", "odata.type", "odata.etag", "__metadata", "__deferred", "DataVersion")
 
 

@@ -57,9 +57,50 @@ def staff(t: dict[str, DataFrame], v: dict, where: Column | None) -> DataFrame:
 def register_documents(t: dict[str, DataFrame], v: dict, where: Column | None) -> DataFrame:
     rows = t["orders"].where((F.col("o_orderdate") >= F.lit(v["start"])) & (F.col("o_orderdate") < F.lit(v["end"])))
     rows = rows if where is None else rows.where(where)
-    return rows.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice").orderBy("o_orderdate", "o_orderkey").limit(1000)
+    rows = rows.select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice").orderBy("o_orderdate", "o_orderkey")
+    return rows if v.get("top") is None else rows.limit(v["top"])
 
 
+def _money(t: dict[str, DataFrame], kinds: tuple[str, ...] = ()) -> r.Register:
+    """Events as payments: errors are expenses, the rest receipts; kinds are the accounts of a recipe."""
+    rows = t["events"].where(F.col("event_type").isin(*kinds)) if kinds else t["events"]
+    return r.Register(rows, "ts", ("user_id", "event_type"), ("value",), F.col("event_type") != "error")
+
+
+def money(*kinds: str):  # noqa: ANN201
+    def build(t: dict[str, DataFrame], v: dict, where: Column | None) -> DataFrame:
+        return plain(r.balance(_money(t, kinds), v["at"], ("user_id",), where), value_balance="balance")
+
+    return build
+
+
+def accruals(t: dict[str, DataFrame], v: dict, where: Column | None) -> DataFrame:
+    return plain(r.turnovers(_money(t), v["start"], v["end"], None, where), value_turnover="turnover", value_receipt="accrued", value_expense="withheld")
+
+
+def salary_settlements(t: dict[str, DataFrame], v: dict, where: Column | None) -> DataFrame:
+    return plain(r.balance_and_turnovers(_money(t), v["start"], v["end"], ("user_id",), where), **{f"value_{c}": c for c in ("opening", "receipt", "expense", "closing")})
+
+
+def event_documents(kind: str):  # noqa: ANN201
+    def build(t: dict[str, DataFrame], v: dict, where: Column | None) -> DataFrame:
+        rows = t["events"].where((F.col("event_type") == kind) & (F.col("ts") >= F.lit(v["start"])) & (F.col("ts") < F.lit(v["end"])))
+        rows = (rows if where is None else rows.where(where)).select("event_id", "ts", "user_id", "value").orderBy("ts", "event_id")
+        return rows if v.get("top") is None else rows.limit(v["top"])
+
+    return build
+
+
+def trial(t: dict[str, DataFrame], v: dict, where: Column | None) -> DataFrame:
+    rows = t["orders"] if where is None else t["orders"].where(where)
+    debit, credit = F.concat(F.lit("62."), (F.col("o_custkey") % 10).cast("string")), F.concat(F.lit("90."), "o_orderstatus")
+    both = r.double_entry(rows.withColumn("__dr", debit).withColumn("__cr", credit), "__dr", "__cr", "o_totalprice", ["o_orderdate"])
+    return plain(r.trial_balance(both, "o_orderdate", v["start"], v["end"]))
+
+
+USER, BY_USER = Param("employee", "int"), ("employee", lambda x: F.col("user_id") == x)
+#: Recipes that list documents of one kind, which events stand for.
+DOCUMENTS = {"hires": "signup", "dismissals": "error", "vacations": "view", "sick_leaves": "click", "payroll_documents": "purchase"}
 LIBRARY = {
     x.name: x
     for x in (
@@ -70,7 +111,14 @@ LIBRARY = {
         Recipe("purchases", SPAN, purchases, (), ("lineitem",)),
         Recipe("settlements", SPAN, settlements, (), ("lineitem",)),
         Recipe("staff", (AT, Param("event", "string")), staff, (("event", lambda x: F.col("event_type") == x),), ("events",)),
-        Recipe("documents_of", (*SPAN, Param("status", "string")), register_documents, (("status", lambda x: F.col("o_orderstatus") == x),), ("orders",)),
+        Recipe("money_bank", (AT, USER), money("purchase", "view", "error"), (BY_USER,), ("events",)),
+        Recipe("money_cash", (AT, USER), money("signup", "click"), (BY_USER,), ("events",)),
+        Recipe("salary_debt", (AT, USER), money(), (BY_USER,), ("events",)),
+        Recipe("accruals", (*SPAN, USER, Param("kind", "string")), accruals, (BY_USER, ("kind", lambda x: F.col("event_type") == x)), ("events",)),
+        Recipe("salary_settlements", (*SPAN, USER), salary_settlements, (BY_USER,), ("events",)),
+        *(Recipe(name, (*SPAN, USER, Param("top", "int")), event_documents(kind), (BY_USER,), ("events",)) for name, kind in DOCUMENTS.items()),
+        Recipe("trial_balance", (*SPAN, Param("status", "string")), trial, (("status", lambda x: F.col("o_orderstatus") == x),), ("orders",)),
+        Recipe("documents_of", (*SPAN, Param("status", "string"), Param("top", "int")), register_documents, (("status", lambda x: F.col("o_orderstatus") == x),), ("orders",)),
     )
 }
 BOOK = Book(LIBRARY)
@@ -102,7 +150,39 @@ _recipe(
     end=_END,
 )
 _recipe("staff", "SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id, 'click' AS event_type, arg_max(value, (ts, event_id)) AS value FROM events WHERE event_type = 'click' AND ts <= TIMESTAMP '2024-01-20' GROUP BY user_id", at=datetime(2024, 1, 20), event="click")
-_recipe("documents_of", f"SELECT o_orderkey, o_orderdate, o_orderstatus, o_totalprice FROM orders WHERE {_IN} AND o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1000", start=_START, end=_END, status="O")
+_recipe("documents_of", f"SELECT o_orderkey, o_orderdate, o_orderstatus, o_totalprice FROM orders WHERE {_IN} AND o_orderstatus = 'O' ", start=_START, end=_END, status="O")
+_V, _S = "value::DECIMAL(18,2)", "CASE WHEN event_type = 'error' THEN -value::DECIMAL(18,2) ELSE value::DECIMAL(18,2) END"
+_DAY, _LAST = datetime(2024, 1, 5), datetime(2024, 1, 20)
+_BETWEEN = "ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'"
+
+
+def _balance_of(where: str) -> str:
+    return f"SELECT user_id, sum({_S})::DOUBLE AS balance FROM events WHERE ts < TIMESTAMP '2024-01-20' AND {where} GROUP BY user_id HAVING sum({_S}) <> 0"
+
+
+_recipe("money_bank", _balance_of("event_type IN ('purchase', 'view', 'error')"), at=_LAST)
+_recipe("money_cash", _balance_of("event_type IN ('signup', 'click')"), at=_LAST)
+_recipe("salary_debt", _balance_of("user_id = 7"), at=_LAST, employee=7)
+_recipe("accruals", f"SELECT user_id, event_type, sum({_S})::DOUBLE AS turnover, sum(CASE WHEN event_type <> 'error' THEN {_V} ELSE 0 END)::DOUBLE AS accrued, sum(CASE WHEN event_type = 'error' THEN {_V} ELSE 0 END)::DOUBLE AS withheld FROM events WHERE {_BETWEEN} GROUP BY ALL", start=_DAY, end=_LAST)
+_recipe(
+    "salary_settlements",
+    f"""SELECT user_id, sum(CASE WHEN ts < TIMESTAMP '2024-01-05' THEN {_S} ELSE 0 END)::DOUBLE AS opening, sum(CASE WHEN ts >= TIMESTAMP '2024-01-05' AND event_type <> 'error' THEN {_V} ELSE 0 END)::DOUBLE AS receipt,
+    sum(CASE WHEN ts >= TIMESTAMP '2024-01-05' AND event_type = 'error' THEN {_V} ELSE 0 END)::DOUBLE AS expense, sum({_S})::DOUBLE AS closing FROM events WHERE ts < TIMESTAMP '2024-01-20' GROUP BY user_id""",
+    start=_DAY,
+    end=_LAST,
+)
+for _name, _kind in DOCUMENTS.items():
+    _recipe(_name, f"SELECT event_id, ts, user_id, value FROM events WHERE event_type = '{_kind}' AND {_BETWEEN}", start=_DAY, end=_LAST)
+_recipe(
+    "trial_balance",
+    """WITH e AS (SELECT o_orderdate AS t, o_totalprice::DECIMAL(18,2) AS a, '62.' || o_custkey % 10 AS dr, '90.' || o_orderstatus AS cr FROM orders WHERE o_orderstatus <> 'P' AND o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1999-01-01'),
+    s AS (SELECT dr AS account, t, a AS d, 0 AS c FROM e UNION ALL SELECT cr, t, 0, a FROM e),
+    g AS (SELECT account, sum(CASE WHEN t < TIMESTAMP '1998-01-01' THEN d - c ELSE 0 END) AS o, sum(CASE WHEN t >= TIMESTAMP '1998-01-01' THEN d ELSE 0 END)::DOUBLE AS turnover_dr, sum(CASE WHEN t >= TIMESTAMP '1998-01-01' THEN c ELSE 0 END)::DOUBLE AS turnover_cr, sum(d - c) AS z FROM s GROUP BY account)
+    SELECT account, greatest(o, 0)::DOUBLE AS opening_dr, greatest(-o, 0)::DOUBLE AS opening_cr, turnover_dr, turnover_cr, greatest(z, 0)::DOUBLE AS closing_dr, greatest(-z, 0)::DOUBLE AS closing_cr FROM g""",
+    start=_START,
+    end=_END,
+    status="F",
+)
 
 
 @query("recipe_account_balance", f"SELECT account, greatest(sum(debit - credit), 0)::DOUBLE AS balance_dr, greatest(-sum(debit - credit), 0)::DOUBLE AS balance_cr FROM {ENTRIES} WHERE o_orderdate < TIMESTAMP '1999-01-01' GROUP BY account")

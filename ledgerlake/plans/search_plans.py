@@ -12,7 +12,7 @@ from ledgerlake.operators import masking as m
 from ledgerlake.operators.recipes import Bound, Param, Recipe
 from ledgerlake.plans.gate_plans import SECRET, token_sql
 from ledgerlake.plans.registry import query
-from ledgerlake.sources.tables import entity
+from ledgerlake.sources.tables import entity, json_body
 
 #: Names made of suppliers' keys: two words with a legal form, one word with one, one word alone, a number, in turn.
 _LETTERS = "translate(s_suppkey::VARCHAR, '0123456789', 'абвгдежзик')"
@@ -265,3 +265,15 @@ def governed_recipe(spark: SparkSession, sf: str) -> DataFrame:
     token = tables["customer"].join(first, "c_custkey").select(t.token("org", F.col("c_name"), SECRET)).first()[0]
     policy = g.Policy(SECRET, dictionary=m.issue(tables["customer"], "org", "c_name", SECRET))
     return of_customer(spark, sf).governed(tables, policy, customer=token, least=1000)
+
+
+@query(
+    "raw_scan",
+    f"""SELECT c_custkey, '{{"title":"' || {token_sql('org', 'lower(c_name)')} || '","tail":{{"memo":"call ' || {token_sql('org', 'lower(c_name)')} || '","n":' || c_nationkey || '}}}}' AS item, 0 AS guard_replaced FROM customer""",
+)
+def raw_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Bodies of JSON of a path that is in no catalog: parsed, stripped and closed the strict way."""
+    item = F.struct(F.col("c_name").alias("title"), F.struct(F.concat(F.lit("call "), "c_name").alias("memo"), F.col("c_nationkey").alias("n")).alias("tail"), F.lit("x").alias("odata.type"))
+    bodies = entity(spark, sf, "customer").select("c_custkey", F.to_json(F.struct(F.array(item).alias("value"))).alias("body"))
+    rows = json_body(bodies, "body", "title:string,tail:struct<memo:string,n:int>,`odata.type`:string").select("c_custkey", "item")
+    return g.raw_rows(rows, g.Policy(SECRET)).select("c_custkey", F.to_json("item").alias("item"), "guard_replaced")
