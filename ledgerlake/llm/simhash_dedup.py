@@ -14,6 +14,7 @@ gathered by partial aggregation before. A shard returns a star for each group it
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -74,28 +75,42 @@ def fingerprint(text: str, width: int) -> int:
     return majority(shingle_hashes(text, width))
 
 
+@lru_cache(maxsize=8)
+def _orders(seed: int, n: int) -> np.ndarray:
+    """Odd factors, each of which puts hashes into an order of its own."""
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
+
+
+def _majority_of_few(h: np.ndarray) -> int:
+    """majority() of three hashes at most, bit by bit at once."""
+    if len(h) == 3:
+        a, b, c = h.tolist()
+        return (a & b) | (a & c) | (b & c)
+    return int(np.bitwise_and.reduce(h)) if len(h) else 0
+
+
 def view_fingerprints(blocks: list[np.ndarray], views: int) -> list[int]:
     """SimHash of the VIEW_SHINGLES shingles that come first in each of several orders of all shingles."""
-    orders = np.random.default_rng(SEED).integers(1, 1 << 63, views, dtype=np.uint64) | np.uint64(1)
     out = []
-    for factor in orders:
+    for factor in _orders(SEED, views):
         some = np.zeros(0, np.uint64)
         for h in blocks:
             h = h * factor
             h = np.partition(h, VIEW_SHINGLES)[:VIEW_SHINGLES] if len(h) > VIEW_SHINGLES else h
             some = np.unique(np.concatenate((some, h)))[:VIEW_SHINGLES]
-        out.append(majority([some]))
+        out.append(_majority_of_few(some))
     return out
 
 
 def first_shingles(hashes: np.ndarray) -> bytes:
     """A byte of the shingle that comes first in each of MINIMA orders: two texts have as large a share of
-    equal bytes as their different shingles have in common, but for chance."""
-    orders = np.random.default_rng(SEED + 1).integers(1, 1 << 63, MINIMA, dtype=np.uint64) | np.uint64(1)
-    least = np.full(MINIMA, np.uint64(0xFFFFFFFFFFFFFFFF))
-    for at in range(0, len(hashes), 2048):
-        np.minimum(least, (hashes[None, at : at + 2048] * orders[:, None]).min(axis=1), out=least)
-    return (least * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).tobytes()
+    equal bytes as their different shingles have in common, but for chance. Orders are of the upper 32 bits, which are multiplied many at a time."""
+    orders = (_orders(SEED + 1, MINIMA) >> np.uint64(20)).astype(np.uint32) | np.uint32(1)
+    high = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(high), 2048):
+        np.minimum(least, (high[None, at : at + 2048] * orders[:, None]).min(axis=1), out=least)
+    return (least * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def with_fingerprints(docs: DataFrame, width: int) -> DataFrame:
