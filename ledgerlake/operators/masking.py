@@ -312,8 +312,8 @@ def group_spans(hits: DataFrame, key: str) -> DataFrame:
 
 
 @lru_cache(maxsize=8)
-def _scanned(context: int, kinds: tuple[str, ...], secret: bytes) -> Column:
-    """The array __texts with its texts masked. Building it takes some 17,000 calls and 2 to 3 s, whatever the data, so each Spark context does it once."""
+def _scanned(app: str, kinds: tuple[str, ...], secret: bytes) -> Column:
+    """The array __texts with its texts masked. Building it takes some 17,000 calls and 2 to 3 s, whatever the data, so each application does it once."""
     return F.transform("__texts", lambda x: mask_text(x, list(kinds), secret))
 
 
@@ -327,7 +327,7 @@ def guard(df: DataFrame, secret: bytes, kinds: tuple[str, ...] = SCAN_ORDER) ->
     deep = F.filter(nested.gather(df, {}, lambda leaf: leaf.value, "string", lambda name, dtype: name in inner), lambda x: x.isNotNull())
     texts = F.array(*(F.col(f"`{n}`") for n in top)) if top else F.expr("cast(array() as array<string>)")
     out = df.withColumn("__texts", F.concat(texts, F.array_distinct(deep)) if inner else texts)
-    out = out.withColumn("__guarded", _scanned(id(df.sparkSession._jvm) if hasattr(df.sparkSession, "_jvm") else 0, tuple(kinds), secret))
+    out = out.withColumn("__guarded", _scanned(df.sparkSession.conf.get("spark.app.id"), tuple(kinds), secret))
     after = {n: F.get("__guarded", F.lit(k)) for k, n in enumerate(top)}
     changed = F.lit(0)
     for n, c in after.items():

@@ -175,7 +175,7 @@ for _name, _kind in DOCUMENTS.items():
     _recipe(_name, f"SELECT event_id, ts, user_id, value FROM events WHERE event_type = '{_kind}' AND {_BETWEEN}", start=_DAY, end=_LAST)
 _recipe(
     "trial_balance",
-    """WITH e AS (SELECT o_orderdate AS t, o_totalprice::DECIMAL(18,2) AS a, '62.' || o_custkey % 10 AS dr, '90.' || o_orderstatus AS cr FROM orders WHERE o_orderstatus <> 'P' AND o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1999-01-01'),
+    """WITH e AS (SELECT o_orderdate AS t, o_totalprice::DECIMAL(18,2) AS a, '62.' || o_custkey % 10 AS dr, '90.' || o_orderstatus AS cr FROM orders WHERE o_orderstatus = 'F' AND o_orderdate < TIMESTAMP '1999-01-01'),
     s AS (SELECT dr AS account, t, a AS d, 0 AS c FROM e UNION ALL SELECT cr, t, 0, a FROM e),
     g AS (SELECT account, sum(CASE WHEN t < TIMESTAMP '1998-01-01' THEN d - c ELSE 0 END) AS o, sum(CASE WHEN t >= TIMESTAMP '1998-01-01' THEN d ELSE 0 END)::DOUBLE AS turnover_dr, sum(CASE WHEN t >= TIMESTAMP '1998-01-01' THEN c ELSE 0 END)::DOUBLE AS turnover_cr, sum(d - c) AS z FROM s GROUP BY account)
     SELECT account, greatest(o, 0)::DOUBLE AS opening_dr, greatest(-o, 0)::DOUBLE AS opening_cr, turnover_dr, turnover_cr, greatest(z, 0)::DOUBLE AS closing_dr, greatest(-z, 0)::DOUBLE AS closing_cr FROM g""",
