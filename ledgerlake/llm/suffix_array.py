@@ -34,6 +34,11 @@ def leftmost_smaller(smaller: np.ndarray) -> np.ndarray:
     return np.flatnonzero(smaller[1:] & ~smaller[:-1]).astype(np.int32) + 1
 
 
+def narrow(s: np.ndarray) -> np.ndarray:
+    """s in 16 bits if they hold it: stable sorting goes by digits there, by comparing in wider ones."""
+    return s.astype(np.uint16) if int(s.max()) < 1 << 16 else s
+
+
 def _cat(arrays: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(arrays) if arrays else NONE
 
@@ -121,7 +126,7 @@ def induce(s: np.ndarray, smaller: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     seeds = seeds[np.argsort(s[seeds], kind="stable")]
     larger, _ = scan(s, ~smaller, seeds, NONE)
     zeros = seeds[: np.count_nonzero(s[seeds] == 0)]  # separators, in the order of the seeds
-    _, down = scan(int(s.max()) - s.astype(np.int32), smaller & (s > 0), larger[::-1], zeros[::-1])
+    _, down = scan(s.max() - s, smaller & (s > 0), larger[::-1], zeros[::-1])
     return down[::-1]
 
 
@@ -154,7 +159,7 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     if int(names.max()) + 1 == len(lms):
         order = np.argsort(names)
     else:  # separators have names of their own, so the reduced string has one end, its smallest symbol
-        order = suffix_array(np.concatenate((names + 1, np.zeros(1, np.int32))))[1:]
+        order = suffix_array(narrow(np.concatenate((names + 1, np.zeros(1, np.int32)))))[1:]
     return induce(s, smaller, lms[order])
 
 
