@@ -95,6 +95,11 @@ def class_of_key(key: Column, manual: dict[str, str], inherited: str | None) ->
     return F.coalesce(out, F.lit(""))
 
 
+def bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
 def representation(x: Column) -> Column:
     """The text of a contact's value, by which it is one value in every form: `value` of JSON, the presentation of XML, else the text."""
     json = F.when(F.startswith(F.trim(x), F.lit("{")), F.get_json_object(x, "$.value"))
@@ -106,15 +111,16 @@ def representation(x: Column) -> Column:
 
 def contact_class(kind: Column | None, *values: Column) -> Column:
     """The class of a contact row: by its type, by the type inside a JSON value, else by what the first value that isn't null looks like."""
-    found = F.lit(None).cast("string")
     types = [*([F.trim(kind)] if kind is not None else []), *(F.when(F.startswith(F.trim(v), F.lit("{")), F.get_json_object(v, "$.type")) for v in values)]
-    for t in reversed(types):
-        for name, cls in CONTACT_CLASSES.items():
-            found = F.when(t == name, cls).otherwise(found)
-    text = F.coalesce(*(representation(v) for v in values))
-    number = F.regexp_replace(F.trim(text), EXTENSION, "")
-    phone = number.rlike(r"^[\d\s()+\-.,/]+$") & (F.length(F.regexp_replace(number, r"\D", "")) >= 5)
-    return F.coalesce(found, F.when(text.rlike(r"[^\s@]+@[^\s@]+\.[^\s@]+"), "email").when(phone, "phone").otherwise("addr"))
+    classes = F.create_map(*(F.lit(x) for kv in CONTACT_CLASSES.items() for x in kv))
+    of_type = F.coalesce(*(F.when(t.isNotNull(), F.try_element_at(classes, t)) for t in types))
+
+    def by_look(text: Column) -> Column:
+        number = F.regexp_replace(F.trim(text), EXTENSION, "")
+        phone = number.rlike(r"^[\d\s()+\-.,/]+$") & (F.length(F.regexp_replace(number, r"\D", "")) >= 5)
+        return F.when(text.rlike(r"[^\s@]+@[^\s@]+\.[^\s@]+"), "email").when(phone, "phone").otherwise("addr")
+
+    return F.coalesce(of_type, bound(F.coalesce(*(representation(v) for v in values)), by_look))
 
 
 def contact_json(x: Column) -> Column:
@@ -220,18 +226,16 @@ def token_of_leaf(leaf: Leaf, secret: bytes, signs: int = 10, mark: str = "") ->
     """The leaf's value as its class's token, in front of which stands `mark`; free text, GUIDs, tokens and nulls as they are. Of fields that are named as
     values or contacts, a contact's JSON is closed by its type."""
     x = leaf.value
-    if leaf.contact is not None:
-        closed = tokens.token_of(leaf.contact, representation(x), secret, signs)
-    elif isinstance(leaf.kind, Column):
-        closed = F.when(leaf.kind.isin("", "keep", "scan"), x).otherwise(F.concat(F.lit(mark), tokens.token_of(leaf.kind, x, secret, signs)))
-        return F.when(x.rlike(GUID) | tokens.is_token(x), x).otherwise(closed)
-    elif leaf.kind == "keep":
+    open_ = x.rlike(GUID) | tokens.is_token(x)
+    if isinstance(leaf.kind, Column):
+        closed = lambda kind: F.when(kind.isin("", "keep", "scan") | open_, x).otherwise(F.concat(F.lit(mark), tokens.token_of(kind, x, secret, signs)))
+        return bound(leaf.kind, closed)
+    if leaf.kind == "keep":
         return x
-    elif leaf.kind is None and not (leaf.name.lower() in CONTACT_VALUES or CONTACT_ROWS & {*words_of(leaf.name)}):
+    if leaf.kind is not None:
+        return F.when(open_, x).otherwise(F.concat(F.lit(mark), tokens.token(leaf.kind, x, secret, signs)))
+    if leaf.contact is None and not (leaf.name.lower() in CONTACT_VALUES or CONTACT_ROWS & {*words_of(leaf.name)}):
         return x
-    elif leaf.kind is None:
-        kind = contact_class(None, x)
-        return F.when(contact_json(x), F.concat(F.lit(mark), tokens.token_of(kind, representation(x), secret, signs))).otherwise(x)
-    else:
-        closed = tokens.token(leaf.kind, x, secret, signs)
-    return F.when(x.rlike(GUID) | tokens.is_token(x), x).otherwise(F.concat(F.lit(mark), closed))
+    kind = leaf.contact if leaf.contact is not None else contact_class(None, x)
+    closed = bound(F.struct(kind.alias("kind"), representation(x).alias("text")), lambda v: F.concat(F.lit(mark), tokens.token_of(v["kind"], v["text"], secret, signs)))
+    return F.when(open_ | (F.lit(False) if leaf.contact is not None else ~contact_json(x)), x).otherwise(closed)
