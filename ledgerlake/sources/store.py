@@ -2,16 +2,19 @@
 
 A revision is written beside the others, claimed by creating a file that may not exist, and moved into its place. Of two writers that
 start from the same revision one gets the claim; the other reads what the first has added and works its own out again, so no
-token comes to mean two values and none is lost. Any file system that Spark writes to will do.
+token comes to mean two values and none is lost. Any file system will do whose creating of a file that may not exist is one step, as it is
+on HDFS; Hadoop's own way on a local one is not, so there the operating system's is taken.
 """
 
 from __future__ import annotations
 
+import os
 import re
 import time
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerlake.errors import EngineError
@@ -47,11 +50,26 @@ class DictionaryStore:
         masking.issue(values, kind, column, secret, self.read(base)).select(*(c.split()[0] for c in SCHEMA.split(", "))).write.parquet(f"{self.path}/{name}")
         return name
 
+    def _create_once(self, name: str) -> bool:
+        """Creates a file; False if it is there."""
+        place = self._place(name)
+        self._fs.mkdirs(place.getParent())
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                os.close(os.open(place.toUri().getPath(), os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+            else:
+                self._fs.create(place, False).close()
+        except FileExistsError:
+            return False
+        except Py4JJavaError as e:
+            if "AlreadyExists" not in e.java_exception.getClass().getName():
+                raise
+            return False
+        return True
+
     def claim(self, name: str, revision: int) -> bool:
         """Puts a staged revision in its place; False if another writer has claimed it."""
-        marker = self._place(f"_claims/{revision:08d}")
-        self._fs.mkdirs(marker.getParent())
-        if not self._fs.createNewFile(marker):
+        if not self._create_once(f"_claims/{revision:08d}"):
             return False
         return self._fs.rename(self._place(name), self._place(f"r{revision:08d}"))
 

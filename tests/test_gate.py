@@ -294,7 +294,8 @@ def test_two_writers_lose_no_token(spark, tmp_path):
     assert len(rows) == len({r["normalized"] for r in rows}) == len({r["token"] for r in rows}) == 40
     before = {r["normalized"]: r["token"] for r in store.read(1).collect()}
     assert len(before) == 10 and before.items() <= {r["normalized"]: r["token"] for r in rows}.items()
-    store._fs.createNewFile(store._place(f"_claims/{max(store.revisions()) + 1:08d}"))
+    name = f"_claims/{max(store.revisions()) + 1:08d}"
+    assert store._create_once(name) and not store._create_once(name)
     assert code(store.add, values(90, 91), "org", "x", SECRET, wait=0.3) == "pending_stale"
 
 
