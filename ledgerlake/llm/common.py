@@ -122,3 +122,24 @@ def spread_join(rows: DataFrame, known: DataFrame, keys: list[str], by: Column,
     left = salted(rows, F.pmod(F.xxhash64(by), salts).cast("int"))
     right = salted(known, F.explode(F.sequence(F.lit(0), salts - 1)))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+#: Bits of the map of digests, whatever the number of keys: 16 MB in 4,096 rows.
+MAP_BITS = 27
+
+
+def digest_map(keys: DataFrame, digest: str) -> DataFrame:
+    """(bucket, bits) of the first MAP_BITS bits of binary digests: at most 4,096 rows of 4 KB, so it may be broadcast at any size of keys."""
+    place = F.shiftright(F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long"), 32 - MAP_BITS)
+    return keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+
+
+def maybe_among(df: DataFrame, digest: Column, keys: DataFrame) -> DataFrame:
+    """df with __maybe: false where a digest is in none of the rows of digest_map(). All others are true, and as many more as the map is full: one in a
+    hundred with a million keys, most with a hundred million, so what depends on it has to be right for any of them."""
+    place = F.shiftright(F.conv(F.hex(F.substring(digest, 1, 4)), 16, 10).cast("long"), 32 - MAP_BITS)
+    placed = df.withColumn("__bucket", F.bitmap_bucket_number(place)).withColumn("__bit", F.bitmap_bit_position(place))
+    met = placed.join(F.broadcast(keys.select(F.col("bucket").alias("__b"), F.col("bits").alias("__bits"))), F.col("__bucket") == F.col("__b"), "left")
+    byte = F.conv(F.hex(F.substr("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1
+    return met.withColumn("__maybe", F.coalesce(hit, F.lit(False))).drop("__bucket", "__bit", "__b", "__bits")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import over_batches, spread_join, stored, table, text_of
+from ledgerlake.llm.common import digest_map, maybe_among, over_batches, spread_join, stored, table, text_of
 from ledgerlake.llm.suffix_array import repeated_starts
 
 LENGTH = 400
@@ -249,6 +249,9 @@ def placed_runs(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> tuple[
     wanted = by_text.join(copies, "d").withColumnRenamed("d", "wd")
     digest = F.unhex(F.substring(F.sha2("text", 256), 1, 32))
     texts = rows.withColumn("d", digest)
+    wanted = stored(wanted, "suffix-wanted")
+    near = stored(digest_map(wanted, "wd"), "suffix-map")
+    texts = maybe_among(texts, F.col("d"), near).where("__maybe").drop("__maybe")  # most of the others stay where they are
     candidates = stored(texts.join(wanted, (texts["d"] == wanted["wd"]) & texts["doc_id"].eqNullSafe(wanted["rep"])).select("d", "weight", "text", "marks"), "suffix-texts")
     runs = stored(_runs(candidates, length), "suffix-runs")
     contexts = stored(runs.groupBy("context_id").agg(F.first("gram").alias("gram"), F.sum("weight").alias("weight"), F.first("context").alias("context")), "suffix-contexts")
@@ -309,12 +312,13 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A null text stays null, an empty one and those shorter than `length` bytes stay as they are, long ones are cut whole. Repeated rows are
     documents of their own, so both lose what they share; there are no ties, since no copy is kept. An empty table stays empty.
-    The places of what goes are joined with the rows, not the texts that stay, so texts are moved once."""
+    The places of what goes are joined with the rows: texts whose digest a map of fixed size rules out aren't moved, the others once."""
     prints, _, placed = placed_runs(docs, length)
     copies = prints.groupBy(F.col("d").alias("__own")).agg(F.count("*").alias("n"))
     found = stored(placed.select(F.col("d").alias("__own"), F.col("found").alias("__found")), "suffix-cuts")
     digest = F.unhex(F.substring(F.sha2(text_of(docs).cast("binary"), 256), 1, 32))
-    joined = spread_join(docs.withColumn("__own", digest), found, ["__own"], docs["doc_id"], "left", sizes=copies)
+    flagged = maybe_among(docs.withColumn("__own", digest), F.col("__own"), stored(digest_map(found, "__own"), "suffix-map"))
+    moved = spread_join(flagged.where("__maybe").drop("__maybe"), found, ["__own"], docs["doc_id"], "left", sizes=copies)
     names = docs.columns
     at = names.index("text")
     counted = names.index("n_chars") if "n_chars" in names and docs.schema["n_chars"].dataType.simpleString() == "bigint" else None
@@ -329,7 +333,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns["n_chars"] = pa.array([n if not r else len(x) for n, x, r in zip(batch.column(counted).to_pylist(), new, runs)], pa.int64())
         return columns
 
-    return over_batches(joined.select(*(f"`{c}`" for c in names), "__found"), cut, docs.schema)
+    cut_rows = over_batches(moved.select(*(f"`{c}`" for c in names), "__found"), cut, docs.schema)
+    return cut_rows.unionByName(flagged.where(~F.col("__maybe")).select(*(f"`{c}`" for c in names)))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,3 +326,12 @@ def test_contamination_is_judged_by_each_text(spark):
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(None, f"before {item} after"), (3, "a clean text of some words"), (3, f"also {item}"), (None, None), (4, "")], "doc_id long, text string")
     assert sorted(map(tuple, decontamination.drop_contaminated(docs, items).collect()), key=str) == sorted([(3, "a clean text of some words"), (None, None), (4, "")], key=str)
+
+
+def test_digest_map_rules_out_no_key(spark):
+    digest = F.unhex(F.substring(F.sha2(F.col("id").cast("string").cast("binary"), 256), 1, 32))
+    keys = spark.range(0, 3000, 3).select(digest.alias("d"))
+    found = common.maybe_among(spark.range(3000).withColumn("d", digest), F.col("d"), common.digest_map(keys, "d")).collect()
+    assert len(found) == 3000 and all(r["__maybe"] for r in found if r["id"] % 3 == 0) and sum(r["__maybe"] for r in found) < 1020
+    none = common.maybe_among(spark.range(9).withColumn("d", digest), F.col("d"), common.digest_map(keys.limit(0), "d")).collect()
+    assert len(none) == 9 and not any(r["__maybe"] for r in none)
