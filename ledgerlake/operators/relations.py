@@ -36,9 +36,8 @@ def unique_keys(entities: dict[str, DataFrame]) -> DataFrame:
         rough = df.agg(F.count("*").alias("n"), *(F.approx_count_distinct(f).alias(f) for f, _ in fields)).first()
         likely = [f for f, _ in fields if rough["n"] and rough[f] >= NEARLY * rough["n"]]
         sums = [F.count("*").alias("n"), *(x for f, _ in fields for x in (F.min(f).cast("string").alias(f"a_{f}"), F.max(f).cast("string").alias(f"z_{f}")))]
-        bounds = df.agg(*sums)
-        exact = df.agg(*(((F.count_distinct(f) == F.count("*")) & (F.count(f) == F.count("*"))).alias(f"u_{f}") for f in likely)) if likely else None
-        whole = bounds if exact is None else bounds.crossJoin(F.broadcast(exact))  # a row each
+        exact = [((F.count_distinct(f) == F.count("*")) & (F.count(f) == F.count("*"))).alias(f"u_{f}") for f in likely]
+        whole = df.agg(*sums, *exact)
         cell = lambda f, t: F.struct(F.lit(name).alias("entity"), F.lit(f).alias("field"), F.lit(t).alias("type"), F.col("n").alias("n_rows"), F.col(f"a_{f}").alias("least"), F.col(f"z_{f}").alias("most"), (F.col(f"u_{f}") if f in likely else F.lit(False)).alias("unique"))  # noqa: B023, E731
         rows = whole.select(F.inline(F.array(*(cell(f, t) for f, t in fields))))
         found = rows if found is None else found.unionByName(rows)
