@@ -49,8 +49,8 @@ def tail(digest: Column, signs: int = 10) -> Column:
 
 
 def _signs(hexed: Column, signs: int) -> Column:
-    number = F.conv(hexed, 16, 10).cast("bigint")
-    return F.concat(*(F.substr(F.lit(ALPHABET), F.shiftright(number, 5 * (signs - 1 - k)).bitwiseAND(F.lit(31)).cast("int") + 1, F.lit(1)) for k in range(signs)))
+    """The low 5 * signs bits of a hexadecimal number. Its digits of base 32 are renamed, so the digest behind it is used, and worked out, once."""
+    return F.translate(F.substring(F.lpad(F.conv(hexed, 16, 32), 16, "0"), -signs, signs), "ABCDEFGHIJKLMNOPQRSTUV", ALPHABET[10:])
 
 
 def token(kind: str, x: Column, secret: bytes, signs: int = 10) -> Column:

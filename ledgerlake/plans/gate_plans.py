@@ -13,7 +13,7 @@ from ledgerlake.operators import governed as g
 from ledgerlake.operators import known as k
 from ledgerlake.operators import masking as m
 from ledgerlake.plans.registry import query
-from ledgerlake.sources.tables import entity
+from ledgerlake.sources.tables import entity, spread
 
 SECRET = b"0123456789abcdef0123456789abcdef"
 INNER, OUTER = t.pads(SECRET)
@@ -144,7 +144,7 @@ def normalize_value(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("make_token", f"SELECT c_custkey, {token_sql('org', 'lower(c_name)')} AS token FROM customer")
 def make_token(spark: SparkSession, sf: str) -> DataFrame:
-    return entity(spark, sf, "customer").select("c_custkey", t.token("org", F.col("c_name"), SECRET).alias("token"))
+    return spread(entity(spark, sf, "customer")).select("c_custkey", t.token("org", F.col("c_name"), SECRET).alias("token"))
 
 
 @query("token_known_value", "SELECT s_suppkey, '[[inn:GTDASDMS8Y]]' AS token FROM supplier")
@@ -273,12 +273,12 @@ def mask_by_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mask_by_class", f"SELECT s_suppkey, {token_sql('org', 'lower(s_name)')} AS s_name, s_nationkey, s_acctbal FROM supplier")
 def mask_by_class(spark: SparkSession, sf: str) -> DataFrame:
-    return m.mask_fields(entity(spark, sf, "supplier"), SECRET)
+    return m.mask_fields(spread(entity(spark, sf, "supplier")), SECRET)
 
 
 @query("masked_share", "SELECT * FROM (SELECT 'c_name' AS field, count(*) AS n_masked, count(*) AS n_rows FROM customer UNION ALL SELECT 'c_mktsegment', 0, count(*) FROM customer)")
 def masked_share(spark: SparkSession, sf: str) -> DataFrame:
-    return m.masked_share(m.mask_fields(entity(spark, sf, "customer"), SECRET))
+    return m.masked_share(m.mask_fields(spread(entity(spark, sf, "customer")), SECRET))
 
 
 _PART_NAME = "p_name || ' ' || p_partkey // 3"
@@ -380,7 +380,7 @@ def contact_rows(spark: SparkSession, sf: str) -> DataFrame:
     mail = F.concat(user, F.lit("@Example.com"))
     kind = F.when(F.col("event_type") == "click", "Телефон").when(F.col("event_type") == "view", "АдресЭлектроннойПочты").when(F.col("event_type") == "purchase", "Адрес").otherwise("Другое")
     value = F.when(F.col("event_type") == "click", phone).when(F.col("event_type") == "purchase", F.concat(F.lit("Street  "), user)).otherwise(mail)
-    rows = entity(spark, sf, "events").select("event_id", F.to_json(F.struct(kind.alias("type"), value.alias("value"), F.lit("7").alias("areaCode"))).alias("value"))
+    rows = spread(entity(spark, sf, "events")).select("event_id", F.to_json(F.struct(kind.alias("type"), value.alias("value"), F.lit("7").alias("areaCode"))).alias("value"))
     return m.mask_fields(rows, SECRET)
 
 
@@ -407,7 +407,7 @@ def governed_by_token(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("mask_two_passes", f"SELECT s_suppkey, {token_sql('org', 'lower(s_name)')} AS s_name, 'from ' || {token_sql('org', 'lower(s_name)')} AS note, 0 AS guard_replaced FROM supplier")
 def mask_two_passes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = entity(spark, sf, "supplier").select("s_suppkey", "s_name", F.concat(F.lit("from "), "s_name").alias("note"))
+    rows = spread(entity(spark, sf, "supplier")).select("s_suppkey", "s_name", F.concat(F.lit("from "), "s_name").alias("note"))
     return g.mask_rows(rows, g.Policy(SECRET))
 
 

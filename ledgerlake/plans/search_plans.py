@@ -12,7 +12,7 @@ from ledgerlake.operators import masking as m
 from ledgerlake.operators.recipes import Bound, Param, Recipe
 from ledgerlake.plans.gate_plans import SECRET, token_sql
 from ledgerlake.plans.registry import query
-from ledgerlake.sources.tables import entity, json_body
+from ledgerlake.sources.tables import entity, json_body, spread
 
 #: Names made of suppliers' keys: two words with a legal form, one word with one, one word alone, a number, in turn.
 _LETTERS = "translate(s_suppkey::VARCHAR, '0123456789', 'абвгдежзик')"
@@ -164,7 +164,7 @@ def mask_nested_events(spark: SparkSession, sf: str) -> DataFrame:
     mail = F.concat(F.lit("User"), user, F.lit("@Example.com"))
     contacts = F.array(F.struct(F.lit("phone").alias("type"), phone.alias("presentation")), F.struct(F.lit(None).cast("string").alias("type"), mail.alias("presentation")))
     marks = F.create_map(F.lit("mail"), mail, F.lit("memo"), F.concat(F.lit("of "), user))
-    written = entity(spark, sf, "events").select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(contacts.alias("contacts"), marks.alias("marks")).alias("user"))).alias("body"))
+    written = spread(entity(spark, sf, "events")).select("event_id", F.to_json(F.struct(F.col("event_type").alias("kind"), F.struct(contacts.alias("contacts"), marks.alias("marks")).alias("user"))).alias("body"))
     body = F.from_json("body", "struct<kind:string,user:struct<contacts:array<struct<type:string,presentation:string>>,marks:map<string,string>>>")
     rows = written.select("event_id", body.alias("body"))
     return m.mask_fields(rows, SECRET).select("event_id", F.to_json("body").alias("body"))
@@ -219,7 +219,7 @@ def governed_orders(spark: SparkSession, sf: str) -> DataFrame:
 @query("mask_by_dictionary", f"SELECT c_custkey, {shown_sql('c_name', 'c_custkey')} AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def mask_by_dictionary(spark: SparkSession, sf: str) -> DataFrame:
     """Fields of a class by the tokens that the dictionary has, else by their digest."""
-    return m.mask_fields(entity(spark, sf, "customer"), SECRET, dictionary=_book(spark, sf))
+    return m.mask_fields(spread(entity(spark, sf, "customer")), SECRET, dictionary=_book(spark, sf))
 
 
 @query(
@@ -237,7 +237,7 @@ def open_addresses(spark: SparkSession, sf: str) -> DataFrame:
 @query("strict_fields", f"SELECT p_partkey, {token_sql('org', 'p_name')} AS description, p_name AS remark FROM part")
 def strict_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Of a table that nothing is known of, fields that name what they are in are closed."""
-    rows = entity(spark, sf, "part").select("p_partkey", F.col("p_name").alias("description"), F.col("p_name").alias("remark"))
+    rows = spread(entity(spark, sf, "part")).select("p_partkey", F.col("p_name").alias("description"), F.col("p_name").alias("remark"))
     return m.mask_fields(rows, SECRET, g.Policy(SECRET, strict=True).rules(rows, "part"))
 
 
@@ -274,6 +274,6 @@ def governed_recipe(spark: SparkSession, sf: str) -> DataFrame:
 def raw_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Bodies of JSON of a path that is in no catalog: parsed, stripped and closed the strict way."""
     item = F.struct(F.col("c_name").alias("title"), F.struct(F.concat(F.lit("call "), "c_name").alias("memo"), F.col("c_nationkey").alias("n")).alias("tail"), F.lit("x").alias("odata.type"))
-    bodies = entity(spark, sf, "customer").select("c_custkey", F.to_json(F.struct(F.array(item).alias("value"))).alias("body"))
+    bodies = spread(entity(spark, sf, "customer")).select("c_custkey", F.to_json(F.struct(F.array(item).alias("value"))).alias("body"))
     rows = json_body(bodies, "body", "title:string,tail:struct<memo:string,n:int>,`odata.type`:string").select("c_custkey", "item")
     return g.raw_rows(rows, g.Policy(SECRET)).select("c_custkey", F.to_json("item").alias("item"), "guard_replaced")

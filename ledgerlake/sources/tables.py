@@ -19,6 +19,20 @@ def entity(spark: SparkSession, folder: str, name: str, hidden: frozenset[str] =
         raise EngineError("entity_unknown", f"{name} is not an entity") from e
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df's rows dealt out evenly over the cluster. A table of few bytes a row is read by one or two tasks however many rows it has, so
+    rows are dealt out before work that costs more than moving them."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism))
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df worked out once: written to the shared folder if the cluster names one, else kept by the tasks' machines."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return df.checkpoint() if shared else df.localCheckpoint()
+
+
 def json_body(df: DataFrame, column: str, schema: str) -> DataFrame:
     """Rows of a JSON body column: one for each item of its list `value`, or one for a single object.
     A body that is no JSON gives no row. A count that isn't ASCII digits is null."""
