@@ -149,8 +149,9 @@ def english_stem(word: Column) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Of a word with a Cyrillic letter the Russian stem, of any other the English one."""
-    return F.when(word.rlike("[а-яё]"), russian_stem(F.translate(word, "ё", "е"))).otherwise(english_stem(word))
+    """Of a word with a Cyrillic letter the Russian stem, of any other the English one. All English rules are on endings of Latin letters and
+    apostrophes, so a word with another one, as a number, is its own stem."""
+    return F.when(word.rlike("[а-яё]"), russian_stem(F.translate(word, "ё", "е"))).when(word.rlike("[A-Za-z']$"), english_stem(word)).otherwise(word)
 
 
 def stems(name: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import text
+from ledgerlake.operators.nested import bound
 
 SHORTEST_PART, LEAST_TRIGRAMS = 3, 0.2
 
@@ -57,23 +58,23 @@ def longest_prefix_parent(names: DataFrame, column: str, separator: str = "_") -
     return rows.join(tried.groupBy("name").agg(F.max_by("parent", F.length("parent")).alias("parent")), "name", "left").select("name", "parent")
 
 
-def name_score(name: Column, query: str, by: Callable[[Column], Column] = text.words_of_name) -> Column:
+def name_score(name: Column, query: str, by: Callable[[Column], Column] = text.words_of_name, asked_words: list[str] | None = None) -> Column:
     """How well a name answers a query: equal 100, shared words (by: their stems, or another form of them) 50 and their number, part of the name 30 and
-    the share of its length, else 20 times the trigram similarity if that is large enough, else 0."""
+    the share of its length, else 20 times the trigram similarity if that is large enough, else 0. asked_words are the query's words in the form of `by`, if
+    they have been worked out."""
     asked = F.array_join(text.words_of_name(F.lit(query)), " ")
-    have = F.array_join(text.words_of_name(name), " ")
-    shared = F.size(F.array_intersect(by(name), by(F.lit(query))))
-    near = text.trigram_similarity(have, asked)
-    return (
-        F.when(have == asked, F.lit(100.0))
-        .when(shared > 0, 50.0 + shared)
-        .when((F.length(asked) >= SHORTEST_PART) & F.contains(have, asked), 30.0 + F.length(asked) / F.length(have))
-        .when(near >= LEAST_TRIGRAMS, 20.0 * near)
-        .otherwise(F.lit(0.0))
-    )
+    shared = F.size(F.array_intersect(by(name), by(F.lit(query)) if asked_words is None else F.array(*map(F.lit, asked_words))))
+
+    def other(have: Column) -> Column:
+        near = bound(text.trigram_similarity(have, asked), lambda s: F.when(s >= LEAST_TRIGRAMS, 20.0 * s).otherwise(F.lit(0.0)))
+        return F.when((F.length(asked) >= SHORTEST_PART) & F.contains(have, asked), 30.0 + F.length(asked) / F.length(have)).otherwise(near)
+
+    # each step is worked out once, and only for names that the steps before leave
+    return bound(F.array_join(text.words_of_name(name), " "), lambda have: F.when(have == asked, F.lit(100.0)).otherwise(bound(shared, lambda n: F.when(n > 0, 50.0 + n).otherwise(other(have)))))
 
 
 def find(names: DataFrame, column: str, query: str, limit: int = 10, by: Callable[[Column], Column] = text.words_of_name) -> DataFrame:
     """The best names with their scores, equal scores by name; with by=stems.stems words in other forms are shared too."""
-    scored = names.select(F.col(column).alias("name"), name_score(F.col(column), query, by).alias("score"))
+    words = names.sparkSession.range(1).select(by(F.lit(query))).first()[0]  # once, not for each name
+    scored = names.select(F.col(column).alias("name"), name_score(F.col(column), query, by, words).alias("score"))
     return scored.where("score > 0").orderBy(F.desc("score"), "name").limit(limit)

@@ -11,7 +11,7 @@ from ledgerlake.operators import catalog as cat
 from ledgerlake.operators import relations as rel
 from ledgerlake.operators.masking import class_of_field
 from ledgerlake.plans.registry import query
-from ledgerlake.sources.tables import entity
+from ledgerlake.sources.tables import entity, spread
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
@@ -154,7 +154,7 @@ _FORMS = (("OrderedLines", 2), ("ShippingOrders", 1), ("Заказы", 1), ("П
 def stem_words(spark: SparkSession, sf: str) -> DataFrame:
     """Stems of the words of names, English and Russian."""
     form = F.get(F.array(*(F.lit(f) for f, _ in _FORMS)), (F.col("p_partkey") % len(_FORMS)).cast("int"))
-    return entity(spark, sf, "part").select("p_partkey", F.array_join(stems.stems(F.concat_ws("_", form, F.col("p_partkey").cast("string"))), " ").alias("stems"))
+    return spread(entity(spark, sf, "part")).select("p_partkey", F.array_join(stems.stems(F.concat_ws("_", form, F.col("p_partkey").cast("string"))), " ").alias("stems"))
 
 
 @query(
@@ -165,5 +165,5 @@ def stem_words(spark: SparkSession, sf: str) -> DataFrame:
 def search_by_stems(spark: SparkSession, sf: str) -> DataFrame:
     """The hundred names that share most words with a query, whatever the words' forms."""
     form = F.get(F.array(*(F.lit(f) for f, _ in _FORMS)), (F.col("p_partkey") % len(_FORMS)).cast("int"))
-    names = entity(spark, sf, "part").select(F.concat_ws("_", form, F.col("p_partkey").cast("string")).alias("name"))
+    names = spread(entity(spark, sf, "part")).select(F.concat_ws("_", form, F.col("p_partkey").cast("string")).alias("name"))
     return cat.find(names, "name", "orders lines заказами", 100, by=stems.stems)
