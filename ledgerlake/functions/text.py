@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,10 +69,18 @@ def name_variants(x: Column) -> Column:
     """Array of the spellings by which a name is searched for in texts: itself and without its legal form. A core that is one word of one script, or has
     no letters, can't be told from other words and numbers: it is searched for only as it is written when meant as a name, in quotes or with its own
     legal form. Variants shorter than LEAST_VARIANT, or with a NUL, are left out; null gives null."""
-    flat = name_form(x)
     head = rf'^({"|".join(LEGAL_FORMS)})[ "]+'
-    form = F.regexp_extract(flat, head, 1)
-    core = F.regexp_replace(F.regexp_replace(flat, head, ""), r'^[ "]+|[ "]+$', "")
+    core = lambda flat: F.regexp_replace(F.regexp_replace(flat, head, ""), r'^[ "]+|[ "]+$', "")
+    parts = _once(name_form(x), lambda flat: F.struct(flat.alias("flat"), F.regexp_extract(flat, head, 1).alias("form"), core(flat).alias("core")))
+    return F.when(x.isNotNull(), _once(parts, lambda p: _variants(p["flat"], p["form"], p["core"])))
+
+
+def _once(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value), with value worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def _variants(flat: Column, form: Column, core: Column) -> Column:
     mixed = r"(?=.*\p{IsLatin})(?=.*\p{IsCyrillic})|(?=.*\p{IsLatin})(?=.*\p{IsGreek})|(?=.*\p{IsCyrillic})(?=.*\p{IsGreek})"
     word = lambda c: c.rlike(r"^\p{L}+$") & ~c.rlike(f"^(?:{mixed})")
     lettered = lambda c: c.rlike(r"\p{L}")
@@ -88,7 +97,7 @@ def name_variants(x: Column) -> Column:
             other = F.when(form == f, written).otherwise(other)
         as_name += [one(a_word, p, other) for p in patterns]
     found = F.when(bare, F.array(*as_name)).otherwise(F.array(flat, core))
-    return F.when(x.isNotNull(), F.array_distinct(F.filter(F.array_compact(found), lambda v: (F.length(v) >= LEAST_VARIANT) & ~F.contains(v, F.lit("\0")))))
+    return F.array_distinct(F.filter(F.array_compact(found), lambda v: (F.length(v) >= LEAST_VARIANT) & ~F.contains(v, F.lit("\0"))))
 
 
 def truncated(x: Column, most: int, mark: str = "…") -> Column:

@@ -287,7 +287,7 @@ def governed_query(
     out = mask_rows(paged, inside, scrubbed, name)
     if budget is not None:
         out = query.fits(out, keys, budget).drop("size")
-    return out.select(*chosen, "guard_replaced"), warnings
+    return out.orderBy(*(F.col(k) for k in keys)).select(*chosen, "guard_replaced"), warnings  # joins in between keep no order
 
 
 def raw_rows(df: DataFrame, policy: Policy, known: dict[str, str] | None = None, name: str = "") -> DataFrame:

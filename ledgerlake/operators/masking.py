@@ -17,6 +17,7 @@ from ledgerlake.functions.text import name_form, name_variants
 from ledgerlake.operators import nested
 from ledgerlake.operators import textsearch as search
 from ledgerlake.operators.detection import SCAN_ORDER, mask_text
+from ledgerlake.sources.tables import spread
 
 NAME_RULES, GUID = nested.NAME_RULES, nested.GUID
 MOST_SPELLINGS = 8
@@ -89,7 +90,7 @@ def rewrite_strings(df: DataFrame, known: dict[str, str], odd: DataFrame | None,
 
     With one part, and odd tokens that a task holds, each row is made anew by itself. Else what changes is worked out for the distinct strings, by
     passes over them and joins, and comes back to the rows as one map each: the plan is the same for any number of columns."""
-    if len(parts) > 1 or (odd is not None and not known):
+    if len(parts) > 1 or any(isinstance(b, search.Forms) for b in parts) or (odd is not None and not known):
         return _rewrite_by_map(df, odd, parts, open_fields)
     names = df.columns
 
@@ -127,7 +128,7 @@ def _rewrite_by_map(df: DataFrame, odd: DataFrame | None, parts: list[search.Boo
         if numbers:
             made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [replace(b, names=(), digest=b.digest + "n") for b in numbers]), search.leftmost)
         if names:
-            made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [replace(b, numbers={}, digest=b.digest + "s") for b in names]), search.groups)
+            made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [b if isinstance(b, search.Forms) else replace(b, numbers={}, digest=b.digest + "s") for b in names]), search.groups)
         changed = made.where("x <> y").select(F.col("key").alias("__key"), "y")
         changes.append(cells.join(changed, digest(F.col("x")) == F.col("__key")).select("__row", "x", "y"))
     if not changes:
@@ -226,8 +227,6 @@ def check_filter(field_classes: dict[str, str], field: str, operation: str, lite
 
 #: Phrases that one pass over the texts searches for.
 PHRASES_IN_ROW = search.PART
-#: Phrases up to which what is found is joined with them by a broadcast.
-PHRASES_BROADCAST = 200_000
 
 
 def _phrase_forms(phrases: DataFrame) -> DataFrame:
@@ -241,7 +240,7 @@ def _phrase_books(forms: DataFrame, most: int) -> list[search.Book]:
 
 
 def _with_phrases(found: DataFrame, forms: DataFrame, parts: list[search.Book]) -> DataFrame:
-    forms = F.broadcast(forms) if sum(len(b.names) for b in parts) <= PHRASES_BROADCAST else forms
+    forms = F.broadcast(forms) if all(isinstance(b, search.Book) for b in parts) else forms
     return found.join(forms, F.col("__form") == F.col("__p"))
 
 
@@ -249,7 +248,7 @@ def phrase_places(texts: DataFrame, key: str, text: str, phrases: DataFrame, mos
     """(key, phrase, start, stop): each place of each phrase in each text, as whole words, in any case, with quotes and ё folded and whatever
     stands between words; characters count from 0 and a place goes from a phrase's first word to its last. phrases holds each phrase once.
 
-    Up to `most` phrases are searched for in one pass over the texts, more of them in parts, in time that grows with texts and finds."""
+    Up to `most` phrases are searched for in the rows, more of them by a join, in time that grows with texts and finds."""
     forms = _phrase_forms(phrases)
     parts = _phrase_books(forms, most)
     found = search.finds(texts, key, text, parts).withColumnRenamed("token", "__form")
@@ -275,7 +274,7 @@ def mask_known_names(texts: DataFrame, key: str, text: str, dictionary: DataFram
 def variants_of(names: DataFrame) -> DataFrame:
     """(spelling, token): by what the names (spelling, token) are searched for, see name_variants(). A variant of several names goes to the one whose whole
     name it is, if that is only one, else to none."""
-    rows = names.where("spelling is not null").select("token", name_form(F.col("spelling")).alias("__whole"), F.explode(name_variants(F.col("spelling"))).alias("variant"))
+    rows = spread(names.where("spelling is not null")).select("token", name_form(F.col("spelling")).alias("__whole"), F.explode(name_variants(F.col("spelling"))).alias("variant"))
     claims = rows.select("variant", "token", (F.col("variant") == F.col("__whole")).alias("exact"))
     return resolve_variants(claims).where("token is not null").select(F.col("variant").alias("spelling"), "token")
 

@@ -4,7 +4,8 @@ A text is folded to the form in which names are compared, with an array of where
 out of the text as it was written. All names are looked for at once by an automaton, in time that grows with the text and the
 finds, not with the names. Finds that overlap are one group and are replaced together, so none of them leaves a piece behind.
 
-The search runs over Arrow batches inside the rows. A dictionary beyond PART is searched for in parts, each in a pass of its own over the texts.
+The search runs over Arrow batches inside the rows. Names beyond PART are not held by any task: what stands in the texts between word boundaries, and a
+map of digests of fixed size lets through, is joined with them. Numbers beyond PART are searched for in parts, each in a pass of its own over the texts.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import tokens
+from ledgerlake.sources.tables import kept, spread
 
 # Letters of Latin and Cyrillic that look alike, invisible characters that stand inside words, the shapes of a
 # passport's number and the words that confirm the second one, and the digits from which on a document's number counts anywhere.
@@ -36,7 +39,9 @@ PASSPORT_WORD, PASSPORT_NEAR = re.compile(r"пасп|удостовер", re.IGN
 GUID_IN_TEXT = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b"
 
 #: Names or numbers of one part, and their characters; a part is held by each task.
-PART, PART_CHARACTERS = 200_000, 16_000_000
+PART, PART_CHARACTERS = 50_000, 2_000_000
+#: Bits of the map of digests, whatever the number of names: 16 MB in 512 rows and more.
+MAP_BITS = 27
 #: Rows that are searched together, so that what is made of a batch stays small beside it.
 BATCH_ROWS = 512
 
@@ -169,12 +174,22 @@ def one_word(edge: str, beside: str) -> bool:
     return a == b or b == "mark" or beside in LOOK_ALIKE
 
 
-def cuts_word(folded: Folded, a: int, b: int) -> bool:
-    """Whether [a, b) ends or begins inside a word. An invisible character that was dropped there parts words, unless it is one of those
+def cuts_left(folded: Folded, a: int) -> bool:
+    """Whether what begins at a begins inside a word. An invisible character that was dropped there parts words, unless it is one of those
     that stand inside words."""
     text = folded.text
-    left = a > 0 and one_word(text[a], text[a - 1]) and INSIDE_WORDS.issuperset(folded.between(a))
-    return left or (b < len(text) and one_word(text[b - 1], text[b]) and INSIDE_WORDS.issuperset(folded.between(b)))
+    return a > 0 and one_word(text[a], text[a - 1]) and INSIDE_WORDS.issuperset(folded.between(a))
+
+
+def cuts_right(folded: Folded, b: int) -> bool:
+    """Whether what ends before b ends inside a word."""
+    text = folded.text
+    return b < len(text) and one_word(text[b - 1], text[b]) and INSIDE_WORDS.issuperset(folded.between(b))
+
+
+def cuts_word(folded: Folded, a: int, b: int) -> bool:
+    """Whether [a, b) ends or begins inside a word."""
+    return cuts_left(folded, a) or cuts_right(folded, b)
 
 
 def groups(finds: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -310,30 +325,106 @@ def _passport_ends(text: str) -> set[int]:
     return {m.end() for m in PASSPORT_SPACED.finditer(text)} | {m.end() for m in joined}
 
 
+@dataclass(frozen=True)
+class Forms:
+    """Names that no task holds: rows (form, token), the lengths of forms by the length of their prefix, and a map of the digests of forms and prefixes. A
+    prefix has as many characters (words: words) as the largest power of two that its form has."""
+
+    rows: DataFrame
+    lengths: dict[int, list[int]]
+    bits: bytes
+    words: bool = False
+    names: bool = True
+    numbers: bool = False
+
+    @staticmethod
+    def of(names: DataFrame, words: bool) -> Forms:
+        """From names (spelling, token), each spelling once. Of names with one form the smallest token counts."""
+
+        def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for spelling, token in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = _WORD.findall(spelling.translate(_FOLD).lower()) if words else fold(spelling).text.strip()
+                if found and "\0" not in found:
+                    size = 1 << (len(found).bit_length() - 1)
+                    join = " ".join if words else str
+                    out.append((join(found), token, len(found), join(found[:size])))
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * 4, (pa.string(), pa.string(), pa.int32(), pa.string()))], ["form", "token", "n", "prefix"])
+
+        rows = over_texts(names.select("spelling", "token"), make, "form string, token string, n int, prefix string")
+        rows = kept(rows.groupBy("form").agg(F.min("token").alias("token"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+        lengths: dict[int, list[int]] = {}
+        for (n,) in sorted(rows.select("n").distinct().collect()):  # no more than the longest name has characters
+            lengths.setdefault(1 << (n.bit_length() - 1), []).append(n)
+        place = F.shiftright(F.crc32(F.col("x").cast("binary")), 32 - MAP_BITS) + 1  # Spark's bitmaps count from 1
+        places = rows.select(F.explode(F.array("form", "prefix")).alias("x")).select(place.alias("p"))
+        bits = bytearray(1 << (MAP_BITS - 3))
+        for bucket, part in places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p"))).collect():
+            bits[(bucket - 1) * len(part) : bucket * len(part)] = part
+        return Forms(rows.select("form", "token"), lengths, bytes(bits), words)
+
+    def finder(self) -> Callable[[str], Iterator[tuple[int, int, str]]]:
+        """A function that gives (start, stop, form) of what stands in a text between boundaries and may be a form."""
+        lengths, bits = self.lengths, self.bits
+
+        def maybe(x: str) -> int:
+            at = zlib.crc32(x.encode()) >> (32 - MAP_BITS)
+            return bits[at >> 3] >> (at & 7) & 1
+
+        def runs(text: str) -> Iterator[tuple[int, int, str]]:
+            spots = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+            words = [text[a:b].translate(_FOLD).lower() for a, b in spots]
+            for a in range(len(words)):
+                for size in lengths:
+                    if a + size > len(words):
+                        break
+                    if maybe(" ".join(words[a : a + size])):
+                        for n in lengths[size]:
+                            if a + n <= len(words) and maybe(x := " ".join(words[a : a + n])):
+                                yield spots[a][0], spots[a + n - 1][1], x
+
+        def names(text: str) -> Iterator[tuple[int, int, str]]:
+            folded = fold(blanked(text))
+            plain = folded.text
+            for a in range(len(plain)):
+                if plain[a] in " \0" or cuts_left(folded, a):
+                    continue
+                for size in lengths:
+                    if a + size > len(plain):
+                        break
+                    if maybe(plain[a : a + size]):
+                        for n in lengths[size]:
+                            if a + n <= len(plain) and maybe(x := plain[a : a + n]) and not cuts_right(folded, a + n):
+                                yield *folded.place(a, a + n), x
+
+        return runs if self.words else names
+
+
 def parts_of(rows: DataFrame, length: str, most: int = PART) -> int:
     """In how many parts rows, whose characters are in the column `length`, are held: each has `most` rows and PART_CHARACTERS on average at most."""
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length(length)), F.lit(0))).first()
     return max(1, -(-n // max(1, most)), -(-size // PART_CHARACTERS))
 
 
-def books(names: DataFrame | None = None, numbers: DataFrame | None = None, words: bool = False, most: int = PART) -> list[Book]:
+def books(names: DataFrame | None = None, numbers: DataFrame | None = None, words: bool = False, most: int = PART) -> list[Book | Forms]:
     """Parts of a dictionary: names (spelling, token), of which one with two tokens is left out, and numbers (kind, token, digits), of which equal digits
-    have the smallest token. A part at a time is read to the driver; with one part of each, both are in one book."""
-    found: list[list[Book]] = []
+    have the smallest token. With one part of each, both are in one book. More names than a part has are left where they are, as Forms; of more numbers a
+    part at a time is read to the driver."""
+    found: list[list[Book | Forms]] = []
     if names is not None:
         single = names.groupBy("spelling").agg(F.min("token").alias("token"), F.count_distinct("token").alias("__n")).where("__n = 1 and spelling is not null")
+        single = kept(single.select("spelling", "token"))
         n = parts_of(single, "spelling", most)
-        part = lambda k: single.where(F.pmod(F.xxhash64("spelling"), F.lit(n)) == k) if n > 1 else single
-        found.append([Book(names=tuple((r[0], r[1]) for r in part(k).select("spelling", "token").collect()), words=words) for k in range(n)])
+        found.append([Forms.of(single, words) if n > 1 else Book(names=tuple((r[0], r[1]) for r in single.collect()), words=words)])
     if numbers is not None:
         single = numbers.where("digits <> ''").groupBy("digits").agg(F.min(F.struct("token", "kind")).alias("__t")).select("digits", "__t.token", "__t.kind")
         n = parts_of(single, "digits", most)
         part = lambda k: single.where(F.pmod(F.xxhash64("digits"), F.lit(n)) == k) if n > 1 else single
         found.append([Book(numbers={r[0]: (r[1], r[2]) for r in part(k).collect()}) for k in range(n)])
-    if len(found) == 2 and all(len(x) == 1 for x in found):
+    if len(found) == 2 and all(len(x) == 1 and isinstance(x[0], Book) for x in found):
         found = [[Book(found[0][0].names, found[1][0].numbers, words)]]
     flat = [b for x in found for b in x]
-    return [Book(b.names, b.numbers, b.words, hashlib.sha256(repr((sorted(b.names), sorted(b.numbers.items()), b.words)).encode()).hexdigest()) for b in flat]
+    return [b if isinstance(b, Forms) else Book(b.names, b.numbers, b.words, hashlib.sha256(repr((sorted(b.names), sorted(b.numbers.items()), b.words)).encode()).hexdigest()) for b in flat]
 
 
 def over_texts(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -348,12 +439,32 @@ def over_texts(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
-def finds(texts: DataFrame, key: str, text: str, parts: list[Book]) -> DataFrame:
+def _met(texts: DataFrame, key: str, text: str, forms: Forms) -> DataFrame:
+    """(key, start, stop, form, token): where forms stand in texts."""
+    kind = texts.schema[key].dataType.simpleString()
+    find = forms.finder()
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        at, out = [], []
+        for k, x in enumerate(batch.column(1).to_pylist()):
+            hits = list(find(x)) if x else []
+            at += [k] * len(hits)
+            out += hits
+        columns = [pa.array([h[c] for h in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], [key, "start", "stop", "form"])
+
+    return over_texts(spread(texts.select(key, text)), make, f"`{key}` {kind}, start int, stop int, form string").join(forms.rows, "form")
+
+
+def finds(texts: DataFrame, key: str, text: str, parts: list[Book | Forms]) -> DataFrame:
     """(key, start, stop, token): where the names and numbers of all parts stand in texts, overlapping ones too. Null texts have none."""
     kind = texts.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start int, stop int, token string"
 
-    def of(book: Book) -> DataFrame:
+    def of(book: Book | Forms) -> DataFrame:
+        if isinstance(book, Forms):
+            return _met(texts, key, text, book).select(key, "start", "stop", "token")
+
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             search, at, out = Search.of(book), [], []
             for k, x in enumerate(batch.column(1).to_pylist()):
@@ -386,10 +497,10 @@ def replace_finds(texts: DataFrame, key: str, text: str, found: DataFrame, pick:
     return over_texts(joined, make, texts.schema)
 
 
-def replace_known(texts: DataFrame, key: str, text: str, parts: list[Book], pick: Callable[[list], list]) -> DataFrame:
+def replace_known(texts: DataFrame, key: str, text: str, parts: list[Book | Forms], pick: Callable[[list], list]) -> DataFrame:
     """texts with the finds of all parts that pick takes replaced. One part is searched for and replaced inside the row; of several the
     finds meet by key, which tells rows apart."""
-    if len(parts) != 1:
+    if len(parts) != 1 or isinstance(parts[0], Forms):
         return replace_finds(texts, key, text, finds(texts, key, text, parts), pick)
     book, names = parts[0], texts.columns
     at = names.index(text)
@@ -402,12 +513,15 @@ def replace_known(texts: DataFrame, key: str, text: str, parts: list[Book], pick
     return over_texts(texts, make, texts.schema)
 
 
-def phrase_counts(texts: DataFrame, key: str, text: str, parts: list[Book]) -> DataFrame:
+def phrase_counts(texts: DataFrame, key: str, text: str, parts: list[Book | Forms]) -> DataFrame:
     """(key, phrase, hits): how often the phrases of books of words stand in each text; a phrase is named by its token."""
     kind = texts.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, phrase string, hits long"
 
-    def of(book: Book) -> DataFrame:
+    def of(book: Book | Forms) -> DataFrame:
+        if isinstance(book, Forms):
+            return _met(texts, key, text, book).select(key, F.col("token").alias("phrase"), F.lit(1).cast("long").alias("hits"))
+
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             search, at, phrases, hits = Search.of(book), [], [], []
             for k, x in enumerate(batch.column(1).to_pylist()):
