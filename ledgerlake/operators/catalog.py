@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import text
 from ledgerlake.operators.nested import bound
+from ledgerlake.sources.tables import kept
 
 SHORTEST_PART, LEAST_TRIGRAMS = 3, 0.2
 
@@ -30,19 +31,15 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def closure(edges: DataFrame, parent: str, child: str, roots: DataFrame) -> DataFrame:
     """(root, node, depth): all that roots reach, themselves included, each once with its least depth. Cycles end.
 
-    A round joins only what the round before has newly found; each is checkpointed where the cluster names a folder."""
-    spark = edges.sparkSession
-    links = edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).distinct()
+    A round joins only what the round before has newly found, by shuffles: nothing is broadcast, so the driver gets no rows however many are found. Each is
+    written to the shared folder where the cluster names one."""
+    links = kept(edges.select(F.col(parent).alias("__p"), F.col(child).alias("__c")).distinct())
     found = roots.select(F.col(roots.columns[0]).alias("root"), F.col(roots.columns[0]).alias("node"), F.lit(0).alias("depth")).distinct()
     fresh, depth = found, 0
     while True:
         depth += 1
-        step = fresh.join(links, F.col("node") == F.col("__p")).select("root", F.col("__c").alias("node")).distinct()
-        step = step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-            step = step.checkpoint()
-        else:
-            step = step.persist()
+        step = fresh.join(links.hint("merge"), F.col("node") == F.col("__p")).select("root", F.col("__c").alias("node")).distinct()
+        step = kept(step.join(found.select("root", "node").hint("merge"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if step.isEmpty():
             return found
         found, fresh = found.unionByName(step), step
