@@ -15,7 +15,7 @@ from ledgerlake.functions import checksums, tokens
 from ledgerlake.operators import known as lookup
 from ledgerlake.operators import masking, nested, query
 from ledgerlake.operators import textsearch as search
-from ledgerlake.sources.tables import entity
+from ledgerlake.sources.tables import entity, spread
 
 #: Classes whose values are names that free text may repeat.
 NAME_CLASSES = nested.NAME_CLASSES
@@ -226,6 +226,7 @@ def mask_rows(df: DataFrame, policy: Policy, names: DataFrame | None = None, nam
 
     names (spelling, token) may add to what is known; name is the entity's. Rows need no key, and the plan has as many relations for many columns as for one."""
     rules = policy.rules(df, name)
+    df = spread(df)
     closed, known, odd = masking.with_long_tokens(df, policy.secret, rules, policy.dictionary)
     book = policy.dictionary
     if book is not None and policy.garbage is not None:

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +19,7 @@ from ledgerlake.functions.text import name_form, name_variants
 from ledgerlake.operators import nested
 from ledgerlake.operators import textsearch as search
 from ledgerlake.operators.detection import SCAN_ORDER, mask_text
-from ledgerlake.sources.tables import spread
+from ledgerlake.sources.tables import kept, spread
 
 NAME_RULES, GUID = nested.NAME_RULES, nested.GUID
 MOST_SPELLINGS = 8
@@ -69,27 +71,36 @@ def with_long_tokens(df: DataFrame, secret: bytes, manual: dict[str, str], dicti
 ODD_IN_ROW, MARK = 200_000, "\x01"
 
 
-def _over_strings(dtype: pa.DataType, make: Callable[[str], str]) -> Callable[[object], object] | None:
-    """A function that makes each string inside a value of the type anew; None if it has none."""
-    if pa.types.is_string(dtype) or pa.types.is_large_string(dtype):
-        return lambda x: x if x is None else make(x)
-    if pa.types.is_struct(dtype):
-        of = {f.name: g for f in dtype if (g := _over_strings(f.type, make))}
-        return (lambda row: None if row is None else {k: of[k](v) if k in of else v for k, v in row.items()}) if of else None
-    if pa.types.is_map(dtype):
-        of_value = _over_strings(dtype.item_type, make)
-        return (lambda pairs: None if pairs is None else [(k, of_value(v)) for k, v in pairs]) if of_value else None
-    if pa.types.is_list(dtype) or pa.types.is_large_list(dtype):
-        of_item = _over_strings(dtype.value_type, make)
-        return (lambda items: None if items is None else [of_item(v) for v in items]) if of_item else None
-    return None
+def _over_strings(column: pa.Array, make: Callable[[str], str]) -> pa.Array:
+    """The column with each string inside it made anew; equal strings of a column are made once."""
+    kind = column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        coded = column.dictionary_encode()
+        return pa.array([make(x) for x in coded.dictionary.to_pylist()], kind).take(coded.indices)
+    if pa.types.is_struct(kind) and kind.num_fields:
+        return pa.StructArray.from_arrays([_over_strings(c, make) for c in column.flatten()], fields=list(kind), mask=column.is_null())
+    if pa.types.is_map(kind):
+        pairs = column.cast(pa.list_(pa.struct([kind.key_field, kind.item_field])))
+        ends, inner = _ends(pairs), pairs.flatten()
+        keys, items = inner.flatten() if len(inner) else (pa.array([], kind.key_type), pa.array([], kind.item_type))
+        return pa.MapArray.from_arrays(ends, keys, _over_strings(items, make), type=kind, mask=column.is_null())
+    if pa.types.is_list(kind) or pa.types.is_large_list(kind):
+        of = pa.ListArray if pa.types.is_list(kind) else pa.LargeListArray
+        return of.from_arrays(_ends(column), _over_strings(column.flatten(), make), type=kind, mask=column.is_null())
+    return column
+
+
+def _ends(column: pa.Array) -> pa.Array:
+    """The offsets of a list column's flattened values, in which nulls and what lies outside of a slice have none."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64() if pa.types.is_large_list(column.type) else pa.int32())
 
 
 def rewrite_strings(df: DataFrame, known: dict[str, str], odd: DataFrame | None, parts: list[search.Book], open_fields: frozenset[str] = frozenset()) -> DataFrame:
     """df with marked long tokens as they are shown, and the finds of parts replaced in all other strings but those of open_fields.
 
-    With one part, and odd tokens that a task holds, each row is made anew by itself. Else what changes is worked out for the distinct strings, by
-    passes over them and joins, and comes back to the rows as one map each: the plan is the same for any number of columns."""
+    With one part, and odd tokens that a task holds, each row is made anew by itself. Else rows are kept with a number, what changes is worked out for the
+    distinct strings, by passes over them and joins, and comes back to the rows as one map each: the plan is the same for any number of columns."""
     if len(parts) > 1 or any(isinstance(b, search.Forms) for b in parts) or (odd is not None and not known):
         return _rewrite_by_map(df, odd, parts, open_fields)
     names = df.columns
@@ -98,43 +109,39 @@ def rewrite_strings(df: DataFrame, known: dict[str, str], odd: DataFrame | None,
         book = search.Search.of(parts[0]) if parts else None
         closed = lambda x: shown(x[1:], known) if x.startswith(MARK + "[[") else x
         text = lambda x: shown(x[1:], known) if x.startswith(MARK + "[[") else book.masked(x) if book and x else x
-        out = []
-        for k, name in enumerate(names):
-            column = batch.column(k)
-            of = _over_strings(column.type, closed if name in open_fields else text)
-            out.append(pa.array([of(x) for x in column.to_pylist()], column.type) if of else column)
-        return pa.RecordBatch.from_arrays(out, names)
+        return pa.RecordBatch.from_arrays([_over_strings(batch.column(k), closed if name in open_fields else text) for k, name in enumerate(names)], names)
 
     return search.over_texts(df, make, df.schema)
 
 
 def _rewrite_by_map(df: DataFrame, odd: DataFrame | None, parts: list[search.Book], open_fields: frozenset[str]) -> DataFrame:
-    digest = lambda x: F.sha2(x, 256)
+    digest = lambda x: F.unhex(F.substring(F.sha2(x, 256), 1, 32))
     marked = lambda x: F.startswith(x, F.lit(MARK + "[["))
-    keyed = df.withColumn("__row", F.sha2(F.to_json(F.struct(*df.columns)), 256))  # equal rows are made anew alike
+    keyed = kept(df.withColumn("__row", F.monotonically_increasing_id()))  # rows are masked once, and numbers stay with them
     closed = nested.gather(df, {}, lambda leaf: leaf.value, "string")
     texts = nested.gather(df, {}, lambda leaf: leaf.value, "string", lambda name, dtype: name not in open_fields)
-    cells = keyed.select("__row", F.explode(F.array_distinct(F.concat(F.filter(closed, marked), texts))).alias("x")).where("x is not null").distinct()
     changes = []
     if odd is not None:
         spot = F.substr("x", F.lit(2))
-        long = cells.where(marked(F.col("x"))).join(odd, spot == F.col("long"), "left")
+        cells = keyed.select("__row", F.explode(F.array_distinct(F.filter(F.concat(closed, texts), marked))).alias("x"))
+        long = cells.join(odd, spot == F.col("long"), "left")
         short = F.concat(F.regexp_extract(spot, r"^(\[\[.*:)[0-9A-Z]+\]\]$", 1), F.substr(spot, F.length(spot) - 11))
-        changes.append(long.select("__row", "x", F.coalesce("token", short).alias("y")))
-    if parts:
-        plain = cells.where(~marked(F.col("x"))).select(F.col("x"), digest(F.col("x")).alias("key")).distinct()
+        changes.append(long.select("__row", digest(F.col("x")).alias("key"), F.coalesce("token", short).alias("y")))
+    if parts:  # nothing is found in what is a token as a whole
+        texts = F.array_distinct(F.filter(texts, lambda x: x.isNotNull() & ~marked(x) & ~tokens.is_token(x)))
+        plain = keyed.select(F.explode(texts).alias("x")).distinct().select("x", digest(F.col("x")).alias("key"))
         numbers, names = [b for b in parts if b.numbers], [b for b in parts if b.names]
         made = plain.withColumn("y", F.col("x"))
         if numbers:
             made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [replace(b, names=(), digest=b.digest + "n") for b in numbers]), search.leftmost)
         if names:
             made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [b if isinstance(b, search.Forms) else replace(b, numbers={}, digest=b.digest + "s") for b in names]), search.groups)
-        changed = made.where("x <> y").select(F.col("key").alias("__key"), "y")
-        changes.append(cells.join(changed, digest(F.col("x")) == F.col("__key")).select("__row", "x", "y"))
+        cells = keyed.select("__row", F.explode(F.transform(texts, digest)).alias("key"))
+        changes.append(cells.join(made.where("x <> y").select("key", "y"), "key").select("__row", "key", "y"))
     if not changes:
         return df
     every = changes[0] if len(changes) == 1 else changes[0].unionByName(changes[1])
-    maps = every.groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_list(F.struct(digest(F.col("x")), "y"))).alias("__changes"))
+    maps = every.groupBy(F.col("__row").alias("__of")).agg(F.map_from_entries(F.collect_set(F.struct("key", "y"))).alias("__changes"))
     joined = keyed.join(maps, F.col("__row") == F.col("__of"), "left")
     new = lambda leaf: F.coalesce(F.try_element_at("__changes", digest(leaf.value)), leaf.value)
     here = lambda leaf: F.when(marked(leaf.value), new(leaf)).otherwise(leaf.value)
@@ -312,8 +319,10 @@ def group_spans(hits: DataFrame, key: str) -> DataFrame:
 
 @lru_cache(maxsize=8)
 def _scanned(app: str, kinds: tuple[str, ...], secret: bytes) -> Column:
-    """The array __texts with its texts masked. Building it takes some 17,000 calls and 2 to 3 s, whatever the data, so each application does it once."""
-    return F.transform("__texts", lambda x: mask_text(x, list(kinds), secret))
+    """The array __texts with its texts masked. Building it takes some 17,000 calls and 2 to 3 s, whatever the data, so each application does it once. All
+    patterns need a digit or an @, so texts that have none beside their tokens are left as they are."""
+    some = lambda x: F.regexp_replace(x, tokens.TOKEN, "").rlike(r"(?U)[\d@]")
+    return F.transform("__texts", lambda x: F.when(some(x), mask_text(x, list(kinds), secret)).otherwise(x))
 
 
 def guard(df: DataFrame, secret: bytes, kinds: tuple[str, ...] = SCAN_ORDER) -> DataFrame:

@@ -44,7 +44,10 @@ PART, PART_CHARACTERS = 50_000, 2_000_000
 MAP_BITS = 27
 #: Rows that are searched together, so that what is made of a batch stays small beside it.
 BATCH_ROWS = 512
+#: Texts of at most SHORT characters are masked once as long as they are among the last MADE.
+SHORT, MADE = 200, 1 << 14
 
+_TOKEN = re.compile(tokens.TOKEN)
 _BLANK = re.compile(f"{tokens.TOKEN}|{GUID_IN_TEXT}")
 _FOLD = str.maketrans(tokens.QUOTES, tokens.FOLDED)
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+")
@@ -244,6 +247,7 @@ class Search:
 
     def __init__(self, book: Book) -> None:
         self.words, self.numbers = book.words, book.numbers
+        self.made: dict[str, str] = {}
         self.lengths = sorted({len(d) for d in book.numbers if d})
         known: dict[str, str] = {}
         for spelling, token in book.names:
@@ -315,7 +319,18 @@ class Search:
         return found
 
     def masked(self, text: str) -> str:
-        """text with its known numbers replaced, from the left, and then the groups of its known names."""
+        """text with its known numbers replaced, from the left, and then the groups of its known names. What is a token as a whole stays."""
+        if _TOKEN.fullmatch(text):
+            return text
+        if len(text) > SHORT:
+            return self._masked(text)
+        if (made := self.made.get(text)) is None:
+            if len(self.made) >= MADE:
+                self.made.clear()
+            made = self.made[text] = self._masked(text)
+        return made
+
+    def _masked(self, text: str) -> str:
         text = replaced(text, leftmost(self.number_finds(text)))
         return replaced(text, groups(self.name_finds(text)))
 
