@@ -375,6 +375,33 @@ def in_blocks(sized: DataFrame) -> DataFrame:
     return met.withColumn("shard", block).drop("__q", "parts")
 
 
+def first_blocks(sized: DataFrame) -> DataFrame:
+    """Rows of (shard, rep, parts, ...) in blocks: each part of a shard has one, which the rows of its first part are in too. So rows are
+    about doubled at most, whatever a shard's size, and all pairs of a block are met: every row meets its own part and the first one."""
+    own = sized.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    met = own.withColumn("__q", F.explode(F.when(F.col("part") == 0, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("part"))))
+    block = F.when(F.col("parts") > 1, F.xxhash64("shard", "__q")).otherwise(F.col("shard"))
+    return met.withColumn("shard", block).withColumn("part", F.lit(0)).drop("__q", "parts")
+
+
+def last_blocks(rooted: DataFrame) -> DataFrame:
+    """Rows of (shard, rep, root, ...) in blocks in which every two rows of one shard and of different roots meet. A shard of one root has
+    none. Of a larger shard, the rows of the root that most of them have are parts of their own, which needn't meet each other: up to BLOCK other rows, rows
+    are about doubled at most, whatever the shard's size."""
+    roots = rooted.groupBy("shard", "root").agg(F.count("*").alias("n"))
+    shards = roots.groupBy("shard").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"))
+    shards = stored(shards.select("shard", "n", F.col("m.n").alias("most"), F.col("m.root").alias("__main")).where("most < n"), "mixed-shards")
+    large = F.col("n") > BLOCK
+    parts = lambda rows: F.ceil(rows / BLOCK).cast("int")
+    laid = shards.select("shard", "__main", F.when(large, parts(F.col("most"))).otherwise(0).alias("__mains"), F.when(large, parts(F.col("n") - F.col("most"))).otherwise(1).alias("__others"))
+    met = spread_join(rooted, laid, ["shard"], F.col("rep"))
+    settled, place = (F.col("__mains") > 0) & (F.col("root") == F.col("__main")), F.xxhash64("rep")
+    met = met.withColumn("part", F.when(settled, F.pmod(place, F.greatest("__mains", F.lit(1)))).otherwise(F.col("__mains") + F.pmod(place, F.col("__others"))).cast("int"))
+    met = met.withColumn("__q", F.explode(F.sequence(F.when(settled, F.col("__mains")).otherwise(F.lit(0)), F.col("__mains") + F.col("__others") - 1)))
+    block = F.when(F.col("__mains") > 0, F.xxhash64("shard", F.least("part", "__q"), F.greatest("part", "__q"))).otherwise(F.col("shard"))
+    return met.withColumn("shard", block).drop("__q", "__main", "__mains", "__others")
+
+
 MEMBER = ("shard", "part", "fp", "n", "rep", "root", "firsts")
 
 
@@ -508,11 +535,11 @@ def _similar_rows(numbered: DataFrame, width: int, radius: int, views: int) -> D
     counts = stored(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "view-shards")
     sized = spread_join(shards, counts.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), ["shard"], F.col("rep"), sizes=counts)
     firsts = classes.select(F.col("rep").alias("__of"), "firsts")
-    dealt = stored(in_blocks(sized.join(firsts, sized["rep"] == firsts["__of"]).drop("__of")), "dealt")
-    links = stored(_verified(stored(_candidates(dealt.withColumn("root", F.col("rep")), radius), "candidates"), texts, width), "similar")
+    members = stored(sized.join(firsts, sized["rep"] == firsts["__of"]).drop("__of"), "members")
+    links = stored(_verified(stored(_candidates(first_blocks(members).withColumn("root", F.col("rep")), radius), "candidates"), texts, width), "similar")
     roots = components(links)
-    rooted = dealt.join(roots, dealt["rep"] == roots["node"], "left").select(*dealt.columns, F.coalesce("root", "rep").alias("root"))
-    apart = stored(_apart(rooted, radius), "apart")
+    rooted = members.join(roots, members["rep"] == roots["node"], "left").select("shard", "fp", "n", "rep", "firsts", F.coalesce("root", "rep").alias("root"))
+    apart = stored(_apart(last_blocks(stored(rooted, "rooted")), radius), "apart")
     sets = _shingle_sets(apart.select(F.col("rep").alias("row")).distinct(), texts, width)
     last = _links_within(apart.join(sets.withColumnRenamed("row", "__row"), F.col("rep") == F.col("__row")).drop("__row"), radius)
     roots = components(links.unionByName(stored(last, "similar")))
@@ -532,8 +559,9 @@ def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, views:
     each, and one of eight with 0.997 for 0.8. Texts of a linked group whose whole fingerprints are within the radius, and
     whose first shingles in MINIMA orders are LIKELY equal (all but some 0.003 % at 0.8), are
     candidates, and every link is then an exact comparison. Equal texts are gathered before. One round of
-    two candidates a text links most of a group; then every candidate pair that is still apart is compared inside its block,
-    which gives links that join groups and no others, so rows never grow with the square of a group.
+    two candidates a text in each of its first_blocks() links most of a group; then every candidate pair that is still apart is compared inside
+    one of the last_blocks(), which gives links that join groups and no others. Rows are sent in proportion to a group's size, but for the texts of a group
+    of views that the first round hasn't linked to most of it: where these are over BLOCK, they are sent once for each BLOCK of its rows.
 
     Texts without a word are equal to each other, null ones too. Repeated rows are members of their own. An
     empty table gives an empty result; columns other than doc_id and text are ignored.
