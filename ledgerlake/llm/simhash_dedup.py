@@ -38,6 +38,8 @@ MINIMA = 256  # orders of all shingles whose first one, as a byte, is kept of ea
 LIKELY = 0.7
 DENSE = 2048
 BLOCK = 512  # rows of a view's shard that are one part
+#: The same where only rows of different roots meet, and the shingles that a part has on average at most: 64 MB.
+LAST_BLOCK, LAST_SHINGLES = 4096, 1 << 23
 SIMILAR = 0.8  # Jaccard similarity of shingles from which documents are near copies
 #: Row numbers of texts to be compared are broadcast up to so many.
 BROADCAST_ROWS = 400_000
@@ -386,14 +388,15 @@ def first_blocks(sized: DataFrame) -> DataFrame:
 
 def last_blocks(rooted: DataFrame) -> DataFrame:
     """Rows of (shard, rep, root, ...) in blocks in which every two rows of one shard and of different roots meet. A shard of one root has
-    none. Of a larger shard, the rows of the root that most of them have are parts of their own, which needn't meet each other: up to BLOCK other rows, rows
-    are about doubled at most, whatever the shard's size."""
-    roots = rooted.groupBy("shard", "root").agg(F.count("*").alias("n"))
-    shards = roots.groupBy("shard").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("m"))
-    shards = stored(shards.select("shard", "n", F.col("m.n").alias("most"), F.col("m.root").alias("__main")).where("most < n"), "mixed-shards")
-    large = F.col("n") > BLOCK
-    parts = lambda rows: F.ceil(rows / BLOCK).cast("int")
-    laid = shards.select("shard", "__main", F.when(large, parts(F.col("most"))).otherwise(0).alias("__mains"), F.when(large, parts(F.col("n") - F.col("most"))).otherwise(1).alias("__others"))
+    none. Of a larger shard, the rows of the root that most of them have are parts of their own, which needn't meet each other: while the others are one part,
+    rows are about doubled at most, whatever the shard's size. n is the number of a row's shingles."""
+    roots = rooted.groupBy("shard", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("size"))
+    shards = roots.groupBy("shard").agg(F.sum("rows").alias("n"), F.sum("size").alias("size"), F.max(F.struct("rows", "root", "size")).alias("m")).where("m.rows < n")
+    shards = stored(shards.select("shard", "n", "size", F.col("m.rows").alias("most"), F.col("m.root").alias("__main"), F.col("m.size").alias("main_size")), "mixed-shards")
+    parts = lambda rows, size: F.greatest(F.ceil(rows / LAST_BLOCK), F.ceil(size / LAST_SHINGLES), F.lit(1)).cast("int")
+    large = parts(F.col("n"), F.col("size")) > 1
+    mains, others = parts(F.col("most"), F.col("main_size")), parts(F.col("n") - F.col("most"), F.col("size") - F.col("main_size"))
+    laid = shards.select("shard", "__main", F.when(large, mains).otherwise(0).alias("__mains"), F.when(large, others).otherwise(1).alias("__others"))
     met = spread_join(rooted, laid, ["shard"], F.col("rep"))
     settled, place = (F.col("__mains") > 0) & (F.col("root") == F.col("__main")), F.xxhash64("rep")
     met = met.withColumn("part", F.when(settled, F.pmod(place, F.greatest("__mains", F.lit(1)))).otherwise(F.col("__mains") + F.pmod(place, F.col("__others"))).cast("int"))
@@ -561,7 +564,7 @@ def similar_documents(docs: DataFrame, width: int = 5, radius: int = 20, views:
     candidates, and every link is then an exact comparison. Equal texts are gathered before. One round of
     two candidates a text in each of its first_blocks() links most of a group; then every candidate pair that is still apart is compared inside
     one of the last_blocks(), which gives links that join groups and no others. Rows are sent in proportion to a group's size, but for the texts of a group
-    of views that the first round hasn't linked to most of it: where these are over BLOCK, they are sent once for each BLOCK of its rows.
+    of views that the first round hasn't linked to most of it: where these are over LAST_BLOCK, they are sent once for each LAST_BLOCK of its rows.
 
     Texts without a word are equal to each other, null ones too. Repeated rows are members of their own. An
     empty table gives an empty result; columns other than doc_id and text are ignored.
