@@ -304,8 +304,11 @@ def _shard_links(dealt: DataFrame, radius: int) -> DataFrame:
 def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
     """(fp, component_id) for each distinct fp of (doc_id, fp): the smallest doc_id among all fingerprints that links reach, null if none has one.
 
-    A fingerprint that only rows without doc_id have links others like any other: it gets a number over all doc_ids as its name."""
-    distinct = prints.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep"))
+    A fingerprint that only rows without doc_id have links others like any other: it gets a number over all doc_ids as its name. prints may have a
+    boolean column lone too: fingerprints whose rows are all lone link others like any other, but are left out of the result where no link reaches
+    their rep, so what is joined then follows those that meet others and not all."""
+    may_be_lone = "lone" in prints.columns
+    distinct = prints.groupBy("fp").agg(F.min(F.col("doc_id").cast("long")).alias("rep"), *([F.min("lone").alias("lone")] if may_be_lone else []))
     distinct = stored(distinct, "fingerprints")
     total, most, nameless = distinct.agg(F.count("*"), F.coalesce(F.max("rep"), F.lit(0)), F.count_if(F.col("rep").isNull())).first()
     if nameless:
@@ -319,11 +322,12 @@ def fingerprint_components(prints: DataFrame, radius: int) -> DataFrame:
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([pa.array(shard), batch.column(0).take(take), batch.column(1).take(take)], ["shard", "fp", "rep"])
 
-    dealt = distinct.mapInArrow(deal, "shard int, fp long, rep long")
+    dealt = distinct.select("fp", "rep").mapInArrow(deal, "shard int, fp long, rep long")
     parts = max(1, sum(c < 0 for n in nodes for c in n[2:]))
     links = _shard_links(dealt.repartition(parts, "shard"), radius)
     roots = components(links)
-    joined = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("root"))
+    rooted = lambda df, how: df.join(roots, df["rep"] == roots["node"], how).select("fp", F.coalesce("root", "rep").alias("root"))
+    joined = rooted(distinct.where("not lone"), "left").unionByName(rooted(distinct.where("lone"), "inner")) if may_be_lone else rooted(distinct, "left")
     return joined.select("fp", F.when(F.col("root") <= most, F.col("root")).cast(prints.schema["doc_id"].dataType).alias("component_id"))
 
 
@@ -532,9 +536,10 @@ def _similar_rows(numbered: DataFrame, width: int, radius: int, views: int) -> D
     prints = stored(over_batches(texts, make, f"row long, doc_id {kind}, fp long, views array<long>, n int, key binary, firsts binary"), "view-prints")
     classes = stored(prints.groupBy("key").agg(F.min("row").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("views").alias("views"), F.first("firsts").alias("firsts")), "text-classes")
     views = classes.where("n > 0").select("rep", "fp", "n", F.explode(F.array_distinct("views")).alias("v"))
-    near = stored(fingerprint_components(views.select(F.col("rep").alias("doc_id"), F.col("v").alias("fp")), VIEW_RADIUS), "view-groups")
+    seen = stored(views.groupBy("v").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "views")
+    near = stored(fingerprint_components(seen.select(F.col("rep").alias("doc_id"), F.col("v").alias("fp"), (F.col("n") == 1).alias("lone")), VIEW_RADIUS), "view-groups")
     groups = near.select(F.col("fp").alias("v"), F.col("component_id").alias("shard"))
-    shards = stored(spread_join(views, groups, ["v"], F.col("rep")).select("rep", "fp", "n", "shard").distinct(), "view-members")
+    shards = stored(spread_join(views, groups, ["v"], F.col("rep"), sizes=seen.where("n > 1")).select("rep", "fp", "n", "shard").distinct(), "view-members")
     counts = stored(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "view-shards")
     sized = spread_join(shards, counts.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), ["shard"], F.col("rep"), sizes=counts)
     firsts = classes.select(F.col("rep").alias("__of"), "firsts")
