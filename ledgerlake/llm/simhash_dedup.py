@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlake.llm.common import bounded_sample, over_batches, spread_join, stored, table, text_of
+from ledgerlake.llm.common import bounded_sample, digest_map, maybe_among, over_batches, spread_join, stored, table, text_of
 from ledgerlake.llm.graph import components
 
 SEED = 42
@@ -539,7 +539,9 @@ def _similar_rows(numbered: DataFrame, width: int, radius: int, views: int) -> D
     seen = stored(views.groupBy("v").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "views")
     near = stored(fingerprint_components(seen.select(F.col("rep").alias("doc_id"), F.col("v").alias("fp"), (F.col("n") == 1).alias("lone")), VIEW_RADIUS), "view-groups")
     groups = near.select(F.col("fp").alias("v"), F.col("component_id").alias("shard"))
-    shards = stored(spread_join(views, groups, ["v"], F.col("rep"), sizes=seen.where("n > 1")).select("rep", "fp", "n", "shard").distinct(), "view-members")
+    bits = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    grouped = maybe_among(views, bits("v"), stored(digest_map(groups.select(bits("v").alias("d")), "d"), "views-map")).where("__maybe")  # most of the others stay where they are
+    shards = stored(spread_join(grouped, groups, ["v"], F.col("rep"), sizes=seen.where("n > 1")).select("rep", "fp", "n", "shard").distinct(), "view-members")
     counts = stored(shards.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1"), "view-shards")
     sized = spread_join(shards, counts.select("shard", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")), ["shard"], F.col("rep"), sizes=counts)
     firsts = classes.select(F.col("rep").alias("__of"), "firsts")
