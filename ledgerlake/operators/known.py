@@ -55,7 +55,7 @@ def number_places(texts: DataFrame, key: str, text: str, numbers: DataFrame, mos
     not in tokens and GUIDs. numbers has (kind, token, digits). Of numbers with the same digits the smallest token counts. A
     document's number shorter than textsearch.WHOLE_DOC has to be a whole run or to stand in a passport's shape. Places may overlap.
 
-    Up to `most` numbers are searched for in one pass over the texts, more of them in parts."""
+    Up to `most` numbers are searched for in the rows, more of them by a join, in time that grows with texts and finds."""
     return search.finds(texts, key, text, search.books(numbers=numbers, most=most))
 
 

@@ -96,12 +96,12 @@ def _ends(column: pa.Array) -> pa.Array:
     return pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64() if pa.types.is_large_list(column.type) else pa.int32())
 
 
-def rewrite_strings(df: DataFrame, known: dict[str, str], odd: DataFrame | None, parts: list[search.Book], open_fields: frozenset[str] = frozenset()) -> DataFrame:
+def rewrite_strings(df: DataFrame, known: dict[str, str], odd: DataFrame | None, parts: list[search.Book | search.Forms | search.Numbers], open_fields: frozenset[str] = frozenset()) -> DataFrame:
     """df with marked long tokens as they are shown, and the finds of parts replaced in all other strings but those of open_fields.
 
     With one part, and odd tokens that a task holds, each row is made anew by itself. Else rows are kept with a number, what changes is worked out for the
     distinct strings, by passes over them and joins, and comes back to the rows as one map each: the plan is the same for any number of columns."""
-    if len(parts) > 1 or any(isinstance(b, search.Forms) for b in parts) or (odd is not None and not known):
+    if len(parts) > 1 or not all(isinstance(b, search.Book) for b in parts) or (odd is not None and not known):
         return _rewrite_by_map(df, odd, parts, open_fields)
     names = df.columns
 
@@ -114,7 +114,7 @@ def rewrite_strings(df: DataFrame, known: dict[str, str], odd: DataFrame | None,
     return search.over_texts(df, make, df.schema)
 
 
-def _rewrite_by_map(df: DataFrame, odd: DataFrame | None, parts: list[search.Book], open_fields: frozenset[str]) -> DataFrame:
+def _rewrite_by_map(df: DataFrame, odd: DataFrame | None, parts: list[search.Book | search.Forms | search.Numbers], open_fields: frozenset[str]) -> DataFrame:
     digest = lambda x: F.unhex(F.substring(F.sha2(x, 256), 1, 32))
     marked = lambda x: F.startswith(x, F.lit(MARK + "[["))
     keyed = kept(df.withColumn("__row", F.monotonically_increasing_id()))  # rows are masked once, and numbers stay with them
@@ -133,9 +133,9 @@ def _rewrite_by_map(df: DataFrame, odd: DataFrame | None, parts: list[search.Boo
         numbers, names = [b for b in parts if b.numbers], [b for b in parts if b.names]
         made = plain.withColumn("y", F.col("x"))
         if numbers:
-            made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [replace(b, names=(), digest=b.digest + "n") for b in numbers]), search.leftmost)
+            made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [replace(b, names=(), digest=b.digest + "n") if isinstance(b, search.Book) else b for b in numbers]), search.leftmost)
         if names:
-            made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [b if isinstance(b, search.Forms) else replace(b, numbers={}, digest=b.digest + "s") for b in names]), search.groups)
+            made = search.replace_finds(made, "key", "y", search.finds(made, "key", "y", [replace(b, numbers={}, digest=b.digest + "s") if isinstance(b, search.Book) else b for b in names]), search.groups)
         cells = keyed.select("__row", F.explode(F.transform(texts, digest)).alias("key"))
         changes.append(cells.join(made.where("x <> y").select("key", "y"), "key").select("__row", "key", "y"))
     if not changes:

@@ -5,7 +5,7 @@ out of the text as it was written. All names are looked for at once by an automa
 finds, not with the names. Finds that overlap are one group and are replaced together, so none of them leaves a piece behind.
 
 The search runs over Arrow batches inside the rows. Names beyond PART are not held by any task: what stands in the texts between word boundaries, and a
-map of digests of fixed size lets through, is joined with them. Numbers beyond PART are searched for in parts, each in a pass of its own over the texts.
+map of digests of fixed size lets through, is joined with them. So are numbers beyond PART, with the windows of their lengths in the texts' runs of digits.
 """
 
 from __future__ import annotations
@@ -21,8 +21,11 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ledgerlake.functions import tokens
 from ledgerlake.sources.tables import kept, spread
@@ -40,7 +43,7 @@ GUID_IN_TEXT = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[
 
 #: Names or numbers of one part, and their characters; a part is held by each task.
 PART, PART_CHARACTERS = 50_000, 2_000_000
-#: Bits of the map of digests, whatever the number of names: 16 MB in 512 rows and more.
+#: Bits of the map of digests, whatever the number of names or numbers: 16 MB in 512 rows and more.
 MAP_BITS = 27
 #: Rows that are searched together, so that what is made of a batch stays small beside it.
 BATCH_ROWS = 512
@@ -52,10 +55,13 @@ _BLANK = re.compile(f"{tokens.TOKEN}|{GUID_IN_TEXT}")
 _FOLD = str.maketrans(tokens.QUOTES, tokens.FOLDED)
 _ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+|(?:\\u[0-9A-Fa-f]{4})+")
 _WORD = re.compile(r"[^\W_]+")
+_DIGITS = re.compile(r"[0-9]+")
 
 
 def blanked(text: str) -> str:
     """text with each token and GUID as NULs of the same length: places stay and nothing is found in them."""
+    if text.count("-") < 4:  # no GUID
+        return _TOKEN.sub(lambda m: "\0" * len(m[0]), text) if "[[" in text else text
     return _BLANK.sub(lambda m: "\0" * len(m[0]), text)
 
 
@@ -297,26 +303,11 @@ class Search:
         return counts
 
     def number_finds(self, text: str) -> list[tuple[int, int, str]]:
-        """(start, stop, token) of all numbers: windows of the known lengths over a run's digits, whatever stands between them. A
-        document's number shorter than WHOLE_DOC has to be a whole run or to stand in a passport's shape."""
+        """(start, stop, token) of all numbers, see number_windows()."""
         if not self.lengths or not text:
             return []
-        found, ends = [], None
-        text = blanked(text)
-        for run in DIGIT_RUN.finditer(text):
-            spots = [k for k in range(run.start(), run.end()) if "0" <= text[k] <= "9"]
-            digits = "".join(text[k] for k in spots)
-            for n in self.lengths:
-                for o in range(len(digits) - n + 1):
-                    if (known := self.numbers.get(digits[o : o + n])) is None:
-                        continue
-                    stop = spots[o + n - 1] + 1
-                    if known[1] == "doc" and n < WHOLE_DOC and n != len(digits):
-                        ends = _passport_ends(text) if ends is None else ends
-                        if n != 6 or stop not in ends:
-                            continue
-                    found.append((spots[o], stop, known[0]))
-        return found
+        found = ((a, z, self.numbers[x], sure) for a, z, x, sure in number_windows(text, self.lengths, self.numbers.__contains__))
+        return [(a, z, token) for a, z, (token, kind), sure in found if sure or kind != "doc"]
 
     def masked(self, text: str) -> str:
         """text with its known numbers replaced, from the left, and then the groups of its known names. What is a token as a whole stays."""
@@ -335,11 +326,52 @@ class Search:
         return replaced(text, groups(self.name_finds(text)))
 
 
+def number_windows(text: str, lengths: list[int], has: Callable[[str], bool]) -> list[tuple[int, int, str, bool]]:
+    """(start, stop, digits, sure) of the windows of the lengths over a run's digits, whatever stands between them, that `has` lets through. One that
+    isn't sure is no document's number: such a one shorter than WHOLE_DOC has to be a whole run or to stand in a passport's shape."""
+    found, ends = [], None
+    text = blanked(text)
+    for run in DIGIT_RUN.finditer(text):
+        digits, spots = "".join(_DIGITS.findall(run[0])), None
+        for n in lengths:
+            for o in range(len(digits) - n + 1):
+                if not has(x := digits[o : o + n]):
+                    continue
+                spots = spots or [k for k in range(run.start(), run.end()) if "0" <= text[k] <= "9"]
+                stop = spots[o + n - 1] + 1
+                sure = n >= WHOLE_DOC or n == len(digits)
+                if not sure and n == 6:
+                    ends = _passport_ends(text) if ends is None else ends
+                    sure = stop in ends
+                found.append((spots[o], stop, x, sure))
+    return found
+
+
 def _passport_ends(text: str) -> set[int]:
     joined = (m for m in PASSPORT_JOINED.finditer(text) if PASSPORT_WORD.search(text, max(0, m.start() - PASSPORT_NEAR), m.start()))
     return {m.end() for m in PASSPORT_SPACED.finditer(text)} | {m.end() for m in joined}
 
 
+def map_of(strings: DataFrame) -> bytes:
+    """A map of MAP_BITS bits with those of the digests of strings (x) set."""
+    place = F.shiftright(F.crc32(F.col("x").cast("binary")), 32 - MAP_BITS) + 1  # Spark's bitmaps count from 1
+    places = strings.select(place.alias("p"))
+    bits = bytearray(1 << (MAP_BITS - 3))
+    for bucket, part in places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p"))).collect():
+        bits[(bucket - 1) * len(part) : bucket * len(part)] = part
+    return bytes(bits)
+
+
+def may_be_in(bits: bytes) -> Callable[[str], int]:
+    """A function that gives 0 for strings that the map of map_of() can't have."""
+
+    def maybe(x: str) -> int:
+        at = zlib.crc32(x.encode()) >> (32 - MAP_BITS)
+        return bits[at >> 3] >> (at & 7) & 1
+
+    return maybe
+
+
 @dataclass(frozen=True)
 class Forms:
     """Names that no task holds: rows (form, token), the lengths of forms by the length of their prefix, and a map of the digests of forms and prefixes. A
@@ -371,20 +403,12 @@ class Forms:
         lengths: dict[int, list[int]] = {}
         for (n,) in sorted(rows.select("n").distinct().collect()):  # no more than the longest name has characters
             lengths.setdefault(1 << (n.bit_length() - 1), []).append(n)
-        place = F.shiftright(F.crc32(F.col("x").cast("binary")), 32 - MAP_BITS) + 1  # Spark's bitmaps count from 1
-        places = rows.select(F.explode(F.array("form", "prefix")).alias("x")).select(place.alias("p"))
-        bits = bytearray(1 << (MAP_BITS - 3))
-        for bucket, part in places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p"))).collect():
-            bits[(bucket - 1) * len(part) : bucket * len(part)] = part
-        return Forms(rows.select("form", "token"), lengths, bytes(bits), words)
+        bits = map_of(rows.select(F.explode(F.array("form", "prefix")).alias("x")))
+        return Forms(rows.select("form", "token"), lengths, bits, words)
 
     def finder(self) -> Callable[[str], Iterator[tuple[int, int, str]]]:
         """A function that gives (start, stop, form) of what stands in a text between boundaries and may be a form."""
-        lengths, bits = self.lengths, self.bits
-
-        def maybe(x: str) -> int:
-            at = zlib.crc32(x.encode()) >> (32 - MAP_BITS)
-            return bits[at >> 3] >> (at & 7) & 1
+        lengths, maybe = self.lengths, may_be_in(self.bits)
 
         def runs(text: str) -> Iterator[tuple[int, int, str]]:
             spots = [(m.start(), m.end()) for m in _WORD.finditer(text)]
@@ -415,31 +439,51 @@ class Forms:
         return runs if self.words else names
 
 
+@dataclass(frozen=True)
+class Numbers:
+    """Numbers that no task holds: rows (digits, token, kind), each digits once, their lengths, and a map of their digests."""
+
+    rows: DataFrame
+    lengths: list[int]
+    bits: bytes
+    names: bool = False
+    numbers: bool = True
+
+    @staticmethod
+    def of(numbers: DataFrame) -> Numbers:
+        """From numbers (digits, token, kind), which are worked out already."""
+        lengths = sorted(n for (n,) in numbers.select(F.length("digits")).distinct().collect())  # no more than the longest number has digits
+        return Numbers(numbers, lengths, map_of(numbers.select(F.col("digits").alias("x"))))
+
+    def finder(self) -> Callable[[str], list[tuple[int, int, str, bool]]]:
+        """A function that gives number_windows() of a text that may be numbers."""
+        lengths, maybe = self.lengths, may_be_in(self.bits)
+        return lambda text: number_windows(text, lengths, maybe)
+
+
 def parts_of(rows: DataFrame, length: str, most: int = PART) -> int:
     """In how many parts rows, whose characters are in the column `length`, are held: each has `most` rows and PART_CHARACTERS on average at most."""
     n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.length(length)), F.lit(0))).first()
     return max(1, -(-n // max(1, most)), -(-size // PART_CHARACTERS))
 
 
-def books(names: DataFrame | None = None, numbers: DataFrame | None = None, words: bool = False, most: int = PART) -> list[Book | Forms]:
+def books(names: DataFrame | None = None, numbers: DataFrame | None = None, words: bool = False, most: int = PART) -> list[Book | Forms | Numbers]:
     """Parts of a dictionary: names (spelling, token), of which one with two tokens is left out, and numbers (kind, token, digits), of which equal digits
-    have the smallest token. With one part of each, both are in one book. More names than a part has are left where they are, as Forms; of more numbers a
-    part at a time is read to the driver."""
-    found: list[list[Book | Forms]] = []
+    have the smallest token. With one part of each, both are in one book. More names or numbers than a part has are left where they are, as Forms or Numbers."""
+    found: list[Book | Forms | Numbers] = []
     if names is not None:
         single = names.groupBy("spelling").agg(F.min("token").alias("token"), F.count_distinct("token").alias("__n")).where("__n = 1 and spelling is not null")
         single = kept(single.select("spelling", "token"))
         n = parts_of(single, "spelling", most)
-        found.append([Forms.of(single, words) if n > 1 else Book(names=tuple((r[0], r[1]) for r in single.collect()), words=words)])
+        found.append(Forms.of(single, words) if n > 1 else Book(names=tuple((r[0], r[1]) for r in single.collect()), words=words))
     if numbers is not None:
         single = numbers.where("digits <> ''").groupBy("digits").agg(F.min(F.struct("token", "kind")).alias("__t")).select("digits", "__t.token", "__t.kind")
+        single = kept(single)
         n = parts_of(single, "digits", most)
-        part = lambda k: single.where(F.pmod(F.xxhash64("digits"), F.lit(n)) == k) if n > 1 else single
-        found.append([Book(numbers={r[0]: (r[1], r[2]) for r in part(k).collect()}) for k in range(n)])
-    if len(found) == 2 and all(len(x) == 1 and isinstance(x[0], Book) for x in found):
-        found = [[Book(found[0][0].names, found[1][0].numbers, words)]]
-    flat = [b for x in found for b in x]
-    return [b if isinstance(b, Forms) else Book(b.names, b.numbers, b.words, hashlib.sha256(repr((sorted(b.names), sorted(b.numbers.items()), b.words)).encode()).hexdigest()) for b in flat]
+        found.append(Numbers.of(single) if n > 1 else Book(numbers={r[0]: (r[1], r[2]) for r in single.collect()}))
+    if len(found) == 2 and all(isinstance(x, Book) for x in found):
+        found = [Book(found[0].names, found[1].numbers, words)]
+    return [Book(b.names, b.numbers, b.words, hashlib.sha256(repr((sorted(b.names), sorted(b.numbers.items()), b.words)).encode()).hexdigest()) if isinstance(b, Book) else b for b in found]
 
 
 def over_texts(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
@@ -454,31 +498,41 @@ def over_texts(df: DataFrame, make: Callable[[pa.RecordBatch], pa.RecordBatch |
     return df.mapInArrow(run, schema)
 
 
-def _met(texts: DataFrame, key: str, text: str, forms: Forms) -> DataFrame:
-    """(key, start, stop, form, token): where forms stand in texts."""
+def _dealt(texts: DataFrame, key: str) -> DataFrame:
+    """texts dealt out by their key, so that searching them and bringing finds back to them read what one exchange has moved."""
+    spark = texts.sparkSession
+    return texts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), F.col(key))
+
+
+def _met(texts: DataFrame, key: str, text: str, known: Forms | Numbers, more: str) -> DataFrame:
+    """(key, start, stop, what else the finder gives, token): where forms or numbers, the first of the rest, stand in texts."""
     kind = texts.schema[key].dataType.simpleString()
-    find = forms.finder()
+    find = known.finder()
+    plain = StructType.fromDDL(f"start int, stop int, {more}")
+    types = to_arrow_schema(plain).types
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
         at, out = [], []
         for k, x in enumerate(batch.column(1).to_pylist()):
-            hits = list(find(x)) if x else []
-            at += [k] * len(hits)
-            out += hits
-        columns = [pa.array([h[c] for h in out], t) for c, t in enumerate((pa.int32(), pa.int32(), pa.string()))]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], [key, "start", "stop", "form"])
+            if x and (hits := list(find(x))):
+                at += [k] * len(hits)
+                out += hits
+        columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else ((),) * len(types), types)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], [key, *plain.names])
 
-    return over_texts(spread(texts.select(key, text)), make, f"`{key}` {kind}, start int, stop int, form string").join(forms.rows, "form")
+    return over_texts(_dealt(texts.select(key, text), key), make, f"`{key}` {kind}, start int, stop int, {more}").join(known.rows, plain.names[2])
 
 
-def finds(texts: DataFrame, key: str, text: str, parts: list[Book | Forms]) -> DataFrame:
+def finds(texts: DataFrame, key: str, text: str, parts: list[Book | Forms | Numbers]) -> DataFrame:
     """(key, start, stop, token): where the names and numbers of all parts stand in texts, overlapping ones too. Null texts have none."""
     kind = texts.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, start int, stop int, token string"
 
-    def of(book: Book | Forms) -> DataFrame:
+    def of(book: Book | Forms | Numbers) -> DataFrame:
         if isinstance(book, Forms):
-            return _met(texts, key, text, book).select(key, "start", "stop", "token")
+            return _met(texts, key, text, book, "form string").select(key, "start", "stop", "token")
+        if isinstance(book, Numbers):
+            return _met(texts, key, text, book, "digits string, sure boolean").where("sure or kind <> 'doc'").select(key, "start", "stop", "token")
 
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             search, at, out = Search.of(book), [], []
@@ -500,22 +554,28 @@ def finds(texts: DataFrame, key: str, text: str, parts: list[Book | Forms]) -> D
 def replace_finds(texts: DataFrame, key: str, text: str, found: DataFrame, pick: Callable[[list], list] = groups) -> DataFrame:
     """texts with the finds (key, start, stop, token) that pick takes replaced by their tokens. key tells rows apart; null texts stay null."""
     per = found.groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct("start", "stop", "token")).alias("__finds"))
-    joined = texts.join(per, F.col(key) == F.col("__key"), "left").select(*(F.col(f"`{c}`") for c in texts.columns), "__finds")
+    joined = _dealt(texts, key).join(per, F.col(key) == F.col("__key"), "left").select(*(F.col(f"`{c}`") for c in texts.columns), "__finds")
     names = texts.columns
     at = names.index(text)
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hits = batch.column(len(names)).to_pylist()
-        out = [x if x is None or not h else replaced(x, pick([(f["start"], f["stop"], f["token"]) for f in h])) for x, h in zip(batch.column(at).to_pylist(), hits)]
-        return pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names)
+        hits, columns = batch.column(len(names)), list(batch.columns[: len(names)])
+        if hits.null_count < len(hits):  # rows without finds stay as they are
+            with_finds = hits.is_valid()
+            rows = hits.filter(with_finds)
+            marks = list(zip(*(c.to_pylist() for c in rows.flatten().flatten())))
+            ends = np.cumsum(pc.list_value_length(rows).to_numpy()).tolist()
+            made = [replaced(x, pick(marks[a:z])) for x, a, z in zip(columns[at].filter(with_finds).to_pylist(), [0, *ends], ends)]
+            columns[at] = pc.replace_with_mask(columns[at], with_finds, pa.array(made, columns[at].type))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     return over_texts(joined, make, texts.schema)
 
 
-def replace_known(texts: DataFrame, key: str, text: str, parts: list[Book | Forms], pick: Callable[[list], list]) -> DataFrame:
+def replace_known(texts: DataFrame, key: str, text: str, parts: list[Book | Forms | Numbers], pick: Callable[[list], list]) -> DataFrame:
     """texts with the finds of all parts that pick takes replaced. One part is searched for and replaced inside the row; of several the
     finds meet by key, which tells rows apart."""
-    if len(parts) != 1 or isinstance(parts[0], Forms):
+    if len(parts) != 1 or not isinstance(parts[0], Book):
         return replace_finds(texts, key, text, finds(texts, key, text, parts), pick)
     book, names = parts[0], texts.columns
     at = names.index(text)
@@ -535,7 +595,7 @@ def phrase_counts(texts: DataFrame, key: str, text: str, parts: list[Book | Form
 
     def of(book: Book | Forms) -> DataFrame:
         if isinstance(book, Forms):
-            return _met(texts, key, text, book).select(key, F.col("token").alias("phrase"), F.lit(1).cast("long").alias("hits"))
+            return _met(texts, key, text, book, "form string").select(key, F.col("token").alias("phrase"), F.lit(1).cast("long").alias("hits"))
 
         def make(batch: pa.RecordBatch) -> pa.RecordBatch:
             search, at, phrases, hits = Search.of(book), [], [], []
